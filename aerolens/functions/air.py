@@ -1,119 +1,128 @@
-"""Unit normalisation, sub-indices, composite index and index bands."""
+"""Unit normalisation, sub-indices, composite index and index bands.
 
-from __future__ import annotations
+Functions take column names and build one SQL expression each: the breakpoint and band
+tables expand into CASE branches that stay inside generated code.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .numeric import col, safe_double
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "\\'") + "'"
 
-def _chain(cases: list[tuple[Column, Column]], otherwise: Column | None = None) -> Column:
-    head, *rest = cases
-    expr = reduce(lambda acc, case: acc.when(*case), rest, F.when(*head))
-    return expr if otherwise is None else expr.otherwise(otherwise)
 
+def _number(value: float) -> str:
+    return f"{float(value)!r}D"
 
-def by_molar_mass(value: Column, pollutant: str) -> Column:
-    """ppb to ug/m3, and equally ppm to mg/m3, at 25 degrees C and one atmosphere."""
-    mass = K.MOLAR_MASS.get(pollutant)
-    return F.lit(None).cast("double") if mass is None else value * F.lit(mass) / F.lit(K.MOLAR_VOLUME)
 
+def _names(values) -> str:
+    return ", ".join(_text(v) for v in values)
 
-def normalize_value(parameter: str | Column, value: str | Column, unit: str | Column) -> Column:
-    """A raw sensor value in the canonical unit of its pollutant."""
-    name = F.lower(col(parameter))
-    v = safe_double(value)
-    u = F.replace(F.replace(F.lower(F.coalesce(col(unit), F.lit(""))), F.lit(" "), F.lit("")), F.lit("³"), F.lit("3"))
-    in_ppb, in_ppm = F.contains(u, F.lit("ppb")), F.contains(u, F.lit("ppm"))
-    in_mg = F.contains(u, F.lit("mg/m3"))
-    in_ug = F.contains(u, F.lit("ug/m3")) | F.contains(u, F.lit("µg/m3"))
-    cases = [((name == gas) & in_ppb, by_molar_mass(v, gas)) for gas in K.PPB_GASES]
-    cases.append((
-        name == "co",
-        F.when(in_ppb, by_molar_mass(v, "co") / 1000.0)
-        .when(in_ppm, by_molar_mass(v, "co"))
-        .when(in_mg, v)
-        .when(in_ug, v / 1000.0)
-        .otherwise(v),
-    ))
-    return _chain(cases, v)
 
+def molar_mass_sql(parameter: str) -> str:
+    """Converted units per ppb (or ppm) need a molar mass; null for other pollutants."""
+    cases = " ".join(f"WHEN {_text(gas)} THEN {_number(mass)}" for gas, mass in K.MOLAR_MASS.items())
+    return f"CASE lower({parameter}) {cases} END"
 
-def canonical_unit(parameter: str | Column, raw_unit: str | Column) -> Column:
-    name = col(parameter)
-    cases = [(name == p, F.lit(unit)) for p, unit in K.CANONICAL_UNIT.items()]
-    return _chain(cases, col(raw_unit))
 
+def by_molar_mass(value: str, parameter: str) -> Column:
+    """ppb to ug/m3, and equally ppm to mg/m3, at 25 degrees C and one atmosphere; null for
+    a pollutant without a molar mass."""
+    return F.expr(f"{value} * {molar_mass_sql(parameter)} / {_number(K.MOLAR_VOLUME)}")
 
-def sub_index(pollutant: str, value: str | Column, strict: bool = True) -> Column:
-    """Linear sub-index between breakpoints.
 
-    With ``strict`` the ranges are closed at both ends and leave gaps: a value in a gap,
-    or below zero, has no index. Otherwise a gap belongs to the range above it.
-    """
-    v = safe_double(value)
+def normalize_value(parameter: str, value: str, unit: str) -> Column:
+    """A raw numeric sensor value in the canonical unit of its pollutant."""
+    v = f"nullif(CAST({value} AS DOUBLE), double('NaN'))"
+    # Blanks drop; the superscript three and the micro sign become plain letters.
+    u = f"translate(lower(coalesce({unit}, '')), '³µ ', '3u')"
+    converted = f"{v} * {molar_mass_sql(parameter)} / {_number(K.MOLAR_VOLUME)}"
+    return F.expr(f"""CASE
+        WHEN lower({parameter}) IN ({_names(K.PPB_GASES)}) AND contains({u}, 'ppb') THEN {converted}
+        WHEN lower({parameter}) IS DISTINCT FROM 'co' THEN {v}
+        WHEN contains({u}, 'ppb') THEN {converted} / 1000.0D
+        WHEN contains({u}, 'ppm') THEN {converted}
+        WHEN contains({u}, 'mg/m3') THEN {v}
+        WHEN contains({u}, 'ug/m3') THEN {v} / 1000.0D
+        ELSE {v} END""")
+
+
+def canonical_unit(parameter: str, raw_unit: str) -> Column:
+    cases = " ".join(f"WHEN {_text(p)} THEN {_text(unit)}" for p, unit in K.CANONICAL_UNIT.items())
+    return F.expr(f"CASE {parameter} {cases} ELSE {raw_unit} END")
+
+
+def sub_index_sql(pollutant: str, v: str, strict: bool = True) -> str:
     cases = []
     for low, high, index_low, index_high in K.BREAKPOINTS[pollutant]:
         slope = (index_high - index_low) / (high - low)
-        inside = v.between(float(low), float(high)) if strict else (v >= 0) & (v <= float(high))
-        cases.append((inside, F.lit(slope) * (v - F.lit(float(low))) + F.lit(float(index_low))))
+        start = _number(low) if strict else _number(0)
+        cases.append(f"WHEN {v} BETWEEN {start} AND {_number(high)} "
+                     f"THEN {_number(slope)} * ({v} - {_number(low)}) + {_number(index_low)}")
     top = K.BREAKPOINTS[pollutant][-1]
-    cases.append((v > float(top[1]), F.lit(float(top[3]))))
-    return _chain(cases)
+    # NaN sorts above every number, and has no index.
+    cases.append(f"WHEN {v} > {_number(top[1])} AND NOT isnan({v}) THEN {_number(top[3])}")
+    return f"CASE {' '.join(cases)} END"
+
+
+def sub_index(pollutant: str, value: str, strict: bool = True) -> Column:
+    """Linear sub-index of a numeric column between breakpoints.
+
+    With ``strict`` the ranges are closed at both ends and leave gaps: a value in a gap,
+    or below zero, has no index. Otherwise a gap belongs to the range above it.
+    """
+    return F.expr(sub_index_sql(pollutant, value, strict))
 
 
-def sub_index_of(parameter: str | Column, value: str | Column, strict: bool = True) -> Column:
+def sub_index_of(parameter: str, value: str, strict: bool = True) -> Column:
     """Sub-index of long-format rows, by the pollutant each row names."""
-    return _chain([(col(parameter) == p, sub_index(p, value, strict)) for p in K.BREAKPOINTS])
+    cases = " ".join(f"WHEN {_text(p)} THEN {sub_index_sql(p, value, strict)}" for p in K.BREAKPOINTS)
+    return F.expr(f"CASE {parameter} {cases} END")
 
 
-def composite_index(columns: dict[str, str | Column] | list[str], strict: bool = True) -> Column:
-    """The largest sub-index present; null when no pollutant has one."""
-    if not isinstance(columns, dict):
-        columns = {c: c for c in columns if c in K.BREAKPOINTS}
-    parts = [sub_index(p, c, strict) for p, c in columns.items()]
-    return parts[0] if len(parts) == 1 else F.greatest(*parts)
+def composite_index(columns, strict: bool = True) -> Column:
+    """The largest sub-index of the pollutant columns present; null when none has one."""
+    parts = [sub_index_sql(c, c, strict) for c in columns if c in K.BREAKPOINTS]
+    return F.expr(parts[0] if len(parts) == 1 else f"greatest({', '.join(parts)})")
 
 
-def _banded(value: Column, bands: tuple) -> Column:
-    cases = [(value <= bound, F.lit(text)) for bound, text in bands if bound is not None]
-    return _chain(cases, F.lit(bands[-1][1]))
+def _bands(value: str, bands: tuple) -> str:
+    cases = " ".join(f"WHEN {value} <= {bound} THEN {_text(text)}" for bound, text in bands if bound is not None)
+    return f"{cases} ELSE {_text(bands[-1][1])} END"
 
 
-def advisory(index: str | Column) -> Column:
+def advisory(index: str) -> Column:
     """Health advice for an index value."""
-    return F.when(col(index).isNotNull(), _banded(col(index), K.ADVISORIES))
+    return F.expr(f"CASE WHEN {index} IS NULL THEN NULL {_bands(index, K.ADVISORIES)}")
 
 
-def category(index: str | Column) -> Column:
+def category(index: str) -> Column:
     """Serving category; Unknown without an index."""
-    return F.when(col(index).isNull(), F.lit("Unknown")).otherwise(_banded(col(index), K.SERVING_BANDS))
+    return F.expr(f"CASE WHEN {index} IS NULL THEN 'Unknown' {_bands(index, K.SERVING_BANDS)}")
 
 
-def profile_category(index: str | Column) -> Column:
+def profile_category(index: str) -> Column:
     """Reporting category over right-closed bins; null outside them."""
-    v = col(index)
-    edges = K.PROFILE_EDGES
-    return _chain([
-        ((v > low) & (v <= high), F.lit(text))
-        for low, high, text in zip(edges, edges[1:], K.PROFILE_LABELS)
-    ])
+    edges = list(zip(K.PROFILE_EDGES, K.PROFILE_EDGES[1:], K.PROFILE_LABELS))
+    cases = " ".join(f"WHEN {index} > {low} AND {index} <= {high} THEN {_text(text)}" for low, high, text in edges)
+    return F.expr(f"CASE {cases} END")
 
 
-def primary_pollutant(columns: dict[str, str | Column]) -> Column:
+def primary_pollutant(columns) -> Column:
     """Display name of the largest headline pollutant; missing counts as 0, first wins ties."""
-    named = [(safe_double(columns[p], 0.0), label) for p, label in K.HEADLINE_POLLUTANTS if p in columns]
-    largest = F.greatest(*[v for v, _ in named])
-    return _chain([(v == largest, F.lit(label)) for v, label in named])
+    named = [(f"coalesce(nullif({p}, double('NaN')), 0.0D)", label) for p, label in K.HEADLINE_POLLUTANTS if p in columns]
+    largest = f"greatest({', '.join(v for v, _ in named)})" if len(named) > 1 else named[0][0]
+    cases = " ".join(f"WHEN {v} = {largest} THEN {_text(label)}" for v, label in named)
+    return F.expr(f"CASE {cases} END")
 
 
-def forecast_array(values: list[str | Column] | Column, horizon: int = K.N_AHEAD) -> Column:
+def forecast_array(values: list[str] | Column, horizon: int = K.N_AHEAD) -> Column:
     """Non-negative half-even integers, cut or padded with the last value to ``horizon``."""
-    raw = values if isinstance(values, Column) else F.array(*[col(v) for v in values])
+    raw = values if isinstance(values, Column) else F.expr(f"array({', '.join(values)})")
     whole = F.transform(raw, lambda v: F.greatest(F.lit(0), F.rint(v).cast("int")))
     last = F.try_element_at(whole, F.lit(-1))
     return F.slice(F.concat(whole, F.array_repeat(last, horizon)), 1, horizon)

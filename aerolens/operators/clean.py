@@ -50,13 +50,13 @@ def pivot_parameters(
     """
     kept = measurements.where(F.col(time).isNotNull() & F.col("value").isNotNull() & F.col("parameter").isNotNull())
     return kept.groupBy(*keys, floor_hour(time).alias("timestamp")).agg(
-        *[F.avg(F.when(F.col("parameter") == p, F.col("value"))).alias(p) for p in parameters]
+        *[F.expr(f"avg(value) FILTER (WHERE parameter = '{p}') AS {p}") for p in parameters]
     )
 
 
 def with_index(readings: DataFrame, strict: bool = True) -> DataFrame:
     """Add the composite index ``aqi`` of a wide table."""
-    return readings.withColumn("aqi", composite_index([c for c in readings.columns], strict))
+    return readings.withColumn("aqi", composite_index(readings.columns, strict))
 
 
 def weekly_trend(readings: DataFrame, key: str = "station_id", zone: str = "Asia/Kolkata", days: int = 7) -> DataFrame:

@@ -81,7 +81,7 @@ def persistence(df: DataFrame, horizons, current: str = "aqi") -> DataFrame:
 
 def prediction_records(scored: DataFrame, horizons, trends: DataFrame, keep: list[str]) -> DataFrame:
     """Prediction records of the latest row per station: forecast, pollutants, trend, advice."""
-    present = {p: p for p, _ in K.HEADLINE_POLLUTANTS if p in scored.columns}
+    present = [p for p, _ in K.HEADLINE_POLLUTANTS if p in scored.columns]
     forecast = forecast_array([f"pred_t{h}" for h in horizons])
     joined = scored.withColumn("forecast", forecast).join(trends, "station_id", "left")
     current = half_even_int(F.coalesce(safe_double("aqi"), F.get("forecast", F.lit(0)).cast("double")))

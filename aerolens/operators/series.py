@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, constants as K
@@ -95,39 +95,42 @@ def may_be_long(df: DataFrame, ts: str, step_seconds: int = 3600, limit: int = W
 
 
 def _windowed(df, key, ts, before, after, long, make) -> DataFrame:
-    """Select ``make(window)`` columns next to the rows, over whole or segmented series."""
+    """The rows with the columns ``make(window)``, over whole or segmented series.
+
+    ``make`` returns SQL column texts; ``window`` is the partition and order clause, so all
+    columns share one sort.
+    """
     if not long:
-        return df.select("*", *make(Window.partitionBy(key).orderBy(ts)))
+        return df.selectExpr("*", *make(f"PARTITION BY {key} ORDER BY {ts}"))
     parts = segmented(df, [key], [ts], ts, before, after)
-    over = Window.partitionBy(key, "_segment").orderBy("_row")
-    return parts.select("*", *make(over)).where("_own").drop("_row", "_segment", "_own")
+    out = parts.selectExpr("*", *make(f"PARTITION BY {key}, _segment ORDER BY _row"))
+    return out.where("_own").drop("_row", "_segment", "_own")
 
 
-def lag_columns(w, columns, lags) -> list[Column]:
-    return [F.lag(c, k).over(w).alias(f"{c}_lag{k}") for c in columns for k in lags]
+def lag_columns(w: str, columns, lags) -> list[str]:
+    return [f"lag({c}, {k}) OVER ({w}) AS {c}_lag{k}" for c in columns for k in lags]
 
 
-def rolling_columns(w, columns, sizes, std: bool = True, extremes=()) -> list[Column]:
+def rolling_columns(w: str, columns, sizes, std: bool = True, extremes=()) -> list[str]:
     """Statistics of the ``size`` rows before the current one."""
     out = []
     for c in columns:
         for size in sizes:
-            frame = w.rowsBetween(-size, -1)
-            out.append(F.avg(c).over(frame).alias(f"{c}_roll{size}_mean"))
+            over = f"({c}) OVER ({w} ROWS BETWEEN {size} PRECEDING AND 1 PRECEDING) AS {c}_roll{size}"
+            out.append(f"avg{over}_mean")
             if std:
-                out.append(F.stddev_samp(c).over(frame).alias(f"{c}_roll{size}_std"))
+                out.append(f"stddev_samp{over}_std")
             if size in extremes:
-                out.append(F.max(c).over(frame).alias(f"{c}_roll{size}_max"))
-                out.append(F.min(c).over(frame).alias(f"{c}_roll{size}_min"))
+                out += [f"max{over}_max", f"min{over}_min"]
     return out
 
 
-def diff_columns(w, column, steps) -> list[Column]:
-    return [(F.col(column) - F.lag(column, k).over(w)).alias(f"{column}_diff{k}") for k in steps]
+def diff_columns(w: str, column, steps) -> list[str]:
+    return [f"{column} - lag({column}, {k}) OVER ({w}) AS {column}_diff{k}" for k in steps]
 
 
-def lead_columns(w, column, horizons) -> list[Column]:
-    return [F.lead(column, h).over(w).alias(f"{column}_t{h}") for h in horizons]
+def lead_columns(w: str, column, horizons) -> list[str]:
+    return [f"lead({column}, {h}) OVER ({w}) AS {column}_t{h}" for h in horizons]
 
 
 def add_lags(df, columns, lags, key="station_id", ts="timestamp", long=False):
@@ -234,7 +237,7 @@ def engineer(df: DataFrame, spec: FeatureSpec, key="station_id", ts="timestamp",
     weather = [c for c in spec.weather if c in df.columns]
     target = spec.target if spec.target in df.columns else None
 
-    def make(w) -> list[Column]:
+    def make(w: str) -> list[str]:
         extremes = [s for s in spec.extremes if s in spec.rolling]
         made = lag_columns(w, pollutants, spec.lags)
         made += rolling_columns(w, pollutants, spec.rolling, True, extremes)
@@ -275,8 +278,8 @@ def densify(df, key="station_id", ts="timestamp", step="1 hour") -> DataFrame:
 def sequence_windows(df, columns, length=24, key="station_id", ts="timestamp", long=False) -> DataFrame:
     """Fixed-length sequences: one array per column of the last ``length`` rows."""
     def make(w):
-        frame = w.rowsBetween(-(length - 1), Window.currentRow)
-        return [F.collect_list(c).over(frame).alias(f"{c}_seq") for c in columns]
+        return [f"collect_list({c}) OVER ({w} ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW) AS {c}_seq"
+                for c in columns]
 
     out = _windowed(df, key, ts, length - 1, 0, long, make)
     return out.where(F.size(f"{columns[0]}_seq") == length)

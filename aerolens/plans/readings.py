@@ -371,7 +371,7 @@ g AS (SELECT *, greatest(a, b, c, d, e) AS m FROM z)
 SELECT station_id, timestamp, CASE m WHEN a THEN 'PM2.5' WHEN b THEN 'PM10' WHEN c THEN 'NO2' WHEN d THEN 'SO2' ELSE 'CO' END AS primary_pollutant FROM g"""))
 def primary_pollutant_query(spark, d):
     return V.readings(spark, d).select(
-        "station_id", "timestamp", primary_pollutant({p: p for p in V.MEASURED}).alias("primary_pollutant"))
+        "station_id", "timestamp", primary_pollutant(V.MEASURED).alias("primary_pollutant"))
 
 
 @query("csv_roundtrip", V.with_sql(R, select="SELECT station_id, timestamp, pm25, no2, aqi FROM readings"))

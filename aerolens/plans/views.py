@@ -26,11 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r6(c: str | Column, digits: int = 6) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    return F.round(c, digits)
 
 
 def rounded(df: DataFrame, columns, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: r6(c, digits) for c in columns})
+    return df.selectExpr(*[f"round({c}, {digits}) AS {c}" if c in columns else c for c in df.columns])
 
 
 def scalar(df: DataFrame, expr: Column):
@@ -44,18 +44,12 @@ def now_of(events: DataFrame) -> str:
 
 
 def raw_measurements(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
-    parameter = F.lit(None).cast("string")
-    for kind, name in PARAMETER_OF.items():
-        parameter = F.when(F.col("event_type") == kind, name).otherwise(parameter)
-    unit = F.element_at(F.array(*[F.lit(u) for u in UNITS]), (k % 4) + 1)
-    return e.select(
-        "event_id", F.col("user_id").alias("sensor_id"),
-        F.concat(F.lit("S"), (F.col("user_id") % STATIONS).cast("string")).alias("station_id"),
-        parameter.alias("parameter"), F.col("value").alias("raw_value"), unit.alias("raw_unit"),
-        F.col("ts").alias("measurement_time"), k.alias("k"),
-    )
+    kinds = " ".join(f"WHEN '{kind}' THEN '{name}'" for kind, name in PARAMETER_OF.items())
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    return table(spark, sf_dir, "events").withColumn("k", F.expr("CAST(get_json_object(props, '$.k') AS INT)")).selectExpr(
+        "event_id", "user_id AS sensor_id", f"concat('S', user_id % {STATIONS}) AS station_id",
+        f"CASE event_type {kinds} END AS parameter", "value AS raw_value",
+        f"element_at(array({units}), k % 4 + 1) AS raw_unit", "ts AS measurement_time", "k")
 
 
 def measurements(spark, sf_dir) -> DataFrame:
@@ -83,13 +77,11 @@ def stations(spark, sf_dir) -> DataFrame:
 def city_weather(spark, sf_dir) -> DataFrame:
     """Hourly weather per city from the numeric event property."""
     m = raw_measurements(spark, sf_dir).join(stations(spark, sf_dir).select("station_id", "city"), "station_id")
-    k = F.col("k").cast("double")
+    shown = {"temperature_2m": "double(k)", "relative_humidity_2m": "100.0D - k", "precipitation": "k / 10.0D",
+             "pressure_msl": "1000.0D + k", "cloud_cover": "double(k)", "wind_speed_10m": "k / 4.0D",
+             "wind_direction_10m": "k * 3.6D"}
     return m.groupBy("city", floor_hour("measurement_time").alias("timestamp")).agg(
-        r6(F.avg(k)).alias("temperature_2m"), r6(F.avg(100.0 - k)).alias("relative_humidity_2m"),
-        r6(F.avg(k / 10.0)).alias("precipitation"), r6(F.avg(1000.0 + k)).alias("pressure_msl"),
-        r6(F.avg(k)).alias("cloud_cover"), r6(F.avg(k / 4.0)).alias("wind_speed_10m"),
-        r6(F.avg(k * 3.6)).alias("wind_direction_10m"),
-    )
+        *[F.expr(f"round(avg({e}), 6) AS {c}") for c, e in shown.items()])
 
 
 def requests(spark, sf_dir) -> DataFrame:

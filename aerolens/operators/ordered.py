@@ -35,13 +35,15 @@ def value_counts(df: DataFrame, keys: list[str], value: str, side: str | None =
 
 
 def cumulative_counts(
-    counts: DataFrame, keys: list[str], value: str, weights: list[str], few_keys: bool = False
+    counts: DataFrame, keys: list[str], value: str, weights: list[str], few_keys: bool = False,
+    spots: list[float] | None = None,
 ) -> DataFrame:
     """Running totals of ``weights`` in value order within each key.
 
     Adds ``<w>_cum`` (up to and including the value) and ``<w>_total``. ``few_keys``
     states that the number of keys is fixed by the plan (named columns, not data); only
-    then is the one-row-per-key table of cut points broadcast.
+    then is the one-row-per-key table of cut points broadcast. With ``spots`` (quantile
+    probabilities, for a single weight) only the bins that hold one of them are ordered.
     """
     probabilities = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
     cuts = counts.groupBy(*keys).agg(
@@ -51,23 +53,32 @@ def cumulative_counts(
     binned = (
         counts.alias("l")
         .join(F.broadcast(cuts).alias("r") if few_keys else cuts.alias("r"), null_safe("l", "r", keys))
-        .select("l.*", *[f"r.{w}_total" for w in weights],
-                F.size(F.filter("_cuts", lambda cut: cut < F.col(f"l.{value}"))).alias("_bin"))
+        .selectExpr("l.*", *[f"r.{w}_total" for w in weights],
+                    f"size(filter(r._cuts, cut -> cut < l.{value})) AS _bin")
     )
-    over_bins = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(*BEFORE)
+    before = "OVER (PARTITION BY " + ", ".join(keys) + " ORDER BY _bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     offsets = (
-        binned.groupBy(*keys, "_bin").agg(*[F.sum(w).alias(w) for w in weights])
-        .select(*keys, "_bin", *[F.coalesce(F.sum(w).over(over_bins), F.lit(0)).alias(f"_{w}_before") for w in weights])
+        binned.groupBy(*keys, "_bin")
+        .agg(*[F.sum(w).alias(w) for w in weights], *[F.first(f"{w}_total").alias(f"{w}_total") for w in weights])
+        .selectExpr("*", *[f"coalesce(sum({w}) {before}, 0) AS _{w}_before" for w in weights])
     )
+    if spots:
+        (w,) = weights
+        inside = [
+            f"({end}({p}D * ({w}_total - 1)) BETWEEN _{w}_before AND _{w}_before + {w} - 1)"
+            for p in spots for end in ("floor", "ceil")
+        ]
+        offsets = offsets.where(" OR ".join(inside))
+    offsets = offsets.select(*keys, "_bin", *[f"_{w}_before" for w in weights])
     if few_keys:  # at most CUTS + 1 rows per named column
         offsets = F.broadcast(offsets)
-    in_bin = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(*UP_TO)
-    joined = binned.alias("l").join(offsets.alias("r"), null_safe("l", "r", [*keys, "_bin"])).select(
-        "l.*", *[f"r._{w}_before" for w in weights]
-    )
-    return joined.select(
+    joined = binned.alias("l").join(offsets.alias("r"), null_safe("l", "r", [*keys, "_bin"])).selectExpr(
+        "l.*", *[f"r._{w}_before" for w in weights])
+    upto = ("OVER (PARTITION BY " + ", ".join([*keys, "_bin"])
+            + f" ORDER BY {value} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    return joined.selectExpr(
         *counts.columns,
-        *[(F.sum(w).over(in_bin) + F.col(f"_{w}_before")).alias(f"{w}_cum") for w in weights],
+        *[f"sum({w}) {upto} + _{w}_before AS {w}_cum" for w in weights],
         *[f"{w}_total" for w in weights],
     )
 
@@ -76,25 +87,16 @@ def quantiles_of_counts(
     counts: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], few_keys: bool = False
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, one named column per probability."""
-    ranked = cumulative_counts(counts, keys, value, ["n"], few_keys)
-    start, end = F.col("n_cum") - F.col("n"), F.col("n_cum")
-
-    def at(position: Column) -> Column:
-        return F.max(F.when((start <= position) & (position < end), F.col(value)))
-
+    ranked = cumulative_counts(counts, keys, value, ["n"], few_keys, list(probabilities.values()))
     picks = []
     for name, p in probabilities.items():
-        spot = F.lit(float(p)) * (F.col("n_total") - 1)
-        picks += [
-            at(F.floor(spot)).alias(f"_{name}_lo"),
-            at(F.ceil(spot)).alias(f"_{name}_hi"),
-            F.max(spot - F.floor(spot)).alias(f"_{name}_frac"),
-        ]
-    wide = ranked.groupBy(*keys).agg(*picks)
-    return wide.select(*keys, *[
-        (F.col(f"_{n}_lo") + F.col(f"_{n}_frac") * (F.col(f"_{n}_hi") - F.col(f"_{n}_lo"))).alias(n)
-        for n in probabilities
-    ])
+        spot = f"{p}D * (n_total - 1)"
+        for end in ("floor", "ceil"):
+            picks.append(f"max(CASE WHEN n_cum - n <= {end}({spot}) AND {end}({spot}) < n_cum THEN {value} END) AS _{name}_{end}")
+        picks.append(f"max({spot} - floor({spot})) AS _{name}_part")
+    wide = ranked.groupBy(*keys).agg(*[F.expr(p) for p in picks])
+    return wide.selectExpr(*keys, *[
+        f"_{n}_floor + _{n}_part * (_{n}_ceil - _{n}_floor) AS {n}" for n in probabilities])
 
 
 def quantiles(

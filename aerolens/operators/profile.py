@@ -215,10 +215,19 @@ def top_correlated(df: DataFrame, columns: list[str], target: str, k: int = 6) -
     return wide.select(F.inline(rows)).orderBy(F.desc_nulls_last(F.abs("corr")), "feature").limit(k)
 
 
-def target_statistics(df: DataFrame, key: str, target: str = "aqi", prefix: str | None = None) -> DataFrame:
-    """Mean and exact median of the target per key; 0 where a key has no target at all."""
+def target_statistics(
+    df: DataFrame, key: str, target: str = "aqi", prefix: str | None = None, short_groups: bool = False
+) -> DataFrame:
+    """Mean and exact median of the target per key; 0 where a key has no target at all.
+
+    ``short_groups`` states that a key's rows are bounded (one station's hours), so one
+    aggregate can hold their distinct values; otherwise counted values are ranked.
+    """
     prefix = prefix or key.removesuffix("_id")
-    means = df.groupBy(key).agg(F.avg(target).alias(f"{prefix}_{target}_mean"))
-    medians = quantiles(df, [key], target, {f"{prefix}_{target}_median": 0.5})
-    names = [f"{prefix}_{target}_mean", f"{prefix}_{target}_median"]
-    return means.join(medians, key, "left").na.fill(0.0, subset=names)
+    mean, median = f"{prefix}_{target}_mean", f"{prefix}_{target}_median"
+    if short_groups:
+        stats = df.groupBy(key).agg(F.avg(target).alias(mean), F.percentile(target, 0.5).alias(median))
+    else:
+        means = df.groupBy(key).agg(F.avg(target).alias(mean))
+        stats = means.join(quantiles(df, [key], target, {median: 0.5}), key, "left")
+    return stats.na.fill(0.0, subset=[mean, median])

@@ -269,10 +269,10 @@ def densify(df, key="station_id", ts="timestamp", step="1 hour") -> DataFrame:
     months = span.select(key, "_from", "_to", F.explode(F.sequence(
         F.date_trunc("month", "_from"), F.col("_to").cast("timestamp"), F.expr("interval 1 month"))).alias("_month"))
     start = F.greatest(F.col("_from").cast("timestamp"), F.col("_month"))
-    end = F.least(F.col("_to").cast("timestamp"), F.col("_month") + F.expr(f"interval 1 month") - F.expr(f"interval {step}"))
+    end = F.least(F.col("_to").cast("timestamp"), F.col("_month") + F.expr("interval 1 month") - F.expr(f"interval {step}"))
     grid = months.where(start <= end).select(
-        key, F.explode(F.sequence(start, end, F.expr(f"interval {step}"))).cast("timestamp_ntz").alias(ts))
-    return grid.join(df, [key, ts], "left")
+        key, F.explode(F.sequence(start, end, F.expr(f"interval {step}"))).alias(ts))
+    return grid.withColumn(ts, F.col(ts).cast("timestamp_ntz")).join(df, [key, ts], "left")
 
 
 def sequence_windows(df, columns, length=24, key="station_id", ts="timestamp", long=False) -> DataFrame:

@@ -1 +1,294 @@
+"""Queries: fills, window features, targets, feature tables and feature selection."""
 
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from ..functions.numeric import floor_hour
+from ..operators import clean, joins, selection, series
+from ..operators.incremental import recent
+from ..operators.ordered import first_n, last_n, latest_by
+from ..session import written
+from . import views as V
+from .registry import query
+
+R, S, W = V.READINGS_CTE, V.STATIONS_CTE, V.WEATHER_CTE
+r = V.sql_round
+COLUMNS = [*V.MEASURED, "aqi"]
+WIN = "OVER (PARTITION BY station_id ORDER BY timestamp)"
+
+
+def long_series(spark, d) -> bool:
+    """Readings hold one row per station and hour, so the event time span bounds a series."""
+    return series.may_be_long(V.table(spark, d, "events"), "ts")
+
+
+def ffill_sql(c, source="readings"):
+    return f"last_value({c} IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def bfill_sql(c):
+    return f"first_value({c} IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY timestamp ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
+FILL_CTE = ("ff AS (SELECT station_id, timestamp, " + ", ".join(f"{ffill_sql(c)} AS {c}" for c in COLUMNS) + " FROM readings), "
+            "med AS (SELECT station_id, " + ", ".join(f"median({c}) AS m_{c}" for c in COLUMNS) + " FROM ff GROUP BY 1), "
+            "filled AS (SELECT station_id, timestamp, " + ", ".join(f"{r(f'coalesce({c}, m_{c}, 0)')} AS {c}" for c in COLUMNS)
+            + " FROM ff JOIN med USING (station_id))")
+
+
+def filled(spark, d):
+    out = series.fill_offline(V.readings(spark, d), COLUMNS, long=long_series(spark, d))
+    return V.rounded(out, COLUMNS)
+
+
+@query("fill_offline", V.with_sql(R, FILL_CTE, select="""
+SELECT f.*, CAST(r.pm25 IS NULL AS INTEGER) AS pm25_was_missing, CAST(r.no2 IS NULL AS INTEGER) AS no2_was_missing
+FROM filled f JOIN readings r USING (station_id, timestamp)"""))
+def fill_offline(spark, d):
+    flagged = series.add_missing_flags(V.readings(spark, d), ["pm25", "no2"])
+    return V.rounded(series.fill_offline(flagged, COLUMNS, long=long_series(spark, d)), COLUMNS)
+
+
+@query("fill_live", V.with_sql(R, """recent AS (
+  SELECT * FROM readings WHERE timestamp >= (SELECT max(ts) FROM events) - INTERVAL 220 HOUR)""", select=
+  "SELECT station_id, timestamp, " + ", ".join(f"coalesce({ffill_sql(c)}, {bfill_sql(c)}, 0) AS {c}" for c in COLUMNS) + " FROM recent"))
+def fill_live(spark, d):
+    now = V.now_of(V.table(spark, d, "events"))
+    return series.fill_live(recent(V.readings(spark, d), now, 220), COLUMNS)
+
+
+LAGS = (1, 2, 3, 6, 12, 24, 48, 72, 168)
+
+
+@query("lag_features", V.with_sql(R, FILL_CTE, select="SELECT station_id, timestamp, " + ", ".join(
+    f"lag({c}, {k}) {WIN} AS {c}_lag{k}" for c in ("pm25", "aqi") for k in LAGS) + " FROM filled"))
+def lag_features(spark, d):
+    f = filled(spark, d).select("station_id", "timestamp", "pm25", "aqi")
+    return series.add_lags(f, ["pm25", "aqi"], LAGS, long=long_series(spark, d)).drop("pm25", "aqi")
+
+
+def roll_sql(c, w, fn):
+    return f"{fn}({c}) OVER (PARTITION BY station_id ORDER BY timestamp ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
+
+
+@query("rolling_features", V.with_sql(R, FILL_CTE, select="SELECT station_id, timestamp, " + ", ".join(
+    f"{V.sql_steady(roll_sql('aqi', w, 'avg'))} AS aqi_roll{w}_mean, {V.sql_steady(roll_sql('aqi', w, 'stddev_samp'))} AS aqi_roll{w}_std" for w in (6, 24, 48, 168))
+    + ", " + ", ".join(f"{roll_sql('aqi', w, fn)} AS aqi_roll{w}_{fn}" for w in (24, 168) for fn in ("max", "min")) + " FROM filled"))
+def rolling_features(spark, d):
+    f = filled(spark, d).select("station_id", "timestamp", "aqi")
+    out = series.add_rolling(f, ["aqi"], (6, 24, 48, 168), extremes=(24, 168), long=long_series(spark, d)).drop("aqi")
+    return V.steady(out, [c for c in out.columns if c.endswith(("_mean", "_std"))])
+
+
+@query("diff_features", V.with_sql(R, FILL_CTE, select="SELECT station_id, timestamp, " + ", ".join(
+    f"{r(f'aqi - lag(aqi, {k}) {WIN}')} AS aqi_diff{k}" for k in (1, 3, 24)) + " FROM filled"))
+def diff_features(spark, d):
+    f = filled(spark, d).select("station_id", "timestamp", "aqi")
+    out = series.add_diffs(f, "aqi", (1, 3, 24), long=long_series(spark, d)).drop("aqi")
+    return V.rounded(out, ["aqi_diff1", "aqi_diff3", "aqi_diff24"])
+
+
+def cycle_sql(expr, period, name):
+    return (f"{r(f'sin(2e0 * pi() * {expr} / {period}e0)')} AS {name}_sin, "
+            f"{r(f'cos(2e0 * pi() * {expr} / {period}e0)')} AS {name}_cos")
+
+
+@query("calendar_features", f"""
+SELECT event_id, CAST(hour(t) AS INTEGER) AS hour_of_day, CAST(isodow(t) - 1 AS INTEGER) AS day_of_week, CAST(month(t) AS INTEGER) AS month,
+  CAST(year(t) AS INTEGER) AS year, CAST(dayofyear(t) AS INTEGER) AS day_of_year, CAST(isodow(t) >= 6 AS INTEGER) AS is_weekend,
+  CASE WHEN month(t) IN (12, 1, 2) THEN 0 WHEN month(t) <= 5 THEN 1 WHEN month(t) <= 9 THEN 2 ELSE 3 END AS season,
+  {cycle_sql('hour(t)', 24, 'hour')}, {cycle_sql('month(t)', 12, 'month')}, {cycle_sql('dayofyear(t)', 365, 'day_of_year')}
+FROM (SELECT event_id, ts + INTERVAL 330 MINUTE AS t FROM events)""")
+def calendar_features(spark, d):
+    spec = replace(series.LIVE, zone="Asia/Kolkata")
+    out = series.add_calendar(V.table(spark, d, "events").select("event_id", "ts"), spec, "ts").drop("ts")
+    return V.rounded(out, [c for c in out.columns if c.endswith(("_sin", "_cos"))])
+
+
+@query("lead_targets", V.with_sql(R, FILL_CTE, "t AS (SELECT station_id, timestamp, " + ", ".join(
+    f"lead(aqi, {h}) {WIN} AS aqi_t{h}" for h in range(1, 25)) + " FROM filled)", select="SELECT * FROM t WHERE aqi_t24 IS NOT NULL"))
+def lead_targets(spark, d):
+    f = filled(spark, d).select("station_id", "timestamp", "aqi")
+    return series.add_targets(f, "aqi", range(1, 25), long=long_series(spark, d)).drop("aqi")
+
+
+def feature_table(spark, d, spec=series.OFFLINE):
+    """Readings with weather, filled and engineered: the training table."""
+    s = V.stations(spark, d).select("station_id", "city")
+    joined = joins.with_station(V.readings(spark, d), s).join(V.city_weather(spark, d), ["city", "timestamp"], "left")
+    long = long_series(spark, d)
+    weather = [c for c in ("temperature_2m", "wind_speed_10m", "relative_humidity_2m", "wind_direction_10m") if c in joined.columns]
+    kept = joined.select("station_id", "city", "timestamp", *COLUMNS, *weather)
+    ready = V.rounded(series.fill_offline(kept, [*COLUMNS, *weather], long=long), [*COLUMNS, *weather])
+    return series.engineer(ready, spec, long=long)
+
+
+JOINED_CTE = """joined AS (
+  SELECT station_id, city, timestamp, pm25, pm10, no2, so2, co, aqi, temperature_2m, wind_speed_10m, relative_humidity_2m, wind_direction_10m
+  FROM readings LEFT JOIN stations USING (station_id) LEFT JOIN weather USING (city, timestamp))"""
+ALL = [*COLUMNS, "temperature_2m", "wind_speed_10m", "relative_humidity_2m", "wind_direction_10m"]
+READY_CTE = ("ff AS (SELECT station_id, timestamp, " + ", ".join(f"{ffill_sql(c)} AS {c}" for c in ALL) + " FROM joined), "
+             "med AS (SELECT station_id, " + ", ".join(f"median({c}) AS m_{c}" for c in ALL) + " FROM ff GROUP BY 1), "
+             "ready AS (SELECT station_id, timestamp, " + ", ".join(f"{r(f'coalesce({c}, m_{c}, 0)')} AS {c}" for c in ALL)
+             + " FROM ff JOIN med USING (station_id))")
+SHOWN = {
+    "pm25_lag168": f"lag(pm25, 168) {WIN}", "so2_lag3": f"lag(so2, 3) {WIN}", "no2_roll48_mean": roll_sql("no2", 48, "avg"),
+    "co_roll6_std": roll_sql("co", 6, "stddev_samp"), "temperature_2m_lag24": f"lag(temperature_2m, 24) {WIN}",
+    "wind_speed_10m_roll24_mean": roll_sql("wind_speed_10m", 24, "avg"), "aqi_diff24": f"aqi - lag(aqi, 24) {WIN}",
+    "wind_dir_sin": "sin(2e0 * pi() * wind_direction_10m / 360e0)", "day_of_week_cos": "cos(2e0 * pi() * (isodow(timestamp) - 1) / 7e0)",
+    "pm25_x_no2": "pm25 * no2",
+}
+
+
+@query("feature_table_offline", V.with_sql(R, S, W, JOINED_CTE, READY_CTE, "t AS (SELECT station_id, timestamp, aqi, " + ", ".join(
+    f"{V.sql_steady(f'coalesce({e}, 0)')} AS {n}" for n, e in SHOWN.items()) + ", " + ", ".join(
+    f"lead(aqi, {h}) {WIN} AS aqi_t{h}" for h in (1, 24)) + " FROM ready)", select="SELECT * FROM t WHERE aqi_t24 IS NOT NULL"))
+def feature_table_offline(spark, d):
+    out = feature_table(spark, d).select("station_id", "timestamp", "aqi", *SHOWN, "aqi_t1", "aqi_t24")
+    return V.steady(out, list(SHOWN))
+
+
+LIVE_SHOWN = {
+    "pm25_lag168": f"lag(pm25, 168) {WIN}", "aqi_roll168_max": roll_sql("aqi", 168, "max"), "aqi_roll24_min": roll_sql("aqi", 24, "min"),
+    "so2_roll3_mean": roll_sql("so2", 3, "avg"), "no2_roll24_std": roll_sql("no2", 24, "stddev_samp"), "aqi_diff3": f"aqi - lag(aqi, 3) {WIN}",
+    "precipitation_roll6_std": roll_sql("precipitation", 6, "stddev_samp"), "day_of_year_sin": "sin(2e0 * pi() * dayofyear(timestamp) / 365e0)",
+    "season": "CASE WHEN month(timestamp) IN (12, 1, 2) THEN 0 WHEN month(timestamp) <= 5 THEN 1 WHEN month(timestamp) <= 9 THEN 2 ELSE 3 END",
+    "pm25_x_wind": "pm25 * wind_speed_10m", "no2_x_temp": "no2 * temperature_2m", "benzene_lag1": "0e0",
+}
+LIVE_ALL = [*COLUMNS, "temperature_2m", "wind_speed_10m", "relative_humidity_2m", "precipitation"]
+
+
+def live_features(spark, d):
+    """Features of the recent history of every station that has enough of it."""
+    now = V.now_of(V.table(spark, d, "events"))
+    s = V.stations(spark, d).select("station_id", "city")
+    history = recent(V.readings(spark, d), now, 720)
+    joined = joins.with_station(history, s).join(V.city_weather(spark, d), ["city", "timestamp"], "left")
+    kept = series.enough_history(joined).select("station_id", "timestamp", *LIVE_ALL, "wind_direction_10m")
+    return series.engineer(series.fill_live(kept, LIVE_ALL), series.LIVE)
+
+
+LIVE_CTE = ("h AS (SELECT station_id, timestamp, " + ", ".join(LIVE_ALL) + """ FROM readings LEFT JOIN stations USING (station_id)
+  LEFT JOIN weather USING (city, timestamp) WHERE timestamp >= (SELECT max(ts) FROM events) - INTERVAL 720 HOUR), """
+  "e AS (SELECT * FROM h WHERE station_id IN (SELECT station_id FROM h GROUP BY 1 HAVING count(*) >= 168)), "
+  "live AS (SELECT station_id, timestamp, " + ", ".join(f"coalesce({ffill_sql(c)}, {bfill_sql(c)}, 0) AS {c}" for c in LIVE_ALL) + " FROM e)")
+
+
+@query("feature_table_live", V.with_sql(R, S, W, LIVE_CTE, "t AS (SELECT station_id, timestamp, " + ", ".join(
+    f"{V.sql_steady(f'coalesce({e}, 0)')} AS {n}" for n, e in LIVE_SHOWN.items()) + " FROM live)", select="""
+SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY timestamp DESC) = 1"""))
+def feature_table_live(spark, d):
+    newest = latest_by(live_features(spark, d), ["station_id"], ["timestamp"])
+    full = newest.withColumns({c: F.lit(0.0) for c in LIVE_SHOWN if c not in newest.columns})
+    out = full.select("station_id", "timestamp", *LIVE_SHOWN).withColumn("season", F.col("season").cast("double"))
+    return V.steady(out, list(LIVE_SHOWN))
+
+
+@query("densified_lags", V.with_sql(R, """grid AS (
+  SELECT station_id, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS timestamp
+  FROM (SELECT station_id, min(timestamp) AS a, max(timestamp) AS b FROM readings GROUP BY 1))""", select=f"""
+SELECT station_id, timestamp, aqi, lag(aqi, 24) {WIN} AS aqi_lag24 FROM grid LEFT JOIN readings USING (station_id, timestamp)"""))
+def densified_lags(spark, d):
+    grid = series.densify(V.readings(spark, d).select("station_id", "timestamp", "aqi"))
+    return series.add_lags(grid, ["aqi"], (24,), long=long_series(spark, d))
+
+
+@query("sequence_windows", V.with_sql(R, FILL_CTE, f"""t AS (
+  SELECT station_id, timestamp, list(aqi) OVER (PARTITION BY station_id ORDER BY timestamp ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS l FROM filled)""", select=f"""
+SELECT station_id, timestamp, CAST(len(l) AS INTEGER) AS steps, l[1] AS first_value, l[24] AS last_value, {r('list_sum(l)')} AS total FROM t WHERE len(l) = 24"""))
+def sequence_windows(spark, d):
+    f = filled(spark, d).select("station_id", "timestamp", "aqi")
+    out = series.sequence_windows(f, ["aqi"], 24, long=long_series(spark, d))
+    total = F.aggregate("aqi_seq", F.lit(0.0), lambda a, x: a + x)
+    return out.select("station_id", "timestamp", F.size("aqi_seq").alias("steps"), F.get("aqi_seq", F.lit(0)).alias("first_value"),
+                      F.get("aqi_seq", F.lit(23)).alias("last_value"), V.r6(total).alias("total"))
+
+
+@query("near_constant", """
+WITH t AS (SELECT 'l_linestatus' AS feature, CAST(l_linestatus AS VARCHAR) AS v FROM lineitem UNION ALL SELECT 'l_tax', CAST(l_tax AS VARCHAR) FROM lineitem
+  UNION ALL SELECT 'l_linenumber', CAST(l_linenumber AS VARCHAR) FROM lineitem),
+c AS (SELECT feature, v, count(*) AS n FROM t GROUP BY 1, 2)
+SELECT feature, count(*) AS n_values, (round(max(n) * 1e0 / sum(n), 6) + 0e0) AS modal_share FROM c GROUP BY 1""")
+def near_constant(spark, d):
+    shares = selection.modal_share(V.table(spark, d, "lineitem"), ["l_linestatus", "l_tax", "l_linenumber"])
+    return V.rounded(shares, ["modal_share"])
+
+
+@query("missing_flags", V.with_sql(R, select="SELECT station_id, timestamp, " + ", ".join(
+    f"CAST({c} IS NULL AS INTEGER) AS {c}_was_missing" for c in V.MEASURED) + " FROM readings"))
+def missing_flags(spark, d):
+    table = V.readings(spark, d)
+    top = selection.most_missing(table, list(V.MEASURED), 5)
+    return series.add_missing_flags(table, top).select("station_id", "timestamp", *[f"{c}_was_missing" for c in V.MEASURED])
+
+
+@query("correlated_columns", f"""
+WITH m AS (SELECT l_quantity AS a, l_extendedprice AS b, l_extendedprice * (1 - l_discount) AS c, l_tax AS d FROM lineitem),
+p AS (SELECT 'b' AS feature, abs(corr(a, b)) AS x FROM m UNION ALL SELECT 'c', abs(corr(a, c)) FROM m UNION ALL SELECT 'c', abs(corr(b, c)) FROM m
+  UNION ALL SELECT 'd', abs(corr(a, d)) FROM m UNION ALL SELECT 'd', abs(corr(b, d)) FROM m UNION ALL SELECT 'd', abs(corr(c, d)) FROM m)
+SELECT DISTINCT feature FROM p WHERE x > 0.98""")
+def correlated_columns(spark, d):
+    m = V.table(spark, d, "lineitem").selectExpr(
+        "l_quantity AS a", "l_extendedprice AS b", "l_extendedprice * (1 - l_discount) AS c", "l_tax AS d")
+    found = selection.correlated_columns(m, ["a", "b", "c", "d"], 0.98)
+    return spark.createDataFrame([(c,) for c in found], "feature string")
+
+
+@query("duplicate_columns")
+def duplicate_columns(spark, d):
+    m = V.table(spark, d, "lineitem").selectExpr("l_quantity AS a", "l_tax AS b", "l_quantity + 0 AS c", "l_discount AS d")
+    return selection.content_hashes(m, ["a", "b", "c", "d"])
+
+
+@query("drop_columns", V.with_sql(R, select="""
+SELECT column_name FROM (SELECT unnest(['pm25', 'pm10', 'no2', 'so2', 'co', 'aqi']) AS column_name, unnest([
+  avg(CAST(pm25 IS NULL AS INTEGER)), avg(CAST(pm10 IS NULL AS INTEGER)), avg(CAST(no2 IS NULL AS INTEGER)),
+  avg(CAST(so2 IS NULL AS INTEGER)), avg(CAST(co IS NULL AS INTEGER)), 0]) AS rate FROM readings) WHERE rate > 0.73"""))
+def drop_columns(spark, d):
+    sparse = selection.sparse_columns(V.readings(spark, d), COLUMNS, 0.73)
+    return spark.createDataFrame([(c,) for c in sparse], "column_name string")
+
+
+@query("selected_features")
+def selected_features(spark, d):
+    table = written(feature_table(spark, d), "features")
+    targets = {f"aqi_t{h}" for h in range(1, 25)}
+    candidates = [c for c in table.columns if c not in targets and c not in ("station_id", "city", "timestamp")]
+    chosen = selection.select_features(table, candidates)
+    return spark.createDataFrame([(i, c) for i, c in enumerate(chosen)], "position int, feature string")
+
+
+@query("dedup_last", V.with_sql(V.RAW_CTE, select="""
+SELECT station_id, parameter, date_trunc('hour', measurement_time) AS timestamp, event_id, raw_value FROM raw
+QUALIFY row_number() OVER (PARTITION BY station_id, parameter, date_trunc('hour', measurement_time) ORDER BY event_id DESC) = 1"""))
+def dedup_last(spark, d):
+    m = V.raw_measurements(spark, d).select(
+        "station_id", "parameter", floor_hour("measurement_time").alias("timestamp"), "event_id", "raw_value")
+    return latest_by(m, ["station_id", "parameter", "timestamp"], ["event_id"])
+
+
+@query("tail_n", V.with_sql(R, select="""
+SELECT station_id, timestamp, aqi FROM readings QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY timestamp DESC) <= 224"""))
+def tail_n(spark, d):
+    return last_n(V.readings(spark, d).select("station_id", "timestamp", "aqi"), ["station_id"], [F.desc("timestamp")], 224)
+
+
+@query("recent_window", V.with_sql(V.RAW_CTE, select="""
+SELECT * FROM raw WHERE station_id = 'S5' AND measurement_time >= (SELECT max(ts) FROM events) - INTERVAL 200 HOUR ORDER BY measurement_time"""))
+def recent_window(spark, d):
+    now = V.now_of(V.table(spark, d, "events"))
+    rows = recent(V.raw_measurements(spark, d), now, 200, "measurement_time")
+    return rows.where("station_id = 'S5'").orderBy("measurement_time")
+
+
+@query("first_n_cap", """
+WITH t AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'train' WHEN o_orderdate < TIMESTAMP '1999-06-01' THEN 'val' ELSE 'test' END AS split FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY o_orderdate, o_orderkey) AS rn FROM t)
+SELECT o_orderkey, o_orderdate, split FROM n WHERE (split = 'train' AND rn <= 777) OR (split = 'val' AND rn <= 333) OR split = 'test'""")
+def first_n_cap(spark, d):
+    o = V.table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    t = clean.split_by_time(o, "1998-01-01", "1999-06-01", "o_orderdate")
+    return first_n(t, ["split"], ["o_orderdate", "o_orderkey"], "o_orderdate", {"train": 777, "val": 333})

@@ -18,6 +18,7 @@ from ..operators import clean
 STATIONS = 20
 PARAMETER_OF = {"click": "pm25", "error": "pm10", "purchase": "no2", "signup": "so2", "view": "co"}
 UNITS = ("ug/m3", "ppb", "ppm", "mg/m3")
+NUDGE = "1e-9D"
 MEASURED = ("pm25", "pm10", "no2", "so2", "co")
 
 
@@ -33,6 +34,12 @@ def rounded(df: DataFrame, columns, digits: int = 6) -> DataFrame:
     return df.selectExpr(*[f"round({c}, {digits}) AS {c}" if c in columns else c for c in df.columns])
 
 
+def steady(df: DataFrame, columns, digits: int = 4) -> DataFrame:
+    """Rounded means. The nudge decides exact ties, which the order of a floating sum would
+    otherwise flip."""
+    return df.selectExpr(*[f"round({c} + {NUDGE}, {digits}) AS {c}" if c in columns else c for c in df.columns])
+
+
 def scalar(df: DataFrame, expr: Column):
     """One aggregate value of a table (a reference time, a bound)."""
     return df.agg(expr).first()[0]
@@ -106,6 +113,10 @@ def sql_round(expr: str, digits: int = 6) -> str:
     return f"(round({expr}, {digits}) + 0e0)"
 
 
+def sql_steady(expr: str, digits: int = 4) -> str:
+    return sql_round(f"{expr} + 1e-9", digits)
+
+
 def sql_sub_index(pollutant: str, v: str) -> str:
     cases = "".join(
         f" WHEN {v} BETWEEN {float(lo)!r}e0 AND {float(hi)!r}e0 THEN "

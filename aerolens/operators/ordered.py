@@ -190,22 +190,20 @@ def first_n(df: DataFrame, keys: list[str], order: list[str], ts: str, n: int |
     return whole.select(*df.columns).unionByName(cut.select(*df.columns))
 
 
+def _extreme(df: DataFrame, keys: list[str], order: list[str], pick: str) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys]
+    best = F.expr(f"{pick}(struct({', '.join(rest)}), struct({', '.join(order)})) AS _best")
+    return df.groupBy(*keys).agg(best).selectExpr(*keys, "_best.*").selectExpr(*df.columns)
+
+
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key in ``order``, by an aggregate with map-side combine."""
-    rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_best")
-    return df.groupBy(*keys).agg(best).select(*[
-        F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns
-    ])
+    return _extreme(df, keys, order, "max_by")
 
 
 def earliest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in ``order``."""
-    rest = [c for c in df.columns if c not in keys]
-    best = F.min_by(F.struct(*rest), F.struct(*order)).alias("_best")
-    return df.groupBy(*keys).agg(best).select(*[
-        F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns
-    ])
+    return _extreme(df, keys, order, "min_by")
 
 
 def last_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

@@ -228,10 +228,13 @@ def add_interactions(df, spec: FeatureSpec) -> DataFrame:
     return df.withColumns(made) if made else df
 
 
-def engineer(df: DataFrame, spec: FeatureSpec, key="station_id", ts="timestamp", long=False) -> DataFrame:
+def engineer(
+    df: DataFrame, spec: FeatureSpec, key="station_id", ts="timestamp", long=False, last_only=False
+) -> DataFrame:
     """All window features of ``spec`` over one sort of an already filled table.
 
-    Leading rows without history get 0; rows without every target drop.
+    Leading rows without history get 0; rows without every target drop. ``last_only`` keeps
+    the newest row per series, found in the same window pass.
     """
     pollutants = [c for c in spec.pollutants if c in df.columns]
     weather = [c for c in spec.weather if c in df.columns]
@@ -246,9 +249,13 @@ def engineer(df: DataFrame, spec: FeatureSpec, key="station_id", ts="timestamp",
         if target:
             made += diff_columns(w, target, spec.diffs)
             made += lead_columns(w, target, range(1, spec.horizons + 1))
+        if last_only:
+            made.append(f"lead({ts}, 1) OVER ({w}) IS NULL AS _last")
         return made
 
-    out = _windowed(df, key, ts, spec.reach_back, spec.horizons, long, make)
+    out = _windowed(df, key, ts, spec.reach_back, max(spec.horizons, int(last_only)), long, make)
+    if last_only:
+        out = out.where("_last").drop("_last")
     targets = [f"{spec.target}_t{h}" for h in range(1, spec.horizons + 1)] if target else []
     created = [c for c in out.columns if c not in df.columns and c not in targets]
     out = out.na.fill(0.0, subset=created) if created else out

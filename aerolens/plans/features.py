@@ -162,13 +162,13 @@ LIVE_ALL = [*COLUMNS, "temperature_2m", "wind_speed_10m", "relative_humidity_2m"
 
 
 def live_features(spark, d):
-    """Features of the recent history of every station that has enough of it."""
+    """The newest feature row of every station with enough recent history."""
     now = V.now_of(V.table(spark, d, "events"))
     s = V.stations(spark, d).select("station_id", "city")
     history = recent(V.readings(spark, d), now, 720)
     joined = joins.with_station(history, s).join(V.city_weather(spark, d), ["city", "timestamp"], "left")
     kept = series.enough_history(joined).select("station_id", "timestamp", *LIVE_ALL, "wind_direction_10m")
-    return series.engineer(series.fill_live(kept, LIVE_ALL), series.LIVE)
+    return series.engineer(series.fill_live(kept, LIVE_ALL), series.LIVE, last_only=True)
 
 
 LIVE_CTE = ("h AS (SELECT station_id, timestamp, " + ", ".join(LIVE_ALL) + """ FROM readings LEFT JOIN stations USING (station_id)
@@ -181,7 +181,7 @@ LIVE_CTE = ("h AS (SELECT station_id, timestamp, " + ", ".join(LIVE_ALL) + """ F
     f"{V.sql_steady(f'coalesce({e}, 0)')} AS {n}" for n, e in LIVE_SHOWN.items()) + " FROM live)", select="""
 SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY timestamp DESC) = 1"""))
 def feature_table_live(spark, d):
-    newest = latest_by(live_features(spark, d), ["station_id"], ["timestamp"])
+    newest = live_features(spark, d)
     full = newest.withColumns({c: F.lit(0.0) for c in LIVE_SHOWN if c not in newest.columns})
     out = full.select("station_id", "timestamp", *LIVE_SHOWN).withColumn("season", F.col("season").cast("double"))
     return V.steady(out, list(LIVE_SHOWN))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.air import advisory, category, primary_pollutant
+from ..functions.air import advisory, category, primary_pollutant, sub_index_of
 from ..functions.numeric import floor_hour, safe_double, safe_timestamp
 from ..operators import clean, joins, quality
 from ..operators.ordered import latest_by
@@ -32,16 +32,21 @@ def advisory_query(spark, d):
     return V.readings(spark, d).select("station_id", "timestamp", "aqi", advisory("aqi").alias("advisory"))
 
 
-@query("sub_index_gaps_closed", V.with_sql(M, select=f"""
-, x AS (SELECT event_id, raw_value AS v FROM measurements WHERE parameter = 'pm25')
-SELECT event_id, {V.sql_round('''CASE WHEN v < 0 THEN NULL WHEN v <= 30 THEN 50e0 / 30e0 * v
-  WHEN v <= 60 THEN 49e0 / 29e0 * (v - 31) + 51 WHEN v <= 90 THEN 99e0 / 29e0 * (v - 61) + 101
-  WHEN v <= 120 THEN 99e0 / 29e0 * (v - 91) + 201 WHEN v <= 250 THEN 99e0 / 129e0 * (v - 121) + 301
-  WHEN v <= 1000 THEN 99e0 / 749e0 * (v - 251) + 401 ELSE 500e0 END''')} AS sub_index FROM x"""))
-def sub_index_gaps_closed(spark, d):
-    from ..functions.air import sub_index
-    m = V.raw_measurements(spark, d).where("parameter = 'pm25'")
-    return m.select("event_id", V.r6(sub_index("pm25", "raw_value", strict=False)).alias("sub_index"))
+def _closed(pollutant, v):
+    """Sub-index without gaps: the first range whose upper end reaches the value."""
+    cases = " ".join(
+        f"WHEN {v} <= {float(hi)!r}e0 THEN {(ihi - ilo) / (hi - lo)!r}e0 * ({v} - {float(lo)!r}e0) + {float(ilo)!r}e0"
+        for lo, hi, ilo, ihi in K.BREAKPOINTS[pollutant])
+    return f"CASE WHEN {v} < 0 THEN NULL {cases} ELSE 500e0 END"
+
+
+@query("sub_index_long", V.with_sql(M, select="SELECT event_id, parameter, " + ", ".join(
+    V.sql_round("CASE parameter " + " ".join(f"WHEN '{p}' THEN {make(p, 'raw_value')}" for p in V.MEASURED) + " END") + f" AS {name}"
+    for name, make in (("sub_index", V.sql_sub_index), ("gapless", _closed))) + " FROM measurements"))
+def sub_index_long(spark, d):
+    m = V.raw_measurements(spark, d)
+    return m.select("event_id", "parameter", V.r6(sub_index_of("parameter", "raw_value")).alias("sub_index"),
+                    V.r6(sub_index_of("parameter", "raw_value", strict=False)).alias("gapless"))
 
 
 @query("weekly_trend", V.with_sql(R, """daily AS (
@@ -105,11 +110,11 @@ def city_semi(spark, d):
 
 @query("coords_default", V.with_sql(R, """config AS (
   SELECT 'S' || CAST(n_nationkey AS VARCHAR) AS station_id, n_nationkey * 1.5e0 AS latitude, n_nationkey + 70e0 AS longitude
-  FROM nation WHERE n_nationkey % 3 <> 0)""", select="""
+  FROM nation WHERE n_regionkey <> 1)""", select="""
 SELECT timestamp, station_id, aqi, coalesce(latitude, 13.0827e0) AS latitude, coalesce(longitude, 80.2707e0) AS longitude
 FROM readings LEFT JOIN config USING (station_id)"""))
 def coords_default(spark, d):
-    config = V.table(spark, d, "nation").where("n_nationkey % 3 <> 0").select(
+    config = V.table(spark, d, "nation").where("n_regionkey <> 1").select(
         F.concat(F.lit("S"), F.col("n_nationkey").cast("string")).alias("station_id"),
         (F.col("n_nationkey") * F.lit(1.5)).alias("latitude"), (F.col("n_nationkey") + F.lit(70.0)).alias("longitude"))
     r = V.readings(spark, d).select("timestamp", "station_id", "aqi")

@@ -80,19 +80,19 @@ def persistence(df: DataFrame, horizons, current: str = "aqi") -> DataFrame:
 
 
 def prediction_records(scored: DataFrame, horizons, trends: DataFrame, keep: list[str]) -> DataFrame:
-    """Prediction records of the latest row per station: forecast, pollutants, trend, advice."""
+    """Prediction records of scored rows: forecast, pollutants, trend, advice.
+
+    ``trends`` has one ``weekly_trend`` array per station.
+    """
     present = [p for p, _ in K.HEADLINE_POLLUTANTS if p in scored.columns]
-    forecast = forecast_array([f"pred_t{h}" for h in horizons])
-    joined = scored.withColumn("forecast", forecast).join(trends, "station_id", "left")
+    joined = scored.withColumn("forecast", forecast_array([f"pred_t{h}" for h in horizons])).join(trends, "station_id", "left")
     current = half_even_int(F.coalesce(safe_double("aqi"), F.get("forecast", F.lit(0)).cast("double")))
-    pollutants = F.map_from_arrays(
-        F.array(*[F.lit(p) for p in present]), F.array(*[safe_double(p, 0.0) for p in present]))
+    pollutants = ", ".join(f"'{p}', coalesce(nullif({p}, double('NaN')), 0.0D)" for p in present)
     return joined.select(
-        *keep, current.alias("current_aqi"), primary_pollutant(present).alias("primary_pollutant"),
-        "forecast", pollutants.alias("pollutants"),
+        *keep, current.alias("current_aqi"), primary_pollutant(present).alias("primary_pollutant"), "forecast",
+        F.expr(f"map({pollutants})").alias("pollutants"),
         F.coalesce("weekly_trend", F.slice("forecast", 1, 7)).alias("weekly_trend"),
-        advisory(current).alias("advisory"),
-    )
+    ).withColumn("advisory", advisory("current_aqi"))
 
 
 def forecast_summary(records: DataFrame, keep: list[str]) -> DataFrame:

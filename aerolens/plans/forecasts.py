@@ -1 +1,180 @@
+"""Queries: splits, imputation, error metrics, model training and prediction records."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import constants as K
+from ..functions.air import category, forecast_array
+from ..operators import clean, forecast, series
+from ..operators.ordered import latest_by
+from ..session import written
+from . import views as V
+from .features import FILL_CTE, WIN, feature_table, filled, long_series
+from .registry import query
+
+R = V.READINGS_CTE
+r = V.sql_round
+HORIZONS = tuple(range(1, K.N_AHEAD + 1))
+# Readings cover one month: train on its first part, validate and test on the rest.
+TRAIN_END, VAL_END = "2024-01-19", "2024-01-25"
+
+
+@query("split_counts", """
+SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN 'train' WHEN l_shipdate < TIMESTAMP '1999-06-01' THEN 'val' ELSE 'test' END AS split,
+  count(*) AS n FROM lineitem GROUP BY 1""")
+def split_counts(spark, d):
+    t = clean.split_by_time(V.table(spark, d, "lineitem").withColumnRenamed("l_shipdate", "timestamp"),
+                            "1998-01-01", "1999-06-01")
+    return t.groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("hash_sample")
+def hash_sample(spark, d):
+    return clean.hash_sample(V.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"], 0.1)
+
+
+@query("median_impute", V.with_sql(R, f"""t AS (SELECT station_id, timestamp, pm25, no2,
+    CASE WHEN timestamp < TIMESTAMP '{TRAIN_END}' THEN 'train' WHEN timestamp < TIMESTAMP '{VAL_END}' THEN 'val' ELSE 'test' END AS split FROM readings)""",
+  "m AS (SELECT median(pm25) AS a, median(no2) AS b FROM t WHERE split = 'train')", select=f"""
+SELECT station_id, timestamp, split, {r('coalesce(pm25, a, 0)')} AS pm25, {r('coalesce(no2, b, 0)')} AS no2 FROM t, m"""))
+def median_impute(spark, d):
+    t = clean.split_by_time(V.readings(spark, d), TRAIN_END, VAL_END).select("station_id", "timestamp", "pm25", "no2", "split")
+    return V.rounded(forecast.impute_medians(t, ["pm25", "no2"]), ["pm25", "no2"])
+
+
+ERRORS_CTE = ", ".join([R, FILL_CTE, "tt AS (SELECT station_id, timestamp, aqi, " + ", ".join(
+    f"lead(aqi, {h}) {WIN} AS aqi_t{h}" for h in HORIZONS) + " FROM filled)",
+    f"""sp AS (SELECT *, CASE WHEN timestamp < TIMESTAMP '{TRAIN_END}' THEN 'train' WHEN timestamp < TIMESTAMP '{VAL_END}' THEN 'val' ELSE 'test' END AS split
+  FROM tt WHERE aqi_t24 IS NOT NULL)""",
+    "y AS (" + " UNION ALL ".join(f"SELECT split, {h} AS horizon, aqi_t{h} AS y, aqi AS p FROM sp" for h in HORIZONS) + ")",
+    """per AS (SELECT split, CAST(horizon AS INTEGER) AS horizon, count(*) AS n, sum(abs(y - p)) AS abs_sum, sum((y - p) * (y - p)) AS sse, var_pop(y) * count(*) AS sst FROM y GROUP BY 1, 2)""",
+    "met AS (SELECT split, horizon, n, abs_sum / n AS mae, sqrt(sse / n) AS rmse, 1 - sse / sst AS r2 FROM per)"])
+
+
+def sums(spark, d):
+    f = filled(spark, d).select("station_id", "timestamp", "aqi")
+    t = series.add_targets(f, "aqi", HORIZONS, long=long_series(spark, d))
+    return forecast.error_sums(clean.split_by_time(forecast.persistence(t, HORIZONS), TRAIN_END, VAL_END), HORIZONS)
+
+
+METRICS = ["mae", "rmse", "r2"]
+SHOW = ", ".join(f"{r(c, 4)} AS {c}" for c in METRICS)
+
+
+@query("metrics_by_horizon", V.with_sql(ERRORS_CTE, select=f"SELECT split, horizon, n, {SHOW} FROM met"))
+def metrics_by_horizon(spark, d):
+    return V.rounded(forecast.horizon_metrics(sums(spark, d)), METRICS, 4)
+
+
+@query("metrics_pooled", V.with_sql(ERRORS_CTE, select=f"""
+SELECT split, {r('sum(abs_sum) / sum(n)', 4)} AS mae, {r('sqrt(sum(sse) / sum(n))', 4)} AS rmse, {r('1 - sum(sse) / sum(sst)', 4)} AS r2 FROM per GROUP BY split"""))
+def metrics_pooled(spark, d):
+    return V.rounded(forecast.pooled_metrics(sums(spark, d)), METRICS, 4)
+
+
+@query("metrics_average", V.with_sql(ERRORS_CTE, select=f"""
+SELECT split, {r('avg(mae)', 4)} AS mae, {r('sqrt(avg(rmse * rmse))', 4)} AS rmse, {r('avg(r2)', 4)} AS r2 FROM met GROUP BY split"""))
+def metrics_average(spark, d):
+    return V.rounded(forecast.averaged_metrics(sums(spark, d)), METRICS, 4)
+
+
+@query("score_table", V.with_sql(ERRORS_CTE, select=f"""
+SELECT split, 'persistence' AS model, {r('avg(mae)', 4)} AS mae, {r('sqrt(avg(rmse * rmse))', 4)} AS rmse, {r('avg(r2)', 4)} AS r2, """ + ", ".join(
+    f"{r(f'max({m}) FILTER (horizon = {h})', 4)} AS {m}_t{h}" for h in K.REPORTED_HORIZONS for m in METRICS) + " FROM met GROUP BY split"))
+def score_table(spark, d):
+    out = forecast.score_table(sums(spark, d), "persistence")
+    return V.rounded(out, [c for c in out.columns if c not in ("split", "model")], 4)
+
+
+MODEL_FEATURES = ["aqi", "pm25", "no2", "temperature_2m", "hour_sin", "hour_cos", "aqi_lag1", "aqi_lag24", "aqi_roll24_mean", "aqi_roll24_std"]
+MODEL_HORIZONS = (1, 24)
+MODEL_PARAMS = {"maxIter": 4, "maxDepth": 4, "stepSize": 0.3, "minInstancesPerNode": 20}
+
+
+def training_table(spark, d):
+    """The feature table, written once: every model and tree level reads it again."""
+    t = clean.split_by_time(feature_table(spark, d), TRAIN_END, VAL_END)
+    targets = [f"aqi_t{h}" for h in HORIZONS]
+    columns = dict.fromkeys(["station_id", "timestamp", "split", *MODEL_FEATURES, *V.MEASURED, *targets])
+    return written(t.select(*columns), "training")
+
+
+@query("gbt_forecast")
+def gbt_forecast(spark, d):
+    """Boosted trees against persistence on the held-out splits."""
+    t = training_table(spark, d)
+    models = forecast.train_horizons(t.where("split = 'train'"), MODEL_FEATURES, MODEL_HORIZONS, **MODEL_PARAMS)
+    held = t.where("split <> 'train'")
+    trees = forecast.score_table(
+        forecast.error_sums(forecast.score(held, models, MODEL_FEATURES), MODEL_HORIZONS), "gbt", MODEL_HORIZONS)
+    naive = forecast.score_table(
+        forecast.error_sums(forecast.persistence(held, MODEL_HORIZONS), MODEL_HORIZONS), "persistence", MODEL_HORIZONS)
+    return trees.unionByName(naive)
+
+
+@query("best_model")
+def best_model(spark, d):
+    """The better of the candidates by validation error."""
+    return forecast.best_model(written(gbt_forecast(spark, d), "scores"))
+
+
+@query("gbt_search")
+def gbt_search(spark, d):
+    """Trial table of a small parameter grid on the first target."""
+    t = training_table(spark, d).where("split = 'train'")
+    _, trials = forecast.search_parameters(t, MODEL_FEATURES, "aqi_t1", {"maxDepth": [2, 4], "maxIter": [3]})
+    return trials
+
+
+@query("prediction_records", V.with_sql(R, """daily AS (
+  SELECT station_id, CAST(timestamp + INTERVAL 330 MINUTE AS DATE) AS day, CAST(round_even(avg(aqi), 0) AS INTEGER) AS a
+  FROM readings WHERE aqi IS NOT NULL GROUP BY 1, 2)""", """ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY day DESC) AS rn FROM daily)""", """lists AS (
+  SELECT station_id, list(a ORDER BY day) AS l FROM ranked WHERE rn <= 7 GROUP BY 1)""", """newest AS (
+  SELECT * FROM readings QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY timestamp DESC) = 1)""", """n AS (
+  SELECT *, CAST(round_even(coalesce(aqi, 0), 0) AS INTEGER) AS now_aqi, greatest(coalesce(pm25, 0), coalesce(pm10, 0), coalesce(no2, 0), coalesce(so2, 0), coalesce(co, 0)) AS m FROM newest)""", select=f"""
+SELECT station_id, timestamp, now_aqi AS current_aqi,
+  CASE m WHEN coalesce(pm25, 0) THEN 'PM2.5' WHEN coalesce(pm10, 0) THEN 'PM10' WHEN coalesce(no2, 0) THEN 'NO2' WHEN coalesce(so2, 0) THEN 'SO2' ELSE 'CO' END AS primary_pollutant,
+  array_to_string(list_transform(range(24), lambda x: now_aqi), ',') AS forecast, coalesce(pm25, 0) AS pm25,
+  CASE WHEN l IS NULL THEN '0,0,0,0,0,0,0' ELSE array_to_string(list_concat(list_transform(range(7 - len(l)), lambda x: l[1]), l), ',') END AS weekly_trend,
+  CASE WHEN now_aqi <= 50 THEN '{K.ADVISORIES[0][1]}' WHEN now_aqi <= 100 THEN '{K.ADVISORIES[1][1]}' WHEN now_aqi <= 200 THEN '{K.ADVISORIES[2][1]}'
+    WHEN now_aqi <= 300 THEN '{K.ADVISORIES[3][1]}' WHEN now_aqi <= 400 THEN '{K.ADVISORIES[4][1]}' ELSE '{K.ADVISORIES[5][1]}' END AS advisory
+FROM n LEFT JOIN lists USING (station_id)"""))
+def prediction_records(spark, d):
+    """Records of every station's newest row, with the persistence forecast."""
+    table = V.readings(spark, d)
+    newest = latest_by(table, ["station_id"], ["timestamp"])
+    scored = forecast.persistence(newest.withColumn("_now", F.coalesce("aqi", F.lit(0.0))), HORIZONS, "_now")
+    records = forecast.prediction_records(scored, HORIZONS, clean.weekly_trend(table), ["station_id", "timestamp"])
+    return records.selectExpr(
+        "station_id", "timestamp", "current_aqi", "primary_pollutant", "array_join(transform(forecast, x -> string(x)), ',') AS forecast",
+        "pollutants['pm25'] AS pm25", "array_join(transform(weekly_trend, x -> string(x)), ',') AS weekly_trend", "advisory")
+
+
+@query("gbt_predictions")
+def gbt_predictions(spark, d):
+    """The newest row of every station scored by the trained models, as prediction records."""
+    t = training_table(spark, d)
+    models = forecast.train_horizons(t.where("split = 'train'"), MODEL_FEATURES, MODEL_HORIZONS, **MODEL_PARAMS)
+    newest = latest_by(t, ["station_id"], ["timestamp"])
+    scored = forecast.score(newest, models, MODEL_FEATURES)
+    trends = clean.weekly_trend(V.readings(spark, d))
+    return forecast.prediction_records(scored, MODEL_HORIZONS, trends, ["station_id", "timestamp"]).selectExpr(
+        "station_id", "timestamp", "current_aqi", "primary_pollutant", "size(forecast) AS hours", "advisory")
+
+
+@query("forecast_summary", V.with_sql(R, FILL_CTE, "p AS (SELECT station_id, timestamp, " + ", ".join(
+    f"CAST(greatest(0, round_even(lead(aqi, {h}) {WIN}, 0)) AS INTEGER) AS f{h}" for h in HORIZONS)
+    + f", lead(aqi, 24) {WIN} IS NOT NULL AS complete FROM filled)", select=f"""
+SELECT station_id, timestamp, greatest({', '.join(f'f{h}' for h in HORIZONS)}) AS peak,
+  CAST(round_even(({' + '.join(f'f{h}' for h in HORIZONS)}) / 24e0, 0) AS INTEGER) AS mean_aqi,
+  {V.sql_category('greatest(' + ', '.join(f'f{h}' for h in HORIZONS) + ')')} AS peak_category
+FROM p WHERE complete"""))
+def forecast_summary(spark, d):
+
+    f = filled(spark, d).select("station_id", "timestamp", "aqi")
+    t = series.add_targets(f, "aqi", HORIZONS, long=long_series(spark, d))
+    records = t.withColumn("forecast", forecast_array([f"aqi_t{h}" for h in HORIZONS]))
+    out = forecast.forecast_summary(records, ["station_id", "timestamp"])
+    return out.withColumn("peak_category", category("peak"))

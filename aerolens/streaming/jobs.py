@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..operators.incremental import insert_or_replace, upsert_table
+from ..operators.incremental import insert_into_table, insert_or_replace, upsert_table
 from ..operators.monitor import ntz
 from ..session import work_path
 
@@ -72,6 +72,15 @@ def upsert_sink(path: str, keys: list[str], ts: str = "timestamp") -> Callable[[
     return merge
 
 
+def insert_sink(path: str, keys: list[str], order: list[str], ts: str = "measurement_time") -> Callable[[DataFrame, int], None]:
+    """A batch function that appends rows with new keys; replaying a batch adds none."""
+    def insert(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        insert_into_table(path, batch, keys, order, ts)
+        batch.unpersist()
+    return insert
+
+
 def last_seen(stream: DataFrame) -> DataFrame:
     """Newest measurement and row count per sensor: one small state row each."""
     return stream.groupBy("sensor_id").agg(
@@ -87,11 +96,18 @@ def snapshot_sink(path: str, keys: list[str], order: list[str]) -> Callable[[Dat
     def merge(batch: DataFrame, batch_id: int) -> None:
         merged = batch
         if batch_id > 0:
-            stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/v{batch_id - 1}")
+            stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/version={batch_id - 1}")
             merged = insert_or_replace(stored, batch, keys, order)
-        merged.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        merged.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
     return merge
 
 
+def current_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version written by ``snapshot_sink``."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.where(F.col("version") == newest).drop("version")
+
+
 def checkpoint_path(spark: SparkSession, label: str) -> str:
     return work_path(spark, f"stream-{label}")

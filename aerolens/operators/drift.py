@@ -38,40 +38,44 @@ def side_counts(df: DataFrame, features: list[str]) -> DataFrame:
         F.count(F.when(F.col("side") == 0, 1)).alias("n0"), F.count(F.when(F.col("side") == 1, 1)).alias("n1"))
 
 
-def moments(counts: DataFrame) -> DataFrame:
-    """Rows, mean and population deviation of both sides, and the common value range."""
-    v = F.col("value")
-
-    def side(n: str) -> list[Column]:
-        total = F.sum(n)
-        return [total.alias(n), (F.sum(v * F.col(n)) / F.nullif(total, F.lit(0))).alias(f"mean{n[1]}")]
-
-    means = counts.groupBy("feature").agg(*side("n0"), *side("n1"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-    named = means.withColumnsRenamed({"n0": "rows0", "n1": "rows1"})  # one row per feature
-    deviation = counts.join(F.broadcast(named), "feature").groupBy("feature").agg(
-        *[F.sqrt(F.sum(F.col(f"n{s}") * (v - F.col(f"mean{s}")) * (v - F.col(f"mean{s}")))
-                 / F.nullif(F.max(f"rows{s}"), F.lit(0))).alias(f"std{s}") for s in (0, 1)])
-    return named.join(F.broadcast(deviation), "feature")
-
-
-def population_stability(counts: DataFrame, bins: int = 10) -> DataFrame:
-    """Stability index over ``bins`` equal-width bins of the common range; 0 when constant."""
-    totals = counts.groupBy("feature").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
+def moments(sided: DataFrame, features: list[str]) -> DataFrame:
+    """Rows, mean and population deviation per side, and the common value range.
+
+    One wide aggregate over the rows; its single row is turned into one row per feature.
+    """
+    facts = []
+    for s, name in ((0, "0"), (1, "1")):
+        facts += [f"count({{c}}) FILTER (WHERE side = {s}) AS rows{name}",
+                  f"avg({{c}}) FILTER (WHERE side = {s}) AS mean{name}",
+                  f"stddev_pop({{c}}) FILTER (WHERE side = {s}) AS std{name}"]
+    facts += ["double(min({c})) AS lo", "double(max({c})) AS hi"]
+    names = [f.rsplit(" AS ", 1)[1] for f in facts]
+    wide = sided.agg(*[
+        F.expr("named_struct(" + ", ".join(f"'{n}', {f.rsplit(' AS ', 1)[0]}" for n, f in zip(names, facts)).format(c=c) + f") AS {c}")
+        for c in features])
+    rows = ", ".join(f"named_struct('feature', '{c}', 'facts', {c})" for c in features)
+    return wide.selectExpr(f"inline(array({rows}))").select("feature", "facts.*")
+
+
+def population_stability(counts: DataFrame, facts: DataFrame, bins: int = 10) -> DataFrame:
+    """Stability index over ``bins`` equal-width bins of the common range; 0 when constant.
+
+    A bin empty on both sides adds nothing, so only bins with rows are formed.
+    """
     binned = (
-        counts.join(F.broadcast(totals), "feature").where(F.col("lo") < F.col("hi"))
+        counts.join(F.broadcast(facts.select("feature", "lo", "hi", "rows0", "rows1")), "feature")  # a row per feature
+        .where(F.col("lo") < F.col("hi"))
         .groupBy("feature", bin_of("value", "lo", "hi", bins).alias("bin"))
-        .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.first("rows0").alias("t0"), F.first("rows1").alias("t1"))
     )
-    grid = totals.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    filled = grid.join(F.broadcast(binned), ["feature", "bin"], "left")
 
     def share(n: str, total: str) -> Column:
-        return F.greatest(F.coalesce(F.col(n), F.lit(0)) / (F.col(total) + EPS), F.lit(EPS))
+        return F.greatest(F.col(n) / (F.col(total) + EPS), F.lit(EPS))
 
     e, a = share("n0", "t0"), share("n1", "t1")
-    return filled.groupBy("feature").agg(
-        F.sum(F.when(F.col("lo") == F.col("hi"), 0.0).otherwise((a - e) * F.ln(a / e))).alias("psi"))
+    psi = binned.groupBy("feature").agg(F.sum((a - e) * F.ln(a / e)).alias("psi"))
+    named = facts.where(F.col("lo").isNotNull()).select("feature")
+    return named.join(F.broadcast(psi), "feature", "left").na.fill(0.0, ["psi"])
 
 
 def ks_probability(statistic: Column, n: Column, m: Column, terms: int = 100) -> Column:
@@ -112,10 +116,10 @@ def severity(psi: Column, p: Column) -> Column:
 def drift_report(sided: DataFrame, features: list[str], window_days: int = 7, rule=flag) -> DataFrame:
     """One row per feature with at least ten values in each window."""
     counts = side_counts(sided, features)
-    facts = moments(counts).where(
-        (F.col("rows0") >= K.MIN_DRIFT_VALUES) & (F.col("rows1") >= K.MIN_DRIFT_VALUES))
+    facts = moments(sided, features)
+    enough = facts.where((F.col("rows0") >= K.MIN_DRIFT_VALUES) & (F.col("rows1") >= K.MIN_DRIFT_VALUES))
     # All three tables hold one row per feature.
-    joined = facts.join(F.broadcast(population_stability(counts)), "feature").join(
+    joined = enough.join(F.broadcast(population_stability(counts, facts)), "feature").join(
         F.broadcast(kolmogorov_smirnov(counts)), "feature")
     shift = F.col("mean1") - F.col("mean0")
     z = F.abs(shift) / (F.col("std0") + EPS)

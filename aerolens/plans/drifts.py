@@ -56,7 +56,8 @@ def drift_windows(spark, d):
 
 @query("drift_psi", V.with_sql(SIDED_CTE, select=f"SELECT feature, {r('psi')} AS psi FROM psi"))
 def drift_psi(spark, d):
-    return V.rounded(drift.population_stability(drift.side_counts(sided(spark, d), FEATURES)), ["psi"])
+    rows = sided(spark, d)
+    return V.rounded(drift.population_stability(drift.side_counts(rows, FEATURES), drift.moments(rows, FEATURES)), ["psi"])
 
 
 @query("drift_ks", V.with_sql(SIDED_CTE, select=f"SELECT feature, {r('ks_stat')} AS ks_stat, {r('p')} AS ks_p_value FROM ksp"))

@@ -75,12 +75,12 @@ def roll_sql(c, w, fn):
 
 
 @query("rolling_features", V.with_sql(R, FILL_CTE, select="SELECT station_id, timestamp, " + ", ".join(
-    f"{V.sql_steady(roll_sql('aqi', w, 'avg'))} AS aqi_roll{w}_mean, {V.sql_steady(roll_sql('aqi', w, 'stddev_samp'))} AS aqi_roll{w}_std" for w in (6, 24, 48, 168))
+    f"{r(roll_sql('aqi', w, 'avg'), 4)} AS aqi_roll{w}_mean, {r(roll_sql('aqi', w, 'stddev_samp'), 4)} AS aqi_roll{w}_std" for w in (6, 24, 48, 168))
     + ", " + ", ".join(f"{roll_sql('aqi', w, fn)} AS aqi_roll{w}_{fn}" for w in (24, 168) for fn in ("max", "min")) + " FROM filled"))
 def rolling_features(spark, d):
     f = filled(spark, d).select("station_id", "timestamp", "aqi")
     out = series.add_rolling(f, ["aqi"], (6, 24, 48, 168), extremes=(24, 168), long=long_series(spark, d)).drop("aqi")
-    return V.steady(out, [c for c in out.columns if c.endswith(("_mean", "_std"))])
+    return V.rounded(out, [c for c in out.columns if c.endswith(("_mean", "_std"))], 4)
 
 
 @query("diff_features", V.with_sql(R, FILL_CTE, select="SELECT station_id, timestamp, " + ", ".join(
@@ -144,11 +144,11 @@ SHOWN = {
 
 
 @query("feature_table_offline", V.with_sql(R, S, W, JOINED_CTE, READY_CTE, "t AS (SELECT station_id, timestamp, aqi, " + ", ".join(
-    f"{V.sql_steady(f'coalesce({e}, 0)')} AS {n}" for n, e in SHOWN.items()) + ", " + ", ".join(
+    f"{r(f'coalesce({e}, 0)', 4)} AS {n}" for n, e in SHOWN.items()) + ", " + ", ".join(
     f"lead(aqi, {h}) {WIN} AS aqi_t{h}" for h in (1, 24)) + " FROM ready)", select="SELECT * FROM t WHERE aqi_t24 IS NOT NULL"))
 def feature_table_offline(spark, d):
     out = feature_table(spark, d).select("station_id", "timestamp", "aqi", *SHOWN, "aqi_t1", "aqi_t24")
-    return V.steady(out, list(SHOWN))
+    return V.rounded(out, list(SHOWN), 4)
 
 
 LIVE_SHOWN = {
@@ -178,13 +178,13 @@ LIVE_CTE = ("h AS (SELECT station_id, timestamp, " + ", ".join(LIVE_ALL) + """ F
 
 
 @query("feature_table_live", V.with_sql(R, S, W, LIVE_CTE, "t AS (SELECT station_id, timestamp, " + ", ".join(
-    f"{V.sql_steady(f'coalesce({e}, 0)')} AS {n}" for n, e in LIVE_SHOWN.items()) + " FROM live)", select="""
+    f"{r(f'coalesce({e}, 0)', 4)} AS {n}" for n, e in LIVE_SHOWN.items()) + " FROM live)", select="""
 SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY timestamp DESC) = 1"""))
 def feature_table_live(spark, d):
     newest = live_features(spark, d)
     full = newest.withColumns({c: F.lit(0.0) for c in LIVE_SHOWN if c not in newest.columns})
     out = full.select("station_id", "timestamp", *LIVE_SHOWN).withColumn("season", F.col("season").cast("double"))
-    return V.steady(out, list(LIVE_SHOWN))
+    return V.rounded(out, list(LIVE_SHOWN), 4)
 
 
 @query("densified_lags", V.with_sql(R, """grid AS (
@@ -211,7 +211,7 @@ def sequence_windows(spark, d):
 WITH t AS (SELECT 'l_linestatus' AS feature, CAST(l_linestatus AS VARCHAR) AS v FROM lineitem UNION ALL SELECT 'l_tax', CAST(l_tax AS VARCHAR) FROM lineitem
   UNION ALL SELECT 'l_linenumber', CAST(l_linenumber AS VARCHAR) FROM lineitem),
 c AS (SELECT feature, v, count(*) AS n FROM t GROUP BY 1, 2)
-SELECT feature, count(*) AS n_values, (round(max(n) * 1e0 / sum(n), 6) + 0e0) AS modal_share FROM c GROUP BY 1""")
+SELECT feature, count(*) AS n_values, (round(max(n) * 1e0 / sum(n) + 1e-9, 6) + 0e0) AS modal_share FROM c GROUP BY 1""")
 def near_constant(spark, d):
     shares = selection.modal_share(V.table(spark, d, "lineitem"), ["l_linestatus", "l_tax", "l_linenumber"])
     return V.rounded(shares, ["modal_share"])

@@ -18,7 +18,7 @@ from ..operators import clean
 STATIONS = 20
 PARAMETER_OF = {"click": "pm25", "error": "pm10", "purchase": "no2", "signup": "so2", "view": "co"}
 UNITS = ("ug/m3", "ppb", "ppm", "mg/m3")
-NUDGE = "1e-9D"
+NUDGE = 1e-9
 MEASURED = ("pm25", "pm10", "no2", "so2", "co")
 
 
@@ -27,17 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r6(c: str | Column, digits: int = 6) -> Column:
-    return F.round(c, digits)
+    """Rounded for comparison. The nudge decides exact ties, which the order of a floating
+    sum would otherwise flip."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(NUDGE), digits)
 
 
 def rounded(df: DataFrame, columns, digits: int = 6) -> DataFrame:
-    return df.selectExpr(*[f"round({c}, {digits}) AS {c}" if c in columns else c for c in df.columns])
-
-
-def steady(df: DataFrame, columns, digits: int = 4) -> DataFrame:
-    """Rounded means. The nudge decides exact ties, which the order of a floating sum would
-    otherwise flip."""
-    return df.selectExpr(*[f"round({c} + {NUDGE}, {digits}) AS {c}" if c in columns else c for c in df.columns])
+    return df.selectExpr(*[f"round({c} + {NUDGE!r}D, {digits}) AS {c}" if c in columns else c for c in df.columns])
 
 
 def scalar(df: DataFrame, expr: Column):
@@ -88,7 +84,7 @@ def city_weather(spark, sf_dir) -> DataFrame:
              "pressure_msl": "1000.0D + k", "cloud_cover": "double(k)", "wind_speed_10m": "k / 4.0D",
              "wind_direction_10m": "k * 3.6D"}
     return m.groupBy("city", floor_hour("measurement_time").alias("timestamp")).agg(
-        *[F.expr(f"round(avg({e}), 6) AS {c}") for c, e in shown.items()])
+        *[F.expr(f"round(avg({e}) + {NUDGE!r}D, 6) AS {c}") for c, e in shown.items()])
 
 
 def requests(spark, sf_dir) -> DataFrame:
@@ -109,12 +105,8 @@ def sql_case(column: str, mapping: dict[str, str]) -> str:
 
 
 def sql_round(expr: str, digits: int = 6) -> str:
-    """Rounded double; adding zero turns a negative zero positive."""
-    return f"(round({expr}, {digits}) + 0e0)"
-
-
-def sql_steady(expr: str, digits: int = 4) -> str:
-    return sql_round(f"{expr} + 1e-9", digits)
+    """Rounded double with the same nudge; adding zero turns a negative zero positive."""
+    return f"(round({expr} + {NUDGE!r}, {digits}) + 0e0)"
 
 
 def sql_sub_index(pollutant: str, v: str) -> str:

@@ -37,14 +37,19 @@ def flatten_measurements(df: DataFrame, payload: str = "payload") -> DataFrame:
     Expects ``parameter`` and ``raw_unit`` next to the payload; adds ``measurement_time``,
     ``local_time``, ``raw_value``, ``value`` and canonical ``units``.
     """
-    parsed = df.withColumn("_json", F.try_parse_json(payload))
-    flat = parsed.select(
-        *[c for c in df.columns if c != payload],
-        safe_timestamp(_period(F.col("_json"), "utc")).alias("measurement_time"),
-        _period(F.col("_json"), "local").alias("local_time"),
-        safe_double(F.try_variant_get("_json", "$.value", "string")).alias("raw_value"),
+    kept = [c for c in df.columns if c != payload]
+    parsed = df.select(*kept, F.try_parse_json(payload).alias("_json"))
+    json = F.col("_json")
+    # Produced by a generator, the fields are parsed once: filters on them stay above it
+    # instead of being pushed below with a copy of the parsing.
+    fields = F.struct(
+        _period(json, "utc").alias("_utc"), _period(json, "local").alias("local_time"),
+        F.try_variant_get(json, "$.value", "string").alias("_value"),
     )
-    return flat.withColumn("value", normalize_value("parameter", "raw_value", "raw_unit")).withColumn(
+    flat = parsed.select(*kept, F.inline(F.array(fields)))
+    typed = flat.select(
+        *kept, safe_timestamp("_utc").alias("measurement_time"), "local_time", safe_double("_value").alias("raw_value"))
+    return typed.withColumn("value", normalize_value("parameter", "raw_value", "raw_unit")).withColumn(
         "units", canonical_unit("parameter", "raw_unit"))
 
 

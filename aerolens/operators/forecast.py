@@ -97,7 +97,7 @@ def prediction_records(scored: DataFrame, horizons, trends: DataFrame, keep: lis
 
 def forecast_summary(records: DataFrame, keep: list[str]) -> DataFrame:
     """Peak and half-even mean of each forecast."""
-    total = F.aggregate("forecast", F.lit(0), lambda a, x: a + x)
+    total = F.aggregate("forecast", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return records.select(
         *keep, F.array_max("forecast").alias("peak"), half_even_int(total / F.size("forecast")).alias("mean_aqi"))
 

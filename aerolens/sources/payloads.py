@@ -63,8 +63,10 @@ def target_measurements(df: DataFrame) -> DataFrame:
 def flatten_weather(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Struct-of-arrays hourly weather to one row per hour, tagged with the other columns."""
     hourly = df.withColumn("_h", F.from_json(payload, WEATHER_SCHEMA)["hourly"])
-    zipped = F.arrays_zip(*[F.col(f"_h.{c}").alias(c) for c in ("time", *K.WEATHER)])
-    rows = hourly.select(*[c for c in df.columns if c != payload], F.inline(zipped))
+    # A variable that was not requested is an empty array, and null in every row.
+    arrays = ", ".join(f"coalesce(_h.{c}, array()) AS {c}" for c in ("time", *K.WEATHER))
+    rows = hourly.selectExpr(*[c for c in df.columns if c != payload], f"struct({arrays}) AS _a").selectExpr(
+        *[c for c in df.columns if c != payload], "inline(arrays_zip(" + ", ".join(f"_a.{c}" for c in ("time", *K.WEATHER)) + "))")
     return (
         rows.withColumn("timestamp", safe_timestamp("time")).drop("time").where(F.col("timestamp").isNotNull())
     )

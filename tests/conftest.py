@@ -1,8 +1,10 @@
+import logging
 import os
 import sys
 
 import pytest
 
+logging.getLogger("DataFrameQueryContextLogger").disabled = True
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from aerolens.session import build_session  # noqa: E402

@@ -57,27 +57,6 @@ def moments(sided: DataFrame, features: list[str]) -> DataFrame:
     return wide.selectExpr(f"inline(array({rows}))").select("feature", "facts.*")
 
 
-def population_stability(counts: DataFrame, facts: DataFrame, bins: int = 10) -> DataFrame:
-    """Stability index over ``bins`` equal-width bins of the common range; 0 when constant.
-
-    A bin empty on both sides adds nothing, so only bins with rows are formed.
-    """
-    binned = (
-        counts.join(F.broadcast(facts.select("feature", "lo", "hi", "rows0", "rows1")), "feature")  # a row per feature
-        .where(F.col("lo") < F.col("hi"))
-        .groupBy("feature", bin_of("value", "lo", "hi", bins).alias("bin"))
-        .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.first("rows0").alias("t0"), F.first("rows1").alias("t1"))
-    )
-
-    def share(n: str, total: str) -> Column:
-        return F.greatest(F.col(n) / (F.col(total) + EPS), F.lit(EPS))
-
-    e, a = share("n0", "t0"), share("n1", "t1")
-    psi = binned.groupBy("feature").agg(F.sum((a - e) * F.ln(a / e)).alias("psi"))
-    named = facts.where(F.col("lo").isNotNull()).select("feature")
-    return named.join(F.broadcast(psi), "feature", "left").na.fill(0.0, ["psi"])
-
-
 def ks_probability(statistic: Column, n: Column, m: Column, terms: int = 100) -> Column:
     """Two-sided p-value of the two-sample statistic from the limiting distribution."""
     scaled = statistic * F.sqrt(n * m / (n + m))
@@ -89,14 +68,31 @@ def ks_probability(statistic: Column, n: Column, m: Column, terms: int = 100) ->
     return F.when(scaled < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * series)))
 
 
-def kolmogorov_smirnov(counts: DataFrame) -> DataFrame:
-    """Largest distance of the two cumulative distributions, and its p-value."""
+def distances(counts: DataFrame, facts: DataFrame, bins: int = 10) -> DataFrame:
+    """Stability index, Kolmogorov-Smirnov statistic and p-value per feature.
+
+    Both come from one ordered pass over the distinct values. The index uses ``bins``
+    equal-width bins of the common range; a bin empty on both sides adds nothing, so only
+    bins with rows are formed, and a constant feature scores 0. The statistic is the
+    largest distance of the two cumulative distributions.
+    """
     running = cumulative_counts(counts, ["feature"], "value", ["n0", "n1"], few_keys=True)
-    gap = F.abs(F.col("n0_cum") / F.col("n0_total") - F.col("n1_cum") / F.col("n1_total"))
-    stats = running.where("n0_total > 0 and n1_total > 0").groupBy("feature").agg(
-        F.max(gap).alias("ks_stat"), F.max("n0_total").alias("_n0"), F.max("n1_total").alias("_n1"))
-    p = ks_probability(F.col("ks_stat"), F.col("_n0").cast("double"), F.col("_n1").cast("double"))
-    return stats.select("feature", "ks_stat", p.alias("ks_p_value"))
+    ranged = running.join(F.broadcast(facts.select("feature", "lo", "hi")), "feature")  # a row per feature
+    bin_number = F.when(F.col("lo") < F.col("hi"), bin_of("value", "lo", "hi", bins)).otherwise(0)
+    gap = F.abs(F.expr("n0_cum / nullif(n0_total, 0) - n1_cum / nullif(n1_total, 0)"))
+    binned = ranged.groupBy("feature", bin_number.alias("bin")).agg(
+        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.max(gap).alias("gap"),
+        F.first("n0_total").alias("t0"), F.first("n1_total").alias("t1"), F.first(F.col("lo") < F.col("hi")).alias("spread"))
+
+    def share(n: str, total: str) -> Column:
+        return F.greatest(F.col(n) / (F.col(total) + EPS), F.lit(EPS))
+
+    e, a = share("n0", "t0"), share("n1", "t1")
+    merged = binned.groupBy("feature").agg(
+        F.sum(F.when(F.col("spread"), (a - e) * F.ln(a / e)).otherwise(0.0)).alias("psi"), F.max("gap").alias("ks_stat"),
+        F.max("t0").cast("double").alias("_n0"), F.max("t1").cast("double").alias("_n1"))
+    p = F.when(F.col("ks_stat").isNotNull(), ks_probability(F.col("ks_stat"), F.col("_n0"), F.col("_n1")))
+    return merged.select("feature", "psi", "ks_stat", p.alias("ks_p_value"))
 
 
 def flag(psi: Column, p: Column, z: Column) -> Column:
@@ -115,12 +111,10 @@ def severity(psi: Column, p: Column) -> Column:
 
 def drift_report(sided: DataFrame, features: list[str], window_days: int = 7, rule=flag) -> DataFrame:
     """One row per feature with at least ten values in each window."""
-    counts = side_counts(sided, features)
     facts = moments(sided, features)
     enough = facts.where((F.col("rows0") >= K.MIN_DRIFT_VALUES) & (F.col("rows1") >= K.MIN_DRIFT_VALUES))
-    # All three tables hold one row per feature.
-    joined = enough.join(F.broadcast(population_stability(counts, facts)), "feature").join(
-        F.broadcast(kolmogorov_smirnov(counts)), "feature")
+    # Both tables hold one row per feature.
+    joined = enough.join(F.broadcast(distances(side_counts(sided, features), facts)), "feature")
     shift = F.col("mean1") - F.col("mean0")
     z = F.abs(shift) / (F.col("std0") + EPS)
     psi, p = F.col("psi"), F.col("ks_p_value")

@@ -103,7 +103,7 @@ def choose_location(
 
 
 def latest_run(df: DataFrame, run: str = "computed_at") -> DataFrame:
-    """Rows of the most recent run: one maximum, then a pushed-down equality."""
+    """Rows of the most recent run: the maximum, a single row, joined back."""
     newest = df.agg(F.max(run).alias("_newest"))  # one row
     return df.join(F.broadcast(newest), F.col(run) == F.col("_newest")).drop("_newest")
 

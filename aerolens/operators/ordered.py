@@ -34,6 +34,16 @@ def value_counts(df: DataFrame, keys: list[str], value: str, side: str | None =
     )
 
 
+def _bin_sql(value: str, cuts: str, low: int = 0, high: int = CUTS) -> str:
+    """How many of the sorted cut points lie below a value: a binary search that stays in
+    generated code, unlike a filter over the array."""
+    if low == high:
+        return str(low)
+    middle = (low + high) // 2
+    return (f"CASE WHEN {cuts}[{middle}] < {value} THEN {_bin_sql(value, cuts, middle + 1, high)} "
+            f"ELSE {_bin_sql(value, cuts, low, middle)} END")
+
+
 def cumulative_counts(
     counts: DataFrame, keys: list[str], value: str, weights: list[str], few_keys: bool = False,
     spots: list[float] | None = None,
@@ -54,7 +64,7 @@ def cumulative_counts(
         counts.alias("l")
         .join(F.broadcast(cuts).alias("r") if few_keys else cuts.alias("r"), null_safe("l", "r", keys))
         .selectExpr("l.*", *[f"r.{w}_total" for w in weights],
-                    f"size(filter(r._cuts, cut -> cut < l.{value})) AS _bin")
+                    f"{_bin_sql(f'l.{value}', 'r._cuts')} AS _bin")
     )
     before = "OVER (PARTITION BY " + ", ".join(keys) + " ORDER BY _bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     offsets = (

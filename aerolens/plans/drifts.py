@@ -41,8 +41,10 @@ report AS (SELECT feature, """ + ", ".join(f"round_even({e}, {n}) + 0e0 AS {c}"
   psi > 0.12 AND (p < 0.05 OR z > 1.5) AS drift, CAST(7 AS INTEGER) AS window_days, feature AS baseline_col FROM rep)"""
 
 
-def sided(spark, d):
-    return drift.windows(V.readings(spark, d), V.now_of(V.table(spark, d, "events")))
+def sided(spark, d, now=None):
+    """Readings of both windows; only the events of that range are read."""
+    now = now or V.now_of(V.table(spark, d, "events"))
+    return drift.windows(V.readings(spark, d, since=V.back(now, days=30)), now)
 
 
 def report(spark, d):
@@ -54,15 +56,20 @@ def drift_windows(spark, d):
     return sided(spark, d).select("station_id", "timestamp", "side")
 
 
+def distances(spark, d):
+    rows = sided(spark, d)
+    return drift.distances(drift.side_counts(rows, FEATURES), drift.moments(rows, FEATURES))
+
+
 @query("drift_psi", V.with_sql(SIDED_CTE, select=f"SELECT feature, {r('psi')} AS psi FROM psi"))
 def drift_psi(spark, d):
-    rows = sided(spark, d)
-    return V.rounded(drift.population_stability(drift.side_counts(rows, FEATURES), drift.moments(rows, FEATURES)), ["psi"])
+    return V.rounded(distances(spark, d).select("feature", "psi"), ["psi"])
 
 
 @query("drift_ks", V.with_sql(SIDED_CTE, select=f"SELECT feature, {r('ks_stat')} AS ks_stat, {r('p')} AS ks_p_value FROM ksp"))
 def drift_ks(spark, d):
-    return V.rounded(drift.kolmogorov_smirnov(drift.side_counts(sided(spark, d), FEATURES)), ["ks_stat", "ks_p_value"])
+    out = distances(spark, d).where("ks_stat IS NOT NULL").select("feature", "ks_stat", "ks_p_value")
+    return V.rounded(out, ["ks_stat", "ks_p_value"])
 
 
 @query("drift_report", V.with_sql(SIDED_CTE, select="SELECT * FROM report"))
@@ -86,9 +93,8 @@ def history(spark, d):
     now = V.now_of(events)
     day_before = str(V.scalar(events, F.max("ts") - F.expr("interval 1 day")))
     path = work_path(spark, "drift-history")
-    r = V.readings(spark, d)
     for at in (day_before, now):
-        drift.append_history(drift.drift_report(drift.windows(r, at), FEATURES), path, at)
+        drift.append_history(drift.drift_report(sided(spark, d, at), FEATURES), path, at)
     return spark.read.parquet(path)
 
 

@@ -57,7 +57,7 @@ def fill_offline(spark, d):
   "SELECT station_id, timestamp, " + ", ".join(f"coalesce({ffill_sql(c)}, {bfill_sql(c)}, 0) AS {c}" for c in COLUMNS) + " FROM recent"))
 def fill_live(spark, d):
     now = V.now_of(V.table(spark, d, "events"))
-    return series.fill_live(recent(V.readings(spark, d), now, 220), COLUMNS)
+    return series.fill_live(recent(V.readings(spark, d, since=V.back(now, hours=220)), now, 220), COLUMNS)
 
 
 LAGS = (1, 2, 3, 6, 12, 24, 48, 72, 168)
@@ -165,7 +165,7 @@ def live_features(spark, d):
     """The newest feature row of every station with enough recent history."""
     now = V.now_of(V.table(spark, d, "events"))
     s = V.stations(spark, d).select("station_id", "city")
-    history = recent(V.readings(spark, d), now, 720)
+    history = recent(V.readings(spark, d, since=V.back(now, hours=720)), now, 720)
     joined = joins.with_station(history, s).join(V.city_weather(spark, d), ["city", "timestamp"], "left")
     kept = series.enough_history(joined).select("station_id", "timestamp", *LIVE_ALL, "wind_direction_10m")
     return series.engineer(series.fill_live(kept, LIVE_ALL), series.LIVE, last_only=True)

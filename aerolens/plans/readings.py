@@ -94,7 +94,7 @@ def pivot_parameters(spark, d):
 SELECT timestamp, station_id, pm25, aqi, station_name, city, state FROM readings LEFT JOIN stations USING (station_id)
 WHERE lower(city) = 'asia' AND timestamp BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20'"""))
 def readings_enriched(spark, d):
-    r = V.readings(spark, d).transform(clean.between_dates, "2024-01-03", "2024-01-20")
+    r = V.readings(spark, d, "2024-01-03", "2024-01-20").transform(clean.between_dates, "2024-01-03", "2024-01-20")
     joined = joins.with_station(r, V.stations(spark, d)).transform(clean.only_city, "ASIA")
     return joined.select("timestamp", "station_id", "pm25", "aqi", "station_name", "city", "state")
 
@@ -395,6 +395,21 @@ def parquet_roundtrip(spark, d):
     return files.read_readings(spark, path, ["station_id", "timestamp", "aqi"], ["S1", "S7"])
 
 
+@query("json_report", V.with_sql(R, select=f"SELECT station_id, count(*) AS n, {V.sql_round('avg(aqi)')} AS mean FROM readings GROUP BY 1"))
+def json_report(spark, d):
+    path = work_path(spark, "report")
+    r = V.readings(spark, d).groupBy("station_id").agg(F.count("*").alias("n"), V.r6(F.avg("aqi")).alias("mean"))
+    files.write_report(r, path)
+    return spark.read.schema(r.schema).json(path)
+
+
+@query("float32_table", V.with_sql(R, select="SELECT station_id, timestamp, CAST(CAST(pm25 AS FLOAT) AS DOUBLE) AS pm25, CAST(CAST(aqi AS FLOAT) AS DOUBLE) AS aqi FROM readings"))
+def float32_table(spark, d):
+    path = work_path(spark, "float32")
+    files.to_float32(V.readings(spark, d).select("station_id", "timestamp", "pm25", "aqi")).write.parquet(path)
+    return spark.read.parquet(path).selectExpr("station_id", "timestamp", "double(pm25) AS pm25", "double(aqi) AS aqi")
+
+
 @query("latest_row", V.with_sql(R, select="""
 SELECT station_id, timestamp, pm25, aqi FROM readings QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY timestamp DESC) = 1"""))
 def latest_row(spark, d):

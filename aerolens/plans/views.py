@@ -6,6 +6,8 @@ measured parameter. ``nation`` and ``region`` are stations and cities.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,9 +63,22 @@ def measurements(spark, sf_dir) -> DataFrame:
         "units", canonical_unit("parameter", "raw_unit"))
 
 
-def readings(spark, sf_dir) -> DataFrame:
-    """One row per station and hour: five pollutant means and the composite index."""
-    wide = clean.pivot_parameters(measurements(spark, sf_dir), ["station_id"], MEASURED)
+def back(now: str, **span: int) -> dt.datetime:
+    return dt.datetime.fromisoformat(now) - dt.timedelta(**span)
+
+
+def readings(spark, sf_dir, since=None, until=None) -> DataFrame:
+    """One row per station and hour: five pollutant means and the composite index.
+
+    ``since`` and ``until`` skip events that cannot belong to an hour of that range (the
+    predicate reaches the scan); hours cut by a bound still need the exact filter.
+    """
+    m = measurements(spark, sf_dir)
+    if since is not None:
+        m = m.where(F.col("measurement_time") >= F.lit(str(since)).cast("timestamp_ntz"))
+    if until is not None:
+        m = m.where(F.col("measurement_time") < F.lit(str(until)).cast("timestamp_ntz") + F.expr("interval 1 hour"))
+    wide = clean.pivot_parameters(m, ["station_id"], MEASURED)
     return rounded(clean.with_index(rounded(wide, MEASURED)), ["aqi"])
 
 

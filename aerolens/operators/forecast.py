@@ -16,19 +16,17 @@ from .profile import long_form
 from .ordered import quantiles
 
 
-def training_medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exact median of each column over the training split, as one row."""
+def training_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Exact median of each column over the training split (0 without any value): the
+    fitted state of the imputation, one number per column."""
     long = long_form(df.where("split = 'train'"), columns)
-    medians = quantiles(long, ["feature"], "value", {"median": 0.5}, few_keys=True)
-    return medians.agg(*[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(f"_{c}_median") for c in columns])
+    found = quantiles(long, ["feature"], "value", {"median": 0.5}, few_keys=True).collect()
+    return {**dict.fromkeys(columns, 0.0), **{r["feature"]: r["median"] for r in found}}
 
 
-def impute_medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Fill nulls of every split with the training medians (a one-row broadcast)."""
-    filled = df.withColumn("_one", F.lit(1)).join(
-        F.broadcast(training_medians(df, columns).withColumn("_one", F.lit(1))), "_one")
-    return filled.select(*[
-        F.coalesce(F.col(c), F.col(f"_{c}_median"), F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns])
+def impute_medians(df: DataFrame, columns: list[str], medians: dict[str, float] | None = None) -> DataFrame:
+    """Fill nulls of every split with the training medians."""
+    return df.na.fill(training_medians(df, columns) if medians is None else medians)
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
@@ -135,18 +133,18 @@ def pooled_metrics(sums: DataFrame) -> DataFrame:
         F.when(sst > 0, 1 - sse / sst).alias("r2"))
 
 
+_AVERAGED = ("avg(mae) AS mae", "sqrt(avg(rmse * rmse)) AS rmse", "avg(r2) AS r2")
+
+
 def averaged_metrics(sums: DataFrame) -> DataFrame:
     """Uniform average over horizons; the error root is taken of the mean square."""
-    per = horizon_metrics(sums)
-    return per.groupBy("split").agg(
-        F.avg("mae").alias("mae"), F.sqrt(F.avg(F.col("rmse") * F.col("rmse"))).alias("rmse"), F.avg("r2").alias("r2"))
+    return horizon_metrics(sums).groupBy("split").agg(*[F.expr(e) for e in _AVERAGED])
 
 
 def score_table(sums: DataFrame, model: str, reported=K.REPORTED_HORIZONS) -> DataFrame:
     """Averaged metrics and the reported horizons of one model, one row per split."""
-    per = horizon_metrics(sums).where(F.col("horizon").isin(*reported)).groupBy("split").agg(*[
-        F.max(F.when(F.col("horizon") == h, F.col(m))).alias(f"{m}_t{h}") for h in reported for m in ("mae", "rmse", "r2")])
-    return averaged_metrics(sums).join(per, "split", "left").withColumn("model", F.lit(model))
+    at = [F.expr(f"max({m}) FILTER (WHERE horizon = {h}) AS {m}_t{h}") for h in reported for m in ("mae", "rmse", "r2")]
+    return horizon_metrics(sums).groupBy("split").agg(*[F.expr(e) for e in _AVERAGED], *at).withColumn("model", F.lit(model))
 
 
 def best_model(scores: DataFrame, metric: str = "mae", split: str = "val", smaller: bool = True) -> DataFrame:

@@ -164,9 +164,10 @@ LIVE_ALL = [*COLUMNS, "temperature_2m", "wind_speed_10m", "relative_humidity_2m"
 def live_features(spark, d):
     """The newest feature row of every station with enough recent history."""
     now = V.now_of(V.table(spark, d, "events"))
+    since = V.back(now, hours=720)
     s = V.stations(spark, d).select("station_id", "city")
-    history = recent(V.readings(spark, d, since=V.back(now, hours=720)), now, 720)
-    joined = joins.with_station(history, s).join(V.city_weather(spark, d), ["city", "timestamp"], "left")
+    history = recent(V.readings(spark, d, since=since), now, 720)
+    joined = joins.with_station(history, s).join(V.city_weather(spark, d, since), ["city", "timestamp"], "left")
     kept = series.enough_history(joined).select("station_id", "timestamp", *LIVE_ALL, "wind_direction_10m")
     return series.engineer(series.fill_live(kept, LIVE_ALL), series.LIVE, last_only=True)
 

@@ -92,9 +92,12 @@ def stations(spark, sf_dir) -> DataFrame:
     )
 
 
-def city_weather(spark, sf_dir) -> DataFrame:
+def city_weather(spark, sf_dir, since=None) -> DataFrame:
     """Hourly weather per city from the numeric event property."""
-    m = raw_measurements(spark, sf_dir).join(stations(spark, sf_dir).select("station_id", "city"), "station_id")
+    raw = raw_measurements(spark, sf_dir)
+    if since is not None:  # whole hours, so that no mean is cut
+        raw = raw.where(F.col("measurement_time") >= F.lit(str(since.replace(minute=0, second=0, microsecond=0))).cast("timestamp_ntz"))
+    m = raw.join(stations(spark, sf_dir).select("station_id", "city"), "station_id")
     shown = {"temperature_2m": "double(k)", "relative_humidity_2m": "100.0D - k", "precipitation": "k / 10.0D",
              "pressure_msl": "1000.0D + k", "cloud_cover": "double(k)", "wind_speed_10m": "k / 4.0D",
              "wind_direction_10m": "k * 3.6D"}

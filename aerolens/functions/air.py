@@ -36,18 +36,26 @@ def by_molar_mass(value: str, parameter: str) -> Column:
 
 
 def normalize_value(parameter: str, value: str, unit: str) -> Column:
-    """A raw numeric sensor value in the canonical unit of its pollutant."""
-    v = f"nullif(CAST({value} AS DOUBLE), double('NaN'))"
-    # Blanks drop; the superscript three and the micro sign become plain letters.
-    u = f"translate(lower(coalesce({unit}, '')), '³µ ', '3u')"
+    """A raw numeric sensor value in the canonical unit of its pollutant.
+
+    Null exactly where the raw value is null or NaN. Unit texts match by what they contain,
+    whatever their case and blanks.
+    """
+    name, v = f"lower({parameter})", f"nullif(CAST({value} AS DOUBLE), double('NaN'))"
+    u = f"replace(lower(coalesce({unit}, '')), ' ', '')"
     converted = f"{v} * {molar_mass_sql(parameter)} / {_number(K.MOLAR_VOLUME)}"
+
+    def per_volume(*units: str) -> str:
+        return "(" + " OR ".join(f"contains({u}, '{x}/m{three}')" for x in units for three in ("3", "³")) + ")"
+
+    # Only gases look at the unit at all, and most of them only for ppb.
     return F.expr(f"""CASE
-        WHEN lower({parameter}) IN ({_names(K.PPB_GASES)}) AND contains({u}, 'ppb') THEN {converted}
-        WHEN lower({parameter}) IS DISTINCT FROM 'co' THEN {v}
+        WHEN {name} IN ({_names(K.PPB_GASES)}) THEN CASE WHEN contains({u}, 'ppb') THEN {converted} ELSE {v} END
+        WHEN {name} IS DISTINCT FROM 'co' THEN {v}
         WHEN contains({u}, 'ppb') THEN {converted} / 1000.0D
         WHEN contains({u}, 'ppm') THEN {converted}
-        WHEN contains({u}, 'mg/m3') THEN {v}
-        WHEN contains({u}, 'ug/m3') THEN {v} / 1000.0D
+        WHEN {per_volume('mg')} THEN {v}
+        WHEN {per_volume('ug', 'µg')} THEN {v} / 1000.0D
         ELSE {v} END""")
 
 

@@ -48,10 +48,14 @@ def pivot_parameters(
     One conditional mean per pollutant of a fixed list: a single aggregation, without the
     extra pass a data-driven pivot needs.
     """
-    kept = measurements.where(F.col(time).isNotNull() & F.col("value").isNotNull() & F.col("parameter").isNotNull())
-    return kept.groupBy(*keys, floor_hour(time).alias("timestamp")).agg(
-        *[F.expr(f"avg(value) FILTER (WHERE parameter = '{p}') AS {p}") for p in parameters]
+    dated = measurements.where(F.col(time).isNotNull())
+    wide = dated.groupBy(*keys, floor_hour(time).alias("timestamp")).agg(
+        *[F.expr(f"avg(value) FILTER (WHERE parameter = '{p}') AS {p}") for p in parameters],
+        # Hours without any value drop afterwards: a filter on the (computed) value before
+        # the aggregation would be pushed to the scan and compute it twice.
+        F.expr("count(CASE WHEN parameter IS NOT NULL THEN value END) AS _values"),
     )
+    return wide.where("_values > 0").drop("_values")
 
 
 def with_index(readings: DataFrame, strict: bool = True) -> DataFrame:

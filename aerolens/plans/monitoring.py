@@ -93,7 +93,8 @@ def request_counts(spark, d):
 
 def event_stream(spark, d):
     schema = V.table(spark, d, "events").schema
-    return jobs.file_stream(spark, d, schema, "events.parquet")
+    # The pattern matches a single file as well as a folder of files.
+    return jobs.file_stream(spark, f"{d}/events.parquet*", schema)
 
 
 def measurement_stream(spark, d):

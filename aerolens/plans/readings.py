@@ -66,7 +66,7 @@ def weekly_trend(spark, d):
 SELECT event_id, parameter, raw_unit, units, {V.sql_round('value')} AS value FROM measurements
 WHERE parameter IN ('pm25', 'pm10', 'no2', 'so2', 'co') AND value IS NOT NULL"""))
 def unit_normalize(spark, d):
-    m = payloads.target_measurements(V.measurements(spark, d))
+    m = V.normalized(payloads.target_measurements(V.raw_measurements(spark, d), "raw_value"))
     return m.select("event_id", "parameter", "raw_unit", "units", V.r6("value").alias("value"))
 
 
@@ -256,10 +256,13 @@ def measurement_json(spark, d):
     def doc(period):
         return F.to_json(F.struct(value, period.alias("period")))
 
-    landed = m.select("event_id", "sensor_id", F.element_at(F.array(
-        doc(F.struct(at.alias("datetimeFrom"))), doc(F.array(F.struct(at.alias("datetimeFrom")))),
-        doc(F.struct(F.array(at).alias("datetimeFrom"))), doc(F.array(F.struct(F.array(at).alias("datetimeFrom")))),
-    ), (F.col("event_id") % 4 + 1).cast("int")).alias("payload"))
+    # The four shapes a period comes in, by turns.
+    shape = F.col("event_id") % 4
+    landed = m.select("event_id", "sensor_id", (
+        F.when(shape == 0, doc(F.struct(at.alias("datetimeFrom"))))
+        .when(shape == 1, doc(F.array(F.struct(at.alias("datetimeFrom")))))
+        .when(shape == 2, doc(F.struct(F.array(at).alias("datetimeFrom"))))
+        .otherwise(doc(F.array(F.struct(F.array(at).alias("datetimeFrom"))))).alias("payload")))
     meta = m.select("event_id", "parameter", "raw_unit")
     rows = payloads.target_measurements(payloads.flatten_measurements(landed.join(meta, "event_id")))
     return rows.select("event_id", "sensor_id", "measurement_time", "parameter", "raw_value", "raw_unit", "units",

@@ -58,7 +58,10 @@ def raw_measurements(spark, sf_dir) -> DataFrame:
 
 
 def measurements(spark, sf_dir) -> DataFrame:
-    raw = raw_measurements(spark, sf_dir)
+    return normalized(raw_measurements(spark, sf_dir))
+
+
+def normalized(raw: DataFrame) -> DataFrame:
     return raw.withColumn("value", normalize_value("parameter", "raw_value", "raw_unit")).withColumn(
         "units", canonical_unit("parameter", "raw_unit"))
 

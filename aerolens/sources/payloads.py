@@ -53,10 +53,14 @@ def flatten_measurements(df: DataFrame, payload: str = "payload") -> DataFrame:
         "units", canonical_unit("parameter", "raw_unit"))
 
 
-def target_measurements(df: DataFrame) -> DataFrame:
-    """Rows of the twelve target pollutants that have a time and a value."""
+def target_measurements(df: DataFrame, value: str = "value") -> DataFrame:
+    """Rows of the twelve target pollutants that have a time and a value.
+
+    Before normalisation pass ``value="raw_value"``: a normalised value is null exactly
+    where the raw one is, and a stored column can be checked by the scan.
+    """
     return df.where(
-        F.col("parameter").isin(*K.POLLUTANTS) & F.col("measurement_time").isNotNull() & F.col("value").isNotNull()
+        F.col("parameter").isin(*K.POLLUTANTS) & F.col("measurement_time").isNotNull() & F.col(value).isNotNull()
     )
 
 

@@ -258,13 +258,12 @@ def measurement_json(spark, d):
 
     # The four shapes a period comes in, by turns.
     shape = F.col("event_id") % 4
-    landed = m.select("event_id", "sensor_id", (
+    landed = m.select("event_id", "sensor_id", "parameter", "raw_unit", (
         F.when(shape == 0, doc(F.struct(at.alias("datetimeFrom"))))
         .when(shape == 1, doc(F.array(F.struct(at.alias("datetimeFrom")))))
         .when(shape == 2, doc(F.struct(F.array(at).alias("datetimeFrom"))))
         .otherwise(doc(F.array(F.struct(F.array(at).alias("datetimeFrom"))))).alias("payload")))
-    meta = m.select("event_id", "parameter", "raw_unit")
-    rows = payloads.target_measurements(payloads.flatten_measurements(landed.join(meta, "event_id")))
+    rows = payloads.target_measurements(payloads.flatten_measurements(landed), "raw_value")
     return rows.select("event_id", "sensor_id", "measurement_time", "parameter", "raw_value", "raw_unit", "units",
                        V.r6("value").alias("value"))
 

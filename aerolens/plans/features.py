@@ -244,6 +244,20 @@ def duplicate_columns(spark, d):
     return selection.content_hashes(m, ["a", "b", "c", "d"])
 
 
+def _same(a, b):
+    return f"NOT EXISTS (SELECT {a} FROM m EXCEPT ALL SELECT {b} FROM m)"
+
+
+@query("repeated_columns", f"""
+WITH m AS (SELECT l_quantity AS a, l_tax AS b, l_quantity + 0 AS c, l_discount AS d FROM lineitem)
+SELECT 'b' AS feature WHERE {_same('a', 'b')}
+UNION ALL SELECT 'c' WHERE {_same('a', 'c')} OR {_same('b', 'c')}
+UNION ALL SELECT 'd' WHERE {_same('a', 'd')} OR {_same('b', 'd')} OR {_same('c', 'd')}""")
+def repeated_columns(spark, d):
+    m = V.table(spark, d, "lineitem").selectExpr("l_quantity AS a", "l_tax AS b", "l_quantity + 0 AS c", "l_discount AS d")
+    return spark.createDataFrame([(c,) for c in selection.duplicate_columns(m, ["a", "b", "c", "d"])], "feature string")
+
+
 @query("drop_columns", V.with_sql(R, select="""
 SELECT column_name FROM (SELECT unnest(['pm25', 'pm10', 'no2', 'so2', 'co', 'aqi']) AS column_name, unnest([
   avg(CAST(pm25 IS NULL AS INTEGER)), avg(CAST(pm10 IS NULL AS INTEGER)), avg(CAST(no2 IS NULL AS INTEGER)),

@@ -64,7 +64,7 @@ def upsert_table(path: str, batch: DataFrame, keys: list[str], order: list[str],
     if _exists(spark, path):
         stored = spark.read.parquet(path).where(F.col("date").isin(days))
         newest = _without(stored, newest, keys).unionByName(newest, allowMissingColumns=True)
-    staged = written(_by_day(newest, keys), "upsert", ["date"])
+    staged = written(_by_day(newest), "upsert")
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
@@ -79,16 +79,15 @@ def insert_into_table(path: str, batch: DataFrame, keys: list[str], order: list[
         fresh = new_rows(stored, dated, keys, order)
     else:
         fresh = earliest_by(dated, keys, order)
-    staged = written(_by_day(fresh, keys), "insert", ["date"])
+    staged = written(_by_day(fresh), "insert")
     staged.write.mode("append").partitionBy("date").parquet(path)
     return staged.count()
 
 
-def _by_day(df: DataFrame, keys: list[str], files: int = 32) -> DataFrame:
-    """Rows grouped by day, a day split over up to ``files`` tasks, so that a write makes
-    few files per day and no task gets a whole large day."""
-    others = [k for k in keys if k != "date"]
-    return df.repartition("date", F.pmod(F.xxhash64(*others), F.lit(files)))
+def _by_day(df: DataFrame) -> DataFrame:
+    """Rows grouped by day, so that a write makes few files per day; adaptive execution
+    splits a day that is too large for one task and merges small ones."""
+    return df.hint("rebalance", F.col("date"))
 
 
 def _exists(spark, path: str) -> bool:

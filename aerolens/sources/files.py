@@ -53,11 +53,10 @@ def read_readings(spark: SparkSession, path: str, columns: list[str] | None = No
 
 
 def write_readings(df: DataFrame, path: str) -> None:
-    """Station-hour table partitioned by day; files of a day are clustered by station."""
-    daily = df.withColumn("date", F.to_date("timestamp"))
-    daily.repartition("date", F.pmod(F.xxhash64("station_id"), F.lit(32))).sortWithinPartitions(
-        "station_id", "timestamp"
-    ).write.partitionBy("date").mode("overwrite").parquet(path)
+    """Station-hour table partitioned by day; files are sorted by station. Adaptive
+    execution splits large days and merges small ones."""
+    daily = df.withColumn("date", F.to_date("timestamp")).hint("rebalance", F.col("date"))
+    daily.sortWithinPartitions("date", "station_id", "timestamp").write.partitionBy("date").mode("overwrite").parquet(path)
 
 
 def write_report(df: DataFrame, path: str, form: str = "json") -> None:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolens.llm import quality, sharding, simhash
+from aerolens.llm import chat, decontamination, fuzzy_lines, licenses, mixing, quality, sharding, simhash, token_files, toxicity
+from aerolens.llm.texts import n_words
+from aerolens.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -36,12 +39,72 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op2_licenses")
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op3_simhash")
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_decontamination")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_chat", """
+    WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS position
+               FROM conversations),
+    c AS (SELECT conv_id, count(*) AS n, list([coalesce(role, '~'), coalesce(text, '~')] ORDER BY position) AS turns FROM t GROUP BY conv_id),
+    covered AS (SELECT DISTINCT a.conv_id FROM c a JOIN c b ON a.turns[1] = b.turns[1] AND a.n <= b.n AND b.turns[1:a.n] = a.turns
+                WHERE a.n < b.n OR b.conv_id < a.conv_id)
+    SELECT conv_id, position, role, '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered
+    FROM t WHERE conv_id NOT IN (SELECT conv_id FROM covered)""")
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+@query("op7_fuzzy_lines")
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.kept_lines(table(spark, sf_dir, "documents"))
+
+
+@query("op8_token_files")
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "token-files")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 2)
+    return token_files.digests(token_files.read_tokens(spark, path))
+
+
 @query("op9_quality")
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality.with_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op10_mixing", """
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+                      substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 16) AS k FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+    w AS (SELECT *, [5, 2, 1][rank % 3 + 1] AS weight FROM s),
+    l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2 * coalesce(sum(source_size) OVER before, 0))::DOUBLE
+                    / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level
+          FROM w WINDOW before AS (ORDER BY source_size::DOUBLE / weight::DOUBLE, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    t AS (SELECT source, source_size, rank, least(2.0::DOUBLE * source_size, max(level) OVER () * weight) AS target FROM l),
+    p AS (SELECT d.*, t.source_size, t.rank, t.target, sum(size) OVER (PARTITION BY t.rank ORDER BY k, doc_id) AS upto
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    e AS (SELECT doc_id, size, rank, upto + copy * source_size AS done, (upto + copy * source_size)::DOUBLE / target AS finish
+          FROM p, (VALUES (0), (1)) c(copy) WHERE size > 0),
+    q AS (SELECT doc_id, size, sum(size) OVER (ORDER BY finish, rank, done) AS taken FROM e),
+    n AS (SELECT doc_id, sum(size) AS taken FROM q WHERE taken <= (SELECT 1.5 * sum(source_size) FROM s) GROUP BY doc_id)
+    SELECT doc_id, size, source_size, target, coalesce(n.taken, 0)::BIGINT AS taken FROM p LEFT JOIN n USING (doc_id)""")
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")

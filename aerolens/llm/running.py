@@ -69,7 +69,7 @@ def running(df: DataFrame, order: list[str], values: list[str], group: str | Non
         whole = goes_on and end["last"] == open_group
         sums = [(s if whole else 0) + end[v] for s, v in zip(sums, values)]
         open_group = end["last"]
-    add = spark.createDataFrame(offsets, "__p int, __g string" + "".join(f", __o{i} long" for i in range(len(values))))
-    joined = table.join(F.broadcast(add), (F.col(PART) == F.col("__p")) & (name == F.col("__g")), "left")
+    add = spark.createDataFrame(offsets, "__end_part int, __end_group string" + "".join(f", __carried{i} long" for i in range(len(values))))
+    joined = table.join(F.broadcast(add), (F.col(PART) == F.col("__end_part")) & (name == F.col("__end_group")), "left")
     return joined.select(*df.columns, PART, POS, *[
-        (F.col(f"{v}_before") + F.coalesce(f"__o{i}", F.lit(0))).alias(f"{v}_before") for i, v in enumerate(values)])
+        (F.col(f"{v}_before") + F.coalesce(f"__carried{i}", F.lit(0))).alias(f"{v}_before") for i, v in enumerate(values)])

@@ -131,7 +131,7 @@ def shared_buckets(entries: DataFrame) -> DataFrame:
             before = [held] if held is not None and goes_on[0] else []
             held = None if give[-1] else (k[-1], h[-1])
             last = (k[-1], h[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[[x[i] for x in before], v[give]].astype(np.int64)) for i, v in enumerate((k, h))], ["key", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array([x[i] for x in before], np.int64), v[give]])) for i, v in enumerate((k, h))], ["key", "h"])
         if held is not None:
             yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in held], ["key", "h"])
 

@@ -90,7 +90,7 @@ class Scanner:
         if labels and not score:
             score = LEAST  # a base phrase outside any template's place
         return (len(words), len(starts), min(starts, default=None), max(starts, default=None),
-                ",".join(sorted(based)), ",".join(sorted(labels)), score)
+                ",".join(sorted(based)), ",".join(sorted(labels)), round(score, 6))
 
 
 def word_idf(docs: DataFrame, text: str = "text") -> dict[bytes, float]:

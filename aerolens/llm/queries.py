@@ -39,7 +39,53 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op2_licenses")
+LICENSE_SQL = r"""
+    WITH raw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+    base AS (SELECT unnest([BASE_LABELS]) AS label, unnest([BASE_PHRASES]) AS phrase),
+    template AS (SELECT unnest(range(len([LABELS]))) AS t, unnest([LABELS]) AS label, unnest([TEXTS]) AS text, unnest([KEYS]) AS key, unnest([KEY_AT]) AS key_at),
+    tw AS (SELECT t, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS p FROM template),
+    vocabulary AS (SELECT DISTINCT w FROM tw UNION SELECT unnest(string_split(phrase, ' ')) FROM base),
+    wd AS (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS i FROM raw),
+    spots AS (SELECT doc_id, w, i FROM wd SEMI JOIN vocabulary USING (w)),
+    idf AS (SELECT v.w, ln(((SELECT count(*) FROM raw) + 1) / (count(DISTINCT doc_id) + 1)) + 1 AS idf FROM vocabulary v LEFT JOIN spots ON v.w = spots.w GROUP BY v.w),
+    found AS (SELECT doc_id, i, label FROM spots JOIN base ON spots.w = split_part(phrase, ' ', 1) JOIN raw USING (doc_id)
+      WHERE words[i + 1:i + len(string_split(phrase, ' '))] = string_split(phrase, ' ')),
+    based AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM found GROUP BY doc_id),
+    rare AS (SELECT DISTINCT doc_id, t, w, idf FROM (SELECT DISTINCT doc_id, w FROM spots) JOIN idf USING (w) JOIN (SELECT DISTINCT t, w FROM tw) USING (w)
+      QUALIFY row_number() OVER (PARTITION BY doc_id, t ORDER BY idf DESC, w) <= ANCHORS),
+    votes AS (SELECT doc_id, t, i - p AS place FROM rare JOIN spots USING (doc_id, w) JOIN tw USING (t, w) WHERE i >= p GROUP BY ALL HAVING count(DISTINCT w) >= AGREE),
+    kept AS (SELECT doc_id, t, label, place, words FROM votes JOIN template USING (t) JOIN raw USING (doc_id)
+      WHERE words[place + key_at + 1:place + key_at + len(string_split(key, ' '))] = string_split(key, ' ')),
+    weight AS (SELECT t, sum(idf) AS total FROM tw JOIN idf USING (w) GROUP BY t),
+    shares AS (SELECT doc_id, label, place, t, least(1, sum(CASE WHEN words[place + p + 1] = w THEN idf ELSE 0 END) / any_value(total)) AS share
+      FROM kept JOIN tw USING (t) JOIN idf USING (w) JOIN weight USING (t) GROUP BY ALL),
+    accepted AS (SELECT s.doc_id, s.label, share FROM shares s LEFT JOIN (SELECT DISTINCT doc_id, label FROM found) f ON s.doc_id = f.doc_id AND s.label = f.label
+      WHERE share >= LEAST_SHARE OR f.label IS NOT NULL),
+    named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, coalesce(max(share), LEAST_SHARE) AS score
+      FROM (SELECT * FROM accepted UNION ALL SELECT doc_id, label, NULL FROM found) GROUP BY doc_id)
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+      coalesce(labels, '') AS labels, round(coalesce(score, 0)::DOUBLE, 6) AS score FROM raw LEFT JOIN based USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+def _license_sql() -> str:
+    def texts(values) -> str:
+        return "[" + ", ".join(f"'{v if isinstance(v, str) else v.decode()}'" for v in values) + "]"
+
+    def word_at(text: bytes, key: bytes) -> int:
+        return text[:(b" " + text).index(b" " + key)].count(b" ")
+
+    templates = licenses.TEMPLATES
+    named = {"[BASE_LABELS]": texts(licenses.BASE.values()), "[BASE_PHRASES]": texts(licenses.BASE), "[LABELS]": texts(t[0] for t in templates),
+             "[TEXTS]": texts(t[1] for t in templates), "[KEYS]": texts(t[2] for t in templates), "[KEY_AT]": str([word_at(t[1], t[2]) for t in templates]),
+             "ANCHORS": str(licenses.ANCHORS), "AGREE": str(licenses.AGREE), "LEAST_SHARE": repr(licenses.LEAST)}
+    sql = LICENSE_SQL
+    for name, value in named.items():
+        sql = sql.replace(name, value)
+    return sql
+
+
+@query("op2_licenses", _license_sql())
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -83,7 +129,37 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_tokens(spark, path))
 
 
-@query("op9_quality")
+def _covered_sql(n: int, first: bool) -> str:
+    """Words of n-word windows that some other window (an earlier one, without ``first``) of the text equals."""
+    gram = "w" + "".join(f" || ' ' || lead(w, {i}) OVER p" for i in range(1, n))
+    seen = "count(*) OVER (PARTITION BY doc_id, g)" if first else "row_number() OVER (PARTITION BY doc_id, g ORDER BY i)"
+    return f"""g{n} AS (SELECT doc_id, i, c, {gram} AS g FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+    r{n} AS (SELECT doc_id, i, c, CASE WHEN g IS NOT NULL THEN {seen} ELSE 0 END > 1 AS again FROM g{n}),
+    c{n} AS (SELECT doc_id, c, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside FROM r{n}),
+    s{n} AS (SELECT doc_id, count(*) FILTER (inside) AS words, coalesce(sum(c) FILTER (inside), 0)::BIGINT AS chars FROM c{n} GROUP BY doc_id)"""
+
+
+QUALITY_SQL = r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    x AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+    w AS (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS i, length(unnest(words)) AS c FROM x),
+    n AS (SELECT doc_id, count(*) AS n_words, sum(c)::BIGINT AS word_chars FROM w GROUP BY doc_id),
+    y AS (SELECT doc_id, string_split(t, chr(10)) AS lines FROM d),
+    l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM y),
+    k AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AND regexp_matches(line, '[^\x20\x09-\x0D]') AS again FROM l),
+    m AS (SELECT doc_id, count(*) FILTER (again) AS n_dup_lines,
+          coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) FILTER (again), 0)::BIGINT AS line_chars FROM k GROUP BY doc_id),
+    """ + ", ".join([_covered_sql(3, True), *(_covered_sql(n, False) for n in quality.MOST_IN_GRAMS)]) + """,
+    b AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+      n_dup_lines, coalesce(s3.words, 0) AS n_repeat_words, line_chars, """ + ", ".join(f"coalesce(s{n}.chars, 0) AS in{n}" for n in quality.MOST_IN_GRAMS) + """
+      FROM d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id) LEFT JOIN s3 USING (doc_id) """ + " ".join(
+        f"LEFT JOIN s{n} USING (doc_id)" for n in quality.MOST_IN_GRAMS) + f""")
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+      NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND line_chars / word_chars <= {quality.MOST_IN_LINES!r}::DOUBLE AND """ + " AND ".join(
+        f"in{n} / word_chars <= {most!r}::DOUBLE" for n, most in quality.MOST_IN_GRAMS.items()) + " AS kept FROM b"
+
+
+@query("op9_quality", QUALITY_SQL)
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality.with_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -2,17 +2,17 @@
 
 The functions without a path are plain frame-to-frame operators. ``upsert_table`` and
 ``insert_into_table`` apply them to a parquet table partitioned by ``date`` and only read
-and rewrite the days a batch touches.
+and rewrite the days a batch touches; rows without a time are a day of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.numeric import floor_hour
-from ..session import written
+from ..session import exists, remove, scratch, written
 from .ordered import earliest_by, latest_by, null_safe
 
 
@@ -44,44 +44,83 @@ def insert_or_ignore(table: DataFrame, batch: DataFrame, keys: list[str], order:
     return table.unionByName(new_rows(table, batch, keys, order), allowMissingColumns=True)
 
 
-def _touched(batch: DataFrame, ts: str) -> tuple[DataFrame, list]:
-    dated = batch.withColumn("date", F.to_date(ts))
-    days = [r[0] for r in dated.select("date").distinct().collect()]  # one value per day of the batch
-    return dated, days
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table with every column that any of its days has; ``date`` is the day."""
+    _recover(spark, path)
+    return spark.read.option("mergeSchema", "true").parquet(path).withColumn("date", F.col("date").cast("date"))
 
 
 def upsert_table(path: str, batch: DataFrame, keys: list[str], order: list[str], ts: str = "timestamp") -> None:
-    """Insert-or-replace into a date-partitioned parquet table.
+    """Insert-or-replace into a date-partitioned parquet table; new columns widen it.
 
-    The merged days are first written to the shared folder; the table's days are then
-    overwritten from there, so a failure at any point loses no stored row.
+    ``keys`` must hold ``ts``, so that a key belongs to one day.
     """
-    spark = batch.sparkSession
-    dated, days = _touched(batch, ts)
-    if not days:
-        return
-    newest = latest_by(dated, keys, order)
-    if _exists(spark, path):
-        stored = spark.read.parquet(path).where(F.col("date").isin(days))
-        newest = _without(stored, newest, keys).unionByName(newest, allowMissingColumns=True)
-    staged = written(_by_day(newest), "upsert")
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    with scratch(batch.sparkSession):
+        newest = written(_dated(batch, keys, ts).transform(latest_by, keys, order), "upsert")
+        stored = _stored_days(path, newest)
+        if stored is None:
+            merged = newest
+        else:
+            merged = _without(stored, newest, keys).unionByName(newest, allowMissingColumns=True)
+        _replace_days(path, merged)
 
 
 def insert_into_table(path: str, batch: DataFrame, keys: list[str], order: list[str], ts: str = "measurement_time") -> int:
     """Insert-or-ignore into a date-partitioned parquet table; returns the rows added."""
+    with scratch(batch.sparkSession):
+        first = written(_dated(batch, keys, ts).transform(earliest_by, keys, order), "insert")
+        stored = _stored_days(path, first)
+        if stored is None:
+            fresh = merged = first
+        else:
+            fresh = written(_without(first, stored, keys), "insert-fresh")
+            merged = stored.unionByName(fresh, allowMissingColumns=True)
+        added = fresh.count()
+        if added:
+            _replace_days(path, merged)
+        return added
+
+
+def _dated(batch: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    if ts not in keys:
+        raise ValueError(f"the keys must hold {ts}: a key would be looked for in one day and stored in another")
+    return batch.withColumn("date", F.to_date(ts))
+
+
+def _stored_days(path: str, batch: DataFrame) -> DataFrame | None:
+    """The stored rows of the batch's days, null for a day where it has rows without a time; None without a table."""
     spark = batch.sparkSession
-    dated, days = _touched(batch, ts)
-    if not days:
-        return 0
-    if _exists(spark, path):
-        stored = spark.read.parquet(path).where(F.col("date").isin(days))
-        fresh = new_rows(stored, dated, keys, order)
-    else:
-        fresh = earliest_by(dated, keys, order)
-    staged = written(_by_day(fresh), "insert")
-    staged.write.mode("append").partitionBy("date").parquet(path)
-    return staged.count()
+    if not (exists(spark, path) or exists(spark, _pending(path))):
+        return None
+    days = [r[0] for r in batch.select("date").distinct().collect()]  # one value per day of the batch
+    touched = F.col("date").isin([d for d in days if d is not None])
+    return read_table(spark, path).where(touched | F.col("date").isNull() if None in days else touched)
+
+
+def _pending(path: str) -> str:
+    return path.rstrip("/") + "_pending"
+
+
+def _replace_days(path: str, days: DataFrame) -> None:
+    """Put ``days`` in place of the table's days of these dates.
+
+    They are first written beside the table. If the replacement breaks off, the next reader or
+    writer of the table finds them complete there and repeats it (``_recover``).
+    """
+    spark = days.sparkSession
+    _by_day(days).write.mode("overwrite").parquet(_pending(path))
+    _recover(spark, path)
+
+
+def _recover(spark: SparkSession, path: str) -> None:
+    pending = _pending(path)
+    if not exists(spark, pending):
+        return
+    if exists(spark, f"{pending}/_SUCCESS"):
+        staged = spark.read.parquet(pending)
+        if staged.head(1):
+            staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    remove(spark, pending)  # without _SUCCESS nothing of the table has been touched yet
 
 
 def _by_day(df: DataFrame) -> DataFrame:
@@ -90,16 +129,6 @@ def _by_day(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", F.col("date"))
 
 
-def _exists(spark, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-        return True
-    except Exception as error:  # noqa: BLE001 - only a missing or empty path means "no table yet"
-        if any(c in str(error) for c in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
-            return False
-        raise
-
-
 def upsert_registry(registry: DataFrame, batch: DataFrame, now: str) -> DataFrame:
     """Sensor registry after a batch: new values win, the stored fetch watermark stays."""
     keys = ["openaq_location_id", "sensor_id"]

@@ -64,7 +64,7 @@ def table_upsert(spark, d):
     path = work_path(spark, "hourly")
     I.upsert_table(path, stored, KEYS, ["event_id"], "measurement_time")
     I.upsert_table(path, batch, KEYS, ["event_id"], "measurement_time")
-    return spark.read.parquet(path).drop("date")
+    return I.read_table(spark, path).drop("date")
 
 
 @query("table_insert", V.with_sql(HOURLY_CTE, select="""
@@ -75,7 +75,56 @@ def table_insert(spark, d):
     path = work_path(spark, "hourly")
     I.insert_into_table(path, stored, KEYS, ["event_id"])
     I.insert_into_table(path, batch, KEYS, ["event_id"])
-    return spark.read.parquet(path).drop("date")
+    return I.read_table(spark, path).drop("date")
+
+
+# Every seventh sensor's rows have lost their time.
+TIMELESS = "CASE WHEN sensor_id % 7 <> 0 THEN measurement_time END"
+TIMELESS_CTE = HOURLY_CTE + f""", s2 AS (SELECT * REPLACE ({TIMELESS} AS measurement_time) FROM stored_all), b2 AS (SELECT * REPLACE ({TIMELESS} AS measurement_time) FROM batch)"""
+
+
+def timeless(df):
+    return df.withColumn("measurement_time", F.expr(TIMELESS))
+
+
+@query("table_upsert_null_time", V.with_sql(TIMELESS_CTE, select="""
+SELECT sensor_id, parameter, measurement_time, event_id, raw_value FROM (SELECT *, 0 AS src FROM s2 UNION ALL SELECT *, 1 FROM b2)
+QUALIFY row_number() OVER (PARTITION BY sensor_id, measurement_time ORDER BY src DESC, event_id DESC) = 1"""))
+def table_upsert_null_time(spark, d):
+    """Two batches with rows without a time, the second one replayed."""
+    m = hourly(spark, d)
+    top = V.scalar(V.table(spark, d, "events"), F.max("event_id"))
+    path = work_path(spark, "hourly")
+    for batch in (m.where(F.col("event_id") <= top * 2 // 3), m.where(F.col("event_id") > top // 2), m.where(F.col("event_id") > top // 2)):
+        I.upsert_table(path, timeless(batch), KEYS, ["event_id"], "measurement_time")
+    return I.read_table(spark, path).drop("date")
+
+
+@query("table_insert_null_time", V.with_sql(TIMELESS_CTE, select="""
+SELECT sensor_id, parameter, measurement_time, event_id, raw_value FROM (SELECT *, 0 AS src FROM s2 UNION ALL SELECT *, 1 FROM b2)
+QUALIFY row_number() OVER (PARTITION BY sensor_id, measurement_time ORDER BY src, event_id) = 1"""))
+def table_insert_null_time(spark, d):
+    m = hourly(spark, d)
+    top = V.scalar(V.table(spark, d, "events"), F.max("event_id"))
+    path = work_path(spark, "hourly")
+    for batch in (m.where(F.col("event_id") <= top * 2 // 3), m.where(F.col("event_id") > top // 2), m.where(F.col("event_id") > top // 2)):
+        I.insert_into_table(path, timeless(batch), KEYS, ["event_id"])
+    return I.read_table(spark, path).drop("date")
+
+
+@query("table_new_column", V.with_sql(HOURLY_CTE, select="""
+SELECT sensor_id, parameter, measurement_time, event_id, raw_value, CASE WHEN src = 1 THEN event_id % 5 END AS quality
+FROM (SELECT *, 0 AS src FROM stored_all UNION ALL SELECT *, 1 FROM batch)
+QUALIFY row_number() OVER (PARTITION BY sensor_id, measurement_time ORDER BY src DESC, event_id DESC) = 1"""))
+def table_new_column(spark, d):
+    """A batch with a column that the stored days do not have."""
+    m = hourly(spark, d)
+    top = V.scalar(V.table(spark, d, "events"), F.max("event_id"))
+    path = work_path(spark, "hourly")
+    I.upsert_table(path, m.where(F.col("event_id") <= top * 2 // 3), KEYS, ["event_id"], "measurement_time")
+    wider = m.where(F.col("event_id") > top // 2).withColumn("quality", F.col("event_id") % 5)
+    I.upsert_table(path, wider, KEYS, ["event_id"], "measurement_time")
+    return I.read_table(spark, path).drop("date")
 
 
 @query("missing_time_now", """

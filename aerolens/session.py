@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Folders made for sessions that name none (tests, local runs), by application.
 _local_dirs: dict[str, str] = {}
 
+# Paths written inside the open ``scratch`` blocks of this thread.
+_scratch = threading.local()
+
 
 def build_session(app: str = "aerolens", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, skew joins and UTC timestamps."""
@@ -57,8 +63,34 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     Cuts the lineage before a frame is used several times, and survives executor loss.
     """
     path = work_path(df.sparkSession, label)
+    for paths in getattr(_scratch, "open", [])[-1:]:
+        paths.append(path)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables ``written`` inside: for jobs that leave their result elsewhere."""
+    if not hasattr(_scratch, "open"):
+        _scratch.open = []
+    _scratch.open.append(paths := [])
+    try:
+        yield
+    finally:
+        _scratch.open.pop()
+        for path in paths:
+            remove(spark, path)

@@ -56,6 +56,46 @@ def test_table_insert_counts_new_rows(spark, tmp_path, stored, batch):
     assert values(spark.read.parquet(path)) == [("", 0, 2.0), ("S1", 0, 1.0), ("S1", 5, 3.0), ("S2", 0, 13.0)]
 
 
+def test_rows_without_a_time_are_kept_and_replayed(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [[("D", "S1", None, 1.0, 0)], [("D", "S2", None, 2.0, 0), ("D", "S1", at(3), 3.0, 0)], [("D", "S2", None, 4.0, 1)]]
+    for batch in rows:
+        for _ in range(2):
+            I.upsert_table(path, spark.createDataFrame(batch, SCHEMA), KEYS, ["seq"])
+    got = sorted((r["station_id"], r["timestamp"] is None, r["aqi"]) for r in I.read_table(spark, path).collect())
+    assert got == [("S1", False, 3.0), ("S1", True, 1.0), ("S2", True, 4.0)]
+
+
+def test_insert_of_rows_without_a_time_is_idempotent(spark, tmp_path):
+    path = str(tmp_path / "t")
+    batch = spark.createDataFrame([("D", "S1", None, 1.0, 0), ("D", None, None, 2.0, 0)], SCHEMA)
+    assert [I.insert_into_table(path, batch, KEYS, ["seq"], "timestamp") for _ in range(2)] == [2, 0]
+    assert I.read_table(spark, path).count() == 2
+
+
+def test_new_columns_widen_the_table(spark, tmp_path, stored):
+    path = str(tmp_path / "t")
+    I.upsert_table(path, stored, KEYS, ["seq"])
+    wider = spark.createDataFrame([("D", "S1", at(0, 2), 5.0, 0, 7.0)], SCHEMA + ", w double")
+    I.upsert_table(path, wider, KEYS, ["seq"])
+    assert sorted((r["aqi"], r["w"]) for r in I.read_table(spark, path).collect()) == [(1.0, None), (2.0, None), (3.0, None), (5.0, 7.0)]
+
+
+def test_a_replacement_that_broke_off_is_repeated(spark, tmp_path, stored, batch):
+    path = str(tmp_path / "t")
+    I.upsert_table(path, stored, KEYS, ["seq"])
+    merged = I.insert_or_replace(I.read_table(spark, path), batch.withColumn("date", F.to_date("timestamp")), KEYS, ["seq"])
+    merged.write.parquet(path + "_pending")  # staged, but not yet moved into the table
+    assert values(I.read_table(spark, path)) == [("", 0, 12.0), ("S1", 0, 11.0), ("S1", 5, 3.0), ("S2", 0, 13.0)]
+    (tmp_path / "t_pending").mkdir()  # staging itself broke off
+    assert I.read_table(spark, path).count() == 4 and not (tmp_path / "t_pending").exists()
+
+
+def test_keys_must_hold_the_time(tmp_path, stored):
+    with pytest.raises(ValueError):
+        I.upsert_table(str(tmp_path / "t"), stored, ["city", "station_id"], ["seq"])
+
+
 def test_missing_time_becomes_now(spark):
     df = spark.createDataFrame([(None,), (at(3),)], "timestamp timestamp_ntz")
     assert [r[0] for r in I.stamp_missing_time(df, "2024-01-01 09:00:00").collect()] == [at(9), at(3)]

@@ -6,7 +6,7 @@ side. Bins, cumulative distributions and moments read it, not the raw rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -68,31 +68,39 @@ def ks_probability(statistic: Column, n: Column, m: Column, terms: int = 100) ->
     return F.when(scaled < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * series)))
 
 
-def distances(counts: DataFrame, facts: DataFrame, bins: int = 10) -> DataFrame:
-    """Stability index, Kolmogorov-Smirnov statistic and p-value per feature.
+def stability(counts: DataFrame, facts: DataFrame, bins: int = 10) -> DataFrame:
+    """Stability index per feature over ``bins`` equal-width bins of the common range.
 
-    Both come from one ordered pass over the distinct values. The index uses ``bins``
-    equal-width bins of the common range; a bin empty on both sides adds nothing, so only
-    bins with rows are formed, and a constant feature scores 0. The statistic is the
-    largest distance of the two cumulative distributions.
+    A bin empty on both sides adds nothing, so only bins with rows are formed; a constant feature
+    scores 0. Sums of counts per bin, no order.
     """
-    running = cumulative_counts(counts, ["feature"], "value", ["n0", "n1"], few_keys=True)
-    ranged = running.join(F.broadcast(facts.select("feature", "lo", "hi")), "feature")  # a row per feature
+    ranged = counts.join(F.broadcast(facts.select("feature", "lo", "hi", "rows0", "rows1")), "feature")  # a row per feature
     bin_number = F.when(F.col("lo") < F.col("hi"), bin_of("value", "lo", "hi", bins)).otherwise(0)
-    gap = F.abs(F.expr("n0_cum / nullif(n0_total, 0) - n1_cum / nullif(n1_total, 0)"))
     binned = ranged.groupBy("feature", bin_number.alias("bin")).agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.max(gap).alias("gap"),
-        F.first("n0_total").alias("t0"), F.first("n1_total").alias("t1"), F.first(F.col("lo") < F.col("hi")).alias("spread"))
+        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.first("rows0").alias("t0"), F.first("rows1").alias("t1"),
+        F.first(F.col("lo") < F.col("hi")).alias("spread"))
 
     def share(n: str, total: str) -> Column:
         return F.greatest(F.col(n) / (F.col(total) + EPS), F.lit(EPS))
 
     e, a = share("n0", "t0"), share("n1", "t1")
-    merged = binned.groupBy("feature").agg(
-        F.sum(F.when(F.col("spread"), (a - e) * F.ln(a / e)).otherwise(0.0)).alias("psi"), F.max("gap").alias("ks_stat"),
-        F.max("t0").cast("double").alias("_n0"), F.max("t1").cast("double").alias("_n1"))
+    return binned.groupBy("feature").agg(F.sum(F.when(F.col("spread"), (a - e) * F.ln(a / e)).otherwise(0.0)).alias("psi"))
+
+
+def largest_gap(counts: DataFrame) -> DataFrame:
+    """Kolmogorov-Smirnov statistic and p-value per feature: the largest distance of the two
+    cumulative distributions, from one ordered pass over the distinct values."""
+    running = cumulative_counts(counts, ["feature"], "value", ["n0", "n1"])
+    gap = F.abs(F.expr("n0_cum / nullif(n0_total, 0) - n1_cum / nullif(n1_total, 0)"))
+    merged = running.groupBy("feature").agg(
+        F.max(gap).alias("ks_stat"), F.max("n0_total").cast("double").alias("_n0"), F.max("n1_total").cast("double").alias("_n1"))
     p = F.when(F.col("ks_stat").isNotNull(), ks_probability(F.col("ks_stat"), F.col("_n0"), F.col("_n1")))
-    return merged.select("feature", "psi", "ks_stat", p.alias("ks_p_value"))
+    return merged.select("feature", "ks_stat", p.alias("ks_p_value"))
+
+
+def distances(counts: DataFrame, facts: DataFrame, bins: int = 10) -> DataFrame:
+    """Stability index, Kolmogorov-Smirnov statistic and p-value, a row per feature."""
+    return stability(counts, facts, bins).join(F.broadcast(largest_gap(counts)), "feature")
 
 
 def flag(psi: Column, p: Column, z: Column) -> Column:
@@ -144,9 +152,17 @@ def drift_summary(report: DataFrame) -> DataFrame:
 
 
 def append_history(report: DataFrame, path: str, computed_at: str) -> None:
-    """Add a run to the history table."""
+    """Add a run to the history table; a repeated run takes the place of the first.
+
+    Each run is a folder named by its time, overwritten as a whole.
+    """
     stamped = report.withColumn("computed_at", F.lit(computed_at).cast("timestamp_ntz"))
-    stamped.write.mode("append").parquet(path)
+    stamped.write.mode("overwrite").parquet(f"{path}/run={computed_at.replace(':', '-').replace(' ', 'T')}")
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """All runs of a history table."""
+    return spark.read.parquet(path).drop("run")
 
 
 def latest_drift(history: DataFrame) -> DataFrame:

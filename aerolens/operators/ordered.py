@@ -45,15 +45,12 @@ def _bin_sql(value: str, cuts: str, low: int = 0, high: int = CUTS) -> str:
 
 
 def cumulative_counts(
-    counts: DataFrame, keys: list[str], value: str, weights: list[str], few_keys: bool = False,
-    spots: list[float] | None = None,
+    counts: DataFrame, keys: list[str], value: str, weights: list[str],
 ) -> DataFrame:
     """Running totals of ``weights`` in value order within each key.
 
-    Adds ``<w>_cum`` (up to and including the value) and ``<w>_total``. ``few_keys``
-    states that the number of keys is fixed by the plan (named columns, not data); only
-    then is the one-row-per-key table of cut points broadcast. With ``spots`` (quantile
-    probabilities, for a single weight) only the bins that hold one of them are ordered.
+    Adds ``<w>_cum`` (up to and including the value) and ``<w>_total``. The tables of cut points and
+    bin totals are broadcast where their measured size allows it.
     """
     probabilities = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
     cuts = counts.groupBy(*keys).agg(
@@ -62,7 +59,7 @@ def cumulative_counts(
     )
     binned = (
         counts.alias("l")
-        .join(F.broadcast(cuts).alias("r") if few_keys else cuts.alias("r"), null_safe("l", "r", keys))
+        .join(cuts.alias("r"), null_safe("l", "r", keys))
         .selectExpr("l.*", *[f"r.{w}_total" for w in weights],
                     f"{_bin_sql(f'l.{value}', 'r._cuts')} AS _bin")
     )
@@ -72,16 +69,7 @@ def cumulative_counts(
         .agg(*[F.sum(w).alias(w) for w in weights], *[F.first(f"{w}_total").alias(f"{w}_total") for w in weights])
         .selectExpr("*", *[f"coalesce(sum({w}) {before}, 0) AS _{w}_before" for w in weights])
     )
-    if spots:
-        (w,) = weights
-        inside = [
-            f"({end}({p}D * ({w}_total - 1)) BETWEEN _{w}_before AND _{w}_before + {w} - 1)"
-            for p in spots for end in ("floor", "ceil")
-        ]
-        offsets = offsets.where(" OR ".join(inside))
     offsets = offsets.select(*keys, "_bin", *[f"_{w}_before" for w in weights])
-    if few_keys:  # at most CUTS + 1 rows per named column
-        offsets = F.broadcast(offsets)
     joined = binned.alias("l").join(offsets.alias("r"), null_safe("l", "r", [*keys, "_bin"])).selectExpr(
         "l.*", *[f"r._{w}_before" for w in weights])
     upto = ("OVER (PARTITION BY " + ", ".join([*keys, "_bin"])
@@ -93,27 +81,39 @@ def cumulative_counts(
     )
 
 
-def quantiles_of_counts(
-    counts: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], few_keys: bool = False
-) -> DataFrame:
-    """Exact linearly interpolated quantiles, one named column per probability."""
-    ranked = cumulative_counts(counts, keys, value, ["n"], few_keys, list(probabilities.values()))
-    picks = []
-    for name, p in probabilities.items():
-        spot = f"{p}D * (n_total - 1)"
-        for end in ("floor", "ceil"):
-            picks.append(f"max(CASE WHEN n_cum - n <= {end}({spot}) AND {end}({spot}) < n_cum THEN {value} END) AS _{name}_{end}")
-        picks.append(f"max({spot} - floor({spot})) AS _{name}_part")
-    wide = ranked.groupBy(*keys).agg(*[F.expr(p) for p in picks])
-    return wide.selectExpr(*keys, *[
-        f"_{n}_floor + _{n}_part * (_{n}_ceil - _{n}_floor) AS {n}" for n in probabilities])
+# Rank error of the sketch that brackets a quantile, and the bracket's half width (twice that).
+SKETCH, SLACK = 10_000, 2e-4
 
 
-def quantiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], few_keys: bool = False
-) -> DataFrame:
-    """Exact quantiles of a column per key, for keys of any size."""
-    return quantiles_of_counts(value_counts(df, keys, value), keys, value, probabilities, few_keys)
+def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+    """Exact linearly interpolated quantiles of a column per key, for keys of any size.
+
+    A mergeable sketch brackets each quantile. A second pass only counts the rows below and above a
+    bracket, with map-side combine, and ships the values inside it, some 0.04 % of a key's rows; the
+    smallest value above it is kept as well, for an interpolation that reaches over its edge.
+    """
+    names = list(probabilities)
+    edges = [min(1.0, max(0.0, p + d)) for p in probabilities.values() for d in (-SLACK, SLACK)]
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    sketch = rows.groupBy(*keys).agg(F.percentile_approx("_v", edges, SKETCH).alias("_edges"))
+    sides = F.array(*[
+        F.expr(f"named_struct('spot', {i}, 'side', CASE WHEN _v < _edges[{2 * i}] THEN 0 WHEN _v > _edges[{2 * i + 1}] THEN 2 ELSE 1 END)")
+        for i in range(len(names))])
+    placed = rows.alias("l").join(sketch.alias("r"), null_safe("l", "r", keys)).select("l.*", F.explode(sides).alias("_s"))
+    counted = placed.groupBy(*keys, "_s", F.expr("CASE WHEN _s.side = 1 THEN _v END").alias("_inside")).agg(
+        F.count("*").alias("n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    spot = "PARTITION BY " + ", ".join([*keys, "_s.spot"])
+    ranked = counted.selectExpr(
+        *keys, "_s.spot AS _spot", "n", "CASE _s.side WHEN 0 THEN _high WHEN 1 THEN _inside ELSE _low END AS _v",
+        f"sum(n) OVER ({spot} ORDER BY _s.side, _inside ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _upto", f"sum(n) OVER ({spot}) AS _total")
+    picks = []
+    for i, (name, p) in enumerate(probabilities.items()):
+        rank = f"{p}D * (_total - 1)"
+        for end in ("floor", "ceil"):
+            picks.append(f"max(CASE WHEN _spot = {i} AND _upto - n <= {end}({rank}) AND {end}({rank}) < _upto THEN _v END) AS _{name}_{end}")
+        picks.append(f"max(CASE WHEN _spot = {i} THEN {rank} - floor({rank}) END) AS _{name}_part")
+    return ranked.groupBy(*keys).agg(*[F.expr(p) for p in picks]).selectExpr(
+        *keys, *[f"_{n}_floor + _{n}_part * (_{n}_ceil - _{n}_floor) AS {n}" for n in names])
 
 
 def row_index(df: DataFrame, keys: list[str], order: list[str], ts: str, span: str = "month") -> DataFrame:
@@ -162,12 +162,6 @@ def segmented(
     )
 
 
-def largest_key(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest key: one counting pass over the key columns."""
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
-
-
 def first_n(df: DataFrame, keys: list[str], order: list[str], ts: str, n: int | dict[str, int]) -> DataFrame:
     """The first ``n`` rows of each key in ``order``, for any ``n`` and any key size.
 
@@ -175,6 +169,10 @@ def first_n(df: DataFrame, keys: list[str], order: list[str], ts: str, n: int |
     holds the n-th row is ranked. ``n`` may map the (single) key's values to limits; a key
     without a limit keeps all its rows.
     """
+    return _bounded(df, keys, order, ts, n, F.asc)
+
+
+def _bounded(df: DataFrame, keys: list[str], order: list[str], ts: str, n: int | dict[str, int], direction) -> DataFrame:
     daily = df.withColumn("_day", F.date_trunc("day", F.col(ts)))
     if isinstance(n, dict):
         (key,) = keys
@@ -183,7 +181,7 @@ def first_n(df: DataFrame, keys: list[str], order: list[str], ts: str, n: int |
             limit = F.when(F.col(key) == name, F.lit(rows).cast("long")).otherwise(limit)
     else:
         limit = F.lit(n).cast("long")
-    upto = Window.partitionBy(*keys).orderBy("_day").rowsBetween(*UP_TO)
+    upto = Window.partitionBy(*keys).orderBy(direction("_day")).rowsBetween(*UP_TO)
     totals = (
         daily.groupBy(*keys, "_day").agg(F.count("*").alias("_n"))
         .withColumn("_upto", F.sum("_n").over(upto))
@@ -195,7 +193,7 @@ def first_n(df: DataFrame, keys: list[str], order: list[str], ts: str, n: int |
     )
     whole = joined.where(F.col("_limit").isNull() | (F.col("_upto") <= F.col("_limit")))
     cut = joined.where(F.col("_upto") > F.col("_limit"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "_day").orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_day").orderBy(*[direction(c) for c in order]))
     cut = cut.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_limit") - (F.col("_upto") - F.col("_n")))
     return whole.select(*df.columns).unionByName(cut.select(*df.columns))
 
@@ -216,10 +214,6 @@ def earliest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return _extreme(df, keys, order, "min_by")
 
 
-def last_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """The last ``n`` rows per key. Spark limits each map task to ``n`` rows per key first
-    (WindowGroupLimit), so a hot key never moves whole; for large ``n`` use ``first_n``."""
-    if n > 1000:
-        raise ValueError("last_n relies on the group limit, which holds up to 1000 rows")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+def last_n(df: DataFrame, keys: list[str], order: list[str], ts: str, n: int | dict[str, int]) -> DataFrame:
+    """The last ``n`` rows of each key in ``order``, for any ``n`` and any key size."""
+    return _bounded(df, keys, order, ts, n, F.desc)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import kurtosis_unbiased, skewness_unbiased
-from .ordered import null_safe, quantiles, quantiles_of_counts, value_counts
+from .ordered import null_safe, quantiles
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -52,7 +52,7 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
         "skewness": skewness_unbiased,
         "kurtosis": kurtosis_unbiased,
     })
-    spots = quantiles(long_form(df, columns), ["feature"], "value", QUARTILES, few_keys=True)
+    spots = quantiles(long_form(df, columns), ["feature"], "value", QUARTILES)
     return moments.where("count > 0").join(F.broadcast(spots), "feature")
 
 
@@ -143,10 +143,10 @@ def time_span(df: DataFrame, keys: list[str], ts: str = "timestamp") -> DataFram
     return out.withColumn("span_hours", hours).withColumn("span_days", F.floor(F.col("span_hours") / 24))
 
 
-def median_by(df: DataFrame, keys: dict[str, Column], value: str, name: str = "median", few_keys: bool = False):
+def median_by(df: DataFrame, keys: dict[str, Column], value: str, name: str = "median"):
     """Exact median per (computed) key."""
     keyed = df.select(*[c.alias(n) for n, c in keys.items()], F.col(value).cast("double").alias("_v"))
-    return quantiles(keyed, list(keys), "_v", {name: 0.5}, few_keys)
+    return quantiles(keyed, list(keys), "_v", {name: 0.5})
 
 
 def year_month_matrix(df: DataFrame, value: str, ts: str = "timestamp") -> DataFrame:
@@ -157,20 +157,17 @@ def year_month_matrix(df: DataFrame, value: str, ts: str = "timestamp") -> DataF
 
 
 def box_numbers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Quartiles, whisker ends (furthest values within 1.5 IQR) and outlier count per key.
-
-    Works on counted distinct values, so the rows are shuffled once, pre-aggregated.
-    """
-    counts = value_counts(df, keys, value)
-    box = quantiles_of_counts(counts, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    """Quartiles, whisker ends (furthest values within 1.5 IQR) and outlier count per key."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    box = quantiles(rows, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    joined = counts.alias("l").join(box.alias("r"), null_safe("l", "r", keys)).select("l.*", "r.q1", "r.median", "r.q3")
+    joined = rows.alias("l").join(box.alias("r"), null_safe("l", "r", keys)).select("l.*", "r.q1", "r.median", "r.q3")
     v = F.col(value)
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
     return joined.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.max("q1").alias("q1"), F.max("median").alias("median"), F.max("q3").alias("q3"),
+        F.count("*").alias("n"), F.max("q1").alias("q1"), F.max("median").alias("median"), F.max("q3").alias("q3"),
         F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"),
-        F.sum(F.when(~inside, F.col("n")).otherwise(0)).alias("outliers"),
+        F.count(F.when(~inside, 1)).alias("outliers"),
     )
 
 
@@ -182,13 +179,11 @@ def top_boxes(df: DataFrame, key: str, value: str, k: int = 20) -> DataFrame:
 def capped_distribution(df: DataFrame, columns: list[str], cap: float = 0.99) -> DataFrame:
     """Box numbers of the values up to each column's ``cap`` quantile."""
     values = long_form(df, columns)
-    counts = value_counts(values, ["feature"], "value")
-    caps = quantiles_of_counts(counts, ["feature"], "value", {"cap": cap}, few_keys=True)
-    kept = counts.join(F.broadcast(caps), "feature").where(F.col("value") <= F.col("cap"))  # one row per column
-    spots = quantiles_of_counts(kept.select("feature", "value", "n"), ["feature"], "value",
-                                {"q1": 0.25, "median": 0.5, "q3": 0.75}, few_keys=True)
+    caps = quantiles(values, ["feature"], "value", {"cap": cap})
+    kept = values.join(F.broadcast(caps), "feature").where(F.col("value") <= F.col("cap"))  # one row per column
+    spots = quantiles(kept, ["feature"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     summary = kept.groupBy("feature").agg(
-        F.max("cap").alias("cap"), F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        F.max("cap").alias("cap"), F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     return summary.join(F.broadcast(spots), "feature")
 
 
@@ -199,10 +194,17 @@ def category_share(df: DataFrame, category: Column, name: str = "category") -> D
     return counted.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Correlation over the rows that have both values; null if either does not vary there."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pairwise-complete correlation of every pair of a short column list, in one aggregate."""
     pairs = list(combinations(columns, 2))
-    wide = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[correlation(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr"))
                      for i, (a, b) in enumerate(pairs)])
     return wide.select(F.inline(rows))
@@ -210,24 +212,17 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def top_correlated(df: DataFrame, columns: list[str], target: str, k: int = 6) -> DataFrame:
     """The ``k`` columns most correlated with ``target``, by absolute value."""
-    wide = df.agg(*[F.corr(c, target).alias(c) for c in columns])
+    wide = df.agg(*[correlation(F.col(c), F.col(target)).alias(c) for c in columns])
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("corr")) for c in columns])
     return wide.select(F.inline(rows)).orderBy(F.desc_nulls_last(F.abs("corr")), "feature").limit(k)
 
 
 def target_statistics(
-    df: DataFrame, key: str, target: str = "aqi", prefix: str | None = None, short_groups: bool = False
+    df: DataFrame, key: str, target: str = "aqi", prefix: str | None = None
 ) -> DataFrame:
-    """Mean and exact median of the target per key; 0 where a key has no target at all.
-
-    ``short_groups`` states that a key's rows are bounded (one station's hours), so one
-    aggregate can hold their distinct values; otherwise counted values are ranked.
-    """
+    """Mean and exact median of the target per key; 0 where a key has no target at all."""
     prefix = prefix or key.removesuffix("_id")
     mean, median = f"{prefix}_{target}_mean", f"{prefix}_{target}_median"
-    if short_groups:
-        stats = df.groupBy(key).agg(F.avg(target).alias(mean), F.percentile(target, 0.5).alias(median))
-    else:
-        means = df.groupBy(key).agg(F.avg(target).alias(mean))
-        stats = means.join(quantiles(df, [key], target, {median: 0.5}), key, "left")
+    means = df.groupBy(key).agg(F.avg(target).alias(mean))
+    stats = means.join(quantiles(df, [key], target, {median: 0.5}), key, "left")
     return stats.na.fill(0.0, subset=[mean, median])

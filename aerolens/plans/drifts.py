@@ -56,19 +56,15 @@ def drift_windows(spark, d):
     return sided(spark, d).select("station_id", "timestamp", "side")
 
 
-def distances(spark, d):
-    rows = sided(spark, d)
-    return drift.distances(drift.side_counts(rows, FEATURES), drift.moments(rows, FEATURES))
-
-
 @query("drift_psi", V.with_sql(SIDED_CTE, select=f"SELECT feature, {r('psi')} AS psi FROM psi"))
 def drift_psi(spark, d):
-    return V.rounded(distances(spark, d).select("feature", "psi"), ["psi"])
+    rows = sided(spark, d)
+    return V.rounded(drift.stability(drift.side_counts(rows, FEATURES), drift.moments(rows, FEATURES)), ["psi"])
 
 
 @query("drift_ks", V.with_sql(SIDED_CTE, select=f"SELECT feature, {r('ks_stat')} AS ks_stat, {r('p')} AS ks_p_value FROM ksp"))
 def drift_ks(spark, d):
-    out = distances(spark, d).where("ks_stat IS NOT NULL").select("feature", "ks_stat", "ks_p_value")
+    out = drift.largest_gap(drift.side_counts(sided(spark, d), FEATURES)).where("ks_stat IS NOT NULL")
     return V.rounded(out, ["ks_stat", "ks_p_value"])
 
 
@@ -93,9 +89,9 @@ def history(spark, d):
     now = V.now_of(events)
     day_before = str(V.scalar(events, F.max("ts") - F.expr("interval 1 day")))
     path = work_path(spark, "drift-history")
-    for at in (day_before, now):
+    for at in (day_before, now, now):  # the last run is repeated, as after a failure
         drift.append_history(drift.drift_report(sided(spark, d, at), FEATURES), path, at)
-    return spark.read.parquet(path)
+    return drift.read_history(spark, path)
 
 
 @query("drift_latest", V.with_sql(SIDED_CTE, select="SELECT feature, psi, CAST(drift AS INTEGER) AS drift FROM report"))

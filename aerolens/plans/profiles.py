@@ -148,7 +148,7 @@ def monthly_median(spark, d):
 SELECT CAST(hour(timestamp) AS INTEGER) AS hour, {r('median(aqi)')} AS median FROM readings WHERE aqi IS NOT NULL GROUP BY 1"""))
 def hourly_median(spark, d):
     # Twenty-four keys, fixed by the clock.
-    return V.rounded(profile.median_by(V.readings(spark, d), {"hour": F.hour("timestamp")}, "aqi", few_keys=True), ["median"])
+    return V.rounded(profile.median_by(V.readings(spark, d), {"hour": F.hour("timestamp")}, "aqi"), ["median"])
 
 
 @query("year_month_matrix", "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, " + ", ".join(
@@ -217,7 +217,7 @@ def target_encoding(spark, d):
     t = joins.with_station(V.readings(spark, d), V.stations(spark, d).select("station_id", "city")).select(
         "station_id", "city", "timestamp", "aqi")
     per_station = profile.target_statistics(
-        t.where("station_id <> 'S3'"), "station_id", short_groups=not series.may_be_long(V.table(spark, d, "events"), "ts"))
+        t.where("station_id <> 'S3'"), "station_id")
     per_city = profile.target_statistics(t, "city")
     out = joins.lookup_statistics(joins.lookup_statistics(t, per_station, "station_id"), per_city, "city").drop("aqi")
     return V.rounded(out, [c for c in out.columns if "_aqi_" in c])

@@ -125,7 +125,8 @@ def test_history_and_alerts(spark, tmp_path):
     new = spark.createDataFrame([("pm25", 0.2, True), ("no2", 0.01, False), ("co", None, None)], "feature string, psi double, drift boolean")
     drift.append_history(old, path, "2024-01-01 00:00:00")
     drift.append_history(new, path, "2024-01-02 00:00:00")
-    history = spark.read.parquet(path)
+    drift.append_history(new, path, "2024-01-02 00:00:00")  # a repeated run takes its own place
+    history = drift.read_history(spark, path)
     assert history.count() == 4
     assert {r["feature"]: (r["psi"], r["drift"]) for r in drift.latest_drift(history).collect()} == {"pm25": (0.2, 1), "no2": (0.01, 0), "co": (0.0, 0)}
     assert {r["alert"]: r["firing"] for r in drift.drift_alerts(history).collect()} == {"DataDriftDetected": True, "HighDriftPSI": False, "ManyFeaturesDrifted": False}

@@ -27,11 +27,10 @@ def by_key(rows):
     return groups
 
 
-@pytest.mark.parametrize("few", [False, True])
-def test_quantiles_equal_numpy(skewed, few):
+def test_quantiles_equal_numpy(skewed):
     rows, df = skewed
     spots = {"a": 0.0, "q": 0.25, "m": 0.5, "p": 0.95, "z": 1.0}
-    got = {r["k"]: r for r in ordered.quantiles(df, ["k"], "v", spots, few).collect()}
+    got = {r["k"]: r for r in ordered.quantiles(df, ["k"], "v", spots).collect()}
     want = by_key(rows)
     assert set(got) == set(want)
     for k, values in want.items():
@@ -39,6 +38,17 @@ def test_quantiles_equal_numpy(skewed, few):
             assert got[k][name] == pytest.approx(np.quantile(values, p))
 
 
+def test_brackets_hold_few_values_of_a_large_key(spark):
+    n = 200_003
+    df = spark.range(n).selectExpr("'k' AS k", "double((id * 7919) % 200003) AS v").repartition(6)
+    spots = {"a": 0.0, "q": 0.25, "m": 0.5, "p": 0.999, "z": 1.0}
+    out = ordered.quantiles(df, ["k"], "v", spots)
+    assert [out.first()[name] for name in spots] == pytest.approx(list(np.quantile(np.arange(n), list(spots.values()))))
+    # the largest group that is put in order: the inside of a bracket
+    inside = df.agg(F.percentile_approx("v", [0.5 - ordered.SLACK, 0.5 + ordered.SLACK], ordered.SKETCH)).first()[0]
+    assert inside[1] - inside[0] < n / 1000
+
+
 def test_cumulative_counts_equal_brute_force(skewed):
     rows, df = skewed
     counts = ordered.value_counts(df, ["k"], "v")
@@ -103,15 +113,8 @@ def test_latest_and_earliest(stamped):
     assert ordered.latest_by(stamped, ["k"], ["ts"]).columns == stamped.columns
 
 
-def test_last_n_limits_before_the_shuffle(stamped):
-    out = ordered.last_n(stamped, ["k"], [F.desc("ts")], 5)
-    assert sorted(r["i"] for r in out.where("k = 'a'").collect()) == list(range(895, 900))
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
-    with pytest.raises(ValueError):
-        ordered.last_n(stamped, ["k"], [F.desc("ts")], 5000)
-
-
-def test_largest_key(stamped, spark):
-    assert ordered.largest_key(stamped, ["k"]) == 900
-    assert ordered.largest_key(stamped.where("false"), ["k"]) == 0
+@pytest.mark.parametrize("n", [0, 5, 300, 5000])
+def test_last_n_for_any_number(stamped, n):
+    sizes = {"a": 900, "b": 40, "c": 1}
+    got = ordered.last_n(stamped, ["k"], ["ts"], "ts", n)
+    assert sorted((r["k"], r["i"]) for r in got.collect()) == sorted((r["k"], r["i"]) for r in stamped.collect() if r["i"] >= sizes[r["k"]] - n)

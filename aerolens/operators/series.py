@@ -1,9 +1,9 @@
 """Per-station time-series operators: fills, lags, rolling windows, differences, targets.
 
 Frames are counted in rows, as in the source data, never in hours. All operators expect
-one row per station and timestamp. A station's series goes to one task only while it is
-short; a longer one is cut into segments that carry the rows their windows reach
-(``ordered.segmented``), which gives identical results.
+one row per station and timestamp. No series goes to one task as a whole: row windows run in
+segments that carry the rows their windows reach (``ordered.segmented``), fills carry
+their state over calendar spans.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, constants as K
-from .ordered import UP_TO, BEFORE, largest_key, null_safe, quantiles, segmented
+from .ordered import UP_TO, BEFORE, null_safe, quantiles, segmented
+from .profile import long_form
 
-# A series up to this many rows (over 20 years of hours) is windowed as one group.
-WHOLE_SERIES_ROWS = 200_000
+# Rows of a segment; windows may reach as far.
+SEGMENT_ROWS = 8192
 
 
 @dataclass(frozen=True)
@@ -79,30 +80,13 @@ LIVE = FeatureSpec(
 )
 
 
-def is_long(df: DataFrame, key: str = "station_id", limit: int = WHOLE_SERIES_ROWS) -> bool:
-    """Whether some series is too long for one task (one counting pass)."""
-    return largest_key(df, [key]) > limit
-
-
-def may_be_long(df: DataFrame, ts: str, step_seconds: int = 3600, limit: int = WHOLE_SERIES_ROWS) -> bool:
-    """Whether a series with one row per ``step`` could exceed ``limit`` rows.
-
-    Reads only the time column: with one row per station and step, no station can have
-    more rows than there are steps between the first and the last timestamp.
-    """
-    first, last = df.agg(F.min(ts), F.max(ts)).first()
-    return first is not None and (last - first).total_seconds() / step_seconds + 1 > limit
-
-
-def _windowed(df, key, ts, before, after, long, make) -> DataFrame:
-    """The rows with the columns ``make(window)``, over whole or segmented series.
+def _windowed(df, key, ts, before, after, make) -> DataFrame:
+    """The rows with the columns ``make(window)``, for windows of ``before`` and ``after`` rows.
 
     ``make`` returns SQL column texts; ``window`` is the partition and order clause, so all
     columns share one sort.
     """
-    if not long:
-        return df.selectExpr("*", *make(f"PARTITION BY {key} ORDER BY {ts}"))
-    parts = segmented(df, [key], [ts], ts, before, after)
+    parts = segmented(df, [key], [ts], ts, before, after, SEGMENT_ROWS)
     out = parts.selectExpr("*", *make(f"PARTITION BY {key}, _segment ORDER BY _row"))
     return out.where("_own").drop("_row", "_segment", "_own")
 
@@ -133,31 +117,28 @@ def lead_columns(w: str, column, horizons) -> list[str]:
     return [f"lead({column}, {h}) OVER ({w}) AS {column}_t{h}" for h in horizons]
 
 
-def add_lags(df, columns, lags, key="station_id", ts="timestamp", long=False):
-    return _windowed(df, key, ts, max(lags), 0, long, lambda w: lag_columns(w, columns, lags))
+def add_lags(df, columns, lags, key="station_id", ts="timestamp"):
+    return _windowed(df, key, ts, max(lags), 0, lambda w: lag_columns(w, columns, lags))
 
 
-def add_rolling(df, columns, sizes, key="station_id", ts="timestamp", std=True, extremes=(), long=False):
-    return _windowed(df, key, ts, max(sizes), 0, long,
+def add_rolling(df, columns, sizes, key="station_id", ts="timestamp", std=True, extremes=()):
+    return _windowed(df, key, ts, max(sizes), 0,
                      lambda w: rolling_columns(w, columns, sizes, std, extremes))
 
 
-def add_diffs(df, column, steps, key="station_id", ts="timestamp", long=False):
-    return _windowed(df, key, ts, max(steps), 0, long, lambda w: diff_columns(w, column, steps))
+def add_diffs(df, column, steps, key="station_id", ts="timestamp"):
+    return _windowed(df, key, ts, max(steps), 0, lambda w: diff_columns(w, column, steps))
 
 
-def add_targets(df, column, horizons, key="station_id", ts="timestamp", long=False, complete_only=True):
+def add_targets(df, column, horizons, key="station_id", ts="timestamp", complete_only=True):
     """The value at each of the next ``horizons`` rows; rows without all of them drop."""
     names = [f"{column}_t{h}" for h in horizons]
-    out = _windowed(df, key, ts, 0, max(horizons), long, lambda w: lead_columns(w, column, horizons))
+    out = _windowed(df, key, ts, 0, max(horizons), lambda w: lead_columns(w, column, horizons))
     return out.na.drop(subset=names) if complete_only else out
 
 
-def fill_forward(df, columns, key="station_id", ts="timestamp", long=False) -> DataFrame:
+def fill_forward(df, columns, key="station_id", ts="timestamp") -> DataFrame:
     """Last known value at or before each row."""
-    if not long:
-        w = Window.partitionBy(key).orderBy(ts).rowsBetween(*UP_TO)
-        return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
     spanned = df.withColumn("_span", F.date_trunc("month", F.col(ts)))
     # Last known value of each span, carried over the (few) spans of a series.
     carried = Window.partitionBy(key).orderBy("_span").rowsBetween(*BEFORE)
@@ -176,23 +157,18 @@ def fill_forward(df, columns, key="station_id", ts="timestamp", long=False) -> D
     ])
 
 
-def fill_offline(df, columns, key="station_id", ts="timestamp", long=False) -> DataFrame:
-    """Forward fill, then the station median of the filled series, then 0."""
-    filled = fill_forward(df, columns, key, ts, long)
-    if not long:
-        w = Window.partitionBy(key)
-        median = {c: F.percentile(F.col(c), 0.5).over(w) for c in columns}
-        return filled.withColumns({c: F.coalesce(F.col(c), median[c], F.lit(0.0)) for c in columns})
-    for c in columns:
-        medians = quantiles(filled, [key], c, {"_median": 0.5})
-        filled = (
-            filled.alias("l").join(medians.alias("r"), null_safe("l", "r", [key]), "left")
-            .select(*[
-                F.coalesce(F.col(f"l.{c}"), F.col("r._median"), F.lit(0.0)).alias(c) if name == c else F.col(f"l.{name}")
-                for name in df.columns
-            ])
-        )
-    return filled
+def fill_offline(df, columns, key="station_id", ts="timestamp") -> DataFrame:
+    """Forward fill, then the station median of the filled series, then 0.
+
+    The medians of all columns come from one count of (station, column, value) and are joined
+    once, a row a station, so the plan does not grow with the number of columns.
+    """
+    filled = fill_forward(df, columns, key, ts)
+    medians = quantiles(long_form(filled, columns, [key]), [key, "feature"], "value", {"median": 0.5})
+    wide = medians.groupBy(key).agg(*[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(f"_{c}_median") for c in columns])
+    joined = filled.alias("l").join(wide.alias("r"), null_safe("l", "r", [key]), "left")
+    return joined.select(*[
+        F.coalesce(F.col(f"l.{c}"), F.col(f"r._{c}_median"), F.lit(0.0)).alias(c) if c in columns else F.col(f"l.{c}") for c in df.columns])
 
 
 def fill_live(df, columns, key="station_id", ts="timestamp") -> DataFrame:
@@ -229,11 +205,11 @@ def add_interactions(df, spec: FeatureSpec) -> DataFrame:
 
 
 def engineer(
-    df: DataFrame, spec: FeatureSpec, key="station_id", ts="timestamp", long=False, last_only=False
+    df: DataFrame, spec: FeatureSpec, key="station_id", ts="timestamp", last_only=False
 ) -> DataFrame:
     """All window features of ``spec`` over one sort of an already filled table.
 
-    Leading rows without history get 0; rows without every target drop. ``last_only`` keeps
+    Engineered values that cannot be computed are 0; rows without every target drop. ``last_only`` keeps
     the newest row per series, found in the same window pass.
     """
     pollutants = [c for c in spec.pollutants if c in df.columns]
@@ -253,13 +229,14 @@ def engineer(
             made.append(f"lead({ts}, 1) OVER ({w}) IS NULL AS _last")
         return made
 
-    out = _windowed(df, key, ts, spec.reach_back, max(spec.horizons, int(last_only)), long, make)
+    out = _windowed(df, key, ts, spec.reach_back, max(spec.horizons, int(last_only)), make)
     if last_only:
         out = out.where("_last").drop("_last")
     targets = [f"{spec.target}_t{h}" for h in range(1, spec.horizons + 1)] if target else []
+    out = add_interactions(add_calendar(out, spec, ts), spec)
+    # The finished vector is filled: an unknown wind direction has no sine either.
     created = [c for c in out.columns if c not in df.columns and c not in targets]
     out = out.na.fill(0.0, subset=created) if created else out
-    out = add_interactions(add_calendar(out, spec, ts), spec)
     return out.na.drop(subset=targets) if targets else out
 
 
@@ -282,11 +259,11 @@ def densify(df, key="station_id", ts="timestamp", step="1 hour") -> DataFrame:
     return grid.withColumn(ts, F.col(ts).cast("timestamp_ntz")).join(df, [key, ts], "left")
 
 
-def sequence_windows(df, columns, length=24, key="station_id", ts="timestamp", long=False) -> DataFrame:
+def sequence_windows(df, columns, length=24, key="station_id", ts="timestamp") -> DataFrame:
     """Fixed-length sequences: one array per column of the last ``length`` rows."""
     def make(w):
         return [f"collect_list({c}) OVER ({w} ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW) AS {c}_seq"
                 for c in columns]
 
-    out = _windowed(df, key, ts, length - 1, 0, long, make)
+    out = _windowed(df, key, ts, length - 1, 0, make)
     return out.where(F.size(f"{columns[0]}_seq") == length)

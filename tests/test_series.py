@@ -21,14 +21,16 @@ def table(make_series):
     return make_series(SIZES)
 
 
-@pytest.fixture(params=[False, True], ids=["whole", "segmented"])
-def long(request):
-    return request.param
+@pytest.fixture(params=[None, 170], ids=["one_segment", "many_segments"])
+def rows(request, monkeypatch):
+    """Rows of a segment."""
+    if request.param:
+        monkeypatch.setattr(series, "SEGMENT_ROWS", request.param)
 
 
-def test_lags_and_rolling_equal_pandas(table, long):
+def test_lags_and_rolling_equal_pandas(table, rows):
     filled = table.na.fill(0.0)
-    out = frame(series.add_rolling(series.add_lags(filled, ["aqi"], (1, 6, 168), long=long), ["aqi"], (3, 24), extremes=(24,), long=long))
+    out = frame(series.add_rolling(series.add_lags(filled, ["aqi"], (1, 6, 168)), ["aqi"], (3, 24), extremes=(24,)))
     by = out.groupby("station_id")["aqi"]
     for k in (1, 6, 168):
         close(out[f"aqi_lag{k}"], by.shift(k))
@@ -40,26 +42,26 @@ def test_lags_and_rolling_equal_pandas(table, long):
     close(out["aqi_roll24_min"], by.transform(lambda s: s.shift(1).rolling(24, min_periods=1).min()))
 
 
-def test_diffs_and_targets(table, long):
+def test_diffs_and_targets(table, rows):
     filled = table.na.fill(0.0)
-    out = frame(series.add_diffs(filled, "aqi", (1, 24), long=long))
+    out = frame(series.add_diffs(filled, "aqi", (1, 24)))
     close(out["aqi_diff24"], out.groupby("station_id")["aqi"].diff(24))
-    targets = series.add_targets(filled, "aqi", range(1, 25), long=long)
+    targets = series.add_targets(filled, "aqi", range(1, 25))
     # Exactly the last 24 rows of each series drop.
     assert {r["station_id"]: r["count"] for r in targets.groupBy("station_id").count().collect()} == {"A": 676, "B": 36}
-    every = frame(series.add_targets(filled, "aqi", (24,), long=long, complete_only=False))
+    every = frame(series.add_targets(filled, "aqi", (24,), complete_only=False))
     close(every["aqi_t24"], every.groupby("station_id")["aqi"].shift(-24))
 
 
-def test_fill_forward(table, long):
-    got = frame(series.fill_forward(table, ["aqi", "pm25"], long=long))
+def test_fill_forward(table, rows):
+    got = frame(series.fill_forward(table, ["aqi", "pm25"]))
     want = frame(table)
     for c in ("aqi", "pm25"):
         close(got[c], want.groupby("station_id")[c].ffill())
 
 
-def test_fill_offline_uses_the_median_of_the_filled_series(table, long):
-    got = frame(series.fill_offline(table, ["aqi", "pm25"], long=long))
+def test_fill_offline_uses_the_median_of_the_filled_series(table, rows):
+    got = frame(series.fill_offline(table, ["aqi", "pm25"]))
     want = frame(table)
     for c in ("aqi", "pm25"):
         filled = want.groupby("station_id")[c].ffill()
@@ -67,9 +69,9 @@ def test_fill_offline_uses_the_median_of_the_filled_series(table, long):
         close(got[c], filled.fillna(median).fillna(0.0))
 
 
-def test_fill_offline_of_a_column_without_values(spark, long):
+def test_fill_offline_of_a_column_without_values(spark, rows):
     df = spark.sql("SELECT 'A' AS station_id, TIMESTAMP_NTZ '2024-01-01' AS timestamp, CAST(NULL AS DOUBLE) AS aqi")
-    assert series.fill_offline(df, ["aqi"], long=long).first()["aqi"] == 0.0
+    assert series.fill_offline(df, ["aqi"]).first()["aqi"] == 0.0
 
 
 def test_fill_live(table):
@@ -77,12 +79,14 @@ def test_fill_live(table):
     close(got["aqi"], want.groupby("station_id")["aqi"].transform(lambda s: s.ffill().bfill().fillna(0.0)))
 
 
-def test_engineer_is_the_same_whole_and_segmented(table):
+def test_engineer_is_the_same_in_segments(table, monkeypatch):
     filled = table.na.fill(1.0).withColumn("wind_direction_10m", F.lit(90.0))
     spec = series.FeatureSpec(pollutants=("aqi", "pm25"), lags=(1, 48), rolling=(6, 24), extremes=(24,), diffs=(1, 24), horizons=24,
                               interactions=(("x", "aqi", "pm25"),), calendar_parts=("hour_of_day", "month"),
                               cycles=(("hour_of_day", 24, "hour"), ("wind_direction_10m", 360, "wind_dir")))
-    a, b = frame(series.engineer(filled, spec)), frame(series.engineer(filled, spec, long=True))
+    a = frame(series.engineer(filled, spec))
+    monkeypatch.setattr(series, "SEGMENT_ROWS", 60)
+    b = frame(series.engineer(filled, spec))
     assert list(a.columns) == list(b.columns) and len(a) == 676 + 36
     for c in a.columns[2:]:
         close(a[c], b[c])
@@ -90,13 +94,22 @@ def test_engineer_is_the_same_whole_and_segmented(table):
     assert not a.isnull().any().any()
 
 
-def test_engineered_last_row(table):
+def test_engineered_last_row(table, rows):
     filled = table.na.fill(1.0)
     spec = series.FeatureSpec(pollutants=("aqi",), lags=(1, 24), rolling=(6,))
-    for long in (False, True):
-        every = frame(series.engineer(filled, spec, long=long)).groupby("station_id").tail(1).reset_index(drop=True)
-        last = frame(series.engineer(filled, spec, long=long, last_only=True))
-        pd.testing.assert_frame_equal(every, last)
+    every = frame(series.engineer(filled, spec)).groupby("station_id").tail(1).reset_index(drop=True)
+    pd.testing.assert_frame_equal(every, frame(series.engineer(filled, spec, last_only=True)))
+
+
+def test_filling_many_columns_plans_quickly(table):
+    import time
+    wide = table.withColumns({f"c{i}": F.col("pm25") + i for i in range(17)})
+    columns = ["aqi", "pm25", *[f"c{i}" for i in range(17)]]
+    start = time.perf_counter()
+    out = series.fill_offline(wide, columns)
+    out._jdf.queryExecution().optimizedPlan()
+    assert time.perf_counter() - start < 10
+    assert out.where(" OR ".join(f"{c} IS NULL" for c in columns)).count() == 0
 
 
 def test_specs_name_the_live_and_training_features(spark):
@@ -140,15 +153,9 @@ def test_densify_adds_exactly_the_missing_hours(table):
     assert out["aqi"].notna().sum() == raw["aqi"].notna().sum()
 
 
-def test_sequences(table, long):
-    out = frame(series.sequence_windows(table.na.fill(0.0), ["aqi"], 24, long=long))
+def test_sequences(table, rows):
+    out = frame(series.sequence_windows(table.na.fill(0.0), ["aqi"], 24))
     raw = frame(table.na.fill(0.0))
     a = raw[raw["station_id"] == "A"]["aqi"].tolist()
     got = out[out["station_id"] == "A"]["aqi_seq"].tolist()
     assert len(got) == 700 - 23 and list(got[0]) == a[:24] and list(got[-1]) == a[-24:]
-
-
-def test_length_checks(table):
-    assert series.is_long(table, limit=100) and not series.is_long(table)
-    assert series.may_be_long(table, "timestamp", limit=100) and not series.may_be_long(table, "timestamp")
-    assert not series.may_be_long(table.where("false"), "timestamp")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -94,8 +94,8 @@ def split_by_time(df: DataFrame, train_end: str = K.TRAIN_END, val_end: str = K.
 
 def hash_sample(df: DataFrame, keys: list[str], fraction: float, seed: int = 42) -> DataFrame:
     """A reproducible sample: the same rows for the same seed, however data is partitioned."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000))
-    return df.where(bucket < int(fraction * 1_000_000))
+    text = F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return df.where(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") < int(fraction * 2**32))
 
 
 def display_time(ts: str, zone: str = "Asia/Kolkata", pattern: str = "dd MMM yyyy, HH:mm"):
@@ -111,8 +111,15 @@ def station_label(city: str, station: str, station_id: str):
 
 
 def encode_labels(df: DataFrame, column: str = "city", out: str = "city_encoded") -> DataFrame:
-    """Dense codes of the sorted distinct values: one row per value."""
-    values = df.select(F.col(column).cast("string").alias(column)).distinct()
-    # The value list is a dictionary (cities), kept as one array for the codes.
-    ordered = values.agg(F.sort_array(F.collect_set(column)).alias("_v"))
-    return ordered.select(F.posexplode("_v").alias(out, column)).select(column, out)
+    """Dense codes of the sorted distinct values, null left out: one row per value.
+
+    Values are counted by their first two characters; a value's code is the count of all
+    values before its prefix plus its rank inside it, so only the prefixes meet in one task.
+    """
+    values = df.select(F.col(column).cast("string").alias(column)).where(F.col(column).isNotNull()).distinct()
+    prefixed = values.withColumn("_prefix", F.substring(column, 1, 2))
+    before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    starts = prefixed.groupBy("_prefix").agg(F.count("*").alias("_n")).select(
+        "_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = prefixed.withColumn("_rank", F.row_number().over(Window.partitionBy("_prefix").orderBy(column)) - 1)
+    return ranked.join(starts, "_prefix").select(column, (F.col("_before") + F.col("_rank")).cast("int").alias(out))

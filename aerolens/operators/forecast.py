@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from itertools import product
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.air import advisory, forecast_array, primary_pollutant
 from ..functions.numeric import half_even_int, safe_double
+from ..sources.payloads import prediction_from_json, prediction_to_json
+from .incremental import upsert_table
+from .ordered import latest_by, quantiles
 from .profile import long_form
-from .ordered import quantiles
 
 
 def training_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact median of each column over the training split (0 without any value): the
     fitted state of the imputation, one number per column."""
     long = long_form(df.where("split = 'train'"), columns)
-    found = quantiles(long, ["feature"], "value", {"median": 0.5}, few_keys=True).collect()
+    found = quantiles(long, ["feature"], "value", {"median": 0.5}).collect()
     return {**dict.fromkeys(columns, 0.0), **{r["feature"]: r["median"] for r in found}}
 
 
@@ -34,34 +39,43 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def train_horizons(
-    train: DataFrame, features: list[str], horizons=range(1, K.N_AHEAD + 1), target: str = "aqi", **params
+    train: DataFrame, features: list[str], horizons=range(1, K.N_AHEAD + 1), target: str = "aqi", parallel: int = 6, **params
 ) -> dict[int, GBTRegressionModel]:
-    """One boosted-tree model per horizon. Pass a written table: each model reads it once per tree level."""
+    """One boosted-tree model per horizon, ``parallel`` of them fitted at a time.
+
+    Pass a written table: each model reads it once per tree level.
+    """
     packed = assemble(train, features)
     settings = {"maxDepth": 6, "stepSize": 0.05, "maxIter": 200, "minInstancesPerNode": 50, "seed": 42, **params}
-    return {
-        h: GBTRegressor(featuresCol="features", labelCol=f"{target}_t{h}", predictionCol=f"pred_t{h}", **settings).fit(packed)
-        for h in horizons
-    }
-
-
-def search_parameters(train: DataFrame, features: list[str], label: str, grid: dict[str, list], ratio=0.8, seed=42):
-    """Grid search maximising R2 on a held-out part; returns (best model, trial table)."""
-    spark = train.sparkSession
-    learner = GBTRegressor(featuresCol="features", labelCol=label, seed=seed)
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(learner.getParam(name), values)
-    points = builder.build()
-    search = TrainValidationSplit(
-        estimator=learner, estimatorParamMaps=points, trainRatio=ratio, seed=seed, parallelism=2,
-        evaluator=RegressionEvaluator(labelCol=label, metricName="r2"))
-    fitted = search.fit(assemble(train, features))
-    rows = [
-        {"trial": i, "params": ",".join(f"{p.name}={v}" for p, v in sorted(point.items(), key=lambda x: x[0].name)), "r2": float(score)}
-        for i, (point, score) in enumerate(zip(points, fitted.validationMetrics))
-    ]
-    return fitted.bestModel, spark.createDataFrame(rows, "trial int, params string, r2 double")
+
+    def fit(h: int) -> GBTRegressionModel:
+        return GBTRegressor(featuresCol="features", labelCol=f"{target}_t{h}", predictionCol=f"pred_t{h}", **settings).fit(packed)
+
+    return dict(zip(horizons, _in_parallel(train.sparkSession, fit, horizons, parallel)))
+
+
+def search_parameters(df: DataFrame, features: list[str], label: str, grid: dict[str, list], seed: int = 42, parallel: int = 6):
+    """Grid search: fits on the ``train`` rows, scores R2 on the later ``val`` rows, as hours that overlap in
+    their windows must not be on both sides. Returns (best model, trial table)."""
+    packed = assemble(df, features).select("split", "features", label)
+    train, val = packed.where("split = 'train'"), packed.where("split = 'val'")
+    judge = RegressionEvaluator(labelCol=label, metricName="r2")
+    points = [dict(zip(grid, values)) for values in product(*grid.values())]
+
+    def trial(point: dict) -> tuple[GBTRegressionModel, float]:
+        model = GBTRegressor(featuresCol="features", labelCol=label, seed=seed, **point).fit(train)
+        return model, float(judge.evaluate(model.transform(val)))
+
+    done = _in_parallel(df.sparkSession, trial, points, parallel)
+    rows = [(i, ",".join(f"{k}={v}" for k, v in sorted(p.items())), r2) for i, (p, (_, r2)) in enumerate(zip(points, done))]
+    best = max(range(len(done)), key=lambda i: done[i][1])
+    return done[best][0], df.sparkSession.createDataFrame(rows, "trial int, params string, r2 double")
+
+
+def _in_parallel(spark: SparkSession, work, items, parallel: int) -> list:
+    """Results of ``work`` in order; each call submits its own Spark jobs."""
+    with ThreadPoolExecutor(parallel) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))
 
 
 def score(df: DataFrame, models: dict[int, GBTRegressionModel], features: list[str]) -> DataFrame:
@@ -77,22 +91,41 @@ def persistence(df: DataFrame, horizons, current: str = "aqi") -> DataFrame:
     return df.withColumns({f"pred_t{h}": F.col(current) for h in horizons})
 
 
+def daily_naive(df: DataFrame, horizons, lags: str = "aqi_lag{}") -> DataFrame:
+    """The value of the same hour one day before the forecast hour, from columns of lagged values."""
+    return df.withColumns({f"pred_t{h}": F.col(lags.format(24 - h)) if h < 24 else F.col("aqi") for h in horizons})
+
+
 def prediction_records(scored: DataFrame, horizons, trends: DataFrame, keep: list[str]) -> DataFrame:
     """Prediction records of scored rows: forecast, pollutants, trend, advice.
 
-    ``trends`` has one ``weekly_trend`` array per station.
+    ``horizons`` are the hours 1, 2, .. without a gap: the forecast's n-th place is hour n (after the
+    last one its value is repeated). ``trends`` has one ``weekly_trend`` array per station. All six
+    headline pollutants are named; absent or missing ones are 0.
     """
-    present = [p for p, _ in K.HEADLINE_POLLUTANTS if p in scored.columns]
-    joined = scored.withColumn("forecast", forecast_array([f"pred_t{h}" for h in horizons])).join(trends, "station_id", "left")
+    if list(horizons) != list(range(1, len(horizons) + 1)):
+        raise ValueError(f"forecast hours must be 1, 2, ... without a gap, not {list(horizons)}")
+    full = scored.withColumns({p: F.lit(0.0) for p, _ in K.HEADLINE_POLLUTANTS if p not in scored.columns})
+    joined = full.withColumn("forecast", forecast_array([f"pred_t{h}" for h in horizons])).join(trends, "station_id", "left")
     current = half_even_int(F.coalesce(safe_double("aqi"), F.get("forecast", F.lit(0)).cast("double")))
-    pollutants = ", ".join(f"'{p}', coalesce(nullif({p}, double('NaN')), 0.0D)" for p in present)
+    pollutants = ", ".join(f"'{label.replace('.', '_')}', coalesce(nullif({p}, double('NaN')), 0.0D)" for p, label in K.HEADLINE_POLLUTANTS)
     return joined.select(
-        *keep, current.alias("current_aqi"), primary_pollutant(present).alias("primary_pollutant"), "forecast",
+        *keep, current.alias("current_aqi"), primary_pollutant([p for p, _ in K.HEADLINE_POLLUTANTS]).alias("primary_pollutant"), "forecast",
         F.expr(f"map({pollutants})").alias("pollutants"),
         F.coalesce("weekly_trend", F.slice("forecast", 1, 7)).alias("weekly_trend"),
     ).withColumn("advisory", advisory("current_aqi"))
 
 
+def store_predictions(path: str, records: DataFrame, keys=("city", "computed_at")) -> None:
+    """Insert-or-replace prediction records, as stored JSON, by city and time of computation."""
+    upsert_table(path, prediction_to_json(records), list(keys), [keys[-1]], keys[-1])
+
+
+def latest_predictions(stored: DataFrame, key: str = "city", at: str = "computed_at") -> DataFrame:
+    """The newest stored record of each city, read back from JSON."""
+    return prediction_from_json(latest_by(stored, [key], [at]))
+
+
 def forecast_summary(records: DataFrame, keep: list[str]) -> DataFrame:
     """Peak and half-even mean of each forecast."""
     total = F.aggregate("forecast", F.lit(0).cast("bigint"), lambda a, x: a + x)

@@ -40,9 +40,14 @@ def with_weather(readings: DataFrame, weather: DataFrame) -> DataFrame:
     return readings.join(weather, ["timestamp", "station_id", "city"], "left")
 
 
+def with_city_weather(readings: DataFrame, weather: DataFrame) -> DataFrame:
+    """Weather has one row per city and hour; it is not repeated for the stations of a city."""
+    return readings.join(weather, ["city", "timestamp"], "left")
+
+
 def merge_live(readings: DataFrame, weather: DataFrame, order: list[str]) -> DataFrame:
     """Readings with city weather of the hour; one row (the last in ``order``) per key."""
-    joined = readings.join(weather, ["city", "timestamp"], "left")
+    joined = with_city_weather(readings, weather)
     return latest_by(joined, ["city", "station_id", "timestamp"], order)
 
 

@@ -7,7 +7,7 @@ Requests have ``ts``, ``city``, ``status`` and ``latency``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -61,8 +61,9 @@ def latency_p95(requests: DataFrame, threshold: float = 10.0, buckets=K.LATENCY_
     ).withColumn("breach", F.col("p95") > threshold)
 
 
-def failed_fetches(requests: DataFrame, length: str = "10 minutes") -> DataFrame:
-    counts = minute_counts(requests, {"failed": F.col("status") == "error"})
+def failed_fetches(fetches: DataFrame, length: str = "10 minutes", status: str = "failed") -> DataFrame:
+    """Windows with fetches of the given status; a fetch log writes ``failed``."""
+    counts = minute_counts(fetches, {"failed": F.col("status") == status})
     return sliding(counts, ["failed"], length=length).withColumn("breach", F.col("failed") > 0)
 
 
@@ -89,12 +90,25 @@ def stale(readings: DataFrame, now: str, hours: float = 3.0, key: str = "station
 def held(windows: DataFrame, hold: str, step: str = "1 minute", at: str = "window_end", alert: str = "alert") -> DataFrame:
     """Alerts whose breach lasted at least ``hold``: one row per unbroken run of breaches.
 
-    Consecutive evaluations one ``step`` apart form a session; a missing or clean
-    evaluation ends it.
+    Consecutive evaluations at most one ``step`` apart form a run; a missing or clean
+    evaluation ends it. Runs are first formed inside each day of an alert; runs that meet at
+    midnight are then joined over the few runs a day has, so no task holds an alert's history.
     """
-    runs = windows.where("breach").groupBy(
-        alert, F.session_window(F.col(at).cast("timestamp"), f"{step} 1 second").alias("_s")
-    ).agg(F.min(at).alias("active_since"), F.max(at).alias("last_breach"), F.count("*").alias("evaluations"))
+    day = windows.where("breach").withColumn("_day", F.to_date(at))
+    inside = Window.partitionBy(alert, "_day").orderBy(at)
+    reach = F.expr(f"interval {step}")
+
+    def number(df: DataFrame, w, start: str, last: str) -> DataFrame:
+        """Number the runs: a gap of more than a step before a row begins one."""
+        before = F.max(last).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        begins = F.when(before.isNull() | (F.col(start) > before + reach), 1).otherwise(0)
+        return df.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    daily = number(day, inside, at, at).groupBy(alert, "_day", "_run").agg(
+        F.min(at).alias("active_since"), F.max(at).alias("last_breach"), F.count("*").alias("evaluations"))
+    over = Window.partitionBy(alert).orderBy("active_since")
+    runs = number(daily.drop("_run"), over, "active_since", "last_breach").groupBy(alert, "_run").agg(
+        F.min("active_since").alias("active_since"), F.max("last_breach").alias("last_breach"), F.sum("evaluations").alias("evaluations"))
     return runs.where(F.col("last_breach") - F.col("active_since") >= F.expr(f"interval {hold}")).select(
         alert, "active_since", (F.col("active_since") + F.expr(f"interval {hold}")).alias("firing_since"),
         "last_breach", "evaluations")

@@ -11,7 +11,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .profile import null_report
+from .profile import correlation, null_report
 
 
 def null_rates(df: DataFrame, columns: list[str]) -> dict[str, float]:
@@ -58,17 +58,26 @@ def duplicate_columns(df: DataFrame, columns: list[str]) -> list[str]:
     return repeated
 
 
-def correlated_columns(df: DataFrame, columns: list[str], threshold: float = 0.98) -> list[str]:
+def correlated_columns(df: DataFrame, columns: list[str], threshold: float = 0.98, at_once: int = 200) -> list[str]:
     """Columns whose absolute correlation with any earlier column exceeds ``threshold``.
 
-    An earlier column counts even if it is dropped itself. Takes null-free columns; the
-    Gram matrix is built by a tree aggregate, only the column-by-column result is local.
+    An earlier column counts even if it is dropped itself. A pair is judged by the rows that have both
+    values: columns without nulls share one Gram matrix (a tree aggregate over the rows), pairs with
+    nulls go ``at_once`` to an aggregate. Only one number a pair comes to the driver.
     """
-    if len(columns) < 2:
-        return []
-    packed = VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="skip").transform(df.select(*columns))
-    matrix = Correlation.corr(packed, "_x").first()[0].toArray()
-    return [c for j, c in enumerate(columns) if any(abs(matrix[i][j]) > threshold for i in range(j))]
+    rates = null_rates(df, columns)
+    whole = [c for c in columns if rates[c] == 0]
+    found: dict[tuple[str, str], float | None] = {}
+    if len(whole) > 1:
+        packed = VectorAssembler(inputCols=whole, outputCol="_x", handleInvalid="keep").transform(df.select(*whole))
+        matrix = Correlation.corr(packed, "_x").first()[0].toArray()
+        found |= {(a, b): matrix[i][j] for j, b in enumerate(whole) for i, a in enumerate(whole[:j])}
+    pairs = [(a, b) for j, b in enumerate(columns) for a in columns[:j] if (a, b) not in found]
+    for i in range(0, len(pairs), at_once):
+        some = pairs[i:i + at_once]
+        found |= dict(zip(some, df.agg(*[correlation(F.col(a), F.col(b)) for a, b in some]).first()))
+    close = {b for (_, b), x in found.items() if x is not None and abs(x) > threshold}
+    return [c for c in columns if c in close]
 
 
 def most_missing(df: DataFrame, columns: list[str], k: int = 5) -> list[str]:
@@ -77,8 +86,8 @@ def most_missing(df: DataFrame, columns: list[str], k: int = 5) -> list[str]:
     return sorted(columns, key=lambda c: -rates[c])[:k]
 
 
-def select_features(df: DataFrame, candidates: list[str], threshold: float = 0.98, limit: int = 180) -> list[str]:
-    """Candidates without duplicates and near copies, capped to the first ``limit``."""
+def select_features(df: DataFrame, candidates: list[str], threshold: float = 0.98, limit: int | None = None) -> list[str]:
+    """Candidates without duplicates and near copies; the first ``limit`` of them if one is given."""
     repeated = set(duplicate_columns(df, candidates))
     unique = [c for c in candidates if c not in repeated]
     close = set(correlated_columns(df, unique, threshold))

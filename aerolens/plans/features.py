@@ -11,6 +11,7 @@ from ..operators import clean, joins, selection, series
 from ..operators.incremental import recent
 from ..operators.ordered import first_n, last_n, latest_by
 from ..session import written
+from . import jobs
 from . import views as V
 from .registry import query
 
@@ -20,11 +21,6 @@ COLUMNS = [*V.MEASURED, "aqi"]
 WIN = "OVER (PARTITION BY station_id ORDER BY timestamp)"
 
 
-def long_series(spark, d) -> bool:
-    """Readings hold one row per station and hour, so the event time span bounds a series."""
-    return series.may_be_long(V.table(spark, d, "events"), "ts")
-
-
 def ffill_sql(c, source="readings"):
     return f"last_value({c} IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
@@ -40,7 +36,7 @@ FILL_CTE = ("ff AS (SELECT station_id, timestamp, " + ", ".join(f"{ffill_sql(c)}
 
 
 def filled(spark, d):
-    out = series.fill_offline(V.readings(spark, d), COLUMNS, long=long_series(spark, d))
+    out = series.fill_offline(V.readings(spark, d), COLUMNS)
     return V.rounded(out, COLUMNS)
 
 
@@ -49,7 +45,7 @@ SELECT f.*, CAST(r.pm25 IS NULL AS INTEGER) AS pm25_was_missing, CAST(r.no2 IS N
 FROM filled f JOIN readings r USING (station_id, timestamp)"""))
 def fill_offline(spark, d):
     flagged = series.add_missing_flags(V.readings(spark, d), ["pm25", "no2"])
-    return V.rounded(series.fill_offline(flagged, COLUMNS, long=long_series(spark, d)), COLUMNS)
+    return V.rounded(series.fill_offline(flagged, COLUMNS), COLUMNS)
 
 
 @query("fill_live", V.with_sql(R, """recent AS (
@@ -67,7 +63,7 @@ LAGS = (1, 2, 3, 6, 12, 24, 48, 72, 168)
     f"lag({c}, {k}) {WIN} AS {c}_lag{k}" for c in ("pm25", "aqi") for k in LAGS) + " FROM filled"))
 def lag_features(spark, d):
     f = filled(spark, d).select("station_id", "timestamp", "pm25", "aqi")
-    return series.add_lags(f, ["pm25", "aqi"], LAGS, long=long_series(spark, d)).drop("pm25", "aqi")
+    return series.add_lags(f, ["pm25", "aqi"], LAGS).drop("pm25", "aqi")
 
 
 def roll_sql(c, w, fn):
@@ -79,7 +75,7 @@ def roll_sql(c, w, fn):
     + ", " + ", ".join(f"{roll_sql('aqi', w, fn)} AS aqi_roll{w}_{fn}" for w in (24, 168) for fn in ("max", "min")) + " FROM filled"))
 def rolling_features(spark, d):
     f = filled(spark, d).select("station_id", "timestamp", "aqi")
-    out = series.add_rolling(f, ["aqi"], (6, 24, 48, 168), extremes=(24, 168), long=long_series(spark, d)).drop("aqi")
+    out = series.add_rolling(f, ["aqi"], (6, 24, 48, 168), extremes=(24, 168)).drop("aqi")
     return V.rounded(out, [c for c in out.columns if c.endswith(("_mean", "_std"))], 4)
 
 
@@ -87,7 +83,7 @@ def rolling_features(spark, d):
     f"{r(f'aqi - lag(aqi, {k}) {WIN}')} AS aqi_diff{k}" for k in (1, 3, 24)) + " FROM filled"))
 def diff_features(spark, d):
     f = filled(spark, d).select("station_id", "timestamp", "aqi")
-    out = series.add_diffs(f, "aqi", (1, 3, 24), long=long_series(spark, d)).drop("aqi")
+    out = series.add_diffs(f, "aqi", (1, 3, 24)).drop("aqi")
     return V.rounded(out, ["aqi_diff1", "aqi_diff3", "aqi_diff24"])
 
 
@@ -112,18 +108,17 @@ def calendar_features(spark, d):
     f"lead(aqi, {h}) {WIN} AS aqi_t{h}" for h in range(1, 25)) + " FROM filled)", select="SELECT * FROM t WHERE aqi_t24 IS NOT NULL"))
 def lead_targets(spark, d):
     f = filled(spark, d).select("station_id", "timestamp", "aqi")
-    return series.add_targets(f, "aqi", range(1, 25), long=long_series(spark, d)).drop("aqi")
+    return series.add_targets(f, "aqi", range(1, 25)).drop("aqi")
 
 
 def feature_table(spark, d, spec=series.OFFLINE):
     """Readings with weather, filled and engineered: the training table."""
     s = V.stations(spark, d).select("station_id", "city")
     joined = joins.with_station(V.readings(spark, d), s).join(V.city_weather(spark, d), ["city", "timestamp"], "left")
-    long = long_series(spark, d)
     weather = [c for c in ("temperature_2m", "wind_speed_10m", "relative_humidity_2m", "wind_direction_10m") if c in joined.columns]
     kept = joined.select("station_id", "city", "timestamp", *COLUMNS, *weather)
-    ready = V.rounded(series.fill_offline(kept, [*COLUMNS, *weather], long=long), [*COLUMNS, *weather])
-    return series.engineer(ready, spec, long=long)
+    ready = V.rounded(series.fill_offline(kept, [*COLUMNS, *weather]), [*COLUMNS, *weather])
+    return series.engineer(ready, spec)
 
 
 JOINED_CTE = """joined AS (
@@ -157,25 +152,32 @@ LIVE_SHOWN = {
     "precipitation_roll6_std": roll_sql("precipitation", 6, "stddev_samp"), "day_of_year_sin": "sin(2e0 * pi() * dayofyear(timestamp) / 365e0)",
     "season": "CASE WHEN month(timestamp) IN (12, 1, 2) THEN 0 WHEN month(timestamp) <= 5 THEN 1 WHEN month(timestamp) <= 9 THEN 2 ELSE 3 END",
     "pm25_x_wind": "pm25 * wind_speed_10m", "no2_x_temp": "no2 * temperature_2m", "benzene_lag1": "0e0",
+    "wind_dir_sin": "sin(2e0 * pi() * wind_direction_10m / 360e0)", "wind_dir_cos": "cos(2e0 * pi() * wind_direction_10m / 360e0)",
 }
 LIVE_ALL = [*COLUMNS, "temperature_2m", "wind_speed_10m", "relative_humidity_2m", "precipitation"]
 
 
+# The test stations report every second hour, so that enough rows lie in twice the usual 200 hours.
+LIVE_HOURS = 400
+
+
 def live_features(spark, d):
     """The newest feature row of every station with enough recent history."""
     now = V.now_of(V.table(spark, d, "events"))
-    since = V.back(now, hours=720)
+    since = V.back(now, hours=LIVE_HOURS)
     s = V.stations(spark, d).select("station_id", "city")
-    history = recent(V.readings(spark, d, since=since), now, 720)
+    history = recent(V.readings(spark, d, since=since), now, LIVE_HOURS)
     joined = joins.with_station(history, s).join(V.city_weather(spark, d, since), ["city", "timestamp"], "left")
-    kept = series.enough_history(joined).select("station_id", "timestamp", *LIVE_ALL, "wind_direction_10m")
+    # The wind direction is unknown every third hour, and not filled.
+    wind = F.when(F.hour("timestamp") % 3 != 0, F.col("wind_direction_10m")).alias("wind_direction_10m")
+    kept = series.enough_history(joined).select("station_id", "timestamp", *LIVE_ALL, wind)
     return series.engineer(series.fill_live(kept, LIVE_ALL), series.LIVE, last_only=True)
 
 
-LIVE_CTE = ("h AS (SELECT station_id, timestamp, " + ", ".join(LIVE_ALL) + """ FROM readings LEFT JOIN stations USING (station_id)
-  LEFT JOIN weather USING (city, timestamp) WHERE timestamp >= (SELECT max(ts) FROM events) - INTERVAL 720 HOUR), """
+LIVE_CTE = ("h AS (SELECT station_id, timestamp, " + ", ".join(LIVE_ALL) + """, CASE WHEN hour(timestamp) % 3 <> 0 THEN wind_direction_10m END AS wind_direction_10m FROM readings LEFT JOIN stations USING (station_id)
+  LEFT JOIN weather USING (city, timestamp) WHERE timestamp >= (SELECT max(ts) FROM events) - INTERVAL 400 HOUR), """
   "e AS (SELECT * FROM h WHERE station_id IN (SELECT station_id FROM h GROUP BY 1 HAVING count(*) >= 168)), "
-  "live AS (SELECT station_id, timestamp, " + ", ".join(f"coalesce({ffill_sql(c)}, {bfill_sql(c)}, 0) AS {c}" for c in LIVE_ALL) + " FROM e)")
+  "live AS (SELECT station_id, timestamp, " + ", ".join(f"coalesce({ffill_sql(c)}, {bfill_sql(c)}, 0) AS {c}" for c in LIVE_ALL) + ", wind_direction_10m FROM e)")
 
 
 @query("feature_table_live", V.with_sql(R, S, W, LIVE_CTE, "t AS (SELECT station_id, timestamp, " + ", ".join(
@@ -194,7 +196,7 @@ def feature_table_live(spark, d):
 SELECT station_id, timestamp, aqi, lag(aqi, 24) {WIN} AS aqi_lag24 FROM grid LEFT JOIN readings USING (station_id, timestamp)"""))
 def densified_lags(spark, d):
     grid = series.densify(V.readings(spark, d).select("station_id", "timestamp", "aqi"))
-    return series.add_lags(grid, ["aqi"], (24,), long=long_series(spark, d))
+    return series.add_lags(grid, ["aqi"], (24,))
 
 
 @query("sequence_windows", V.with_sql(R, FILL_CTE, f"""t AS (
@@ -202,7 +204,7 @@ def densified_lags(spark, d):
 SELECT station_id, timestamp, CAST(len(l) AS INTEGER) AS steps, l[1] AS first_value, l[24] AS last_value, {r('list_sum(l)')} AS total FROM t WHERE len(l) = 24"""))
 def sequence_windows(spark, d):
     f = filled(spark, d).select("station_id", "timestamp", "aqi")
-    out = series.sequence_windows(f, ["aqi"], 24, long=long_series(spark, d))
+    out = series.sequence_windows(f, ["aqi"], 24)
     total = F.aggregate("aqi_seq", F.lit(0.0), lambda a, x: a + x)
     return out.select("station_id", "timestamp", F.size("aqi_seq").alias("steps"), F.get("aqi_seq", F.lit(0)).alias("first_value"),
                       F.get("aqi_seq", F.lit(23)).alias("last_value"), V.r6(total).alias("total"))
@@ -218,12 +220,17 @@ def near_constant(spark, d):
     return V.rounded(shares, ["modal_share"])
 
 
-@query("missing_flags", V.with_sql(R, select="SELECT station_id, timestamp, " + ", ".join(
-    f"CAST({c} IS NULL AS INTEGER) AS {c}_was_missing" for c in V.MEASURED) + " FROM readings"))
+@query("missing_flags", V.with_sql(R, f"""rates AS (SELECT unnest({[*V.MEASURED]!r}) AS c, unnest([{', '.join(f'count(*) - count({c})' for c in V.MEASURED)}]) AS n,
+  unnest([{', '.join(str(i) for i in range(len(V.MEASURED)))}]) AS i FROM readings)""", "top AS (SELECT c FROM rates ORDER BY n DESC, i LIMIT 2)",
+  "flags AS (" + " UNION ALL ".join(f"SELECT station_id, timestamp, '{c}' AS feature, CAST({c} IS NULL AS INTEGER) AS was_missing FROM readings" for c in V.MEASURED) + ")",
+  select="SELECT * FROM flags WHERE feature IN (SELECT c FROM top)"))
 def missing_flags(spark, d):
+    """Flags of the two columns of five that are missing most often."""
     table = V.readings(spark, d)
-    top = selection.most_missing(table, list(V.MEASURED), 5)
-    return series.add_missing_flags(table, top).select("station_id", "timestamp", *[f"{c}_was_missing" for c in V.MEASURED])
+    top = selection.most_missing(table, list(V.MEASURED), 2)
+    flagged = series.add_missing_flags(table, top).select(
+        "station_id", "timestamp", *[F.col(f"{c}_was_missing").alias(c) for c in top])
+    return flagged.unpivot(["station_id", "timestamp"], top, "feature", "was_missing")
 
 
 @query("correlated_columns", f"""
@@ -267,13 +274,40 @@ def drop_columns(spark, d):
     return spark.createDataFrame([(c,) for c in sparse], "column_name string")
 
 
+TRAINING_ALL = [*COLUMNS, "temperature_2m", "wind_speed_10m", "relative_humidity_2m", "wind_direction_10m"]
+TRAINING_CTE = V.with_sql(R, S, W, JOINED_CTE, READY_CTE, """st AS (
+  SELECT station_id, coalesce(avg(aqi), 0) AS station_aqi_mean, coalesce(median(aqi), 0) AS station_aqi_median FROM joined GROUP BY 1)""", """ct AS (
+  SELECT city, coalesce(avg(aqi), 0) AS city_aqi_mean, coalesce(median(aqi), 0) AS city_aqi_median, dense_rank() OVER (ORDER BY city) - 1 AS city_encoded
+  FROM joined GROUP BY city)""", f"""t AS (SELECT r.station_id, j.city, r.timestamp, city_encoded, station_aqi_mean, station_aqi_median, city_aqi_mean, city_aqi_median, r.aqi,
+  lead(r.aqi, 24) OVER (PARTITION BY r.station_id ORDER BY r.timestamp) AS aqi_t24
+  FROM ready r JOIN joined j USING (station_id, timestamp) JOIN st USING (station_id) JOIN ct ON j.city = ct.city)""", select=f"""
+SELECT station_id, city, timestamp, CAST(city_encoded AS INTEGER) AS city_encoded, {r('station_aqi_mean')} AS station_aqi_mean, {r('station_aqi_median')} AS station_aqi_median,
+  {r('city_aqi_mean')} AS city_aqi_mean, {r('city_aqi_median')} AS city_aqi_median, aqi_t24,
+  {{columns}} AS columns_kept FROM t WHERE aqi_t24 IS NOT NULL""")
+
+
+def training_input(spark, d):
+    s = V.stations(spark, d).select("station_id", "city")
+    joined = joins.with_station(V.readings(spark, d), s).join(V.city_weather(spark, d), ["city", "timestamp"], "left")
+    kept = joined.select("station_id", "city", "timestamp", *TRAINING_ALL)
+    # Two columns that the job must drop: one constant, one that is nearly always missing.
+    return kept.withColumns({"o3": F.lit(1.0), "nh3": F.when(F.hour("timestamp") == 3, 1.0 * F.dayofmonth("timestamp"))})
+
+
+@query("training_features", TRAINING_CTE.replace("{columns}", "'nh3 dropped, o3 dropped'"))
+def training_features(spark, d):
+    """The composed training job: pruned, flagged, filled, engineered and encoded."""
+    table, meta = jobs.engineered_training(training_input(spark, d))
+    dropped = ", ".join(f"{c} dropped" for c in ("nh3", "o3") if c in meta["dropped"] and c not in table.columns)
+    shown = ["station_aqi_mean", "station_aqi_median", "city_aqi_mean", "city_aqi_median", "aqi_t24"]
+    return V.rounded(table.select("station_id", "city", "timestamp", "city_encoded", *shown), shown).withColumn("columns_kept", F.lit(dropped))
+
+
 @query("selected_features")
 def selected_features(spark, d):
-    table = written(feature_table(spark, d), "features")
-    targets = {f"aqi_t{h}" for h in range(1, 25)}
-    candidates = [c for c in table.columns if c not in targets and c not in ("station_id", "city", "timestamp")]
-    chosen = selection.select_features(table, candidates)
-    return spark.createDataFrame([(i, c) for i, c in enumerate(chosen)], "position int, feature string")
+    """The columns that the training job keeps, in order."""
+    _, meta = jobs.training_features(training_input(spark, d))
+    return spark.createDataFrame(list(enumerate(meta["selected"])), "position int, feature string")
 
 
 @query("dedup_last", V.with_sql(V.RAW_CTE, select="""
@@ -288,7 +322,7 @@ def dedup_last(spark, d):
 @query("tail_n", V.with_sql(R, select="""
 SELECT station_id, timestamp, aqi FROM readings QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY timestamp DESC) <= 224"""))
 def tail_n(spark, d):
-    return last_n(V.readings(spark, d).select("station_id", "timestamp", "aqi"), ["station_id"], [F.desc("timestamp")], 224)
+    return last_n(V.readings(spark, d).select("station_id", "timestamp", "aqi"), ["station_id"], ["timestamp"], "timestamp", 224)
 
 
 @query("recent_window", V.with_sql(V.RAW_CTE, select="""

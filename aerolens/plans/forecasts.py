@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.air import category, forecast_array
-from ..operators import clean, forecast, series
+from ..operators import clean, forecast, incremental, series
 from ..operators.ordered import latest_by
-from ..session import written
+from ..session import work_path, written
 from . import views as V
-from .features import FILL_CTE, WIN, feature_table, filled, long_series
+from .features import FILL_CTE, WIN, feature_table, filled, live_features
 from .registry import query
 
 R = V.READINGS_CTE
@@ -29,7 +29,8 @@ def split_counts(spark, d):
     return t.groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("hash_sample")
+@query("hash_sample", f"""
+SELECT * FROM lineitem WHERE ('0x' || substr(md5('42|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey), 1, 8))::BIGINT < {int(0.1 * 2**32)}""")
 def hash_sample(spark, d):
     return clean.hash_sample(V.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"], 0.1)
 
@@ -54,7 +55,7 @@ ERRORS_CTE = ", ".join([R, FILL_CTE, "tt AS (SELECT station_id, timestamp, aqi,
 
 def sums(spark, d):
     f = filled(spark, d).select("station_id", "timestamp", "aqi")
-    t = series.add_targets(f, "aqi", HORIZONS, long=long_series(spark, d))
+    t = series.add_targets(f, "aqi", HORIZONS)
     return forecast.error_sums(clean.split_by_time(forecast.persistence(t, HORIZONS), TRAIN_END, VAL_END), HORIZONS)
 
 
@@ -88,8 +89,8 @@ def score_table(spark, d):
 
 
 MODEL_FEATURES = ["aqi", "pm25", "no2", "temperature_2m", "hour_sin", "hour_cos", "aqi_lag1", "aqi_lag24", "aqi_roll24_mean", "aqi_roll24_std"]
-MODEL_HORIZONS = (1, 24)
-MODEL_PARAMS = {"maxIter": 4, "maxDepth": 4, "stepSize": 0.3, "minInstancesPerNode": 20}
+# Few trees, so that the query takes a minute; ``train_horizons`` has the full number by default.
+MODEL_PARAMS = {"maxIter": 5, "maxDepth": 4, "stepSize": 0.3, "minInstancesPerNode": 20}
 
 
 def training_table(spark, d):
@@ -104,12 +105,12 @@ def training_table(spark, d):
 def gbt_forecast(spark, d):
     """Boosted trees against persistence on the held-out splits."""
     t = training_table(spark, d)
-    models = forecast.train_horizons(t.where("split = 'train'"), MODEL_FEATURES, MODEL_HORIZONS, **MODEL_PARAMS)
+    models = forecast.train_horizons(t.where("split = 'train'"), MODEL_FEATURES, HORIZONS, **MODEL_PARAMS)
     held = t.where("split <> 'train'")
     trees = forecast.score_table(
-        forecast.error_sums(forecast.score(held, models, MODEL_FEATURES), MODEL_HORIZONS), "gbt", MODEL_HORIZONS)
+        forecast.error_sums(forecast.score(held, models, MODEL_FEATURES), HORIZONS), "gbt", HORIZONS)
     naive = forecast.score_table(
-        forecast.error_sums(forecast.persistence(held, MODEL_HORIZONS), MODEL_HORIZONS), "persistence", MODEL_HORIZONS)
+        forecast.error_sums(forecast.persistence(held, HORIZONS), HORIZONS), "persistence", HORIZONS)
     return trees.unionByName(naive)
 
 
@@ -119,11 +120,28 @@ def best_model(spark, d):
     return forecast.best_model(written(gbt_forecast(spark, d), "scores"))
 
 
+@query("best_naive_forecast", V.with_sql(ERRORS_CTE, "tt2 AS (SELECT *, " + ", ".join(
+    f"coalesce(lag(aqi, {24 - h}) {WIN}, 0) AS p{h}" for h in range(1, 24)) + ", aqi AS p24 FROM tt)", f"""sp2 AS (
+  SELECT *, CASE WHEN timestamp < TIMESTAMP '{TRAIN_END}' THEN 'train' WHEN timestamp < TIMESTAMP '{VAL_END}' THEN 'val' ELSE 'test' END AS split
+  FROM tt2 WHERE aqi_t24 IS NOT NULL)""", "y2 AS (" + " UNION ALL ".join(f"SELECT split, {h} AS horizon, aqi_t{h} AS y, p{h} AS p FROM sp2" for h in HORIZONS) + ")",
+  """scores AS (SELECT 'persistence' AS model, split, avg(mae) AS mae FROM met GROUP BY split UNION ALL
+  SELECT 'yesterday', split, avg(m) FROM (SELECT split, horizon, avg(abs(y - p)) AS m FROM y2 GROUP BY 1, 2) GROUP BY split)""", select=f"""
+SELECT model, {r('mae', 4)} AS mae FROM scores WHERE split = 'val' ORDER BY mae, model LIMIT 1"""))
+def best_naive_forecast(spark, d):
+    """The better of two forecasts without a model: the current value, the same hour yesterday."""
+    f = filled(spark, d).select("station_id", "timestamp", "aqi")
+    lagged = series.add_lags(series.add_targets(f, "aqi", HORIZONS, complete_only=False), ["aqi"], range(1, 24)).na.fill(0.0, [f"aqi_lag{k}" for k in range(1, 24)])
+    t = written(clean.split_by_time(lagged.where("aqi_t24 IS NOT NULL"), TRAIN_END, VAL_END), "naive")
+    candidates = {"persistence": forecast.persistence(t, HORIZONS), "yesterday": forecast.daily_naive(t, HORIZONS)}
+    tables = [forecast.score_table(forecast.error_sums(df, HORIZONS), name) for name, df in candidates.items()]
+    return V.rounded(forecast.best_model(tables[0].unionByName(tables[1])), ["mae"], 4)
+
+
 @query("gbt_search")
 def gbt_search(spark, d):
-    """Trial table of a small parameter grid on the first target."""
-    t = training_table(spark, d).where("split = 'train'")
-    _, trials = forecast.search_parameters(t, MODEL_FEATURES, "aqi_t1", {"maxDepth": [2, 4], "maxIter": [3]})
+    """Trial table of a small parameter grid on the first target, scored on the validation weeks."""
+    grid = {"maxDepth": [3, 5, 8], "stepSize": [0.05, 0.2], "maxIter": [3]}
+    _, trials = forecast.search_parameters(training_table(spark, d), MODEL_FEATURES, "aqi_t1", grid)
     return trials
 
 
@@ -136,32 +154,60 @@ def gbt_search(spark, d):
   SELECT *, CAST(round_even(coalesce(aqi, 0), 0) AS INTEGER) AS now_aqi, greatest(coalesce(pm25, 0), coalesce(pm10, 0), coalesce(no2, 0), coalesce(so2, 0), coalesce(co, 0)) AS m FROM newest)""", select=f"""
 SELECT station_id, timestamp, now_aqi AS current_aqi,
   CASE m WHEN coalesce(pm25, 0) THEN 'PM2.5' WHEN coalesce(pm10, 0) THEN 'PM10' WHEN coalesce(no2, 0) THEN 'NO2' WHEN coalesce(so2, 0) THEN 'SO2' ELSE 'CO' END AS primary_pollutant,
-  array_to_string(list_transform(range(24), lambda x: now_aqi), ',') AS forecast, coalesce(pm25, 0) AS pm25,
+  array_to_string(list_transform(range(1, 25), lambda x: now_aqi + 3 * x), ',') AS forecast, coalesce(pm25, 0) AS pm25, 0e0 AS o3, CAST(6 AS INTEGER) AS n_pollutants,
   CASE WHEN l IS NULL THEN '0,0,0,0,0,0,0' ELSE array_to_string(list_concat(list_transform(range(7 - len(l)), lambda x: l[1]), l), ',') END AS weekly_trend,
   CASE WHEN now_aqi <= 50 THEN '{K.ADVISORIES[0][1]}' WHEN now_aqi <= 100 THEN '{K.ADVISORIES[1][1]}' WHEN now_aqi <= 200 THEN '{K.ADVISORIES[2][1]}'
     WHEN now_aqi <= 300 THEN '{K.ADVISORIES[3][1]}' WHEN now_aqi <= 400 THEN '{K.ADVISORIES[4][1]}' ELSE '{K.ADVISORIES[5][1]}' END AS advisory
 FROM n LEFT JOIN lists USING (station_id)"""))
 def prediction_records(spark, d):
-    """Records of every station's newest row, with the persistence forecast."""
+    """Records of every station's newest row, with a forecast that differs from hour to hour."""
     table = V.readings(spark, d)
     newest = latest_by(table, ["station_id"], ["timestamp"])
-    scored = forecast.persistence(newest.withColumn("_now", F.coalesce("aqi", F.lit(0.0))), HORIZONS, "_now")
+    now = F.rint(F.coalesce("aqi", F.lit(0.0)))
+    scored = newest.withColumns({f"pred_t{h}": now + 3.0 * h for h in HORIZONS})
     records = forecast.prediction_records(scored, HORIZONS, clean.weekly_trend(table), ["station_id", "timestamp"])
     return records.selectExpr(
         "station_id", "timestamp", "current_aqi", "primary_pollutant", "array_join(transform(forecast, x -> string(x)), ',') AS forecast",
-        "pollutants['pm25'] AS pm25", "array_join(transform(weekly_trend, x -> string(x)), ',') AS weekly_trend", "advisory")
+        "pollutants['PM2_5'] AS pm25", "pollutants['O3'] AS o3", "size(pollutants) AS n_pollutants", "array_join(transform(weekly_trend, x -> string(x)), ',') AS weekly_trend", "advisory")
 
 
 @query("gbt_predictions")
 def gbt_predictions(spark, d):
-    """The newest row of every station scored by the trained models, as prediction records."""
+    """The newest live row of every station scored by the models of all hours, as prediction records."""
     t = training_table(spark, d)
-    models = forecast.train_horizons(t.where("split = 'train'"), MODEL_FEATURES, MODEL_HORIZONS, **MODEL_PARAMS)
-    newest = latest_by(t, ["station_id"], ["timestamp"])
-    scored = forecast.score(newest, models, MODEL_FEATURES)
+    models = forecast.train_horizons(t.where("split = 'train'"), MODEL_FEATURES, HORIZONS, **MODEL_PARAMS)
+    newest = live_features(spark, d)
+    scored = forecast.score(newest.withColumns({c: F.lit(0.0) for c in MODEL_FEATURES if c not in newest.columns}), models, MODEL_FEATURES)
     trends = clean.weekly_trend(V.readings(spark, d))
-    return forecast.prediction_records(scored, MODEL_HORIZONS, trends, ["station_id", "timestamp"]).selectExpr(
-        "station_id", "timestamp", "current_aqi", "primary_pollutant", "size(forecast) AS hours", "advisory")
+    return forecast.prediction_records(scored, HORIZONS, trends, ["station_id", "timestamp"]).selectExpr(
+        "station_id", "timestamp", "current_aqi", "primary_pollutant", "forecast", "pollutants", "advisory")
+
+
+STORED_CTE = """c AS (SELECT city, timestamp AS computed_at, CAST(round_even(max(aqi), 0) AS INTEGER) AS a, round(max(coalesce(pm25, 0)), 3) AS p FROM readings
+  JOIN stations USING (station_id) WHERE aqi IS NOT NULL AND hour(timestamp) % 6 = 0 GROUP BY 1, 2), b AS (SELECT max(ts) - INTERVAL 36 HOUR AS since FROM events)"""
+
+
+@query("latest_prediction", V.with_sql(R, V.STATIONS_CTE, STORED_CTE, select="""
+SELECT city, computed_at, a + CASE WHEN computed_at >= since AND hour(computed_at) > 0 THEN 100 ELSE 0 END AS current_aqi,
+  a + CASE WHEN computed_at >= since AND hour(computed_at) > 0 THEN 105 ELSE 5 END AS fifth_hour, p AS pm25,
+  (SELECT count(*) FROM c) AS stored FROM c, b QUALIFY row_number() OVER (PARTITION BY city ORDER BY computed_at DESC) = 1"""))
+def latest_prediction(spark, d):
+    """Predictions of each city every six hours; the last ones are computed a second time and replace the first."""
+    now = V.now_of(V.table(spark, d, "events"))
+    named = V.readings(spark, d).join(V.stations(spark, d), "station_id").where("aqi IS NOT NULL AND hour(timestamp) % 6 = 0")
+    rows = named.groupBy("city", F.col("timestamp").alias("computed_at")).agg(
+        F.rint(F.max("aqi")).cast("int").alias("current_aqi"), F.round(F.max(F.coalesce("pm25", F.lit(0.0))), 3).alias("_pm25"))
+    records = rows.select("city", "computed_at", "current_aqi", F.transform(F.sequence(F.lit(1), F.lit(24)), lambda h: F.col("current_aqi") + h).alias("forecast"),
+                          F.create_map(F.lit("PM2_5"), "_pm25").alias("pollutants"), F.array_repeat("current_aqi", 7).alias("weekly_trend"))
+    again = records.where((F.col("computed_at") >= F.lit(now).cast("timestamp_ntz") - F.expr("interval 36 hours")) & (F.hour("computed_at") > 0))
+    again = again.withColumns({"current_aqi": F.col("current_aqi") + 100, "forecast": F.transform("forecast", lambda v: v + 100)})
+    path = work_path(spark, "predictions")
+    for batch in (records, again):
+        forecast.store_predictions(path, batch)
+    stored = incremental.read_table(spark, path)
+    total = stored.agg(F.count("*").alias("stored"))
+    return forecast.latest_predictions(stored).crossJoin(total).selectExpr(
+        "city", "computed_at", "current_aqi", "forecast[4] AS fifth_hour", "pollutants['PM2_5'] AS pm25", "stored")
 
 
 @query("forecast_summary", V.with_sql(R, FILL_CTE, "p AS (SELECT station_id, timestamp, " + ", ".join(
@@ -174,7 +220,7 @@ FROM p WHERE complete"""))
 def forecast_summary(spark, d):
 
     f = filled(spark, d).select("station_id", "timestamp", "aqi")
-    t = series.add_targets(f, "aqi", HORIZONS, long=long_series(spark, d))
+    t = series.add_targets(f, "aqi", HORIZONS)
     records = t.withColumn("forecast", forecast_array([f"aqi_t{h}" for h in HORIZONS]))
     out = forecast.forecast_summary(records, ["station_id", "timestamp"])
     return out.withColumn("peak_category", category("peak"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..operators import clean, drift, forecast, incremental, joins, quality, selection, series
+from ..operators import clean, drift, forecast, incremental, joins, profile, quality, selection, series
 from ..session import written
 from ..sources import files, payloads
 
@@ -35,19 +35,49 @@ def training_table(
     measures = [c for c in (*K.POLLUTANTS, "aqi") if c in placed.columns]
     keys = ["station_id", "city", "state", "station_name", "latitude", "longitude"]
     hourly = clean.station_hour_mean(placed, keys, measures)
-    per_station = joins.weather_to_stations(stations, joins.keep_known_cities(weather, config, ignore_case=False))
-    joined = joins.with_weather(hourly, per_station)
+    known = joins.keep_known_cities(weather, config, ignore_case=False)
+    joined = joins.with_city_weather(hourly, known)
     return quality.require_quality(written(joined, "training"))
 
 
 def feature_table(table: DataFrame, spec: series.FeatureSpec = series.OFFLINE) -> DataFrame:
     """The training table with filled columns, missingness flags and all window features."""
-    long = series.is_long(table)
     measures = [c for c in spec.pollutants if c in table.columns]
     weather = [c for c in K.WEATHER if c in table.columns]
     flags = selection.most_missing(table, [c for c in [*measures, *weather] if c != spec.target])
-    filled = series.fill_offline(series.add_missing_flags(table, flags), [*measures, *weather], long=long)
-    return series.engineer(filled, spec, long=long)
+    filled = series.fill_offline(series.add_missing_flags(table, flags), [*measures, *weather])
+    return series.engineer(filled, spec)
+
+
+def engineered_training(table: DataFrame, spec: series.FeatureSpec = series.OFFLINE, sparse: float = 0.65) -> tuple[DataFrame, dict]:
+    """The training table before column selection, and what was decided on the way.
+
+    Sparse and near-constant columns go (never the target), the rest is flagged, filled and
+    engineered; the city's code and the target statistics of station and city are added. All
+    decisions are made on the whole table.
+    """
+    columns = [c for c in [*spec.pollutants, *K.WEATHER] if c in table.columns]
+    inputs = [c for c in columns if c != spec.target]
+    dropped = selection.sparse_columns(table, inputs, sparse, spec.target)
+    dropped += selection.near_constant_columns(table, [c for c in inputs if c not in dropped])
+    stations = profile.target_statistics(table, "station_id", spec.target)
+    cities = profile.target_statistics(table, "city", spec.target)
+    made = feature_table(table.drop(*dropped), spec)
+    coded = made.join(clean.encode_labels(table), "city", "left")
+    known = joins.lookup_statistics(joins.lookup_statistics(coded, stations, "station_id"), cities, "city")
+    return written(known, "training-features"), {"dropped": dropped}
+
+
+def training_features(
+    table: DataFrame, spec: series.FeatureSpec = series.OFFLINE, sparse: float = 0.65, correlated: float = 0.98, most: int | None = 180
+) -> tuple[DataFrame, dict]:
+    """The table that models are trained on: keys, selected features, targets."""
+    made, meta = engineered_training(table, spec, sparse)
+    targets = [c for c in made.columns if c in {f"{spec.target}_t{h}" for h in range(1, spec.horizons + 1)}]
+    keys = [c for c in ("station_id", "city", "state", "station_name", "latitude", "longitude", "timestamp") if c in made.columns]
+    candidates = [c for c in made.columns if c not in keys and c not in targets]
+    chosen = selection.select_features(made, candidates, correlated, most)
+    return made.select(*keys, *chosen, *targets), meta | {"selected": chosen}
 
 
 def ingest(landed: DataFrame, registry: DataFrame, table_path: str, now: str, order: list[str]) -> tuple[DataFrame, int]:
@@ -79,12 +109,13 @@ def predictions(
     aligned = live.withColumns({c: F.lit(0.0) for c in features if c not in live.columns})
     scored = forecast.score(aligned, models, features)
     trends = clean.weekly_trend(history)
-    return forecast.prediction_records(scored, sorted(models), trends, ["city", "station_id", "timestamp"])
+    keep = [c for c in ("city", "station_id", "station_name", "location_id", "timestamp") if c in scored.columns]
+    return forecast.prediction_records(scored, sorted(models), trends, keep)
 
 
 def drift_run(readings: DataFrame, history_path: str, now: str, features=K.DRIFT_FEATURES) -> DataFrame:
     """Compare the windows, append the run to the history and return its summary."""
     present = [c for c in features if c in readings.columns]
-    report = written(drift.drift_report(drift.windows(readings, now), present), "drift")
-    drift.append_history(report, history_path, now)
-    return drift.drift_summary(report)
+    drift.append_history(drift.drift_report(drift.windows(readings, now), present), history_path, now)
+    run = drift.read_history(readings.sparkSession, history_path)
+    return drift.drift_summary(run.where(F.col("computed_at") == F.lit(now).cast("timestamp_ntz")))

@@ -46,7 +46,8 @@ def latency_p95(spark, d):
 @query("failed_fetches", V.with_sql(MINUTES_CTE, window_cte(10), select="""
 SELECT window_start, window_start + INTERVAL 10 MINUTE AS window_end, errors AS failed, errors > 0 AS breach FROM win"""))
 def failed_fetches(spark, d):
-    return monitor.failed_fetches(V.requests(spark, d))
+    fetches = V.requests(spark, d).replace({"error": "failed"}, subset=["status"])  # as a fetch log writes it
+    return monitor.failed_fetches(fetches)
 
 
 def _silent_sql(minutes):
@@ -100,7 +101,7 @@ def event_stream(spark, d):
 def measurement_stream(spark, d):
     kinds = " ".join(f"WHEN '{k}' THEN '{p}'" for k, p in V.PARAMETER_OF.items())
     return event_stream(spark, d).selectExpr(
-        "event_id", "user_id AS sensor_id", f"concat('S', user_id % {V.STATIONS}) AS station_id",
+        "event_id", "user_id AS sensor_id", f"concat('S', user_id DIV {V.SENSORS}) AS station_id",
         f"CASE event_type {kinds} END AS parameter", "value", "ts AS measurement_time")
 
 

@@ -126,9 +126,8 @@ SELECT timestamp, station_id, city, pm25, aqi, temperature_2m, wind_speed_10m, w
 FROM readings JOIN stations USING (station_id) LEFT JOIN weather USING (timestamp, city)"""))
 def weather_join(spark, d):
     s = V.stations(spark, d)
-    weather = joins.weather_to_stations(s, V.city_weather(spark, d))
     r = joins.with_station(V.readings(spark, d), s.select("station_id", "city"))
-    return joins.with_weather(r, weather).select(
+    return joins.with_city_weather(r, V.city_weather(spark, d)).select(
         "timestamp", "station_id", "city", "pm25", "aqi", "temperature_2m", "wind_speed_10m", "wind_direction_10m")
 
 
@@ -176,18 +175,17 @@ def live_merge(spark, d):
         "city", "station_id", "timestamp", "event_id", "value", "temperature_2m")
 
 
-@query("stations_without_metadata", """
+@query("stations_without_metadata", V.with_sql(S, select="""
 SELECT DISTINCT 'S' || CAST(user_id % 40 AS VARCHAR) AS station_id FROM events
-WHERE user_id % 40 NOT IN (SELECT n_nationkey FROM nation)""")
+WHERE 'S' || CAST(user_id % 40 AS VARCHAR) NOT IN (SELECT station_id FROM stations)"""))
 def stations_without_metadata(spark, d):
     ids = V.table(spark, d, "events").select(F.concat(F.lit("S"), (F.col("user_id") % 40).cast("string")).alias("station_id"))
     return joins.without_metadata(ids, V.stations(spark, d))
 
 
-@query("fetch_todo", V.with_sql(S, select="""
-SELECT city, min(n_nationkey) * 1.5e0 AS latitude, min(n_nationkey) + 70e0 AS longitude
-FROM nation JOIN stations ON n_name = station_name
-WHERE city NOT IN (SELECT r_name FROM region WHERE r_regionkey = 2) GROUP BY city"""))
+@query("fetch_todo", """
+SELECT r_name AS city, min(n_nationkey) * 1.5e0 AS latitude, min(n_nationkey) + 70e0 AS longitude
+FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey <> 2 GROUP BY 1""")
 def fetch_todo(spark, d):
     n = V.table(spark, d, "nation").join(V.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     s = n.select(F.col("r_name").alias("city"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0").alias("station_id"),

@@ -1,7 +1,8 @@
 """Domain views over the given tables, in Spark and as SQL.
 
-``events`` plays the sensor log: a user is a sensor, twenty stations, the event type is the
-measured parameter. ``nation`` and ``region`` are stations and cities.
+``events`` plays the sensor log: a user is a sensor, eight sensors make a station, the event type is
+the measured parameter. Every eighty customers run a station, so stations and readings grow with the
+tables; ``nation`` and ``region`` give their names and cities.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from ..functions.numeric import floor_hour
 from ..operators import clean
 
 # --- fixed values: how the event log maps to the domain --------------------------------
-STATIONS = 20
+SENSORS, CUSTOMERS = 8, 80
 PARAMETER_OF = {"click": "pm25", "error": "pm10", "purchase": "no2", "signup": "so2", "view": "co"}
 UNITS = ("ug/m3", "ppb", "ppm", "mg/m3")
 NUDGE = 1e-9
@@ -52,7 +53,7 @@ def raw_measurements(spark, sf_dir) -> DataFrame:
     kinds = " ".join(f"WHEN '{kind}' THEN '{name}'" for kind, name in PARAMETER_OF.items())
     units = ", ".join(f"'{u}'" for u in UNITS)
     return table(spark, sf_dir, "events").withColumn("k", F.expr("CAST(get_json_object(props, '$.k') AS INT)")).selectExpr(
-        "event_id", "user_id AS sensor_id", f"concat('S', user_id % {STATIONS}) AS station_id",
+        "event_id", "user_id AS sensor_id", f"concat('S', user_id DIV {SENSORS}) AS station_id",
         f"CASE event_type {kinds} END AS parameter", "value AS raw_value",
         f"element_at(array({units}), k % 4 + 1) AS raw_unit", "ts AS measurement_time", "k")
 
@@ -86,10 +87,11 @@ def readings(spark, sf_dir, since=None, until=None) -> DataFrame:
 
 
 def stations(spark, sf_dir) -> DataFrame:
-    """station_id, station_name, city (five stations each) and state."""
+    """station_id, station_name, city (the region of the station's nation) and state."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return n.join(r, n.n_regionkey == r.r_regionkey).select(
-        F.concat(F.lit("S"), F.col("n_nationkey").cast("string")).alias("station_id"),
+    ids = table(spark, sf_dir, "customer").selectExpr(f"c_custkey DIV {CUSTOMERS} AS id").distinct()
+    return ids.join(n, F.col("id") % 25 == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(
+        F.concat(F.lit("S"), F.col("id").cast("string")).alias("station_id"),
         F.col("n_name").alias("station_name"), F.col("r_name").alias("city"),
         F.concat(F.lit("Z"), F.col("r_regionkey").cast("string")).alias("state"),
     )
@@ -147,7 +149,7 @@ def sql_category(v: str) -> str:
 SQL_K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 
 RAW_CTE = f"""raw AS (
-  SELECT event_id, user_id AS sensor_id, 'S' || CAST(user_id % {STATIONS} AS VARCHAR) AS station_id,
+  SELECT event_id, user_id AS sensor_id, 'S' || CAST(user_id // {SENSORS} AS VARCHAR) AS station_id,
     {sql_case('event_type', PARAMETER_OF)} AS parameter, value AS raw_value,
     CASE {SQL_K} % 4 WHEN 0 THEN 'ug/m3' WHEN 1 THEN 'ppb' WHEN 2 THEN 'ppm' ELSE 'mg/m3' END AS raw_unit,
     ts AS measurement_time, {SQL_K} AS k
@@ -169,10 +171,10 @@ READINGS_CTE = MEASUREMENTS_CTE + ", wide AS (SELECT station_id, date_trunc('hou
 ) + " FROM measurements GROUP BY 1, 2), readings AS (SELECT *, " + sql_round(
     "greatest(" + ", ".join(sql_sub_index(p, p) for p in MEASURED) + ")") + " AS aqi FROM wide)"
 
-STATIONS_CTE = """stations AS (
-  SELECT 'S' || CAST(n_nationkey AS VARCHAR) AS station_id, n_name AS station_name, r_name AS city,
+STATIONS_CTE = f"""stations AS (
+  SELECT 'S' || CAST(id AS VARCHAR) AS station_id, n_name AS station_name, r_name AS city,
     'Z' || CAST(r_regionkey AS VARCHAR) AS state
-  FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+  FROM (SELECT DISTINCT c_custkey // {CUSTOMERS} AS id FROM customer) JOIN nation ON n_nationkey = id % 25 JOIN region ON n_regionkey = r_regionkey)"""
 
 WEATHER_CTE = f"""weather AS (
   SELECT city, date_trunc('hour', measurement_time) AS timestamp,

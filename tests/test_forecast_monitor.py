@@ -69,6 +69,8 @@ def test_training_beats_a_constant_and_scores(spark):
     out = forecast.score(df.where("split = 'val'"), models, ["x", "z"])
     assert forecast.horizon_metrics(forecast.error_sums(out, (1,))).first()["r2"] > 0.9
     best, trials = forecast.search_parameters(df, ["x", "z"], "aqi_t1", {"maxDepth": [1, 3], "maxIter": [2]})
+    unseen = df.withColumn("aqi_t1", F.when(F.col("split") == "test", -1e6).otherwise(F.col("aqi_t1")))
+    assert forecast.search_parameters(unseen, ["x", "z"], "aqi_t1", {"maxDepth": [1, 3], "maxIter": [2]})[1].collect() == trials.collect()
     assert trials.count() == 2 and best.getOrDefault("maxDepth") == 3
     naive = forecast.persistence(df, (1,))
     assert naive.where("pred_t1 <> aqi").count() == 0
@@ -86,8 +88,10 @@ def test_prediction_records(spark):
     out = {r["station_id"]: r for r in forecast.prediction_records(df, (1, 2), trends, ["station_id"]).collect()}
     one, two = out["S1"], out["S2"]
     assert one["forecast"] == [50] + [0] * 23 and one["current_aqi"] == 50 and one["primary_pollutant"] == "CO" and one["weekly_trend"] == [1] * 7
-    assert two["current_aqi"] == 120 and two["pollutants"] == {"pm25": 0.0, "co": 0.0} and two["weekly_trend"] == [1] + [2] * 6
+    assert two["current_aqi"] == 120 and two["pollutants"] == dict.fromkeys(["PM2_5", "PM10", "NO2", "SO2", "CO", "O3"], 0.0) and two["weekly_trend"] == [1] + [2] * 6
     assert "good" in one["advisory"] and "Moderate" in two["advisory"]
+    with pytest.raises(ValueError):
+        forecast.prediction_records(df.withColumn("pred_t24", F.lit(1.0)), (1, 24), trends, ["station_id"])
     summary = {r["station_id"]: (r["peak"], r["mean_aqi"]) for r in forecast.forecast_summary(spark.createDataFrame(list(out.values())), ["station_id"]).collect()}
     assert summary == {"S1": (50, 2), "S2": (2, 2)}
 
@@ -118,12 +122,20 @@ def test_latency_quantile_interpolates_in_its_bucket(spark):
 
 def test_failed_and_silent(spark):
     requests = log(spark, [(0, "ok", 1.0), (60 * 25, "error", 1.0), (86400 + 60 * 5, "ok", 1.0)])
-    failed = monitor.failed_fetches(requests).where("breach")
-    assert failed.count() == 10
+    failed = monitor.failed_fetches(requests, status="error").where("breach")
+    assert failed.count() == 10 and monitor.failed_fetches(requests).where("breach").count() == 0
+    assert monitor.failed_fetches(requests.replace({"error": "failed"}, subset=["status"])).where("breach").count() == 10
     silent = [r[0] for r in monitor.silent_windows(requests, 10).orderBy("window_start").collect()]
     assert len(silent) == 144 - 2 and silent[0] == START + dt.timedelta(minutes=10) and START + dt.timedelta(minutes=20) not in silent
 
 
+def test_a_run_over_midnight_is_one(spark):
+    df = spark.createDataFrame([("a", START + dt.timedelta(minutes=m), True) for m in range(1435, 1446)] + [("b", START + dt.timedelta(minutes=1440), True)],
+                               "alert string, window_end timestamp_ntz, breach boolean")
+    out = monitor.held(df, "2 minutes").collect()
+    assert [(r["alert"], r["active_since"], r["evaluations"]) for r in out] == [("a", START + dt.timedelta(minutes=1435), 11)]
+
+
 def test_hold_needs_an_unbroken_run(spark):
     minutes = [0, 1, 2, 3, 10, 11, 20, 21, 22, 24]
     df = spark.createDataFrame([("a", START + dt.timedelta(minutes=m), True) for m in minutes] + [("a", START + dt.timedelta(minutes=23), False)],

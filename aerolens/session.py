@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Folders made for sessions that name none (tests, local runs), by application.
 _local_dirs: dict[str, str] = {}
 
-# Paths written inside the open ``scratch`` blocks of this thread.
+# Paths written inside the open ``recorded`` blocks of this thread.
 _scratch = threading.local()
 
 
@@ -83,14 +83,23 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes, at its end, the tables ``written`` inside: for jobs that leave their result elsewhere."""
+def recorded() -> Iterator[list[str]]:
+    """Collects the paths of the tables ``written`` inside, for whoever knows when they are no longer read."""
     if not hasattr(_scratch, "open"):
         _scratch.open = []
     _scratch.open.append(paths := [])
     try:
-        yield
+        yield paths
     finally:
         _scratch.open.pop()
-        for path in paths:
-            remove(spark, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables ``written`` inside: for jobs that leave their result elsewhere."""
+    with recorded() as paths:
+        try:
+            yield
+        finally:
+            for path in paths:
+                remove(spark, path)

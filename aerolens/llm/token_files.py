@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -12,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a Python worker remembers: whole chunks between white space, and words without their punctuation.
-CHUNKS, WORDS = 300_000, 500_000
+CHUNKS, WORDS = 400_000, 1_000_000
 #: ASCII punctuation that never joins the letters before it (the apostrophe can).
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
+#: Words of letters that stay single letters when lower-cased, so that many can be encoded in one call.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 #: White space to str.split() but not to the tokenizer.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -31,9 +34,13 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism here
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -41,6 +48,15 @@ class Encoder:
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of many words by one call on all of them; a word ends where a token with the suffix does."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(words):
+            return self.library(words)
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *cuts], cuts)]
+
     def learn(self, chunks: set[str]) -> None:
         """Encode the chunks not seen before."""
         if len(self.chunks) + len(chunks) > CHUNKS:
@@ -55,10 +71,11 @@ class Encoder:
             else:
                 word = body.lower() if body.isascii() else body
                 parts[chunk] = (word, chunk[len(body):]) if len(body) < len(chunk) else (word,)
-        new = list({p for ps in parts.values() for p in ps if p not in self.words})
-        for at in range(0, len(new), 10_000):
-            some = new[at:at + 10_000]
-            self.words.update(zip(some, self.library(some)))
+        new = {p for ps in parts.values() for p in ps if p not in self.words}
+        plain = [p for p in new if PLAIN.fullmatch(p)]
+        for some, encode in ((plain, self.encode_words), (list(new.difference(plain)), self.library)):
+            for at in range(0, len(some), 2000):
+                self.words.update(zip(some[at:at + 2000], encode(some[at:at + 2000])))
         words = self.words
         for chunk, ps in parts.items():
             self.chunks[chunk] = words[ps[0]] if len(ps) == 1 else words[ps[0]] + words[ps[1]]

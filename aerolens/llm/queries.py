@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolens.llm import chat, decontamination, fuzzy_lines, licenses, mixing, quality, sharding, simhash, token_files, toxicity
-from aerolens.llm.texts import n_words
+from aerolens.llm.texts import importable, n_words
 from aerolens.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,10 +19,15 @@ CHECKS: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = call
         if sql:
             CHECKS[name] = sql
-        return fn
+        return call
     return register
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -15,6 +17,17 @@ ALNUM = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever folder they start in.
+
+    Workers on machines that have it installed elsewhere ignore a folder that is not there.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def words(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+``: bytes.split() cuts at exactly these six bytes."""
     return text.split() if text else []

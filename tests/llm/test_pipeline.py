@@ -77,6 +77,15 @@ def test_edge_rows_and_clashing_columns_go_through(spark, folder, tmp_path, pros
     assert {r["doc_id"] for r in out[2].collect()} == {1, None, 4} and out[2].count() == 3
 
 
+def test_stages_can_be_chained_without_writing(spark, folder, prose):
+    docs = spark.createDataFrame([(i, prose(100, i % 7), "en", "a", 1) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
+    path = folder(documents=docs, benchmark=spark.createDataFrame([(1, prose(30, 70))], "item_id long, text string"))
+    out = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, out, path)
+    assert {r["doc_id"] for r in out.collect()} <= set(range(7))
+
+
 def test_empty_documents(spark, folder):
     path = folder(documents=spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"),
                   benchmark=spark.createDataFrame([], "item_id long, text string"))

@@ -15,6 +15,12 @@ from aerolens.session import written
 
 #: Characters of a shingle, least Jaccard similarity, bands and rows: a pair at 0.8 meets with probability 0.995.
 SHINGLE, SIMILARITY, BANDS, ROWS = 7, 0.8, 10, 4
+#: Buckets up to this many lines are compared in pairs, larger ones through differences from their centre; both are exact.
+PAIRED = 32
+#: Two sets have a similarity of at least SIMILARITY if their symmetric difference is at most this share of their sizes' sum.
+SPREAD = (1 - SIMILARITY) / (1 + SIMILARITY)
+#: Bits that summarise a line's changes: a differing bit needs a differing change.
+CHANGE_BITS = 1024
 #: Bits of the fixed-size filter that says which lines' texts the exact check may need.
 FILTER_BITS = 1 << 24
 
@@ -166,46 +172,117 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("h").agg(F.any_value("line").alias("line"))
 
 
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs plus the two lines x and y, sorted by a."""
+    with_b = pairs.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
+    return with_b.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").sortWithinPartitions("a")
+
+
+def alike(a: set, b: set) -> bool:
+    both = len(a & b)
+    return both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose lines' shingle sets have a Jaccard similarity of SIMILARITY or more."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, known = [], {}
+            kept, last, a = [], None, set()
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                a = known.get(x)
-                if a is None:
-                    known = {x: (a := shingles(x))}  # pairs come sorted by a: its set is made once
-                b = shingles(y)
-                both = len(a & b)
-                if both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9:
+                if x != last:
+                    last, a = x, shingles(x)
+                if alike(a, shingles(y)):
                     kept.append(i)
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
-    with_b = pairs.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    with_both = with_b.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").select("a", "b", "x", "y")
-    return with_both.mapInArrow(run, "a long, b long")
+    return with_texts(pairs, texts).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def compared(star: DataFrame, texts: DataFrame) -> DataFrame:
+    """Every line b compared with its centre a: whether they are linked, both sets' sizes and, for rows marked
+    ``large``, what b's set has that a's has not and then what it lacks, each as sorted hashes, and the parities of
+    these changes' counts in CHANGE_BITS classes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, a, linked, sizes, changes, bits = None, set(), [], [], [], []
+            for large, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                if x != last:
+                    last, a = x, shingles(x)
+                b = shingles(y)
+                linked.append(alike(a, b))
+                sizes.append((len(a), len(b)))
+                changes.append([*change_hashes(b - a, 1), *change_hashes(a - b, 2)] if large else None)
+                bits.append(parities(changes[-1]) if large else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array([n for n, _ in sizes], pa.int32()),
+                 pa.array([n for _, n in sizes], pa.int32()), pa.array(changes, pa.list_(pa.int64())),
+                 pa.array(bits, pa.list_(pa.int64()))], ["a", "b", "linked", "size_a", "size_b", "changes", "bits"])
+
+    return with_texts(star, texts).select("a", "b", "large", "x", "y").mapInArrow(
+        run, "a long, b long, linked boolean, size_a int, size_b int, changes array<long>, bits array<long>")
+
+
+def change_hashes(some: set[str], seed: int) -> list[int]:
+    h = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), seed) for x in some], np.uint64)
+    return np.sort(h.view(np.int64)).tolist()
+
+
+def parities(hashes: list[int]) -> list[int]:
+    odd = np.bincount(np.array(hashes, np.int64) & (CHANGE_BITS - 1), minlength=CHANGE_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def far_pairs(comparisons: DataFrame, roots: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) among lines with one centre c, at least one of them not linked to it; loses no link.
+
+    Let F(x) be the symmetric difference of x and c. x and y are linked if |F(x)| + |F(y)| - 2s <= SPREAD (|x| + |y|)
+    with s = |F(x) & F(y)|, and x is not linked to c if |F(x)| > SPREAD (|x| + |c|). So y must share at least
+    (|F(y)| + SPREAD (|c| - |y|)) / 2 > 0 elements with x, and x at least |F(x)| - |x| (1 / SIMILARITY - 1) with any y.
+    Elements are ordered alike everywhere, so linked lines meet in these prefixes, at places after which enough
+    elements are left. What single versions of a line add is rare and comes first: versions with changes of
+    their own meet nobody. The differing bits of two parity summaries are a lower bound of |F(x) ^ F(y)|, which
+    sorts out most that share a change but not enough. Lines already in one component are not compared.
+    """
+    n = F.size("changes")
+    own = comparisons.where("changes IS NOT NULL").select(
+        F.col("a").alias("c"), F.col("b").alias("h"), "linked", F.col("size_a").alias("size_c"), F.col("size_b").alias("size"), n.alias("n"), "changes", "bits")
+    placed = own.join(roots, F.col("h") == F.col("node"), "left").withColumn("root", F.coalesce("root", "h")).drop("node")
+    every = placed.select("*", F.posexplode("changes").alias("at", "change")).drop("changes").withColumns({
+        "near": F.col("at") <= F.col("n") - (F.col("n") + F.lit(SPREAD) * (F.col("size_c") - F.col("size"))) / 2 + 1e-9,
+        "wide": F.col("at") <= F.col("size") * (1 / SIMILARITY - 1) + 1e-9})
+    x = every.where("NOT linked AND (wide OR near)").select("c", "change", *[F.col(k).alias(f"x_{k}") for k in ("h", "root", "size", "n", "at", "near", "wide", "bits")])
+    y = every.where("near").select("c", "change", *[F.col(k).alias(f"y_{k}") for k in ("h", "root", "size", "n", "at", "linked", "bits")])
+    least = (F.col("x_n") + F.col("y_n") - SPREAD * (F.col("x_size") + F.col("y_size"))) / 2 - 1e-6
+    left = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    apart = sum(F.bit_count(F.col("x_bits")[i].bitwiseXOR(F.col("y_bits")[i])) for i in range(CHANGE_BITS // 64))
+    met = x.join(y, ["c", "change"]).where(
+        (F.col("x_root") != F.col("y_root")) & (left >= least) & (apart <= SPREAD * (F.col("x_size") + F.col("y_size")) + 1e-6)
+        & F.when(F.col("y_linked"), F.col("x_wide")).otherwise(F.col("x_near") & (F.col("x_h") < F.col("y_h")))
+        & (F.least("x_size", "y_size") >= SIMILARITY * F.greatest("x_size", "y_size") - 1e-6))
+    return met.select(F.col("x_h").alias("a"), F.col("y_h").alias("b"))
 
 
 def line_links(docs: DataFrame, occurrences: DataFrame, counts: DataFrame) -> DataFrame:
     """Links (a, b) between line hashes at SIMILARITY or more that keep all components of the candidates.
 
     First each bucket's members are compared with its most copied line. What that joins is one component;
-    only members of one bucket that are still in different components are then compared with each other. A
-    bucket of many versions of a line so costs one comparison a member.
+    only members of one bucket that are still in different components are then compared with each other:
+    in pairs in buckets up to PAIRED lines, through shared differences from the centre in larger ones.
     """
     members = written(shared_buckets(occurrences.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "h")), "lines-buckets")
-    candidates = members.select("h").distinct()
-    texts = written(line_texts(docs, candidates), "lines-texts")
+    texts = written(line_texts(docs, members.select("h").distinct()), "lines-texts")
     known = written(members.join(counts.select("h", "copies"), "h"), "lines-members")
-    centre = known.groupBy("key").agg(F.max_by("h", F.struct("copies", "h")).alias("centre"))
-    star = known.join(centre, "key").where("h != centre").select(F.col("centre").alias("a"), F.col("h").alias("b")).distinct()
-    close = written(verified(star, texts), "lines-star")
+    centre = known.groupBy("key").agg(F.max_by("h", F.struct("copies", "h")).alias("centre"), F.count("*").alias("n"))
+    around = written(known.join(centre.where("n > 1"), "key").where("h != centre").select("key", "h", "centre", (F.col("n") > PAIRED).alias("large")), "lines-around")
+    star = around.groupBy(F.col("centre").alias("a"), F.col("h").alias("b")).agg(F.max("large").alias("large"))
+    comparisons = written(compared(star, texts), "lines-compared")
+    close = comparisons.where("linked").select("a", "b")
     roots = components(close, "lines-first")
-    placed = known.join(roots, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("root")).join(centre, "key")
+    placed = around.where("NOT large").join(roots, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    apart = written(placed.where("h != centre").join(split, "key"), "lines-apart")
+    apart = written(placed.join(split, "key"), "lines-apart")
     a, b = apart.select("key", F.col("h").alias("a"), F.col("root").alias("ra")), apart.select("key", F.col("h").alias("b"), F.col("root").alias("rb"))
-    rest = a.join(b, "key").where("ra < rb").select("a", "b").distinct()
+    rest = a.join(b, "key").where("ra < rb").select("a", "b").union(far_pairs(comparisons, roots)).distinct()
     return close.union(verified(rest, texts))
 
 

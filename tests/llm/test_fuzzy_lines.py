@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from aerolens.llm import fuzzy_lines as fl
 
@@ -58,7 +59,12 @@ def got(df):
     return {(r["doc_id"], n) for r in fl.kept_lines(df).collect() for n in r["kept"]}
 
 
-def test_kept_lines_equal_brute_force(spark, prose):
+@pytest.fixture(params=[32, 1], ids=["small_buckets_in_pairs", "all_buckets_by_changes"])
+def paired(request, monkeypatch):
+    monkeypatch.setattr(fl, "PAIRED", request.param)
+
+
+def test_kept_lines_equal_brute_force(spark, prose, paired):
     docs = corpus(prose)
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, h int").repartition(5)
     want = brute_kept(docs)
@@ -67,18 +73,55 @@ def test_kept_lines_equal_brute_force(spark, prose):
     assert want <= result and len(result - want) <= 0.01 * len(want)
 
 
-def test_many_versions_of_one_line_are_one_component(spark, prose):
+def test_many_versions_of_one_line_are_one_component(spark, prose, paired):
     rng, base = random.Random(1), prose(60, 1)
     docs = [(0, base), (1, base)] + [(i, variant(base, rng, 2)) for i in range(2, 300)]
     assert got(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)) == {(0, 0)}
 
 
-def test_chains_without_a_common_centre(spark, prose):
+def test_chains_without_a_common_centre(spark, prose, paired):
     words = prose(60, 2).split()
     docs = [(i, " ".join([f"w{j:03d}" for j in range(i)] + words[i:])) for i in range(30)]
     assert got(spark.createDataFrame(docs, "doc_id long, text string")) == brute_kept(docs)
 
 
+def versions(prose, n=150):
+    """Versions of one line far from it: some alike among themselves, some cut at the same place, some alone."""
+    rng, base = random.Random(9), prose(45, 5)
+    lines = [base] * 3
+    for i in range(n):
+        line = variant(base, rng, rng.choice([1, 4, 9, 14]))
+        lines.append(line)
+        if i % 3 == 0:
+            lines += [variant(line, rng, rng.choice([1, 2, 3])) for _ in range(rng.randint(1, 3))]
+        if i % 5 == 0:
+            cut = base[:len(base) - rng.choice([60, 70, 75])]
+            lines.append(variant(cut, rng, rng.choice([0, 1, 2])))
+    return lines
+
+
+def test_far_pairs_lose_no_link(spark, prose):
+    lines = sorted(set(versions(prose)))
+    sets, base = [fl.shingles(x) for x in lines], lines.index(prose(45, 5))
+    star = [(base, i, True) for i in range(len(lines)) if i != base]
+    texts = spark.createDataFrame(list(enumerate(lines)), "h long, line string")
+    comparisons = fl.compared(spark.createDataFrame(star, "a long, b long, large boolean"), texts).cache()
+    linked = {r["b"] for r in comparisons.where("linked").collect()}
+    assert linked == {i for i in range(len(lines)) if i != base and fl.alike(sets[base], sets[i])} and 0 < len(linked) < len(lines) - 20
+    roots = spark.createDataFrame([(i, base) for i in [*linked, base]], "node long, root long")
+    got = {tuple(sorted((r["a"], r["b"]))) for r in fl.far_pairs(comparisons, roots).collect()}
+    others = [i for i in range(len(lines)) if i != base]
+    want = {(i, j) for i in others for j in others if i < j and fl.alike(sets[i], sets[j]) and not {i, j} <= linked}
+    every = {(i, j) for i in others for j in others if i < j and not {i, j} <= linked}
+    assert want <= got and len(want) > 30 and len(got) < len(every) / 4
+
+
+def test_versions_of_a_line_equal_brute_force(spark, prose, paired):
+    docs = list(enumerate(versions(prose)))
+    want, result = brute_kept(docs), got(spark.createDataFrame(docs, "doc_id long, text string").repartition(5))
+    assert want <= result and len(result - want) <= 1
+
+
 def test_signatures_agree_as_often_as_sets_do(prose):
     rng, hits, sims = random.Random(4), [], []
     for i in range(150):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -183,7 +183,7 @@ def alike(a: set, b: set) -> bool:
     return both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable = shingles) -> DataFrame:
     """The pairs (a, b) whose lines' shingle sets have a Jaccard similarity of SIMILARITY or more."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +198,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_texts(pairs, texts).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def compared(star: DataFrame, texts: DataFrame) -> DataFrame:
+def compared(star: DataFrame, texts: DataFrame, shingles: Callable = shingles) -> DataFrame:
     """Every line b compared with its centre a: whether they are linked, both sets' sizes and, for rows marked
     ``large``, what b's set has that a's has not and then what it lacks, each as sorted hashes, and the parities of
     these changes' counts in CHANGE_BITS classes."""
@@ -263,27 +263,32 @@ def far_pairs(comparisons: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def line_links(docs: DataFrame, occurrences: DataFrame, counts: DataFrame) -> DataFrame:
-    """Links (a, b) between line hashes at SIMILARITY or more that keep all components of the candidates.
+    """Links (a, b) between line hashes at SIMILARITY or more that keep all components of the candidates."""
+    members = written(shared_buckets(occurrences.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "h")), "lines-buckets")
+    texts = written(line_texts(docs, members.select("h").distinct()), "lines-texts")
+    return bucket_links(members, texts, counts, shingles, "lines")
+
 
-    First each bucket's members are compared with its most copied line. What that joins is one component;
+def bucket_links(members: DataFrame, texts: DataFrame, counts: DataFrame, shingles: Callable, label: str) -> DataFrame:
+    """Links (a, b) at SIMILARITY or more between the ``members`` (key, h) of buckets, which keep all components.
+
+    ``texts`` has the line of every h, ``counts`` its copies, and ``shingles`` makes a line's set of strings. First each bucket's members are compared with its most copied line. What that joins is one component;
     only members of one bucket that are still in different components are then compared with each other:
     in pairs in buckets up to PAIRED lines, through shared differences from the centre in larger ones.
     """
-    members = written(shared_buckets(occurrences.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "h")), "lines-buckets")
-    texts = written(line_texts(docs, members.select("h").distinct()), "lines-texts")
-    known = written(members.join(counts.select("h", "copies"), "h"), "lines-members")
+    known = written(members.join(counts.select("h", "copies"), "h"), f"{label}-members")
     centre = known.groupBy("key").agg(F.max_by("h", F.struct("copies", "h")).alias("centre"), F.count("*").alias("n"))
-    around = written(known.join(centre.where("n > 1"), "key").where("h != centre").select("key", "h", "centre", (F.col("n") > PAIRED).alias("large")), "lines-around")
+    around = written(known.join(centre.where("n > 1"), "key").where("h != centre").select("key", "h", "centre", (F.col("n") > PAIRED).alias("large")), f"{label}-around")
     star = around.groupBy(F.col("centre").alias("a"), F.col("h").alias("b")).agg(F.max("large").alias("large"))
-    comparisons = written(compared(star, texts), "lines-compared")
+    comparisons = written(compared(star, texts, shingles), f"{label}-compared")
     close = comparisons.where("linked").select("a", "b")
-    roots = components(close, "lines-first")
+    roots = components(close, f"{label}-first")
     placed = around.where("NOT large").join(roots, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    apart = written(placed.join(split, "key"), "lines-apart")
+    apart = written(placed.join(split, "key"), f"{label}-apart")
     a, b = apart.select("key", F.col("h").alias("a"), F.col("root").alias("ra")), apart.select("key", F.col("h").alias("b"), F.col("root").alias("rb"))
     rest = a.join(b, "key").where("ra < rb").select("a", "b").union(far_pairs(comparisons, roots)).distinct()
-    return close.union(verified(rest, texts))
+    return close.union(verified(rest, texts, shingles))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:

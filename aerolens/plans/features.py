@@ -161,8 +161,8 @@ LIVE_ALL = [*COLUMNS, "temperature_2m", "wind_speed_10m", "relative_humidity_2m"
 LIVE_HOURS = 400
 
 
-def live_features(spark, d):
-    """The newest feature row of every station with enough recent history."""
+def live_features(spark, d, spec=series.LIVE, flagged=()):
+    """The newest feature row of every station with enough recent history; ``flagged`` columns get missingness flags."""
     now = V.now_of(V.table(spark, d, "events"))
     since = V.back(now, hours=LIVE_HOURS)
     s = V.stations(spark, d).select("station_id", "city")
@@ -171,7 +171,8 @@ def live_features(spark, d):
     # The wind direction is unknown every third hour, and not filled.
     wind = F.when(F.hour("timestamp") % 3 != 0, F.col("wind_direction_10m")).alias("wind_direction_10m")
     kept = series.enough_history(joined).select("station_id", "timestamp", *LIVE_ALL, wind)
-    return series.engineer(series.fill_live(kept, LIVE_ALL), series.LIVE, last_only=True)
+    kept = series.add_missing_flags(kept, list(flagged)) if flagged else kept
+    return series.engineer(series.fill_live(kept, LIVE_ALL), spec, last_only=True)
 
 
 LIVE_CTE = ("h AS (SELECT station_id, timestamp, " + ", ".join(LIVE_ALL) + """, CASE WHEN hour(timestamp) % 3 <> 0 THEN wind_direction_10m END AS wind_direction_10m FROM readings LEFT JOIN stations USING (station_id)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -9,8 +11,9 @@ from ..functions.air import category, forecast_array
 from ..operators import clean, forecast, incremental, series
 from ..operators.ordered import latest_by
 from ..session import work_path, written
+from . import jobs
 from . import views as V
-from .features import FILL_CTE, WIN, feature_table, filled, live_features
+from .features import FILL_CTE, WIN, filled, live_features, training_input
 from .registry import query
 
 R = V.READINGS_CTE
@@ -88,27 +91,23 @@ def score_table(spark, d):
     return V.rounded(out, [c for c in out.columns if c not in ("split", "model")], 4)
 
 
-MODEL_FEATURES = ["aqi", "pm25", "no2", "temperature_2m", "hour_sin", "hour_cos", "aqi_lag1", "aqi_lag24", "aqi_roll24_mean", "aqi_roll24_std"]
-# Few trees, so that the query takes a minute; ``train_horizons`` has the full number by default.
-MODEL_PARAMS = {"maxIter": 3, "maxDepth": 3, "stepSize": 0.4, "minInstancesPerNode": 20}
-
-
 def training_table(spark, d):
-    """The feature table, written once: every model and tree level reads it again."""
-    t = clean.split_by_time(feature_table(spark, d), TRAIN_END, VAL_END)
-    targets = [f"aqi_t{h}" for h in HORIZONS]
-    columns = dict.fromkeys(["station_id", "timestamp", "split", *MODEL_FEATURES, *V.MEASURED, *targets])
-    return written(t.select(*columns), "training")
+    """(table, features, medians): the training job's table and the columns it selects, nulls filled with the training
+    medians; written once, as every model and tree level reads it again."""
+    made, meta = jobs.training_features(training_input(spark, d), most=None)
+    t = written(clean.split_by_time(made, TRAIN_END, VAL_END), "training")
+    medians = forecast.training_medians(t, meta["selected"])
+    return written(forecast.impute_medians(t, meta["selected"], medians), "training-filled"), meta["selected"], medians
 
 
 @query("gbt_forecast")
 def gbt_forecast(spark, d):
     """Boosted trees against persistence on the held-out splits."""
-    t = training_table(spark, d)
-    models = forecast.train_horizons(t.where("split = 'train'"), MODEL_FEATURES, HORIZONS, **MODEL_PARAMS)
+    t, features, _ = training_table(spark, d)
+    models = forecast.train_horizons(t.where("split = 'train'"), features, HORIZONS)
     held = t.where("split <> 'train'")
     trees = forecast.score_table(
-        forecast.error_sums(forecast.score(held, models, MODEL_FEATURES), HORIZONS), "gbt", HORIZONS)
+        forecast.error_sums(forecast.score(held, models, features), HORIZONS), "gbt", HORIZONS)
     naive = forecast.score_table(
         forecast.error_sums(forecast.persistence(held, HORIZONS), HORIZONS), "persistence", HORIZONS)
     return trees.unionByName(naive)
@@ -141,7 +140,8 @@ def best_naive_forecast(spark, d):
 def gbt_search(spark, d):
     """Trial table of a small parameter grid on the first target, scored on the validation weeks."""
     grid = {"maxDepth": [3, 5], "stepSize": [0.05, 0.2], "maxIter": [3]}
-    _, trials = forecast.search_parameters(training_table(spark, d), MODEL_FEATURES, "aqi_t1", grid)
+    t, features, _ = training_table(spark, d)
+    _, trials = forecast.search_parameters(t, features, "aqi_t1", grid)
     return trials
 
 
@@ -174,10 +174,15 @@ def prediction_records(spark, d):
 @query("gbt_predictions")
 def gbt_predictions(spark, d):
     """The newest live row of every station scored by the models of all hours, as prediction records."""
-    t = training_table(spark, d)
-    models = forecast.train_horizons(t.where("split = 'train'"), MODEL_FEATURES, HORIZONS, **MODEL_PARAMS)
-    newest = live_features(spark, d)
-    scored = forecast.score(newest.withColumns({c: F.lit(0.0) for c in MODEL_FEATURES if c not in newest.columns}), models, MODEL_FEATURES)
+    t, features, medians = training_table(spark, d)
+    models = forecast.train_horizons(t.where("split = 'train'"), features, HORIZONS)
+    flag = "_was_missing"
+    flagged = [c.removesuffix(flag) for c in features if c.endswith(flag)]
+    newest = live_features(spark, d, replace(series.OFFLINE, horizons=0), flagged)
+    # What is left are the city's code and the target statistics: one value a station.
+    fixed = [c for c in features if c not in newest.columns]
+    known = t.groupBy("station_id").agg(F.count("*").alias("_n"), *[F.max(c).alias(c) for c in fixed]).drop("_n")
+    scored = forecast.score(forecast.impute_medians(newest.join(known, "station_id", "left"), features, medians), models, features)
     trends = clean.weekly_trend(V.readings(spark, d))
     return forecast.prediction_records(scored, HORIZONS, trends, ["station_id", "timestamp"]).selectExpr(
         "station_id", "timestamp", "current_aqi", "primary_pollutant", "forecast", "pollutants", "advisory")

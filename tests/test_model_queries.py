@@ -24,3 +24,14 @@ def test_forecasts_train_all_trees_on_the_selected_columns(spark, monkeypatch):
     rows = forecasts.gbt_predictions(spark, DATA).collect()
     assert rows and all(len(r["forecast"]) == 24 for r in rows)
     assert seen == [(selected, list(range(1, 25)), {})] * 2
+
+
+def test_search_spans_the_published_ranges(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(forecasts, "training_table", lambda spark, d: ("table", ["x"], {}))
+    monkeypatch.setattr(forecast, "search_parameters", lambda *a: seen.append(a) or (None, "trials"))
+    assert forecasts.gbt_search(spark, DATA) == "trials"
+    (table, features, label, grid), = seen
+    assert (table, features, label) == ("table", ["x"], "aqi_t1")
+    for name, low, high in (("maxDepth", 3, 8), ("stepSize", 0.01, 0.2), ("maxIter", 100, 300), ("minInstancesPerNode", 10, 100)):
+        assert min(grid[name]) == low and max(grid[name]) == high and len(grid[name]) > 2

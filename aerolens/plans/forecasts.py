@@ -94,7 +94,7 @@ def score_table(spark, d):
 def training_table(spark, d):
     """(table, features, medians): the training job's table and the columns it selects, nulls filled with the training
     medians; written once, as every model and tree level reads it again."""
-    made, meta = jobs.training_features(training_input(spark, d), most=None)
+    made, meta = jobs.training_features(training_input(spark, d))
     t = written(clean.split_by_time(made, TRAIN_END, VAL_END), "training")
     medians = forecast.training_medians(t, meta["selected"])
     return written(forecast.impute_medians(t, meta["selected"], medians), "training-filled"), meta["selected"], medians

@@ -69,9 +69,9 @@ def engineered_training(table: DataFrame, spec: series.FeatureSpec = series.OFFL
 
 
 def training_features(
-    table: DataFrame, spec: series.FeatureSpec = series.OFFLINE, sparse: float = 0.65, correlated: float = 0.98, most: int | None = 180
+    table: DataFrame, spec: series.FeatureSpec = series.OFFLINE, sparse: float = 0.65, correlated: float = 0.98, most: int | None = None
 ) -> tuple[DataFrame, dict]:
-    """The table that models are trained on: keys, selected features, targets."""
+    """The table that models are trained on: keys, selected features (the first ``most`` if given), targets."""
     made, meta = engineered_training(table, spec, sparse)
     targets = [c for c in made.columns if c in {f"{spec.target}_t{h}" for h in range(1, spec.horizons + 1)}]
     keys = [c for c in ("station_id", "city", "state", "station_name", "latitude", "longitude", "timestamp") if c in made.columns]

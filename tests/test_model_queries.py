@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from aerolens.operators import forecast
+from aerolens.operators import forecast, selection
 from aerolens.plans import forecasts, jobs
 from aerolens.plans.features import training_input
 
@@ -35,3 +35,12 @@ def test_search_spans_the_published_ranges(spark, monkeypatch):
     assert (table, features, label) == ("table", ["x"], "aqi_t1")
     for name, low, high in (("maxDepth", 3, 8), ("stepSize", 0.01, 0.2), ("maxIter", 100, 300), ("minInstancesPerNode", 10, 100)):
         assert min(grid[name]) == low and max(grid[name]) == high and len(grid[name]) > 2
+
+
+def test_no_selected_column_is_dropped_by_its_place(spark, monkeypatch):
+    wide = spark.range(1).selectExpr(*[f"id + {i} AS c{i}" for i in range(200)])
+    monkeypatch.setattr(jobs, "engineered_training", lambda *a: (wide, {}))
+    for name in ("duplicate_columns", "correlated_columns"):
+        monkeypatch.setattr(selection, name, lambda *a: [])
+    assert jobs.training_features(wide)[1]["selected"] == wide.columns
+    assert jobs.training_features(wide, most=180)[1]["selected"] == wide.columns[:180]

@@ -8,32 +8,20 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolens.llm import decontamination, mixing, near_texts, quality, token_files
+from aerolens.llm import decontamination, mixing, quality, simhash, token_files
 from aerolens.llm.texts import importable
-from aerolens.session import recorded, remove, work_path
+from aerolens.session import remove, scratch, work_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-# Intermediate tables of the stage that ran last, by application.
-_left: dict[str, list[str]] = {}
-
 
 def stage(fn: Stage) -> Stage:
-    """A stage starts by removing the intermediate tables that the stage before it left, unless ``docs`` still reads
-    them; its own stay until the next stage, as its result reads them."""
+    """A stage whose Python workers can import this package. Its intermediate tables stay, as its result reads them;
+    ``run`` knows when they are no longer read."""
     @wraps(fn)
     def start(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         importable(spark)
-        app = spark.sparkContext.applicationId
-        left = _left.pop(app, [])
-        files = docs.inputFiles() if left else []
-        for path in left:
-            if not any(path.rsplit("/", 1)[1] in file for file in files):
-                remove(spark, path)
-        with recorded() as paths:
-            out = fn(spark, docs, sf_dir)
-        _left[app] = paths
-        return out
+        return fn(spark, docs, sf_dir)
     return start
 
 
@@ -45,8 +33,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @stage
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies: five-word shingles, Jaccard similarity 0.8."""
-    return near_texts.keep_one(docs)
+    """One document of each group whose fingerprints over three-word shingles link at two bits."""
+    return simhash.keep_one(docs, most=2, shingle=3)
 
 
 @stage
@@ -77,15 +65,19 @@ STAGES: list[tuple[str, Stage]] = [
     ("token_files", token_documents),
 ]
 
-#: Rolling hashes, MinHash, edit distances and the tokenizer are not SQL; the tests hold run() against brute force.
+#: Rolling hashes, XXH64 fingerprints, edit distances and the tokenizer are not SQL; the tests hold run() against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written as Parquet and reread. What a stage read is removed once its own
+    output is written; the token files and the last output stay."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, one in STAGES:
         path = work_path(spark, f"pipeline-{name}")
-        one(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            one(spark, docs, sf_dir).write.parquet(path)
+        if read:
+            remove(spark, read)
+        docs, read = spark.read.parquet(path), path
     return docs

@@ -127,13 +127,21 @@ def classes(docs: DataFrame, most: int = 2, shingle: int = 3, paired: int = PAIR
 
 
 def keep_one(docs: DataFrame, most: int = 2, shingle: int = 3) -> DataFrame:
-    """One document of each near-duplicate group: the smallest doc_id, of repeated rows any one; columns unchanged.
+    """One document of each near-duplicate group: the smallest doc_id, null last, of repeated rows any one; columns unchanged.
 
-    Rows are told apart by their place in a copy written once.
+    No copy of the texts is written. A row is known by its id and its text's hash; only where several rows agree
+    in both with the chosen one are they grouped, to leave one of them.
     """
-    copy = written(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-docs")
-    fps = written(with_fingerprint(copy.select("doc_id", "__row", "text"), "text", shingle), "simhash-fp")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("__hash"), "text")
+    fps = written(with_fingerprint(hashed, "text", shingle), "simhash-fp")
     roots = near_duplicates(fps, most)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
-    best = fps.groupBy("fp").agg(F.min(order).alias("o")).join(roots, "fp").groupBy("root").agg(F.min("o").alias("o"))
-    return copy.join(best.select(F.col("o.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    rows = fps.groupBy("fp", "doc_id", "__hash").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__hash", "n")
+    first = rows.groupBy("fp").agg(F.min(order).alias("o")).join(roots, "fp")
+    best = first.groupBy("root").agg(F.min("o").alias("o"))
+    chosen = written(best.selectExpr("o.doc_id AS __id", "o.__hash AS __hash", "o.n AS __n"), "simhash-chosen")
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
+    own = [docs[f"`{c}`"] for c in docs.columns]
+    single = docs.join(chosen.where("__n = 1"), same).select(*own)
+    repeated = docs.join(chosen.where("__n > 1"), same).dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    return single.union(repeated)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolens.llm import chat, decontamination, fuzzy_lines, licenses, mixing, quality, sharding, simhash, token_files, toxicity
+from aerolens.llm import chat, decontamination, fuzzy_lines, licenses, mixing, packing, quality, sharding, simhash, token_files, toxicity
 from aerolens.llm.texts import importable, n_words
 from aerolens.session import work_path
 
@@ -190,3 +190,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op13_packing")
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = packing.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
+    return packing.pieces(packing.fragments(encoded, packing.SIZE, keep_ids=False))

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolens.llm import chat, decontamination, fuzzy_lines, licenses, mixing, packing, quality, sharding, simhash, token_files, toxicity
+from aerolens.llm import chat, decontamination, fuzzy_lines, licenses, mixing, packing, prefix_trie, quality, sharding, simhash, token_files, toxicity
 from aerolens.llm.texts import importable, n_words
 from aerolens.session import work_path
 
@@ -192,6 +192,32 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+TRIE_SQL = """
+    WITH t AS (SELECT conv_id, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key,
+                      len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS words, turn
+               FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, list(key ORDER BY turn NULLS FIRST, key) AS keys, list(words ORDER BY turn NULLS FIRST, key) AS words FROM t GROUP BY conv_id),
+    h AS (SELECT *, (xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+            lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: xor(x // 2, 3988292384 * (x % 2)))), 4294967295) % 4)::BIGINT AS h FROM c),
+    r AS (SELECT h.conv_id, coalesce(b.keys, [])[1:h] || h.keys[h + 1:] AS keys, coalesce(b.words, [])[1:h] || h.words[h + 1:] AS words
+          FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 20),
+    p AS (SELECT conv_id, d, array_to_string(keys[1:d], '') AS path, coalesce(words[d], 0) AS words, d = len(keys) AS ending
+          FROM (SELECT *, unnest(range(len(keys) + 1)) AS d FROM r)),
+    n AS (SELECT path, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+                 sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ending), '')) AS ends_sha256 FROM p GROUP BY path),
+    k AS (SELECT n.*, q.conv_id AS parent_conv_id, left(n.path, 32 * (n.depth - 1)) AS parent FROM n LEFT JOIN n q ON n.depth > 0 AND q.path = left(n.path, 32 * (n.depth - 1))),
+    s AS (SELECT parent AS path, count(*) AS n_children FROM k WHERE depth > 0 GROUP BY parent),
+    u AS (SELECT left(path, 32 * e) AS path, sum((n_convs - 1) * words)::BIGINT AS saved_tokens, count(*) FILTER (childless) AS n_leaves
+          FROM (SELECT n.*, s.path IS NULL AS childless, unnest(range(depth + 1)) AS e FROM n LEFT JOIN s USING (path)) GROUP BY 1)
+    SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, ends_sha256
+    FROM k LEFT JOIN s USING (path) JOIN u USING (path)"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(*prefix_trie.rebuilt(prefix_trie.ordered(table(spark, sf_dir, "conversations"))))
+
+
 @query("op13_packing")
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = packing.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)

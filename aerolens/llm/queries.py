@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolens.llm import chat, decontamination, fuzzy_lines, licenses, mixing, packing, prefix_trie, quality, sharding, simhash, token_files, toxicity
+from aerolens.llm import chat, collocations, decontamination, fuzzy_lines, licenses, mixing, packing, prefix_trie, quality, sharding, simhash, token_files, toxicity
 from aerolens.llm.texts import importable, n_words
 from aerolens.session import work_path
 
@@ -218,6 +218,30 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(*prefix_trie.rebuilt(prefix_trie.ordered(table(spark, sf_dir, "conversations"))))
 
 
+COLLOCATION_SQL = r"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM d),
+    t AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+    p AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM w), (VALUES (1), (2), (3), (4)) s(k)
+          WHERE i + k - 1 <= len(words)),
+    f AS (SELECT lang, k, phrase, split(phrase, ' ') AS words, count(*) AS f FROM p GROUP BY ALL HAVING count(*) >= 30),
+    c AS (SELECT lang, k, phrase, words, f AS a FROM f WHERE k > 1),
+    u AS (SELECT *, array_to_string(words[1:cut], ' ') AS head, array_to_string(words[cut + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+    s AS (SELECT u.*, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score FROM u JOIN f x ON x.lang = u.lang AND x.phrase = head
+          JOIN f y ON y.lang = u.lang AND y.phrase = tail QUALIFY row_number() OVER (PARTITION BY u.lang, u.phrase ORDER BY score, cut) = 1),
+    i AS (SELECT lang, array_to_string(words[b:b + z - 1], ' ') AS phrase, max(a) AS longer FROM c, (VALUES (1), (2), (3)) v(b), (VALUES (2), (3)) q(z)
+          WHERE z < k AND b + z - 1 <= k GROUP BY ALL),
+    o AS (SELECT s.* FROM s LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+    SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (
+      SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) JOIN t USING (lang) WHERE rank <= 2000"""
+
+
+@query("op12_collocations", COLLOCATION_SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op13_packing")
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = packing.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)

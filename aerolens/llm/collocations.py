@@ -2,9 +2,9 @@
 
 At each word stands one window: the word and its lead columns, up to four words, padded where the piece ends. An
 occurrence of a shorter phrase is a prefix of exactly one window, so its count is a sum over windows. A phrase under
-the least count can be in no result, nor can a longer one that holds it; so a window is padded from the first pair
-of neighbours that is too rare. What is too rare is known from a count of hashed words and pairs, which can only be too
-high: a false entry in the filter costs time and changes no count.
+the least count can be in no result, nor can a longer one that holds it; so a window is padded from the first word
+with which it is too rare. What is too rare is known from a count of hashed window beginnings, a few bytes each, which can
+only be too high: a false entry in the filter costs time and changes no count.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ CUT = b"\xff"
 #: A-Z to a-z, the separators ``[.,;:!?\n-\r]`` to ``CUT``.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else CUT[0] if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 #: A text is read in stretches of about this many bytes that end at a separator.
-STRETCH, TOKENS, VOCABULARY, KEYS = 1 << 22, 1 << 20, 1_500_000, 1 << 22
-#: A key has 40 bits: the first 12 name its bucket, the first 27 its bit in the filter (16 MB, whatever the corpus).
-BUCKET_BITS, FILTER_BITS, KEY_BITS = 12, 27, 40
+STRETCH, TOKENS, VOCABULARY, KEYS = 1 << 22, 1 << 19, 1_000_000, 1 << 22
+#: A key has 44 bits: the first 12 name its bucket, the first 27 its bit in the filter (16 MB, whatever the corpus).
+BUCKET_BITS, FILTER_BITS, KEY_BITS = 12, 27, 44
 
 
 class Words(dict):
@@ -88,13 +88,28 @@ class Vocabulary:
             yield np.array(ids, np.int64)
 
 
-def keys(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the words, and of each word with the one after it."""
-    def mixed(x):
+def keys(hashes: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For k = 1, 2, ..: the key of the ``k`` words from each place on, and whether they all stand in one piece."""
+    n = len(ids)
+    hashes, words = np.r_[hashes, np.zeros(LONGEST, np.uint64)], np.r_[ids > 0, np.zeros(LONGEST, bool)]
+    so_far, inside = np.zeros(n, np.uint64), np.ones(n, bool)
+    for k in range(LONGEST):
+        x = so_far * np.uint64(0x9E3779B97F4A7C15) + hashes[k:k + n]
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - KEY_BITS)
-    a, b = hashes[:-1], hashes[1:]
-    return mixed(hashes), mixed(a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93))
+        so_far, inside = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB), inside & words[k:k + n]
+        yield so_far >> np.uint64(64 - KEY_BITS), inside
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Integers byte plane by byte plane, compressed: the high bytes of small ones nearly vanish."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -102,13 +117,13 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def frequent(docs: DataFrame, least: int = LEAST) -> Broadcast:
-    """The filter: a bit for each word and pair of neighbours that may occur ``least`` times in its language.
+    """The filter: a bit for each beginning of a window that may occur ``least`` times in its language.
 
-    Tasks count keys, sorted and as differences within 4,096 buckets, some three bytes a distinct key; a bucket's counts
-    are summed in one place and leave a slice of the filter, packed.
+    Tasks count keys and keep them sorted, as differences within 4,096 buckets, some three bytes a distinct key; a bucket's
+    counts are summed in one place and leave a slice of the filter.
     """
     spark = docs.sparkSession
-    low_bits, slice_bits = KEY_BITS - BUCKET_BITS, FILTER_BITS - BUCKET_BITS
+    low_bits, slice_bits, kind = KEY_BITS - BUCKET_BITS, FILTER_BITS - BUCKET_BITS, "u1" if least < 256 else "<u4"
 
     def count(batches):
         vocabulary, held, size = Vocabulary(), [], 0
@@ -116,16 +131,15 @@ def frequent(docs: DataFrame, least: int = LEAST) -> Broadcast:
         def flush():
             found, n = np.unique(np.concatenate(held), return_counts=True)
             ends = np.searchsorted(found, np.arange(1, 1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(low_bits))
-            low = (found & np.uint64((1 << low_bits) - 1)).astype("<u4")
-            n = np.minimum(n, least).astype("<u4" if least > 255 else np.uint8)
-            rows = [(i, np.diff(a, prepend=a.dtype.type(0)).tobytes(), b.tobytes())
+            low, n = (found & np.uint64((1 << low_bits) - 1)).astype("<u4"), np.minimum(n, least).astype(kind)
+            rows = [(i, len(a), packed(np.diff(a, prepend=a.dtype.type(0))), packed(b))
                     for i, (a, b) in enumerate(zip(np.split(low, ends), np.split(n, ends))) if len(a)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], ["bucket", "low", "n"])
+            columns = list(zip(*rows))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "size", "low", "n"])
 
         for ids in vocabulary.chunks(batches):
-            words, pairs = keys(vocabulary.hash_of(ids))
-            held += [words[ids > 0], pairs[(ids[:-1] > 0) & (ids[1:] > 0)]]
-            size += len(held[-1]) + len(held[-2])
+            held += [key[inside] for key, inside in keys(vocabulary.hash_of(ids), ids)]
+            size += sum(map(len, held[-LONGEST:]))
             if size >= KEYS:
                 yield flush()
                 held, size = [], 0
@@ -145,22 +159,22 @@ def frequent(docs: DataFrame, least: int = LEAST) -> Broadcast:
                 return None
             flags = np.zeros(1 << slice_bits, bool)
             flags[kept >> (low_bits - slice_bits)] = True
-            packed = zlib.compress(np.packbits(flags, bitorder="little").tobytes())
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([packed], pa.binary())], ["bucket", "bits"])
+            slice_ = zlib.compress(np.packbits(flags, bitorder="little").tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([slice_], pa.binary())], ["bucket", "bits"])
 
         for batch in batches:
-            for bucket, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, size, a, b in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != now:
                     if low and (made := bits()):
                         yield made
                     now, low, n = bucket, [], []
-                low.append(np.cumsum(np.frombuffer(a, "<u4"), dtype=np.uint32))
-                n.append(np.frombuffer(b, "<u4" if least > 255 else np.uint8))
+                low.append(np.cumsum(unpacked(a, size, "<u4"), dtype=np.uint32))
+                n.append(unpacked(b, size, kind))
         if low and (made := bits()):
             yield made
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = _texts(docs).mapInArrow(count, "bucket int, low binary, n binary")
+    counted = _texts(docs).mapInArrow(count, "bucket int, size int, low binary, n binary")
     slices = counted.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, bits binary")
     return spark.sparkContext.broadcast([tuple(r) for r in slices.collect()])
 
@@ -182,14 +196,12 @@ def windows(docs: DataFrame, kept: Broadcast) -> DataFrame:
 
         vocabulary = Vocabulary()
         for ids in vocabulary.chunks(batches):
-            words, pairs = keys(vocabulary.hash_of(ids))
-            known = passes(words) & (ids > 0)
-            go_on = np.r_[passes(pairs) & known[:-1] & known[1:], np.zeros(LONGEST, bool)]
+            lead, alive = [], np.ones(len(ids), bool)
             padded = np.r_[ids, np.zeros(LONGEST, np.int64)]
-            lead, alive = [np.where(known, ids, -ids)], np.ones(len(ids), bool)  # a rare word keeps its id, below 0, for its language
-            for k in range(1, LONGEST):
-                alive = alive & go_on[k - 1:k - 1 + len(ids)]
+            for k, (key, inside) in enumerate(keys(vocabulary.hash_of(ids), ids)):
+                alive = alive & inside & passes(key)
                 lead.append(np.where(alive, padded[k:k + len(ids)], 0))
+            known = lead[0] > 0
             langs = {lang: i for i, lang in enumerate(vocabulary.langs)}
             rare = np.flatnonzero(~known & (ids > 0))
             by_lang = np.bincount([langs[vocabulary.found[i][0]] for i in ids[rare].tolist()], minlength=len(langs))
@@ -203,8 +215,10 @@ def windows(docs: DataFrame, kept: Broadcast) -> DataFrame:
                 columns = [a // base, a % base, b // base, b % base]
             else:
                 columns = [np.zeros(0, np.int64)] * LONGEST
-            texts = pa.array([w.decode("utf-8", "replace") for _, w in vocabulary.found], pa.string())
-            of_word = pa.array([lang for lang, _ in vocabulary.found], pa.string())
+            used = np.unique(np.concatenate(columns))
+            columns = [np.searchsorted(used, c) for c in columns]
+            found = [vocabulary.found[i] for i in used.tolist()]
+            texts, of_word = pa.array([w.decode("utf-8", "replace") for _, w in found], pa.string()), pa.array([lang for lang, _ in found], pa.string())
             totals = [(lang, int(by_lang[i])) for lang, i in langs.items() if by_lang[i]]
             if len(both):
                 yield pa.RecordBatch.from_arrays(

@@ -33,7 +33,6 @@ MOLAR_MASS = {
     "no": 30.01, "no2": 46.0055, "nox": 46.0055, "nh3": 17.031,
     "co": 28.01, "so2": 64.066, "o3": 48.00,
 }
-MASS_ONLY = ("pm25", "pm10", "benzene", "toluene", "xylene")
 PPB_GASES = ("no", "no2", "nh3", "so2", "o3", "nox")
 CANONICAL_UNIT = {p: "mg/m3" if p == "co" else "ug/m3" for p in POLLUTANTS}
 
@@ -112,3 +111,6 @@ MIN_DRIFT_VALUES = 10
 
 # --- fixed values: latency histogram upper bounds in seconds ----------------------------
 LATENCY_BUCKETS = (0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0)
+
+# --- fixed values: ranges of the parameter search ----------------------------------------
+SEARCH_RANGES = {"trees": (100, 300), "rate": (0.01, 0.2), "leaves": (20, 100), "depth": (3, 8), "least": (10, 100)}

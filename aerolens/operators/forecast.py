@@ -1,21 +1,19 @@
-"""Multi-horizon forecasting with Spark ML, scoring records and error metrics."""
+"""Multi-horizon forecasting with boosted trees, scoring records and error metrics."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from itertools import product
+import math
+import random
+from dataclasses import replace
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.air import advisory, forecast_array, primary_pollutant
 from ..functions.numeric import half_even_int, safe_double
 from ..sources.payloads import prediction_from_json, prediction_to_json
+from . import boosting
 from .incremental import upsert_table
 from .ordered import latest_by, quantiles
 from .profile import long_form
@@ -34,56 +32,47 @@ def impute_medians(df: DataFrame, columns: list[str], medians: dict[str, float]
     return df.na.fill(training_medians(df, columns) if medians is None else medians)
 
 
-def assemble(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df)
-
-
 def train_horizons(
-    train: DataFrame, features: list[str], horizons=range(1, K.N_AHEAD + 1), target: str = "aqi", parallel: int = 6, **params
-) -> dict[int, GBTRegressionModel]:
-    """One boosted-tree model per horizon, ``parallel`` of them fitted at a time.
-
-    Pass a written table: each model reads it once per tree level.
-    """
-    packed = assemble(train, features)
-    settings = {"maxDepth": 6, "stepSize": 0.05, "maxIter": 200, "minInstancesPerNode": 50, "seed": 42, **params}
+    train: DataFrame, features: list[str], horizons=range(1, K.N_AHEAD + 1), target: str = "aqi", **params
+) -> dict[int, boosting.Model]:
+    """One boosted-tree model per horizon, all grown in the same passes; ``params`` are those of ``boosting.Spec``."""
+    specs = [boosting.Spec(f"{target}_t{h}", **params) for h in horizons]
+    return dict(zip(horizons, boosting.fit(train, features, specs)))
 
-    def fit(h: int) -> GBTRegressionModel:
-        return GBTRegressor(featuresCol="features", labelCol=f"{target}_t{h}", predictionCol=f"pred_t{h}", **settings).fit(packed)
 
-    return dict(zip(horizons, _in_parallel(train.sparkSession, fit, horizons, parallel)))
+def sample_points(label: str, ranges: dict[str, tuple], points: int, seed: int) -> list[boosting.Spec]:
+    """Seeded points over ``ranges``: (least, most) of whole numbers, or of the rate, whose logarithm is uniform."""
+    rng, base = random.Random(seed), boosting.Spec(label, seed=seed)
 
+    def draw(least, most):
+        return rng.randint(least, most) if isinstance(least, int) else math.exp(rng.uniform(math.log(least), math.log(most)))
 
-def search_parameters(df: DataFrame, features: list[str], label: str, grid: dict[str, list], seed: int = 42, parallel: int = 6):
-    """Grid search: fits on the ``train`` rows, scores R2 on the later ``val`` rows, as hours that overlap in
-    their windows must not be on both sides. Returns (best model, trial table)."""
-    packed = assemble(df, features).select("split", "features", label)
-    train, val = packed.where("split = 'train'"), packed.where("split = 'val'")
-    judge = RegressionEvaluator(labelCol=label, metricName="r2")
-    points = [dict(zip(grid, values)) for values in product(*grid.values())]
+    return [replace(base, **{name: draw(*ends) for name, ends in ranges.items()}) for _ in range(points)]
 
-    def trial(point: dict) -> tuple[GBTRegressionModel, float]:
-        model = GBTRegressor(featuresCol="features", labelCol=label, seed=seed, **point).fit(train)
-        return model, float(judge.evaluate(model.transform(val)))
 
-    done = _in_parallel(df.sparkSession, trial, points, parallel)
-    rows = [(i, ",".join(f"{k}={v}" for k, v in sorted(p.items())), r2) for i, (p, (_, r2)) in enumerate(zip(points, done))]
-    best = max(range(len(done)), key=lambda i: done[i][1])
-    return done[best][0], df.sparkSession.createDataFrame(rows, "trial int, params string, r2 double")
+def search_parameters(df: DataFrame, features: list[str], label: str, ranges: dict[str, tuple] = K.SEARCH_RANGES, points: int = 10, seed: int = 42):
+    """Fits ``points`` side by side on the ``train`` rows and scores R2 on the later ``val`` rows, as hours that overlap in
+    their windows must not be on both sides. Returns (best model, trial table).
 
-
-def _in_parallel(spark: SparkSession, work, items, parallel: int) -> list:
-    """Results of ``work`` in order; each call submits its own Spark jobs."""
-    with ThreadPoolExecutor(parallel) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(work), items))
-
-
-def score(df: DataFrame, models: dict[int, GBTRegressionModel], features: list[str]) -> DataFrame:
+    Each point is fitted once and scored after every tree: the table gives the R2 at its own number of trees, by which
+    the best is chosen, and where it was highest on the way.
+    """
+    specs = sample_points(label, ranges, points, seed)
+    models = boosting.fit(df.where("split = 'train'"), features, specs)
+    stages = boosting.staged_errors(df.where("split = 'val'"), models).select("model", "trees", (1 - F.col("sse") / F.col("sst")).alias("r2"))
+    found = {r["model"]: r for r in stages.groupBy("model").agg(
+        F.max_by("r2", "trees").alias("r2"), F.max_by("trees", F.struct("r2", -F.col("trees"))).alias("best_trees"), F.max("r2").alias("best_r2")).collect()}
+    names = sorted(ranges)
+    rows = [(i, *(getattr(s, n) for n in names), *(found[i][1:] if i in found else (None, None, None))) for i, s in enumerate(specs)]
+    schema = "trial int, " + ", ".join(f"{n} {'int' if isinstance(ranges[n][0], int) else 'double'}" for n in names) + ", r2 double, best_trees int, best_r2 double"
+    scored = [i for i in found if found[i]["r2"] is not None and not math.isnan(found[i]["r2"])]
+    best = max(scored, key=lambda i: (found[i]["r2"], -i), default=0)
+    return models[best], df.sparkSession.createDataFrame(rows, schema)
+
+
+def score(df: DataFrame, models: dict[int, boosting.Model]) -> DataFrame:
     """Add ``pred_t<h>`` for every model."""
-    out = assemble(df, features)
-    for model in models.values():
-        out = model.transform(out)
-    return out.drop("features")
+    return boosting.score(df, {f"pred_t{h}": m for h, m in models.items()})
 
 
 def persistence(df: DataFrame, horizons, current: str = "aqi") -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.air import category, forecast_array
-from ..operators import clean, forecast, incremental, series
+from ..operators import boosting, clean, forecast, incremental, series
 from ..operators.ordered import latest_by
 from ..session import work_path, written
 from . import jobs
 from . import views as V
-from .features import FILL_CTE, WIN, filled, live_features, training_input
+from .features import COLUMNS, FILL_CTE, WIN, filled, live_features, training_input
 from .registry import query
 
 R = V.READINGS_CTE
@@ -93,7 +93,7 @@ def score_table(spark, d):
 
 def training_table(spark, d):
     """(table, features, medians): the training job's table and the columns it selects, nulls filled with the training
-    medians; written once, as every model and tree level reads it again."""
+    medians; written once, as training and scoring read it again."""
     made, meta = jobs.training_features(training_input(spark, d))
     t = written(clean.split_by_time(made, TRAIN_END, VAL_END), "training")
     medians = forecast.training_medians(t, meta["selected"])
@@ -107,7 +107,7 @@ def gbt_forecast(spark, d):
     models = forecast.train_horizons(t.where("split = 'train'"), features, HORIZONS)
     held = t.where("split <> 'train'")
     trees = forecast.score_table(
-        forecast.error_sums(forecast.score(held, models, features), HORIZONS), "gbt", HORIZONS)
+        forecast.error_sums(forecast.score(held, models), HORIZONS), "gbt", HORIZONS)
     naive = forecast.score_table(
         forecast.error_sums(forecast.persistence(held, HORIZONS), HORIZONS), "persistence", HORIZONS)
     return trees.unionByName(naive)
@@ -136,18 +136,41 @@ def best_naive_forecast(spark, d):
     return V.rounded(forecast.best_model(tables[0].unionByName(tables[1])), ["mae"], 4)
 
 
-# The ranges of params.yaml: both ends and a point between them.
-GRID = {"maxDepth": [3, 5, 8], "stepSize": [0.01, 0.05, 0.2], "maxIter": [100, 200, 300], "minInstancesPerNode": [10, 50, 100]}
-
-
 @query("gbt_search")
 def gbt_search(spark, d):
-    """Trial table of the parameter grid on the first target, scored on the validation weeks."""
+    """Trial table of ten seeded points on the first target, scored on the validation weeks."""
     t, features, _ = training_table(spark, d)
-    _, trials = forecast.search_parameters(t, features, "aqi_t1", GRID)
+    _, trials = forecast.search_parameters(t, features, "aqi_t1")
     return trials
 
 
+@query("gbt_first_split", V.with_sql(R, FILL_CTE, "tt AS (SELECT *, row_number() OVER () AS id, " + ", ".join(
+    f"lead(aqi, {h}) {WIN} AS y{h}" for h in HORIZONS) + " FROM filled)",
+  f"tr AS (SELECT * FROM tt WHERE y24 IS NOT NULL AND timestamp < TIMESTAMP '{TRAIN_END}')",
+  "x AS (" + " UNION ALL ".join(f"SELECT id, {i} AS f, '{c}' AS feature, {c} AS x FROM tr" for i, c in enumerate(COLUMNS)) + ")",
+  "e AS (SELECT f, q AS edge, row_number() OVER (PARTITION BY f ORDER BY q) AS bin FROM (SELECT DISTINCT f, unnest(quantile_disc(x, ["
+  + ", ".join(f"{i}e0 / 63" for i in range(1, 63)) + "])) AS q FROM x GROUP BY f))",
+  "b AS (SELECT x.id, x.f, x.feature, 1 + count(edge) AS bin FROM x LEFT JOIN e ON e.f = x.f AND e.edge < x.x GROUP BY ALL)",
+  "y AS (" + " UNION ALL ".join(f"SELECT id, {h} AS horizon, y{h} - avg(y{h}) OVER () AS y FROM tr" for h in HORIZONS) + ")",
+  "s AS (SELECT horizon, f, feature, bin, sum(y) AS s, count(*) AS c FROM b JOIN y USING (id) GROUP BY ALL)",
+  """l AS (SELECT horizon, f, feature, bin, sum(s) OVER w AS sl, sum(c) OVER w AS cl, sum(s) OVER p - sum(s) OVER w AS sr, sum(c) OVER p - sum(c) OVER w AS cr
+    FROM s WINDOW w AS (PARTITION BY horizon, f ORDER BY bin), p AS (PARTITION BY horizon, f))""",
+  "v AS (SELECT horizon, sum(y * y) AS sst FROM y GROUP BY 1)", select=f"""
+SELECT CAST(horizon AS INTEGER) AS horizon, feature, CAST(bin AS INTEGER) AS bin, {r('edge')} AS cut, round(100 * (sl * sl / cl + sr * sr / cr) / sst, 2) AS share
+FROM l JOIN e USING (f, bin) JOIN v USING (horizon) WHERE cl >= 50 AND cr >= 50
+QUALIFY row_number() OVER (PARTITION BY horizon ORDER BY round(sl * sl / cl + sr * sr / cr, 2) DESC, f, bin) = 1"""))
+def gbt_first_split(spark, d):
+    """The first split of every horizon's first tree, and the share of the variance that it explains."""
+    t = clean.split_by_time(series.add_targets(filled(spark, d), "aqi", HORIZONS), TRAIN_END, VAL_END).where("split = 'train'")
+    train = written(t.select(*COLUMNS, *[f"aqi_t{h}" for h in HORIZONS]), "first-split")
+    stump = {"trees": 1, "rate": 1.0, "depth": 1, "leaves": 2, "rows": 1.0, "columns": 1.0}
+    models = forecast.train_horizons(train, COLUMNS, HORIZONS, **stump)
+    splits = boosting.first_splits({str(h): m for h, m in models.items()}, spark)
+    shares = boosting.staged_errors(train, list(models.values())).select((F.col("model") + 1).alias("horizon"), (100 * (1 - F.col("sse") / F.col("sst"))).alias("share"))
+    out = splits.withColumn("horizon", F.col("model").cast("int")).join(shares, "horizon")
+    return V.rounded(out.select("horizon", "feature", "bin", "cut", F.round("share", 2).alias("share")), ["cut"])
+
+
 @query("prediction_records", V.with_sql(R, """daily AS (
   SELECT station_id, CAST(timestamp + INTERVAL 330 MINUTE AS DATE) AS day, CAST(round_even(avg(aqi), 0) AS INTEGER) AS a
   FROM readings WHERE aqi IS NOT NULL GROUP BY 1, 2)""", """ranked AS (
@@ -185,7 +208,7 @@ def gbt_predictions(spark, d):
     # What is left are the city's code and the target statistics: one value a station.
     fixed = [c for c in features if c not in newest.columns]
     known = t.groupBy("station_id").agg(F.count("*").alias("_n"), *[F.max(c).alias(c) for c in fixed]).drop("_n")
-    scored = forecast.score(forecast.impute_medians(newest.join(known, "station_id", "left"), features, medians), models, features)
+    scored = forecast.score(forecast.impute_medians(newest.join(known, "station_id", "left"), features, medians), models)
     trends = clean.weekly_trend(V.readings(spark, d))
     return forecast.prediction_records(scored, HORIZONS, trends, ["station_id", "timestamp"]).selectExpr(
         "station_id", "timestamp", "current_aqi", "primary_pollutant", "forecast", "pollutants", "advisory")

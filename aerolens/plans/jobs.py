@@ -107,7 +107,7 @@ def predictions(
     columns = [c for c in (*series.LIVE.pollutants, "pm10", *series.LIVE.weather) if c in history.columns]
     live = series.engineer(series.fill_live(history, columns), series.LIVE, last_only=True)
     aligned = live.withColumns({c: F.lit(0.0) for c in features if c not in live.columns})
-    scored = forecast.score(aligned, models, features)
+    scored = forecast.score(aligned, models)
     trends = clean.weekly_trend(history)
     keep = [c for c in ("city", "station_id", "station_name", "location_id", "timestamp") if c in scored.columns]
     return forecast.prediction_records(scored, sorted(models), trends, keep)

@@ -1,0 +1,119 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from aerolens.operators import boosting
+from aerolens.operators.boosting import Spec
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    """Noise, nulls in a feature and in a label, a constant and a column that explains the labels in steps."""
+    rng, rows = np.random.default_rng(5), []
+    for _ in range(900):
+        x, z = float(rng.integers(0, 200)), float(rng.normal())
+        rows.append((x if rng.random() > 0.1 else None, z, 4.0, 3 * (x // 40) + rng.normal(), None if rng.random() < 0.2 else float(z > 0) * 9 + x / 100))
+    return rows, spark.createDataFrame(rows, "x double, z double, c double, y double, `y 2` double").repartition(6)
+
+
+FEATURES = ["x", "z", "c"]
+
+
+def brute_split(bins, residual, least):
+    best = (0.0, -1, -1)
+    for f in range(bins.shape[1]):
+        for cut in range(64):
+            left = bins[:, f] <= cut
+            if least <= left.sum() <= len(left) - least:
+                sl, sr = residual[left].sum(), residual[~left].sum()
+                gain = sl ** 2 / left.sum() + sr ** 2 / (~left).sum() - residual.sum() ** 2 / len(left)
+                if gain > best[0] + 1e-6:
+                    best = (gain, f, cut)
+    return best
+
+
+def brute_tree(bins, residual, spec, rate):
+    """Predictions of one tree, level by level, the best gains first."""
+    nodes, leaves = {0: np.arange(len(bins))}, 1
+    for _ in range(spec.depth):
+        found = {n: brute_split(bins[rows], residual[rows], spec.least) for n, rows in nodes.items() if len(rows) >= 2 * spec.least}
+        for n in sorted(found, key=lambda n: (-found[n][0], n)):
+            gain, f, cut = found[n]
+            if gain <= 1e-9 or leaves >= spec.leaves:
+                break
+            rows = nodes.pop(n)
+            left = bins[rows, f] <= cut
+            nodes[2 * n + 1], nodes[2 * n + 2] = rows[left], rows[~left]
+            leaves += 1
+    out = np.zeros(len(bins))
+    for rows in nodes.values():
+        out[rows] = rate * residual[rows].mean()
+    return out
+
+
+def test_trees_equal_brute_force(table):
+    rows, df = table
+    spec = Spec("y", trees=4, rate=0.3, depth=3, leaves=6, least=20, rows=1.0, columns=1.0)
+    model, = boosting.fit(df, FEATURES, [spec])
+    x = [np.array([np.nan if r[i] is None else r[i] for r in rows]) for i in range(3)]
+    for values, edges in zip(x, model.edges):
+        own = np.sort(values[~np.isnan(values)])
+        assert edges.tolist() == sorted({own[int(np.ceil(i / 63 * len(own))) - 1] for i in range(1, 63)})
+    bins, y = boosting.binned(x, model.edges), np.array([r[3] for r in rows])
+    assert all((b == 0) == np.isnan(v) for b, v in zip(bins[:, 0], x[0])) and bins.max() <= 63
+    expected = np.full(len(y), y.mean())
+    for _ in range(spec.trees):
+        expected = expected + brute_tree(bins, y - expected, spec, spec.rate)
+    assert model.predict(bins) == pytest.approx(expected, abs=1e-4)
+
+
+def test_blocks_and_a_single_block_grow_the_same_trees(table, monkeypatch):
+    _, df = table
+    specs = [Spec("y", 6, 0.3, 4, 9, 10, 1.0, 0.7), Spec("y 2", 3, 0.1, 2, 31, 5, 1.0, 1.0), Spec("y", 4, 0.2, 6, 64, 1, 1.0, 1.0, seed=7)]
+    whole = boosting.fit(df, FEATURES, specs)
+    monkeypatch.setattr(boosting, "BLOCK", 100)
+    monkeypatch.setattr(boosting, "CHECKPOINT", 2)
+    cut = boosting.fit(df, FEATURES, specs)
+    for a, b, spec in zip(whole, cut, specs):
+        assert len(a.trees) == len(b.trees) == spec.trees and a.start == pytest.approx(b.start)
+        for s, t in zip(a.trees, b.trees):
+            assert s.feature.tolist() == t.feature.tolist() and s.cut.tolist() == t.cut.tolist() and s.value == pytest.approx(t.value, abs=1e-5)
+    assert any((t.feature >= 0).sum() > 1 for m in whole for t in m.trees)
+
+
+def test_null_labels_do_not_count(table):
+    rows, df = table
+    model, = boosting.fit(df, FEATURES, [Spec("y 2", trees=60, rate=0.2, depth=3, least=5)])
+    known = [r[4] for r in rows if r[4] is not None]
+    assert model.start == pytest.approx(np.mean(known))
+    scored = boosting.score(df, {"p": model}).where("`y 2` IS NOT NULL")
+    error = scored.agg(F.avg((F.col("p") - F.col("y 2")) ** 2)).first()[0]
+    assert error < 0.1 * np.var(known)
+
+
+def test_staged_errors_and_first_splits(table, spark):
+    _, df = table
+    models = boosting.fit(df, FEATURES, [Spec("y", 3, 0.5, 2), Spec("y 2", 2, 0.5, 2)])
+    stages = {(r["model"], r["trees"]): r for r in boosting.staged_errors(df, models).collect()}
+    assert set(stages) == {(0, 1), (0, 2), (0, 3), (1, 1), (1, 2)}
+    scored = boosting.score(df, {"a": models[0], "b": models[1]})
+    sse = scored.agg(F.sum((F.col("a") - F.col("y")) ** 2), F.sum((F.col("b") - F.col("y 2")) ** 2)).first()
+    assert (stages[0, 3]["sse"], stages[1, 2]["sse"]) == pytest.approx(tuple(sse))
+    assert stages[0, 3]["sse"] < stages[0, 1]["sse"] and stages[1, 1]["n"] == df.where("`y 2` IS NOT NULL").count()
+    splits = {r["model"]: r for r in boosting.first_splits({"a": models[0]}, spark).collect()}
+    assert splits["a"]["feature"] in FEATURES and df.where(F.col(splits["a"]["feature"]) == splits["a"]["cut"]).count() > 0
+
+
+def test_reruns_agree_whatever_the_partitions(table):
+    _, df = table
+    spec = [Spec("y", 5, 0.3, 3, columns=0.7, rows=1.0)]
+    a, b = boosting.fit(df, FEATURES, spec)[0], boosting.fit(df.repartition(3), FEATURES, spec)[0]
+    assert [t.feature.tolist() for t in a.trees] == [t.feature.tolist() for t in b.trees]
+
+
+def test_empty_table_and_other_columns(spark, table):
+    _, df = table
+    empty, = boosting.fit(df.limit(0), FEATURES, [Spec("y", 3)])
+    named = df.limit(3).withColumn("n", F.lit("x")).withColumn("bins", F.lit(1))
+    rows = boosting.score(named, {"p": empty}).collect()
+    assert [r["p"] for r in rows] == [0.0] * 3 and rows[0]["n"] == "x" and boosting.score(df.limit(0), {"p": empty}).count() == 0

@@ -65,13 +65,17 @@ def test_imputation_uses_training_medians(spark):
 def test_training_beats_a_constant_and_scores(spark):
     df = spark.range(400).selectExpr("double(id % 20) AS x", "double((id * 7) % 13) AS z", "double(id % 20) * 3 AS aqi_t1", "double(id % 20) * 3 AS aqi",
                                      "CASE WHEN id < 300 THEN 'train' ELSE 'val' END AS split")
-    models = forecast.train_horizons(df.where("split = 'train'"), ["x", "z"], (1,), maxIter=3, maxDepth=3, minInstancesPerNode=1, stepSize=0.5)
-    out = forecast.score(df.where("split = 'val'"), models, ["x", "z"])
+    models = forecast.train_horizons(df.where("split = 'train'"), ["x", "z"], (1,), trees=9, depth=3, least=1, rate=0.5, columns=1.0)
+    out = forecast.score(df.where("split = 'val'"), models)
     assert forecast.horizon_metrics(forecast.error_sums(out, (1,))).first()["r2"] > 0.9
-    best, trials = forecast.search_parameters(df, ["x", "z"], "aqi_t1", {"maxDepth": [1, 3], "maxIter": [2]})
+    ranges = {"depth": (1, 3), "trees": (2, 9), "rate": (0.1, 0.9), "least": (1, 1)}
+    best, trials = forecast.search_parameters(df, ["x", "z"], "aqi_t1", ranges, 5)
     unseen = df.withColumn("aqi_t1", F.when(F.col("split") == "test", -1e6).otherwise(F.col("aqi_t1")))
-    assert forecast.search_parameters(unseen, ["x", "z"], "aqi_t1", {"maxDepth": [1, 3], "maxIter": [2]})[1].collect() == trials.collect()
-    assert trials.count() == 2 and best.getOrDefault("maxDepth") == 3
+    assert forecast.search_parameters(unseen, ["x", "z"], "aqi_t1", ranges, 5)[1].collect() == trials.collect()
+    rows = trials.collect()
+    top = max(rows, key=lambda r: r["r2"])
+    assert len(rows) == 5 and (best.spec.depth, best.spec.trees, best.spec.rate) == (top["depth"], top["trees"], top["rate"])
+    assert all(1 <= r["depth"] <= 3 and 2 <= r["trees"] <= 9 and 0.1 <= r["rate"] <= 0.9 and r["best_r2"] >= r["r2"] for r in rows)
     naive = forecast.persistence(df, (1,))
     assert naive.where("pred_t1 <> aqi").count() == 0
 

@@ -64,7 +64,7 @@ def test_ingest_and_refresh(spark, tmp_path):
 def test_predictions_and_drift(spark, readings, tmp_path):
     train = readings.selectExpr("aqi", "pm25", "double(0) AS benzene_lag1", "aqi AS aqi_t1", "aqi + 1 AS aqi_t2")
     features = ["aqi", "pm25", "benzene_lag1"]
-    models = forecast.train_horizons(train, features, (1, 2), maxIter=2, maxDepth=2, minInstancesPerNode=1)
+    models = forecast.train_horizons(train, features, (1, 2), trees=2, depth=2, least=1)
     short = readings.where("station_id = 'S0' OR timestamp > TIMESTAMP_NTZ '2024-02-05'")
     out = jobs.predictions(short, models, features, NOW).collect()
     assert [(r["station_id"], r["timestamp"], len(r["forecast"]), len(r["weekly_trend"])) for r in out] == [("S0", dt.datetime(2024, 2, 10), 24, 7)]

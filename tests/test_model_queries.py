@@ -1,4 +1,4 @@
-"""The registered model queries train the whole job; the training itself is replaced."""
+"""The registered model queries train the whole job."""
 
 import os
 
@@ -15,26 +15,19 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are
 def test_forecasts_train_all_trees_on_the_selected_columns(spark, monkeypatch):
     seen, train = [], forecast.train_horizons
 
-    def few(table, features, horizons, **params):
-        seen.append((features, list(horizons), params))
-        return train(table, features, horizons, maxIter=1, maxDepth=1)
-    monkeypatch.setattr(forecast, "train_horizons", few)
-    selected = jobs.training_features(training_input(spark, DATA), most=None)[1]["selected"]
+    def watched(table, features, horizons, **params):
+        models = train(table, features, horizons, **params)
+        seen.append((features, list(horizons), {len(m.trees) for m in models.values()}, {m.spec.depth for m in models.values()}))
+        return models
+    monkeypatch.setattr(forecast, "train_horizons", watched)
+    table = forecasts.training_table(spark, DATA)
+    monkeypatch.setattr(forecasts, "training_table", lambda spark, d: table)
     assert {r["model"] for r in forecasts.gbt_forecast(spark, DATA).collect()} == {"gbt", "persistence"}
     rows = forecasts.gbt_predictions(spark, DATA).collect()
     assert rows and all(len(r["forecast"]) == 24 for r in rows)
-    assert seen == [(selected, list(range(1, 25)), {})] * 2
-
-
-def test_search_spans_the_published_ranges(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(forecasts, "training_table", lambda spark, d: ("table", ["x"], {}))
-    monkeypatch.setattr(forecast, "search_parameters", lambda *a: seen.append(a) or (None, "trials"))
-    assert forecasts.gbt_search(spark, DATA) == "trials"
-    (table, features, label, grid), = seen
-    assert (table, features, label) == ("table", ["x"], "aqi_t1")
-    for name, low, high in (("maxDepth", 3, 8), ("stepSize", 0.01, 0.2), ("maxIter", 100, 300), ("minInstancesPerNode", 10, 100)):
-        assert min(grid[name]) == low and max(grid[name]) == high and len(grid[name]) > 2
+    assert seen == [(table[1], list(range(1, 25)), {200}, {6})] * 2
+    trials = forecasts.gbt_search(spark, DATA).collect()
+    assert len(trials) == 10 and all(r["r2"] <= r["best_r2"] and r["best_trees"] <= r["trees"] for r in trials)
 
 
 def test_no_selected_column_is_dropped_by_its_place(spark, monkeypatch):

@@ -7,12 +7,14 @@ and rewrite the days a batch touches; rows without a time are a day of their own
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.numeric import floor_hour
-from ..session import exists, remove, scratch, written
+from ..session import exists, remove, scratch, subfolders, written
 from .ordered import earliest_by, latest_by, null_safe
 
 
@@ -45,9 +47,21 @@ def insert_or_ignore(table: DataFrame, batch: DataFrame, keys: list[str], order:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A stored table with every column that any of its days has; ``date`` is the day."""
-    _recover(spark, path)
-    return spark.read.option("mergeSchema", "true").parquet(path).withColumn("date", F.col("date").cast("date"))
+    """A stored table with every column that any of its days has; ``date`` is the day. Reading writes nothing: days that a
+    writer has staged completely, but not yet put in their place, are read where they are staged."""
+    def days(where: str) -> DataFrame:
+        return spark.read.option("mergeSchema", "true").parquet(where).withColumn("date", F.col("date").cast("date"))
+
+    pending = _pending(path)
+    if not exists(spark, f"{pending}/_SUCCESS"):
+        return days(path)
+    staged = days(pending)
+    if not exists(spark, path):
+        return staged
+    moved = [r[0] for r in staged.select("date").distinct().collect()]  # one value per staged day
+    left = ~F.col("date").isin([d for d in moved if d is not None])
+    kept = F.col("date").isNotNull() & left if None in moved else F.col("date").isNull() | left
+    return days(path).where(kept).unionByName(staged, allowMissingColumns=True)
 
 
 def upsert_table(path: str, batch: DataFrame, keys: list[str], order: list[str], ts: str = "timestamp") -> None:
@@ -92,6 +106,7 @@ def _stored_days(path: str, batch: DataFrame) -> DataFrame | None:
     spark = batch.sparkSession
     if not (exists(spark, path) or exists(spark, _pending(path))):
         return None
+    _recover(spark, path)
     days = [r[0] for r in batch.select("date").distinct().collect()]  # one value per day of the batch
     touched = F.col("date").isin([d for d in days if d is not None])
     return read_table(spark, path).where(touched | F.col("date").isNull() if None in days else touched)
@@ -104,8 +119,8 @@ def _pending(path: str) -> str:
 def _replace_days(path: str, days: DataFrame) -> None:
     """Put ``days`` in place of the table's days of these dates.
 
-    They are first written beside the table. If the replacement breaks off, the next reader or
-    writer of the table finds them complete there and repeats it (``_recover``).
+    They are first written beside the table. If the replacement breaks off, the next writer of the table finds
+    them complete there and repeats it (``_recover``); readers only read them.
     """
     spark = days.sparkSession
     _by_day(days).write.mode("overwrite").parquet(_pending(path))
@@ -232,6 +247,27 @@ def retain(df: DataFrame, now: str, days: int | None = None, hours: int | None =
     return recent(df, now, hours if hours is not None else 24 * days, ts)
 
 
+def retain_table(spark: SparkSession, path: str, now: str, days: int | None = None, hours: int | None = None, ts: str = "timestamp") -> None:
+    """Delete the rows of a stored table that are older than ``days`` or ``hours``; rows without a time stay.
+
+    Days before that of the cut-off go as folders, unread. Only the cut-off's own day is read and put in its place again, and that
+    only if it holds rows before the cut-off. Each step can be repeated after a failure.
+    """
+    cutoff = dt.datetime.fromisoformat(now) - dt.timedelta(hours=hours if hours is not None else 24 * days)
+    _recover(spark, path)
+    cut_day = f"date={cutoff.date().isoformat()}"
+    own = spark.read.parquet(f"{path}/{cut_day}").withColumn("date", F.lit(cutoff.date())) if exists(spark, f"{path}/{cut_day}") else None
+    if own is not None and own.where(F.col(ts) < F.lit(cutoff).cast("timestamp_ntz")).head(1):
+        kept = own.where(F.col(ts) >= F.lit(cutoff).cast("timestamp_ntz"))
+        if kept.head(1):
+            _replace_days(path, kept)
+        else:
+            remove(spark, f"{path}/{cut_day}")
+    for name in subfolders(spark, path):
+        if name.startswith("date=") and name[5:6].isdigit() and name < cut_day:
+            remove(spark, f"{path}/{name}")
+
+
 def evolve(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add the missing ones of ``columns`` (name to type) as nulls."""
     return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})

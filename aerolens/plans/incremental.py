@@ -226,6 +226,16 @@ def retention(spark, d):
     return I.retain(V.raw_measurements(spark, d), V.now_of(V.table(spark, d, "events")), days=10, ts="measurement_time")
 
 
+@query("table_retention", V.with_sql(V.RAW_CTE, select="SELECT * FROM raw WHERE measurement_time >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY"))
+def table_retention(spark, d):
+    """A stored table after deletion of what is older than ten days: whole days, and a part of the day of the cut-off."""
+    path, now = work_path(spark, "retained"), V.now_of(V.table(spark, d, "events"))
+    raw = V.raw_measurements(spark, d)
+    raw.withColumn("date", F.to_date("measurement_time")).hint("rebalance", "date").write.partitionBy("date").parquet(path)
+    I.retain_table(spark, path, str(now), days=10, ts="measurement_time")
+    return I.read_table(spark, path).select(*raw.columns)
+
+
 @query("evolve_schema", V.with_sql(V.READINGS_CTE, select="""
 SELECT station_id, timestamp, aqi, CAST(NULL AS VARCHAR) AS state, CAST(NULL AS DOUBLE) AS nox, CAST(NULL AS DOUBLE) AS xylene FROM readings"""))
 def evolve_schema(spark, d):

@@ -81,14 +81,56 @@ def test_new_columns_widen_the_table(spark, tmp_path, stored):
     assert sorted((r["aqi"], r["w"]) for r in I.read_table(spark, path).collect()) == [(1.0, None), (2.0, None), (3.0, None), (5.0, 7.0)]
 
 
-def test_a_replacement_that_broke_off_is_repeated(spark, tmp_path, stored, batch):
+def tree(folder):
+    return sorted(str(p.relative_to(folder)) for p in folder.rglob("*"))
+
+
+def test_a_replacement_that_broke_off_is_read_where_it_is_and_repeated_by_a_writer(spark, tmp_path, stored, batch):
     path = str(tmp_path / "t")
     I.upsert_table(path, stored, KEYS, ["seq"])
     merged = I.insert_or_replace(I.read_table(spark, path), batch.withColumn("date", F.to_date("timestamp")), KEYS, ["seq"])
-    merged.write.parquet(path + "_pending")  # staged, but not yet moved into the table
-    assert values(I.read_table(spark, path)) == [("", 0, 12.0), ("S1", 0, 11.0), ("S1", 5, 3.0), ("S2", 0, 13.0)]
+    merged.write.partitionBy("date").parquet(path + "_pending")  # staged, but not yet moved into the table
+    before, expected = tree(tmp_path), [("", 0, 12.0), ("S1", 0, 11.0), ("S1", 5, 3.0), ("S2", 0, 13.0)]
+    assert values(I.read_table(spark, path)) == values(I.read_table(spark, path)) == expected
+    assert tree(tmp_path) == before  # readers leave everything in its place
+    I.upsert_table(path, batch, KEYS, ["seq"])
+    assert values(I.read_table(spark, path)) == expected and not (tmp_path / "t_pending").exists()
     (tmp_path / "t_pending").mkdir()  # staging itself broke off
-    assert I.read_table(spark, path).count() == 4 and not (tmp_path / "t_pending").exists()
+    assert I.read_table(spark, path).count() == 4
+
+
+def test_a_reader_between_staging_and_replacement_disturbs_no_writer(spark, tmp_path, stored, batch, monkeypatch):
+    path, seen = str(tmp_path / "t"), []
+    I.upsert_table(path, stored, KEYS, ["seq"])
+    recover = I._recover
+
+    def watched(spark, where):
+        if (tmp_path / "t_pending").exists():
+            seen.append(values(I.read_table(spark, path)))
+        recover(spark, where)
+    monkeypatch.setattr(I, "_recover", watched)
+    I.upsert_table(path, batch, KEYS, ["seq"])
+    assert seen == [values(I.read_table(spark, path))] == [[("", 0, 12.0), ("S1", 0, 11.0), ("S1", 5, 3.0), ("S2", 0, 13.0)]]
+
+
+def test_retention_drops_whole_days_and_rewrites_only_the_cut_day(spark, tmp_path):
+    path, start = str(tmp_path / "t"), dt.datetime(2024, 1, 1)
+    hours = [start + dt.timedelta(hours=h) for h in range(96)] + [None]
+    rows = spark.createDataFrame([("S", h, 1.0, 1) for h in hours], "station_id string, timestamp timestamp_ntz, value double, seq int")
+    I.upsert_table(path, rows, ["station_id", "timestamp"], ["seq"])
+    later = {p.name: tree(p) for p in (tmp_path / "t").iterdir() if p.name.startswith("date=2024-01-04")}
+    for _ in range(2):  # a repeated run changes nothing
+        I.retain_table(spark, path, "2024-01-05 06:00:00", days=2)
+        left = {r["timestamp"] for r in I.read_table(spark, path).collect()}
+        assert left == {h for h in hours if h is None or h >= dt.datetime(2024, 1, 3, 6)}
+    names = {p.name for p in (tmp_path / "t").iterdir() if p.is_dir()}
+    assert names == {"date=2024-01-03", "date=2024-01-04", "date=__HIVE_DEFAULT_PARTITION__"}
+    assert later == {"date=2024-01-04": tree(tmp_path / "t" / "date=2024-01-04")}
+    I.retain_table(spark, path, "2024-01-06 00:00:00", days=2)  # at midnight no day is read
+    assert I.read_table(spark, path).where("timestamp IS NOT NULL").agg(F.min("timestamp")).first()[0] == dt.datetime(2024, 1, 4)
+    I.retain_table(spark, path, "2024-01-04 23:59:00", hours=0)  # nothing of the cut day is left
+    assert [r["timestamp"] for r in I.read_table(spark, path).collect()] == [None]
+    I.retain_table(spark, str(tmp_path / "none"), "2024-01-06 00:00:00", days=2)
 
 
 def test_keys_must_hold_the_time(tmp_path, stored):

@@ -62,11 +62,18 @@ def test_rows_behind_the_watermark_are_dropped(spark, landing, tmp_path):
     assert sorted(r["value"] for r in spark.read.parquet(path).collect()) == [1.0, 2.0]
 
 
-def test_last_seen_survives_a_restart(spark, landing, tmp_path):
-    path = str(tmp_path / "out")
-    run_twice(landing, jobs.last_seen, str(tmp_path / "c"), each=jobs.snapshot_sink(path, ["sensor_id"], ["last_seen"]), mode="update")
-    got = {r["sensor_id"]: (r["last_seen"], r["n"]) for r in jobs.current_snapshot(spark, path).collect()}
-    assert got == {1: (T0 + dt.timedelta(minutes=400), 5), 2: (T0 + dt.timedelta(minutes=75), 2)}
+def test_last_seen_is_read_from_the_state_alone(spark, landing, tmp_path):
+    land, stream, folder = landing
+    made = [(7 * i % 400, i % 5, 1.0) for i in range(40)]
+    checkpoint = str(tmp_path / "c")
+    for half in (made[:20], made[20:]):  # ten micro-batches of a file each, a restart, ten more
+        for at in range(0, 20, 2):
+            land(half[at:at + 2])
+        jobs.run(jobs.last_seen(stream()), checkpoint, mode="update")
+    got = {r["sensor_id"]: (r["last_seen"], r["n"]) for r in jobs.current_last_seen(spark, checkpoint).collect()}
+    assert got == {s: (T0 + dt.timedelta(minutes=max(m for m, x, _ in made if x == s)), 8) for s in range(5)}
+    assert len([f for f in (tmp_path / "c" / "commits").iterdir() if f.name.isdigit()]) == 20
+    assert {p.name for p in tmp_path.iterdir()} == {"in", "c"}
 
 
 def test_replayed_batches_add_nothing(spark, landing, tmp_path):
@@ -78,11 +85,16 @@ def test_replayed_batches_add_nothing(spark, landing, tmp_path):
     assert spark.read.parquet(path).count() == 3
 
 
-def test_sliding_windows_close_with_the_watermark(spark, tmp_path):
-    folder = str(tmp_path / "in")
-    rows = [(T0 + dt.timedelta(minutes=m), "error" if m == 1 else "ok") for m in (0, 1, 2, 300)]
-    spark.createDataFrame(rows, "ts timestamp_ntz, status string").coalesce(1).write.parquet(folder)
-    stream = jobs.file_stream(spark, folder, spark.read.parquet(folder).schema)
-    jobs.run(jobs.sliding_errors(stream), str(tmp_path / "c"), str(tmp_path / "out"))
-    got = {r["window_start"]: (r["total"], r["errors"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert len(got) == 7 and got[T0] == (3, 1) and got[T0 + dt.timedelta(minutes=2)] == (1, 0)
+def test_sliding_windows_close_with_the_watermark_and_the_rest_stays_in_the_state(spark, tmp_path):
+    folder, checkpoint, out = (str(tmp_path / x) for x in ("in", "c", "out"))
+    minutes = [0, 1, 2, 2, 170, 300, 303, 303]
+    for some in (minutes[:4], minutes[4:]):  # the second run starts from the checkpoint
+        rows = [(T0 + dt.timedelta(minutes=m, seconds=7), "error" if m in (1, 303) else "ok") for m in some]
+        spark.createDataFrame(rows, "ts timestamp_ntz, status string").coalesce(1).write.mode("append").parquet(folder)
+        jobs.run(jobs.sliding_errors(jobs.file_stream(spark, folder, spark.read.parquet(folder).schema)), checkpoint, out)
+    closed = {r["window_start"]: (r["total"], r["errors"]) for r in spark.read.parquet(out).collect()}
+    still_open = {r["window_start"]: (r["total"], r["errors"]) for r in jobs.open_errors(spark, checkpoint).collect()}
+    batch = spark.read.parquet(folder).groupBy(F.window("ts", "5 minutes", "1 minute").alias("w")).agg(
+        F.count("*").alias("total"), F.count(F.when(F.col("status") == "error", 1)).alias("errors"))
+    expected = {r["start"]: (r["total"], r["errors"]) for r in batch.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "total", "errors").collect()}
+    assert closed and still_open and not set(closed) & set(still_open) and closed | still_open == expected

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.air import composite_index
 from ..functions.numeric import floor_hour, half_even_int, local_time
+from ..session import written
+from .ordered import in_ranges
 
 
 def only_city(df: DataFrame, city: str) -> DataFrame:
@@ -110,16 +112,28 @@ def station_label(city: str, station: str, station_id: str):
     return F.format_string("%s - %s (%s)", F.col(city), F.col(station), F.col(station_id))
 
 
-def encode_labels(df: DataFrame, column: str = "city", out: str = "city_encoded") -> DataFrame:
-    """Dense codes of the sorted distinct values, null left out: one row per value.
+def encode_labels(df: DataFrame, column: str = "city", out: str = "city_encoded", start: int = 0) -> DataFrame:
+    """Dense codes of the sorted distinct values from ``start`` on, null left out: one row per value.
 
-    Values are counted by their first two characters; a value's code is the count of all
-    values before its prefix plus its rank inside it, so only the prefixes meet in one task.
+    The values are dealt into ranges; a code is the count of all values in the ranges before plus the rank inside its own.
     """
-    values = df.select(F.col(column).cast("string").alias(column)).where(F.col(column).isNotNull()).distinct()
-    prefixed = values.withColumn("_prefix", F.substring(column, 1, 2))
-    before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    starts = prefixed.groupBy("_prefix").agg(F.count("*").alias("_n")).select(
-        "_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = prefixed.withColumn("_rank", F.row_number().over(Window.partitionBy("_prefix").orderBy(column)) - 1)
-    return ranked.join(starts, "_prefix").select(column, (F.col("_before") + F.col("_rank")).cast("int").alias(out))
+    values = written(df.select(F.col(column).cast("string").alias(column)).where(F.col(column).isNotNull()).distinct(), "labels")
+    ranged = in_ranges(values, [column], values.count(), "label-ranges")
+    before = Window.orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_unit").agg(F.count("*").alias("_n")).select("_unit", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_unit").orderBy(column)) - 1)
+    return ranked.join(starts, "_unit").select(column, (F.col("_before") + F.col("_rank") + start).cast("int").alias(out))
+
+
+def extend_codes(codes: DataFrame, df: DataFrame, column: str = "city", out: str = "city_encoded") -> DataFrame:
+    """A stored dictionary with the values of ``df`` that it lacks: old codes stay, new values are numbered after the last one."""
+    last = codes.agg(F.max(out)).first()[0]
+    new = df.select(F.col(column).cast("string").alias(column)).join(codes.select(column), column, "left_anti")
+    return codes.select(column, out).unionByName(encode_labels(new, column, out, 0 if last is None else last + 1))
+
+
+def with_codes(df: DataFrame, codes: DataFrame, column: str = "city", out: str = "city_encoded", unseen: int = 0) -> DataFrame:
+    """``df`` plus the stored code of its value; ``unseen`` for a value without one, and for null."""
+    known = codes.select(F.col(column).alias("_label"), F.col(out).alias("_code"))
+    joined = df.join(known, F.col(column).cast("string") == F.col("_label"), "left")
+    return joined.withColumn(out, F.coalesce("_code", F.lit(unseen))).drop("_label", "_code")

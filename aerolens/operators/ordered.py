@@ -2,8 +2,8 @@
 
 One key (a station, a split, a feature) may own a large share of the rows, so nothing
 here sorts or collects a key as a unit. Values are first counted (map-side combine);
-the distinct values of a key are then cut into bins of similar size, and an ordered
-window runs inside one bin, on top of the totals of the bins before it.
+the distinct values are then dealt into ranges of a few thousand rows, and an ordered
+window runs inside one range, on top of the totals of the ranges before it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CUTS = 63
+from ..session import written
+
 BEFORE = (Window.unboundedPreceding, -1)
 UP_TO = (Window.unboundedPreceding, Window.currentRow)
 
@@ -34,14 +35,14 @@ def value_counts(df: DataFrame, keys: list[str], value: str, side: str | None =
     )
 
 
-def _bin_sql(value: str, cuts: str, low: int = 0, high: int = CUTS) -> str:
-    """How many of the sorted cut points lie below a value: a binary search that stays in
-    generated code, unlike a filter over the array."""
-    if low == high:
-        return str(low)
-    middle = (low + high) // 2
-    return (f"CASE WHEN {cuts}[{middle}] < {value} THEN {_bin_sql(value, cuts, middle + 1, high)} "
-            f"ELSE {_bin_sql(value, cuts, low, middle)} END")
+#: Rows of a range, on average, inside which rows are ordered.
+RANGE = 4096
+
+
+def in_ranges(df: DataFrame, order: list, rows: int, label: str) -> DataFrame:
+    """``df``, written in ranges of ``order`` of a few thousand rows each, as many as ``rows`` needs; ``_unit`` is the number of the range."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE))
+    return written(df.repartitionByRange(parts, *order).withColumn("_unit", F.spark_partition_id()), label)
 
 
 def cumulative_counts(
@@ -49,36 +50,21 @@ def cumulative_counts(
 ) -> DataFrame:
     """Running totals of ``weights`` in value order within each key.
 
-    Adds ``<w>_cum`` (up to and including the value) and ``<w>_total``. The tables of cut points and
-    bin totals are broadcast where their measured size allows it.
+    Adds ``<w>_cum`` (up to and including the value) and ``<w>_total``. The distinct values are dealt into ranges; a
+    window runs inside one range of a key, on top of the sums of its ranges before.
     """
-    probabilities = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
-    cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, probabilities, 1000).alias("_cuts"),
-        *[F.sum(w).alias(f"{w}_total") for w in weights],
-    )
-    binned = (
-        counts.alias("l")
-        .join(cuts.alias("r"), null_safe("l", "r", keys))
-        .selectExpr("l.*", *[f"r.{w}_total" for w in weights],
-                    f"{_bin_sql(f'l.{value}', 'r._cuts')} AS _bin")
-    )
-    before = "OVER (PARTITION BY " + ", ".join(keys) + " ORDER BY _bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    offsets = (
-        binned.groupBy(*keys, "_bin")
-        .agg(*[F.sum(w).alias(w) for w in weights], *[F.first(f"{w}_total").alias(f"{w}_total") for w in weights])
-        .selectExpr("*", *[f"coalesce(sum({w}) {before}, 0) AS _{w}_before" for w in weights])
-    )
-    offsets = offsets.select(*keys, "_bin", *[f"_{w}_before" for w in weights])
-    joined = binned.alias("l").join(offsets.alias("r"), null_safe("l", "r", [*keys, "_bin"])).selectExpr(
-        "l.*", *[f"r._{w}_before" for w in weights])
-    upto = ("OVER (PARTITION BY " + ", ".join([*keys, "_bin"])
-            + f" ORDER BY {value} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-    return joined.selectExpr(
-        *counts.columns,
-        *[f"sum({w}) {upto} + _{w}_before AS {w}_cum" for w in weights],
-        *[f"{w}_total" for w in weights],
-    )
+    stored = written(counts, "value-counts")
+    ranged = in_ranges(stored, [*keys, value], stored.count(), "value-ranges")
+    of_key = Window.partitionBy(*keys)
+    before = of_key.orderBy("_unit").rowsBetween(*BEFORE)
+    sums = ranged.groupBy(*keys, "_unit").agg(*[F.sum(w).alias(w) for w in weights])
+    offsets = sums.select(*keys, "_unit", *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"_{w}_before") for w in weights],
+                          *[F.sum(w).over(of_key).alias(f"{w}_total") for w in weights])
+    joined = ranged.alias("l").join(offsets.alias("r"), null_safe("l", "r", [*keys, "_unit"])).select(
+        "l.*", *[f"r._{w}_before" for w in weights], *[f"r.{w}_total" for w in weights])
+    upto = Window.partitionBy(*keys, "_unit").orderBy(value).rowsBetween(*UP_TO)
+    return joined.select(*counts.columns, *[(F.sum(w).over(upto) + F.col(f"_{w}_before")).alias(f"{w}_cum") for w in weights],
+                         *[f"{w}_total" for w in weights])
 
 
 # Rank error of the sketch that brackets a quantile, and the bracket's half width (twice that).
@@ -165,15 +151,15 @@ def segmented(
 def first_n(df: DataFrame, keys: list[str], order: list[str], ts: str, n: int | dict[str, int]) -> DataFrame:
     """The first ``n`` rows of each key in ``order``, for any ``n`` and any key size.
 
-    Whole days before the cut-off day are kept by their running count; only the day that
-    holds the n-th row is ranked. ``n`` may map the (single) key's values to limits; a key
-    without a limit keeps all its rows.
+    Whole days before the cut-off day are kept by their running count. The cut-off days are dealt into ranges of
+    ``order`` of a few thousand rows each and written; whole ranges are again kept by count, and only the range that holds
+    the n-th row is ranked. ``n`` may map the (single) key's values to limits; a key without a limit keeps all its rows.
+    ``order`` must be total and start with ``ts``.
     """
     return _bounded(df, keys, order, ts, n, F.asc)
 
 
 def _bounded(df: DataFrame, keys: list[str], order: list[str], ts: str, n: int | dict[str, int], direction) -> DataFrame:
-    daily = df.withColumn("_day", F.date_trunc("day", F.col(ts)))
     if isinstance(n, dict):
         (key,) = keys
         limit = F.lit(None).cast("long")
@@ -181,21 +167,28 @@ def _bounded(df: DataFrame, keys: list[str], order: list[str], ts: str, n: int |
             limit = F.when(F.col(key) == name, F.lit(rows).cast("long")).otherwise(limit)
     else:
         limit = F.lit(n).cast("long")
-    upto = Window.partitionBy(*keys).orderBy(direction("_day")).rowsBetween(*UP_TO)
-    totals = (
-        daily.groupBy(*keys, "_day").agg(F.count("*").alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(upto))
-        .withColumn("_limit", limit)
-        .where(F.col("_limit").isNull() | (F.col("_upto") - F.col("_n") < F.col("_limit")))
-    )
-    joined = daily.alias("l").join(totals.alias("r"), null_safe("l", "r", [*keys, "_day"])).select(
-        "l.*", "r._n", "r._upto", "r._limit"
-    )
-    whole = joined.where(F.col("_limit").isNull() | (F.col("_upto") <= F.col("_limit")))
-    cut = joined.where(F.col("_upto") > F.col("_limit"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "_day").orderBy(*[direction(c) for c in order]))
-    cut = cut.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_limit") - (F.col("_upto") - F.col("_n")))
-    return whole.select(*df.columns).unionByName(cut.select(*df.columns))
+    daily = df.withColumns({"_unit": F.date_trunc("day", F.col(ts)), "_left": limit})
+    days, before, n_cut = _by_units(daily, keys, direction)
+    if not n_cut:
+        return before.select(*df.columns)
+    along = [direction(c) for c in order]
+    ranges, inside, _ = _by_units(in_ranges(days, [*keys, *along], n_cut, "cut-off"), keys, F.asc)
+    rank = F.row_number().over(Window.partitionBy(*keys, "_unit").orderBy(*along))
+    last = ranges.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_left"))
+    return before.select(*df.columns).unionByName(inside.select(*df.columns)).unionByName(last.select(*df.columns))
+
+
+def _by_units(df: DataFrame, keys: list[str], direction) -> tuple[DataFrame, DataFrame, int]:
+    """Of rows with a ``_unit`` and the number ``_left`` wanted of their key (null: all): the rows of each key's unit in which that
+    number is reached, with what is left for it; the rows of the units before it; how many rows the former are."""
+    upto = Window.partitionBy(*keys).orderBy(direction("_unit")).rowsBetween(*UP_TO)
+    counts = written(
+        df.groupBy(*keys, "_unit").agg(F.count("*").alias("_n"), F.max("_left").alias("_wanted")).withColumn("_upto", F.sum("_n").over(upto))
+        .where(F.col("_wanted").isNull() | (F.col("_upto") - F.col("_n") < F.col("_wanted"))), "units")
+    n_cut = counts.where("_upto > _wanted").agg(F.sum("_n")).first()[0] or 0
+    joined = df.drop("_left").alias("l").join(counts.alias("r"), null_safe("l", "r", [*keys, "_unit"])).select("l.*", "r._n", "r._upto", "r._wanted")
+    cut = joined.where("_upto > _wanted").withColumn("_left", F.col("_wanted") - (F.col("_upto") - F.col("_n"))).drop("_n", "_upto", "_wanted")
+    return cut, joined.where("_wanted IS NULL OR _upto <= _wanted"), n_cut
 
 
 def _extreme(df: DataFrame, keys: list[str], order: list[str], pick: str) -> DataFrame:

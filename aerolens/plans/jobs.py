@@ -100,12 +100,15 @@ def refresh_readings(measurements: DataFrame, weather: DataFrame, readings_path:
 
 
 def predictions(
-    readings: DataFrame, models: dict, features: list[str], now: str, hours: int = K.BACKFILL_HOURS
+    readings: DataFrame, models: dict, features: list[str], now: str, hours: int = K.BACKFILL_HOURS, codes: DataFrame | None = None
 ) -> DataFrame:
-    """Prediction records of every station with enough recent history, in one plan."""
+    """Prediction records of every station with enough recent history, in one plan. ``codes``: the training's city codes;
+    cities without one have code 0, as have absent feature columns."""
     history = series.enough_history(incremental.recent(readings, now, hours))
     columns = [c for c in (*series.LIVE.pollutants, "pm10", *series.LIVE.weather) if c in history.columns]
     live = series.engineer(series.fill_live(history, columns), series.LIVE, last_only=True)
+    if codes is not None and "city" in live.columns:
+        live = clean.with_codes(live, codes)
     aligned = live.withColumns({c: F.lit(0.0) for c in features if c not in live.columns})
     scored = forecast.score(aligned, models)
     trends = clean.weekly_trend(history)

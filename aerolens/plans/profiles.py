@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.air import profile_category
 from ..operators import clean, joins, profile, series
+from ..session import written
 from . import views as V
 from .registry import query
 
@@ -230,3 +231,16 @@ def city_codes(spark, d):
     known = V.table(spark, d, "region").where("r_regionkey > 0").selectExpr("r_name AS city")
     t = V.readings(spark, d).join(V.stations(spark, d), "station_id").select("station_id", "timestamp", "city")
     return t.join(clean.encode_labels(known), "city", "left").na.fill(0, ["city_encoded"]).drop("city")
+
+
+@query("city_codes_live", V.with_sql(R, S, select="""
+SELECT station_id, timestamp, CAST(CASE WHEN r_regionkey > 1 THEN code WHEN r_regionkey = 1 THEN (SELECT count(*) FROM region WHERE r_regionkey > 1) ELSE 0 END AS INTEGER) AS city_encoded
+FROM readings JOIN stations USING (station_id) LEFT JOIN (SELECT r_name AS city, r_regionkey,
+  row_number() OVER (PARTITION BY r_regionkey > 1 ORDER BY r_name) - 1 AS code FROM region) USING (city)"""))
+def city_codes_live(spark, d):
+    """Live rows under a stored dictionary: its first cities keep their codes, one came later, one was never seen."""
+    regions = V.table(spark, d, "region").selectExpr("r_regionkey", "r_name AS city")
+    stored = written(clean.encode_labels(regions.where("r_regionkey > 1")), "codes")
+    codes = clean.extend_codes(stored, regions.where("r_regionkey > 0"))
+    t = V.readings(spark, d).join(V.stations(spark, d), "station_id").select("station_id", "timestamp", "city")
+    return clean.with_codes(t, codes).drop("city")

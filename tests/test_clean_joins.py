@@ -75,6 +75,22 @@ def test_labels_and_codes(spark):
     assert shown == "01 Feb 2024, 01:30"
 
 
+def test_stored_codes_stay_and_unseen_labels_are_zero(spark):
+    stored = clean.encode_labels(spark.createDataFrame([("m",), ("c",), (None,)], "city string"))
+    later = clean.extend_codes(stored, spark.createDataFrame([("a",), ("m",), ("z",), (None,)], "city string"))
+    assert {r["city"]: r["city_encoded"] for r in later.collect()} == {"c": 0, "m": 1, "a": 2, "z": 3}
+    live = clean.with_codes(spark.createDataFrame([("z", 1), ("new", 2), (None, 3), ("c", 4)], "city string, n int"), later)
+    assert live.columns == ["city", "n", "city_encoded"] and {r["n"]: r["city_encoded"] for r in live.collect()} == {1: 3, 2: 0, 3: 0, 4: 0}
+    empty = clean.extend_codes(stored.limit(0), spark.createDataFrame([("b",), ("a",)], "city string"))
+    assert {r["city"]: r["city_encoded"] for r in empty.collect()} == {"a": 0, "b": 1}
+
+
+def test_codes_of_many_labels_with_one_beginning(spark):
+    many = spark.range(30_000).selectExpr("concat('st', lpad(string(id * 7919 % 30000), 5, '0')) AS city")
+    wrong = clean.encode_labels(many).where("city_encoded <> int(substring(city, 3, 5))")
+    assert wrong.count() == 0
+
+
 def test_left_joins_and_defaults(spark):
     r = spark.createDataFrame([("S1", 1.0), ("S9", 2.0)], "station_id string, aqi double")
     s = spark.createDataFrame([("S1", "Delhi")], "station_id string, city string")

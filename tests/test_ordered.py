@@ -118,3 +118,19 @@ def test_last_n_for_any_number(stamped, n):
     sizes = {"a": 900, "b": 40, "c": 1}
     got = ordered.last_n(stamped, ["k"], ["ts"], "ts", n)
     assert sorted((r["k"], r["i"]) for r in got.collect()) == sorted((r["k"], r["i"]) for r in stamped.collect() if r["i"] >= sizes[r["k"]] - n)
+
+
+@pytest.mark.parametrize("pick,n", [("first_n", 33_333), ("last_n", 33_333), ("first_n", 1), ("last_n", 59_999)])
+def test_a_day_that_holds_all_rows_of_a_key_is_ranked_in_ranges(spark, monkeypatch, pick, n):
+    rows = spark.range(60_000).selectExpr("if(id < 60000, 'a', 'b') AS k", "TIMESTAMP_NTZ '2024-01-01' AS ts", "(id * 7919) % 60000 AS i", "'x' AS _rank")
+    sizes, write = [], ordered.written
+
+    def watched(df, label):
+        out = write(df, label)
+        if label == "cut-off":
+            sizes.extend(r["count"] for r in out.groupBy("k", "_unit").count().collect())
+        return out
+    monkeypatch.setattr(ordered, "written", watched)
+    got = getattr(ordered, pick)(rows.drop("_rank"), ["k"], ["ts", "i"], "ts", n).agg(F.count("*"), F.min("i"), F.max("i"), F.count_distinct("i")).first()
+    assert tuple(got) == ((n, 0, n - 1, n) if pick == "first_n" else (n, 60_000 - n, 59_999, n))
+    assert sum(sizes) == 60_000 and max(sizes) < 10_000

@@ -6,12 +6,13 @@ itself is only selected from.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .profile import correlation, null_report
+from ..session import importable
+from .profile import null_report
 
 
 def null_rates(df: DataFrame, columns: list[str]) -> dict[str, float]:
@@ -58,26 +59,55 @@ def duplicate_columns(df: DataFrame, columns: list[str]) -> list[str]:
     return repeated
 
 
-def correlated_columns(df: DataFrame, columns: list[str], threshold: float = 0.98, at_once: int = 200) -> list[str]:
+def pair_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(i, j, n, corr) of each pair of columns, by place, over the rows that have both values; NaN counts as missing.
+
+    One pass for all pairs: a task multiplies its masked rows block by block (counts, sums, squares and products of every
+    pair at once, around the columns' means) and gives a row a pair, which are then added. ``corr`` is null where a
+    column does not vary in those rows.
+    """
+    importable(df.sparkSession)
+    clean = [F.when(~F.isnan(x), x) for x in (F.col(f"`{c}`").cast("double") for c in columns)]
+    means = np.array([m or 0.0 for m in df.agg(*[F.avg(c) for c in clean]).first()])
+    first, second = np.triu_indices(len(columns), 1)
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns], axis=1) - means
+                there = ~np.isnan(x)
+                x, mask = np.where(there, x, 0.0), there.astype(np.float64)
+                sums, squares = x.T @ mask, (x * x).T @ mask
+                now = np.stack([(mask.T @ mask)[first, second], sums[first, second], sums[second, first],
+                                squares[first, second], squares[second, first], (x.T @ x)[first, second]])
+                total = now if total is None else total + now
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32()) for v in (first, second)] + [pa.array(v) for v in total], names)
+
+    names = ["i", "j", "n", "x", "y", "xx", "yy", "xy"]
+    parts = df.select(*[c.alias(f"c{k}") for k, c in enumerate(clean)]).mapInArrow(run, "i int, j int, " + ", ".join(f"{c} double" for c in names[2:]))
+    summed = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names[2:]])
+    n = F.col("n")
+
+    def varies(square, mean):  # what rounding leaves of a constant is none
+        spread = F.col(square) / n - (F.col(mean) / n) ** 2
+        return F.when((n > 0) & (spread > 1e-12 * F.col(square) / n), spread)
+
+    cov = F.col("xy") / n - F.col("x") / n * F.col("y") / n
+    return summed.where(n > 0).select("i", "j", n.cast("long").alias("n"), (cov / F.sqrt(varies("xx", "x") * varies("yy", "y"))).alias("corr"))
+
+
+def correlated_columns(df: DataFrame, columns: list[str], threshold: float = 0.98) -> list[str]:
     """Columns whose absolute correlation with any earlier column exceeds ``threshold``.
 
     An earlier column counts even if it is dropped itself. A pair is judged by the rows that have both
-    values: columns without nulls share one Gram matrix (a tree aggregate over the rows), pairs with
-    nulls go ``at_once`` to an aggregate. Only one number a pair comes to the driver.
+    values (``pair_correlations``). Only the columns found come to the driver.
     """
-    rates = null_rates(df, columns)
-    whole = [c for c in columns if rates[c] == 0]
-    found: dict[tuple[str, str], float | None] = {}
-    if len(whole) > 1:
-        packed = VectorAssembler(inputCols=whole, outputCol="_x", handleInvalid="keep").transform(df.select(*whole))
-        matrix = Correlation.corr(packed, "_x").first()[0].toArray()
-        found |= {(a, b): matrix[i][j] for j, b in enumerate(whole) for i, a in enumerate(whole[:j])}
-    pairs = [(a, b) for j, b in enumerate(columns) for a in columns[:j] if (a, b) not in found]
-    for i in range(0, len(pairs), at_once):
-        some = pairs[i:i + at_once]
-        found |= dict(zip(some, df.agg(*[correlation(F.col(a), F.col(b)) for a, b in some]).first()))
-    close = {b for (_, b), x in found.items() if x is not None and abs(x) > threshold}
-    return [c for c in columns if c in close]
+    if len(columns) < 2:
+        return []
+    close = {r["j"] for r in pair_correlations(df, columns).where(F.abs("corr") > threshold).select("j").distinct().collect()}
+    return [c for i, c in enumerate(columns) if i in close]
 
 
 def most_missing(df: DataFrame, columns: list[str], k: int = 5) -> list[str]:

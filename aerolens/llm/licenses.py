@@ -110,7 +110,8 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     A file's highest-IDF license words are looked up in the positional index of each template; offsets on
     which several agree are candidates, the template's key phrase must stand in its place, and the IDF
     weight of the words in place gives the score. Base phrases are found wherever they stand. Null texts are
-    empty. Two passes over the texts, no shuffle of texts.
+    empty. Two passes over the texts, no shuffle of texts. Columns of ``docs`` that bear
+    the name of a new one come out with ``_given`` added.
     """
     idf = word_idf(docs, text)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolens.llm.running import PART, POS, running
-from aerolens.llm.texts import n_words
+from aerolens.llm.texts import given, n_words
 from aerolens.session import written
 
 #: Weights of the sources in code point order, repeating; share of all words to take; most copies of a source.
@@ -37,8 +37,10 @@ def mix(sized: DataFrame, seed: int = 42) -> DataFrame:
     ranged by finish time and taken while their running total is within the budget. Documents are taken
     whole, so a source misses its target by a document or so. Running sums are distributed and rows
     of equal keys split, so one source may hold any share of the rows. Documents without words take nothing;
-    sources without words have target 0. Sources are null-safe.
+    sources without words have target 0. Sources are null-safe. Other columns of ``sized`` stay; one that bears a name
+    used here (source_size, target, copies, taken, rank, size_before) comes out with ``_given`` added.
     """
+    sized = sized.withColumnsRenamed(given(sized, ("source_size", "target", "copies", "taken", "rank", "size_before")))
     keyed = sized.withColumns({
         "__source": F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")), "__from": F.monotonically_increasing_id(),
         "__key": F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 16)})

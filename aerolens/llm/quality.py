@@ -84,7 +84,8 @@ def measure(text: bytes | None) -> tuple:
 def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, plus the measures and the verdict ``kept``.
 
-    One pass, no shuffle; a null text counts as empty and, like any text under 50 words, is not kept.
+    One pass, no shuffle; a null text counts as empty and, like any text under 50 words, is not kept. Columns of ``docs`` that bear
+    the name of a new one come out with ``_given`` added.
     """
     def make():
         return lambda texts: [list(x) for x in zip(*map(measure, texts))]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerolens.session import written
+from aerolens.session import importable, written
 
 PART, POS = "__part", "__pos"
 
@@ -29,6 +29,7 @@ def running(df: DataFrame, order: list[str], values: list[str], group: str | Non
     partition and place there. The result is read from a written table.
     """
     spark = df.sparkSession
+    importable(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*([group] if group else []), *order]
     added = [T.StructField(PART, T.IntegerType()), T.StructField(POS, T.LongType()), *(T.StructField(f"{v}_before", T.LongType()) for v in values)]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolens.llm.running import running
+from aerolens.llm.texts import given
 
 ROUNDS = 6
 
@@ -48,8 +49,11 @@ def shard(docs: DataFrame, n_shards: int, order: list[str], seed: int = 42) -> D
     Law "rows": with p the image of the row number, the shard is p mod ``n_shards`` and the slot p div
     ``n_shards``; counts differ by one at most, and either can be computed from the row number alone.
     Rows that agree in all of ``order`` are interchangeable; where the row came from decides, so a value
-    held by any share of the rows is split between partitions. An empty table gives an empty result.
+    held by any share of the rows is split between partitions. An empty table gives an empty result. Columns of ``docs``
+    named ``row``, ``shard`` or ``slot`` come out as ``row_given`` and so on; they may stand in ``order``.
     """
+    renamed = given(docs, ("row", "shard", "slot"))
+    docs, order = docs.withColumnsRenamed(renamed), [renamed.get(c, c) for c in order]
     rows = docs.withColumns({"__one": F.lit(1).cast("long"), "__from": F.monotonically_increasing_id()})
     table = running(rows, [*order, "__from"], ["__one"], label="shard")
     total = table.agg(F.count("*")).first()[0]
@@ -60,4 +64,4 @@ def shard(docs: DataFrame, n_shards: int, order: list[str], seed: int = 42) -> D
 
     return (table.withColumn("row", F.col("__one_before")).withColumn("__image", image("row"))
             .select(*docs.columns, "row", (F.col("__image") % n_shards).cast("int").alias("shard"),
-                    F.floor(F.col("__image") / n_shards).cast("long").alias("slot")))
+                    F.expr(f"__image div {n_shards}").alias("slot")))

@@ -46,3 +46,10 @@ def test_templates_are_found_in_long_texts_and_need_their_key_phrase(spark, pros
 
 def test_empty_table(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_columns_with_the_names_of_outputs_come_out_renamed(spark):
+    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    docs = spark.createDataFrame([(1, "under the mit license", *range(7))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    row = licenses.scan_licenses(docs).first()
+    assert [row[f"{n}_given"] for n in names] == list(range(7)) and row["n_words"] == 4 and row["base_labels"] == "mit"

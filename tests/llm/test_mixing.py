@@ -65,3 +65,10 @@ def test_empty_tables(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string, size long")).count() == 0
     nothing = spark.createDataFrame([(1, "a", 0), (2, None, 0)], "doc_id long, source string, size long")
     assert [(r["target"], r["taken"]) for r in mixing.mix(nothing).collect()] == [(0.0, 0), (0.0, 0)]
+
+
+def test_columns_with_the_names_of_outputs_come_out_renamed(spark):
+    names = ["source_size", "target", "copies", "taken", "rank", "size_before"]
+    sized = spark.createDataFrame([(i, "ab"[i % 2], 5, *range(6)) for i in range(20)], "doc_id long, source string, size long, " + ", ".join(f"{n} int" for n in names))
+    rows = mixing.mix(sized).collect()
+    assert all([r[f"{n}_given"] for n in names] == list(range(6)) and r["source_size"] == 50 for r in rows) and sum(r["taken"] for r in rows) <= 150

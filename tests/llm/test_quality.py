@@ -70,3 +70,10 @@ def test_repetitive_texts_go_and_clean_ones_stay(spark, prose):
 
 def test_empty_table(spark):
     assert quality.keep_good(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_columns_with_the_names_of_outputs_come_out_renamed(spark, prose):
+    docs = spark.createDataFrame([(1, prose(80, 1), 5, "x")], "doc_id long, text string, kept int, n_words string")
+    row = quality.with_quality(docs).first()
+    assert (row["kept"], row["kept_given"], row["n_words"], row["n_words_given"]) == (True, 5, 80, "x")
+    assert quality.keep_good(docs).columns == docs.columns

@@ -60,3 +60,15 @@ def test_query_columns(spark, folder):
     assert rows[1]["text_crc32"] == zlib.crc32("é".encode()) and rows[2]["text_crc32"] == rows[3]["text_crc32"] == 0
     assert {r["law"] for r in rows.values()} == {"rows"} and all(r["grown_shard"] is None for r in rows.values())
     rows_law(list(rows.values()), 40)
+
+
+def test_columns_with_the_names_of_outputs_come_out_renamed(spark):
+    docs = spark.createDataFrame([(i, 7 - i, i * 10, "s", True) for i in range(8)], "doc_id long, row long, shard int, Slot string, row_given boolean")
+    out = sharding.shard(docs, 3, ["row"])
+    assert out.columns == ["doc_id", "row_given_given", "shard_given", "Slot_given", "row_given", "row", "shard", "slot"]
+    assert all(r["row"] == r["row_given_given"] == 7 - r["doc_id"] and r["shard_given"] == 10 * r["doc_id"] for r in out.collect())
+
+
+def test_slots_are_exact_beyond_53_bits(spark):
+    big = 2 ** 61 + 12345
+    assert spark.sql(f"SELECT {big}L div 40 AS slot").first()["slot"] == big // 40

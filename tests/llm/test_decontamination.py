@@ -41,7 +41,7 @@ def test_bit_parallel_match_equals_the_table():
 
 def corpus(prose, n=240):
     rng = random.Random(5)
-    items = [(i, prose(rng.choice([5, 7, 12, 18, 33, 60]), 1000 + i)) for i in range(30)]
+    items = [(i, prose(rng.choice([3, 5, 7, 12, 18, 33, 60]), 1000 + i)) for i in range(30)]
     docs = []
     for i in range(n):
         words = prose(rng.choice([0, 3, 40, 150, 600]), i).split()
@@ -59,7 +59,7 @@ def brute(items, docs):
         words = plain_words((text or "").encode())
         for i, item in items:
             parts = plain_words((item or "").encode())
-            if len(parts) >= dec.MIN_WORDS and (e := least_edits(parts, words)) <= dec.most_edits(len(parts)):
+            if parts and (e := least_edits(parts, words)) <= dec.most_edits(len(parts)):
                 found[d, i] = e
     return found
 
@@ -89,12 +89,29 @@ def test_nulls_short_items_repeats_and_long_texts(spark, prose):
     item = prose(30, 1)
     items = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "one two"), (None, prose(20, 9))], "item_id long, text string")
     long = prose(30_000, 2) + " " + item + " " + prose(500, 3)
-    docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "one two", 1), (4, long, 1), (4, long, 1), (None, item, 1), (5, prose(20, 9), 1)],
+    docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "One, two!", 1), (4, long, 1), (4, long, 1), (None, item, 1), (5, prose(20, 9), 1)],
                                  "doc_id long, text string, leaks int")
     got = [(r["doc_id"], r["item_id"], r["edits"]) for r in dec.find_leaks(docs, items).collect()]
-    assert sorted(got, key=str) == sorted([(4, 1, 0)] * 4 + [(None, 1, 0)] * 2 + [(5, None, 0)], key=str)
+    assert sorted(got, key=str) == sorted([(3, 4, 0)] + [(4, 1, 0)] * 4 + [(None, 1, 0)] * 2 + [(5, None, 0)], key=str)
     out = dec.without_leaks(docs, items)
-    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 2, 3]
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 2]
+    assert sorted(r["doc_id"] for r in dec.without_leaks(docs, items, min_words=5).collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 9, 10, 15, 24, 40, 64])
+def test_recall_by_length_in_running_text(prose, n):
+    rng = random.Random(n)
+    items = [(i, prose(n, 7000 + i)) for i in range(60)]
+    index, hits = dec.Index(items), 0
+    for trial in range(300):
+        i, item = rng.choice(items)
+        words = prose(120, trial).split()
+        at = rng.randint(0, len(words))
+        words[at:at] = edited(item.split(), dec.most_edits(n), rng)
+        found = {index.item_ids[p]: edits for p, edits, _ in index.search(" ".join(words).encode())}
+        assert all(found[j] == least_edits(plain_words(dict(items)[j].encode()), plain_words(" ".join(words).encode())) for j in found)
+        hits += i in found
+    assert hits >= 0.99 * 300
 
 
 def test_empty_tables(spark):

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import features, forecasts, incremental, monitoring, profiles, readings, drifts  # noqa: F401
+from . import features, forecasts, incremental, monitoring, profiles, readings, drifts, composed  # noqa: F401
 from .registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -295,7 +295,14 @@ def training_input(spark, d):
     return kept.withColumns({"o3": F.lit(1.0), "nh3": F.when(F.hour("timestamp") == 3, 1.0 * F.dayofmonth("timestamp"))})
 
 
-@query("training_features", TRAINING_CTE.replace("{columns}", "'nh3 dropped, o3 dropped'"))
+# Columns with over 65 % nulls, or one value (null is one) in 99.9 % of the rows.
+DROPPED_SQL = """(SELECT coalesce(string_agg(feature || ' dropped', ', ' ORDER BY feature), '') FROM (
+  SELECT feature FROM (SELECT feature, v, count(*) AS n FROM (
+    SELECT 'o3' AS feature, 1e0 AS v FROM joined UNION ALL SELECT 'nh3', CASE WHEN hour(timestamp) = 3 THEN 1e0 * day(timestamp) END FROM joined) GROUP BY 1, 2)
+  GROUP BY 1 HAVING coalesce(sum(n) FILTER (v IS NULL), 0) / sum(n) > 0.65 OR max(n) / sum(n) >= 0.999))"""
+
+
+@query("training_features", TRAINING_CTE.replace("{columns}", DROPPED_SQL))
 def training_features(spark, d):
     """The composed training job: pruned, flagged, filled, engineered and encoded."""
     table, meta = jobs.engineered_training(training_input(spark, d))
@@ -311,6 +318,29 @@ def selected_features(spark, d):
     return spark.createDataFrame(list(enumerate(meta["selected"])), "position int, feature string")
 
 
+CHOICE = {"a": "l_quantity", "b": "l_tax", "c": "l_quantity + 0", "d": "l_extendedprice", "e": "l_extendedprice * (1 - l_discount)", "f": "l_discount"}
+
+
+def _close(name):
+    """A column's largest absolute correlation with the unrepeated ones before it."""
+    before = [x for x in CHOICE if x < name and x != "c"]
+    return "greatest(" + ", ".join(f"coalesce(abs(corr({x}, {name})), 0)" for x in before) + ")" if before else "max(0)"
+
+
+@query("chosen_features", f"""
+WITH m AS (SELECT {', '.join(f'{e} AS {c}' for c, e in CHOICE.items())} FROM lineitem),
+repeated AS (""" + " UNION ALL ".join(
+  f"SELECT '{c}' AS feature, {' OR '.join(f'NOT EXISTS (SELECT {x} FROM m EXCEPT ALL SELECT {c} FROM m)' for x in CHOICE if x < c) or 'false'} AS yes" for c in CHOICE) + """),
+close AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {_close(c)} > 0.98 AS yes FROM m" for c in CHOICE if c != "c") + """)
+SELECT CAST(row_number() OVER (ORDER BY feature) - 1 AS INTEGER) AS position, feature FROM repeated JOIN close USING (feature)
+WHERE NOT repeated.yes AND NOT close.yes ORDER BY 1 LIMIT 3""")
+def chosen_features(spark, d):
+    """The first three columns that neither repeat an earlier one nor correlate with one."""
+    m = V.table(spark, d, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in CHOICE.items()])
+    chosen = selection.select_features(m, list(CHOICE), 0.98, 3)
+    return spark.createDataFrame(list(enumerate(chosen)), "position int, feature string")
+
+
 @query("dedup_last", V.with_sql(V.RAW_CTE, select="""
 SELECT station_id, parameter, date_trunc('hour', measurement_time) AS timestamp, event_id, raw_value FROM raw
 QUALIFY row_number() OVER (PARTITION BY station_id, parameter, date_trunc('hour', measurement_time) ORDER BY event_id DESC) = 1"""))

@@ -15,6 +15,7 @@ SAMPLE = [
     "location_choice", "quality_report", "profile_stats", "histogram", "group_boxplot", "target_encoding", "fill_offline", "rolling_features",
     "lead_targets", "first_n_cap", "drift_report", "insert_or_replace", "table_upsert", "registry_upsert", "fetch_plan", "backfill_plan",
     "metrics_pooled", "prediction_records", "error_rate", "latency_p95", "alert_hold", "stream_hourly",
+    "chosen_features", "job_training_table", "job_ingest", "job_refresh", "job_drift",
 ]
 
 

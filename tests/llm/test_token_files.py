@@ -64,6 +64,26 @@ def test_files_have_bloom_filters_and_indexes(spark, tmp_path):
     assert info.row_index_stride == 10000 and info.nrows > 0 and info.compression == "ZSTD"
 
 
+def test_lookups_skip_row_groups(spark, tmp_path):
+    """One file of many row groups: an id reads its row group; an absent id between the least and the greatest reads none."""
+    path, one = str(tmp_path / "tokens"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        tf.write_tokens(spark.range(50_000).selectExpr("2 * id AS doc_id", "concat('text ', id) AS text"), path, PATH, 2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", one)
+
+    def read(doc_id):
+        df = tf.read_tokens(spark, path).where(f"doc_id = {doc_id}")
+        rows, plan = df.collect(), df._jdf.queryExecution().executedPlan()
+        leaf = plan.collectLeaves().head()
+        return len(rows), leaf.metrics().apply("numOutputRows").value()
+
+    assert read(60_000) == (1, 10_000)
+    absent = [read(2 * i + 1) for i in range(1_000, 50_000, 5_000)]
+    assert all(n == 0 for n, _ in absent) and sum(scanned == 0 for _, scanned in absent) >= 8
+
+
 def test_ties_nulls_and_repeated_rows(spark, tmp_path):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "d"), (None, None)], "doc_id long, text string").repartition(3)
     path = str(tmp_path / "tokens")

@@ -71,7 +71,7 @@ class LengthClass:
         found = np.zeros(len(trial), bool)
         # every further walk finds an edited copy with some probability, so the recall is reached
         while len(self.walks) < 2 or found.mean() < RECALL:
-            coins = rng.integers(0, 2, (self.steps, COINS))
+            coins = rng.integers(0, 2, (self.steps, COINS), np.int8)
             # a walk of j steps has read j / 2 words: samples stay within the shortest item
             samples = np.stack([rng.choice(self.steps, BITS, replace=False) for _ in range(SAMPLES)])
             keys = self.keys(*own, coins, samples).ravel()

@@ -93,4 +93,4 @@ def test_empty_documents(spark, folder):
 
 
 def test_leak_rule_is_the_operators():
-    assert dec.MIN_WORDS == 5 and dec.SIMILARITY == 0.8
+    assert dec.SIMILARITY == 0.8 and dec.most_edits(4) == 0 and dec.most_edits(5) == 1

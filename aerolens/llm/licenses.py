@@ -4,33 +4,20 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolens.llm.texts import map_texts, plain_words
+from aerolens.llm.notices import templates
+from aerolens.llm.texts import importable, map_texts, plain_words
 
 #: Base phrases and their labels.
 BASE = {b"mit license": "mit", b"apache license": "apache", b"general public license": "gpl"}
 
-#: Wording of common notices, with the phrase that each must hold: (label, wording, key phrase).
-TEMPLATES = [
-    ("mit", b"released under the mit license", b"mit license"),
-    ("mit", b"licensed under the mit license", b"mit license"),
-    ("mit", b"permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-            b"documentation files", b"permission is hereby granted free of charge"),
-    ("apache", b"licensed under the apache license version 2 0", b"apache license"),
-    ("gpl", b"this work is licensed under the gnu general public license version 3", b"general public license"),
-    ("gpl", b"you can redistribute it and or modify it under the terms of the gnu general public license", b"general public license"),
-    ("bsd", b"redistribution and use in source and binary forms with or without modification are permitted",
-     b"redistribution and use in source and binary forms"),
-    ("cc-by-nc", b"licensed under cc by nc 4 0", b"cc by nc"),
-    ("cc-by-sa", b"licensed under cc by sa 4 0", b"cc by sa"),
-    ("mpl", b"subject to the terms of the mozilla public license v 2 0", b"mozilla public license"),
-    ("isc", b"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-     b"permission to use copy modify"),
-    ("unlicense", b"this is free and unencumbered software released into the public domain", b"free and unencumbered software"),
-]
+#: (label, words, phrases that must stand in their places) of each notice.
+TEMPLATES = templates()
 
 #: Rarest words of a template looked up in a file; how many must agree on a place; least matched share of IDF weight.
 ANCHORS, AGREE, LEAST = 4, 2, 0.5
@@ -47,40 +34,49 @@ def places(words: list[bytes], at: dict[bytes, list[int]], phrase: bytes) -> lis
     return [p - anchor for p in at[parts[anchor]] if p >= anchor and words[p - anchor:p - anchor + len(parts)] == parts]
 
 
+def word_at(text: bytes, phrase: bytes) -> int:
+    """Number of words of ``text`` before the first place of ``phrase``."""
+    return text[:(b" " + text + b" ").index(b" " + phrase + b" ")].count(b" ")
+
+
 class Scanner:
     """Postings of the templates' words and the IDF of each word."""
 
     def __init__(self, idf: dict[bytes, float], templates=TEMPLATES):
         self.idf = idf
         self.templates = []
-        for label, text, key in templates:
+        for label, text, phrases in templates:
             parts = text.split()
             posting = defaultdict(list)
             for i, w in enumerate(parts):
                 posting[w].append(i)
-            starts = [i for i in range(len(parts)) if parts[i:i + len(key.split())] == key.split()]
-            self.templates.append((label, parts, posting, starts[0], len(key.split()), sum(idf[w] for w in parts)))
+            keys = [(word_at(text, phrase), phrase.split()) for phrase in phrases]
+            needed = frozenset(w for _, key in keys for w in key)
+            self.templates.append((label, parts, posting, keys, needed, sum(idf[w] for w in parts)))
 
     def scan(self, text: bytes | None) -> tuple:
         """(n_words, n_base, first_word, last_word, base_labels, labels, score) of one whole text."""
         words = plain_words(text)
-        if VOCABULARY.isdisjoint(words):
+        held = VOCABULARY.intersection(words)
+        possible = [t for t in self.templates if t[4] <= held]  # no phrase stands where one of its words is missing
+        phrases = [p for p in BASE if held.issuperset(p.split())]
+        if not possible and not phrases:
             return len(words), 0, None, None, "", "", 0.0
         at = defaultdict(list)
         for i, w in enumerate(words):
-            if w in VOCABULARY:
+            if w in held:
                 at[w].append(i)
-        base = {p: found for p in BASE if (found := places(words, at, p))}
+        base = {p: found for p in phrases if (found := places(words, at, p))}
         starts = [i for found in base.values() for i in found]
         based = {BASE[p] for p in base}
         labels, score = set(based), 0.0
         rare = sorted(at, key=lambda w: (-self.idf[w], w))  # the file's license words, rarest first
-        for label, parts, posting, key_at, key_n, weight in self.templates:
+        for label, parts, posting, keys, _, weight in possible:
             votes = Counter()
             for w in [w for w in rare if w in posting][:ANCHORS]:
                 votes.update({p - i for p in at[w] for i in posting[w]})
             for offset, n in votes.items():
-                if n < AGREE or offset < 0 or words[offset + key_at:offset + key_at + key_n] != parts[key_at:key_at + key_n]:
+                if n < AGREE or offset < 0 or any(words[offset + i:offset + i + len(key)] != key for i, key in keys):
                     continue
                 window = words[offset:offset + len(parts)]
                 share = sum(self.idf[w] for w, x in zip(parts, window) if w == x) / weight
@@ -95,12 +91,19 @@ class Scanner:
 
 def word_idf(docs: DataFrame, text: str = "text") -> dict[bytes, float]:
     """Smoothed IDF over all documents of every template word: one value a word of the fixed templates."""
-    def make():
-        return lambda texts: [[[w.decode() for w in VOCABULARY.intersection(plain_words(t))] for t in texts]]
-    found = map_texts(docs.select(text), text, "found array<string>", make)
-    counted = {r["word"].encode(): r["n"] for r in found.select(F.explode(
-        F.concat("found", F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
-    total = counted.get(b"", 0)  # each document gives one empty word
+    importable(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted, total = Counter(), 0  # the fixed vocabulary at most
+        for batch in batches:
+            total += batch.num_rows
+            for t in batch.column(0).to_pylist():
+                counted.update(VOCABULARY.intersection(plain_words(t)))
+        yield pa.RecordBatch.from_arrays([pa.array([b"", *counted], pa.binary()), pa.array([total, *counted.values()], pa.int64())], ["word", "n"])
+
+    found = docs.select(F.col(f"`{text}`").cast("binary")).mapInArrow(run, "word binary, n long")
+    counted = {bytes(r["word"]): r["n"] for r in found.groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    total = counted.get(b"", 0)  # the empty word counts documents
     return {w: math.log((total + 1) / (counted.get(w, 0) + 1)) + 1 for w in VOCABULARY}
 
 
@@ -108,7 +111,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, plus what the license scan finds in it.
 
     A file's highest-IDF license words are looked up in the positional index of each template; offsets on
-    which several agree are candidates, the template's key phrase must stand in its place, and the IDF
+    which several agree are candidates, all of the template's key phrases must stand in their places, and the IDF
     weight of the words in place gives the score. Base phrases are found wherever they stand. Null texts are
     empty. Two passes over the texts, no shuffle of texts. Columns of ``docs`` that bear
     the name of a new one come out with ``_given`` added.

@@ -49,7 +49,8 @@ LICENSE_SQL = r"""
     WITH raw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
     base AS (SELECT unnest([BASE_LABELS]) AS label, unnest([BASE_PHRASES]) AS phrase),
-    template AS (SELECT unnest(range(len([LABELS]))) AS t, unnest([LABELS]) AS label, unnest([TEXTS]) AS text, unnest([KEYS]) AS key, unnest([KEY_AT]) AS key_at),
+    template AS (SELECT unnest(range(len([LABELS]))) AS t, unnest([LABELS]) AS label, unnest([TEXTS]) AS text),
+    phrase_of AS (SELECT unnest([KEY_OF]) AS t, unnest([KEYS]) AS key, unnest([KEY_AT]) AS key_at),
     tw AS (SELECT t, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS p FROM template),
     vocabulary AS (SELECT DISTINCT w FROM tw UNION SELECT unnest(string_split(phrase, ' ')) FROM base),
     wd AS (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS i FROM raw),
@@ -58,11 +59,13 @@ LICENSE_SQL = r"""
     found AS (SELECT doc_id, i, label FROM spots JOIN base ON spots.w = split_part(phrase, ' ', 1) JOIN raw USING (doc_id)
       WHERE words[i + 1:i + len(string_split(phrase, ' '))] = string_split(phrase, ' ')),
     based AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM found GROUP BY doc_id),
-    rare AS (SELECT DISTINCT doc_id, t, w, idf FROM (SELECT DISTINCT doc_id, w FROM spots) JOIN idf USING (w) JOIN (SELECT DISTINCT t, w FROM tw) USING (w)
+    keyed AS (SELECT DISTINCT doc_id, t FROM spots JOIN phrase_of ON w = split_part(key, ' ', 1) JOIN raw USING (doc_id)
+      WHERE words[i + 1:i + len(string_split(key, ' '))] = string_split(key, ' ')),
+    rare AS (SELECT DISTINCT doc_id, t, w, idf FROM (SELECT DISTINCT doc_id, w FROM spots) JOIN idf USING (w) JOIN (SELECT DISTINCT t, w FROM tw) USING (w) JOIN keyed USING (doc_id, t)
       QUALIFY row_number() OVER (PARTITION BY doc_id, t ORDER BY idf DESC, w) <= ANCHORS),
     votes AS (SELECT doc_id, t, i - p AS place FROM rare JOIN spots USING (doc_id, w) JOIN tw USING (t, w) WHERE i >= p GROUP BY ALL HAVING count(DISTINCT w) >= AGREE),
-    kept AS (SELECT doc_id, t, label, place, words FROM votes JOIN template USING (t) JOIN raw USING (doc_id)
-      WHERE words[place + key_at + 1:place + key_at + len(string_split(key, ' '))] = string_split(key, ' ')),
+    kept AS (SELECT doc_id, t, any_value(label) AS label, place, any_value(words) AS words FROM votes JOIN template USING (t) JOIN phrase_of USING (t) JOIN raw USING (doc_id)
+      GROUP BY doc_id, t, place HAVING bool_and(words[place + key_at + 1:place + key_at + len(string_split(key, ' '))] = string_split(key, ' '))),
     weight AS (SELECT t, sum(idf) AS total FROM tw JOIN idf USING (w) GROUP BY t),
     shares AS (SELECT doc_id, label, place, t, least(1, sum(CASE WHEN words[place + p + 1] = w THEN idf ELSE 0 END) / any_value(total)) AS share
       FROM kept JOIN tw USING (t) JOIN idf USING (w) JOIN weight USING (t) GROUP BY ALL),
@@ -78,12 +81,11 @@ def _license_sql() -> str:
     def texts(values) -> str:
         return "[" + ", ".join(f"'{v if isinstance(v, str) else v.decode()}'" for v in values) + "]"
 
-    def word_at(text: bytes, key: bytes) -> int:
-        return text[:(b" " + text).index(b" " + key)].count(b" ")
-
     templates = licenses.TEMPLATES
+    keys = [(t, text, key) for t, (_, text, phrases) in enumerate(templates) for key in phrases]
     named = {"[BASE_LABELS]": texts(licenses.BASE.values()), "[BASE_PHRASES]": texts(licenses.BASE), "[LABELS]": texts(t[0] for t in templates),
-             "[TEXTS]": texts(t[1] for t in templates), "[KEYS]": texts(t[2] for t in templates), "[KEY_AT]": str([word_at(t[1], t[2]) for t in templates]),
+             "[TEXTS]": texts(t[1] for t in templates), "[KEY_OF]": str([t for t, _, _ in keys]), "[KEYS]": texts(key for _, _, key in keys),
+             "[KEY_AT]": str([licenses.word_at(text, key) for _, text, key in keys]),
              "ANCHORS": str(licenses.ANCHORS), "AGREE": str(licenses.AGREE), "LEAST_SHARE": repr(licenses.LEAST)}
     sql = LICENSE_SQL
     for name, value in named.items():

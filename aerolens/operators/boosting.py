@@ -4,8 +4,8 @@ Columns are cut into at most 63 bins once. A pass handles one level of the curre
 and counts by (model, node, feature, bin), a shuffle by model adds the tasks' sums and finds each node's best split, and only
 those splits come to the driver. So 24 targets with 200 trees of depth 6 are 1,200 passes, whatever the number of targets.
 The passes run on an RDD of blocks of binned rows: each is a short job, and a block keeps what the trees so far predict.
-A table of a single block has no sums to exchange: there each model's passes follow each other in a task of its own,
-with the same sums, splits and trees.
+A pass costs a job, and most of it is not counting while the table is small: up to a million rows (``ALONE`` blocks) each model's
+passes follow each other in a task of its own, with the same sums, splits and trees.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from ..session import importable, shared_dir, written
 BINS = 64
 #: Rows of a block at most; residuals are summed as integers of this many parts of a unit, so sums do not depend on order.
 BLOCK, PARTS = 1 << 16, 1 << 20
+#: Blocks of a table whose models are each grown in a task of its own: a million rows, a byte for each bin.
+ALONE = 16
 #: Trees between two checkpoints of what the blocks predict.
 CHECKPOINT = 25
 
@@ -174,46 +176,61 @@ def _counted(block: Block, i: int, spec: Spec, round_: int) -> np.ndarray:
     return np.flatnonzero(seen)
 
 
-def _histogram(block: Block, i: int, growth: Growth, rows: np.ndarray, at: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """[2, nodes, features, bins]: the sums of residuals and the counts of ``nodes``; ``at`` is the node of each of ``rows``."""
+def _histogram(columns: np.ndarray, growth: Growth, rows: np.ndarray, residual: np.ndarray, at: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """[2, nodes, features, bins]: the sums of residuals and the counts of ``nodes``; ``at`` is the node of each of ``rows``.
+
+    ``columns`` holds a row of bins for each feature: a feature's sums are a few thousand cells, which stay in the cache."""
     slots = np.full(len(growth.tree.feature), -1, np.int64)
     slots[nodes] = np.arange(len(nodes))
     own = np.flatnonzero(slots[at] >= 0)
-    rows, slot, f = rows[own], slots[at[own]], len(growth.features)
-    residual = np.rint((block.labels[i][rows] - block.predicted[i][rows]) * PARTS)
-    bins = block.bins[rows] if f == block.bins.shape[1] else block.bins[np.ix_(rows, growth.features)]
-    cells = (bins + (slot[:, None] * f + np.arange(f)) * BINS).ravel()
-    size = len(nodes) * f * BINS
-    return np.stack([np.bincount(cells, np.repeat(residual, f), size).astype(np.int64), np.bincount(cells, minlength=size)]).reshape(2, len(nodes), f, BINS)
-
-
-def _alone(pair: tuple[int, Block], specs: list[Spec]) -> Iterator[tuple[int, list[Tree]]]:
-    """All trees of the models of a block that holds the whole table. Of two children only the smaller one is summed:
-    the other is the rest of their parent."""
-    _, block = pair
-    for i, m in enumerate(block.models):
-        spec, trees = specs[m], []
-        for round_ in range(spec.trees):
-            growth = Growth.start(spec, block.bins.shape[1], round_)
-            rows = _counted(block, i, spec, round_)
-            at = np.zeros(len(rows), np.int32)
-            sums = _histogram(block, i, growth, rows, at, growth.open)
-            known = {0: sums[:, 0]}
-            while growth.take(_best(sums, spec.least)):
-                at = growth.tree.step(block.bins[rows], at)
-                parents = sorted({(n - 1) // 2 for n in growth.open.tolist()})
-                n_at = np.bincount(at, minlength=len(growth.tree.feature))
-                small = np.array([min((2 * p + 1, 2 * p + 2), key=n_at.__getitem__) for p in parents])
-                own = _histogram(block, i, growth, rows, at, small)
-                following = {}
-                for j, (p, node) in enumerate(zip(parents, small.tolist())):
-                    other = 4 * p + 3 - node
-                    following[node], following[other] = own[:, j], known[p] - own[:, j]
-                known = {n: following[n] for n in growth.open.tolist()}
-                sums = np.stack([known[n] for n in growth.open.tolist()], axis=1)
-            trees.append(growth.tree)
-            block.predicted[i] = block.predicted[i] + growth.tree.value[growth.tree.nodes(block.bins, spec.depth)]
-        yield m, trees
+    rows, residual, first = rows[own], residual[own], slots[at[own]] * BINS
+    size = len(nodes) * BINS
+    out = np.empty((2, len(nodes), len(growth.features), BINS), np.int64)
+    for j, f in enumerate(growth.features.tolist()):
+        cells = first + columns[f][rows]
+        out[0, :, j] = np.bincount(cells, residual, size).reshape(-1, BINS)
+        out[1, :, j] = np.bincount(cells, minlength=size).reshape(-1, BINS)
+    return out
+
+
+def _residual(block: Block, i: int, rows: np.ndarray) -> np.ndarray:
+    return np.rint((block.labels[i][rows] - block.predicted[i][rows]) * PARTS)
+
+
+def _alone(pairs: Iterator[tuple[int, Block]], specs: list[Spec]) -> Iterator[tuple[int, list[Tree]]]:
+    """All trees of the model whose blocks, of a table of ``ALONE`` at most, are in this task. Of two children only the
+    smaller one is summed: the other is the rest of their parent."""
+    blocks = sorted((b for _, b in pairs), key=lambda b: b.place)
+    if not blocks:
+        return
+    m = blocks[0].models[0]
+    spec, trees = specs[m], []
+    whole = Block(blocks[0].place, np.concatenate([b.bins for b in blocks]), [m], np.concatenate([b.labels for b in blocks], axis=1),
+                  np.concatenate([b.predicted for b in blocks], axis=1))
+    columns = np.ascontiguousarray(whole.bins.T)
+    before = np.cumsum([0, *(len(b.bins) for b in blocks)]).tolist()
+    for round_ in range(spec.trees):
+        growth = Growth.start(spec, len(columns), round_)
+        rows = np.concatenate([x + _counted(b, 0, spec, round_) for x, b in zip(before, blocks)])
+        residual, at = _residual(whole, 0, rows), np.zeros(len(whole.bins), np.int32)
+        sums = _histogram(columns, growth, rows, residual, at[rows], growth.open)
+        known = {0: sums[:, 0]}
+        while growth.take(_best(sums, spec.least)):
+            at = growth.tree.step(whole.bins, at)
+            counted = at[rows]
+            parents = sorted({(n - 1) // 2 for n in growth.open.tolist()})
+            n_at = np.bincount(counted, minlength=len(growth.tree.feature))
+            small = np.array([min((2 * p + 1, 2 * p + 2), key=n_at.__getitem__) for p in parents])
+            own = _histogram(columns, growth, rows, residual, counted, small)
+            following = {}
+            for j, (p, node) in enumerate(zip(parents, small.tolist())):
+                other = 4 * p + 3 - node
+                following[node], following[other] = own[:, j], known[p] - own[:, j]
+            known = {n: following[n] for n in growth.open.tolist()}
+            sums = np.stack([known[n] for n in growth.open.tolist()], axis=1)
+        trees.append(growth.tree)
+        whole.predicted[0] += growth.tree.value[growth.tree.step(whole.bins, at)]
+    yield m, trees
 
 
 def _best(histogram: np.ndarray, least: int) -> list[tuple]:
@@ -238,11 +255,12 @@ def _local(pairs: Iterator[tuple[int, Block]], growing: dict[int, Growth], round
     """The histogram of each growing model's open nodes, over all blocks of a task."""
     sums: dict[int, np.ndarray] = {}
     for _, block in pairs:
+        columns = np.ascontiguousarray(block.bins.T)
         for i, m in enumerate(block.models):
             if m in growing:
                 growth = growing[m]
                 rows = _counted(block, i, growth.spec, round_)
-                h = _histogram(block, i, growth, rows, growth.tree.nodes(block.bins[rows], growth.level), growth.open)
+                h = _histogram(columns, growth, rows, _residual(block, i, rows), growth.tree.nodes(block.bins[rows], growth.level), growth.open)
                 sums[m] = sums[m] + h if m in sums else h
     yield from sums.items()
 
@@ -287,10 +305,10 @@ def fit(train: DataFrame, features: list[str], specs: list[Spec]) -> list[Model]
     packed = _packed(train.coalesce(-(-n_rows // BLOCK)), features, edges, labels)
     n_blocks = packed.count()
     unpack = partial(_unpack, n_features=len(features), label_of=[labels.index(s.label) for s in specs], starts=[m.start for m in models])
-    if n_blocks == 1:
+    if n_blocks <= ALONE:
         groups = [[m] for m in range(len(specs))]
         alone = packed.rdd.flatMap(partial(unpack, groups=groups)).partitionBy(len(groups), operator.index)
-        for m, trees in alone.flatMap(partial(_alone, specs=specs)).collect():
+        for m, trees in alone.mapPartitions(partial(_alone, specs=specs)).collect():
             models[m].trees = trees
         return models
     parts = max(1, min(n_blocks, context.defaultParallelism * -(-n_blocks // (16 * context.defaultParallelism))))

@@ -117,3 +117,19 @@ def test_empty_table_and_other_columns(spark, table):
     named = df.limit(3).withColumn("n", F.lit("x")).withColumn("bins", F.lit(1))
     rows = boosting.score(named, {"p": empty}).collect()
     assert [r["p"] for r in rows] == [0.0] * 3 and rows[0]["n"] == "x" and boosting.score(df.limit(0), {"p": empty}).count() == 0
+
+
+def test_a_table_of_some_blocks_is_grown_in_a_task_a_model(table, monkeypatch):
+    _, df = table
+    specs = [Spec("y", 6, 0.3, 4, 9, 10, 0.8, 0.7), Spec("y 2", 3, 0.1, 2, 31, 5, 0.6, 1.0), Spec("y", 4, 0.2, 6, 64, 1, 1.0, 1.0, seed=7)]
+    monkeypatch.setattr(boosting, "BLOCK", 100)
+    monkeypatch.setattr(boosting, "ALONE", 0)
+    passes, grow = [], boosting._grow_round
+    monkeypatch.setattr(boosting, "_grow_round", lambda *a: passes.append(a) or grow(*a))
+    common = boosting.fit(df, FEATURES, specs)
+    assert len(passes) == 6
+    monkeypatch.setattr(boosting, "ALONE", 16)
+    for a, b in zip(common, boosting.fit(df, FEATURES, specs)):
+        assert [(t.feature.tolist(), t.cut.tolist()) for t in a.trees] == [(t.feature.tolist(), t.cut.tolist()) for t in b.trees]
+        assert all(s.value == pytest.approx(t.value, abs=1e-9) for s, t in zip(a.trees, b.trees))
+    assert len(passes) == 6

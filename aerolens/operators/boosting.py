@@ -18,11 +18,12 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD, StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import importable, shared_dir, written
+from .ordered import BEFORE, SKETCH, SLACK, UP_TO
 
 #: Bin 0 holds nulls and NaN, which go left of every cut; bins 1 to 63 lie between quantiles.
 BINS = 64
@@ -277,12 +278,65 @@ def _add(pair: tuple[int, Block], trees: dict[int, Tree], specs) -> tuple[int, B
 
 
 def quantile_edges(df: DataFrame, features: list[str], extra: Iterable = ()) -> tuple[list[np.ndarray], tuple]:
-    """The distinct quantiles of each feature between its bins (a mergeable sketch, exact to a ten-thousandth), and ``extra``
-    aggregates of the same pass."""
-    places = [i / (BINS - 1) for i in range(1, BINS - 1)]
+    """The distinct quantiles of each feature between its bins, exact, and ``extra`` aggregates of the first pass.
+
+    A mergeable sketch brackets each quantile. A second pass counts the rows of the stretches between brackets and the values inside
+    brackets, some 2 % of a table's; the ordered counts of a bracket run on top of the sums of the places before it.
+    """
+    n = BINS - 1
+    places = [min(1.0, max(0.0, i / n + d)) for i in range(1, n) for d in (-SLACK, SLACK)]
     clean = [F.when(~F.isnan(c), c) for c in _doubles(df, features)]
-    row = df.agg(*[F.percentile_approx(c, places, 10_000) for c in clean], *extra).first()
-    return [np.unique(np.array(row[i] or [], np.float64)) for i in range(len(features))], tuple(row)[len(features):]
+    row = df.agg(*[F.percentile_approx(c, places, SKETCH) for c in clean], *extra).first()
+    marks = [np.array(row[i] or [], np.float64) for i in range(len(features))]
+    if not any(map(len, marks)):
+        return marks, tuple(row)[len(features):]
+    counted = _place_counts(df, features, marks).groupBy("feature", "place", "value").agg(F.sum("n").alias("n"))
+    counted = written(counted, "quantile-places")
+    ahead = Window.partitionBy("feature").orderBy("place").rowsBetween(*BEFORE)
+    of_places = counted.groupBy("feature", "place").agg(F.sum("n").alias("_n")).withColumns(
+        {"_before": F.coalesce(F.sum("_n").over(ahead), F.lit(0)), "_total": F.sum("_n").over(Window.partitionBy("feature"))}).drop("_n")
+    upto = F.sum("n").over(Window.partitionBy("feature", "place").orderBy("value").rowsBetween(*UP_TO)) + F.col("_before")
+    # The i-th of the n - 1 quantiles is the first value with i / n of the rows up to it.
+    found = counted.join(of_places, ["feature", "place"]).where("value IS NOT NULL").withColumn("_upto", upto).where(
+        f"{n} * _upto DIV _total > {n} * (_upto - n) DIV _total AND {n} * (_upto - n) DIV _total < {n - 1}")
+    edges: list[list[float]] = [[] for _ in features]
+    for r in found.select("feature", "value").collect():  # at most n - 1 a feature
+        edges[r["feature"]].append(r["value"])
+    return [np.array(sorted(e), np.float64) for e in edges], tuple(row)[len(features):]
+
+
+def _place_counts(df: DataFrame, features: list[str], marks: list[np.ndarray]) -> DataFrame:
+    """(feature, place, value, n): rows of each feature by their place between the ends of brackets, in pairs in ``marks``. Odd places
+    are the ends themselves, even ones lie between; a place in no bracket has no values, only its rows."""
+    ends = [np.unique(m) for m in marks]
+    inside = []
+    for m, e in zip(marks, ends):
+        cover = np.zeros(2 * len(e) + 1, bool)
+        for lo, hi in zip(np.searchsorted(e, m[::2]).tolist(), np.searchsorted(e, m[1::2]).tolist()):
+            cover[2 * lo + 1:2 * hi + 2] = True
+        inside.append(cover)
+
+    def run(batches):
+        for batch in batches:
+            for f, x in enumerate(_arrays(batch, range(len(ends)))):
+                x = x[~np.isnan(x)]
+                if not len(x):
+                    continue
+                left = np.searchsorted(ends[f], x, side="left")
+                place = 2 * left + (left < len(ends[f])) * (ends[f][np.minimum(left, len(ends[f]) - 1)] == x)
+                own = inside[f][place]
+                n_at = np.bincount(place[~own], minlength=0)
+                out = np.flatnonzero(n_at)
+                # A value lies in one place: sorted values have sorted places.
+                values, first, n = np.unique(x[own], return_index=True, return_counts=True)
+                places = np.r_[out, place[own][first]]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(places), f, np.int32)), pa.array(places.astype(np.int32)),
+                    pa.array([*[None] * len(out), *values.tolist()], pa.float64()), pa.array(np.r_[n_at[out], n].astype(np.int64))],
+                    ["feature", "place", "value", "n"])
+
+    inputs = [c.alias(f"c{i}") for i, c in enumerate(_doubles(df, features))]
+    return df.select(*inputs).mapInArrow(run, "feature int, place int, value double, n long")
 
 
 def fit(train: DataFrame, features: list[str], specs: list[Spec]) -> list[Model]:

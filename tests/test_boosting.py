@@ -133,3 +133,15 @@ def test_a_table_of_some_blocks_is_grown_in_a_task_a_model(table, monkeypatch):
         assert [(t.feature.tolist(), t.cut.tolist()) for t in a.trees] == [(t.feature.tolist(), t.cut.tolist()) for t in b.trees]
         assert all(s.value == pytest.approx(t.value, abs=1e-9) for s, t in zip(a.trees, b.trees))
     assert len(passes) == 6
+
+
+def test_edges_are_exact_beyond_the_sketch(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=60_000), np.where(rng.random(60_000) < 0.3, 7.0, rng.integers(0, 2000, 60_000)).astype(float)
+    y[::11] = np.nan
+    df = spark.createDataFrame([(a, None if np.isnan(b) else b, float("nan")) for a, b in zip(x.tolist(), y.tolist())], "x double, y double, none double").repartition(4)
+    edges, extra = boosting.quantile_edges(df, ["x", "y", "none"], [F.count("*")])
+    for values, found in zip((x, y[~np.isnan(y)]), edges):
+        own = np.sort(values)
+        assert found.tolist() == sorted({own[-(-i * len(own) // 63) - 1] for i in range(1, 63)})
+    assert not len(edges[2]) and extra == (60_000,)

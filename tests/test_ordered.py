@@ -134,3 +134,11 @@ def test_a_day_that_holds_all_rows_of_a_key_is_ranked_in_ranges(spark, monkeypat
     got = getattr(ordered, pick)(rows.drop("_rank"), ["k"], ["ts", "i"], "ts", n).agg(F.count("*"), F.min("i"), F.max("i"), F.count_distinct("i")).first()
     assert tuple(got) == ((n, 0, n - 1, n) if pick == "first_n" else (n, 60_000 - n, 59_999, n))
     assert sum(sizes) == 60_000 and max(sizes) < 10_000
+
+
+def test_quantiles_shuffle_no_row_by_its_key(spark):
+    df = spark.range(2_000_000).selectExpr("IF(id % 10 = 0, NULL, 'one') AS k", "double(id % 1000) AS v")
+    out = ordered.quantiles(df, ["k"], "v", {"half": 0.5})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {r["k"]: r["half"] for r in out.collect()} == {None: 495.0, "one": 500.0}

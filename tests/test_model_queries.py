@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from aerolens.operators import forecast, selection
 from aerolens.plans import forecasts, jobs
@@ -37,3 +38,14 @@ def test_no_selected_column_is_dropped_by_its_place(spark, monkeypatch):
         monkeypatch.setattr(selection, name, lambda *a: [])
     assert jobs.training_features(wide)[1]["selected"] == wide.columns
     assert jobs.training_features(wide, most=180)[1]["selected"] == wide.columns[:180]
+
+
+def test_the_training_input_is_computed_once(spark):
+    seen, source = spark.sparkContext.accumulator(0), training_input(spark, DATA)
+
+    @F.udf("double")
+    def counted(value):
+        seen.add(1)
+        return value
+    made, _ = jobs.engineered_training(source.withColumn("pm25", counted("pm25")))
+    assert made.count() and seen.value == source.count()

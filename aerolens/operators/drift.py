@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..session import written
 from .joins import latest_run
 from .ordered import cumulative_counts
 from .profile import bin_of, long_form
@@ -119,10 +120,13 @@ def severity(psi: Column, p: Column) -> Column:
 
 def drift_report(sided: DataFrame, features: list[str], window_days: int = 7, rule=flag) -> DataFrame:
     """One row per feature with at least ten values in each window."""
+    # Both are written: the moments, the bins and the ordered pass read them again.
+    sided = written(sided.select("side", *features), "drift-windows")
+    counts = written(side_counts(sided, features), "drift-counts")
     facts = moments(sided, features)
     enough = facts.where((F.col("rows0") >= K.MIN_DRIFT_VALUES) & (F.col("rows1") >= K.MIN_DRIFT_VALUES))
     # Both tables hold one row per feature.
-    joined = enough.join(F.broadcast(distances(side_counts(sided, features), facts)), "feature")
+    joined = enough.join(F.broadcast(distances(counts, facts)), "feature")
     shift = F.col("mean1") - F.col("mean0")
     z = F.abs(shift) / (F.col("std0") + EPS)
     psi, p = F.col("psi"), F.col("ks_p_value")

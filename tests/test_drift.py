@@ -132,3 +132,14 @@ def test_history_and_alerts(spark, tmp_path):
     assert {r["alert"]: r["firing"] for r in drift.drift_alerts(history).collect()} == {"DataDriftDetected": True, "HighDriftPSI": False, "ManyFeaturesDrifted": False}
 
 
+
+
+def test_a_report_computes_its_windows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(value):
+        seen.add(1)
+        return value
+    sided = spark.range(200).select((F.col("id") % 2).cast("int").alias("side"), counted(F.col("id") * 1.0).alias("pm25"))
+    assert drift.drift_report(sided, ["pm25"]).first()["live_rows"] == 100 and seen.value == 200

@@ -75,6 +75,15 @@ class Tree:
         down = 2 * at + 1 + (bins[np.arange(len(bins)), feature] > self.cut[at])
         return np.where(feature >= 0, down, at).astype(np.int32)
 
+    def full(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features, cuts and values of the same tree with all leaves at ``depth``: from a leaf above it, rows go left down to its value."""
+        feature, cut, value = self.feature.astype(np.int64), self.cut.copy(), self.value.copy()
+        for level in range(depth):
+            nodes = np.arange(2 ** level - 1, 2 ** (level + 1) - 1)
+            leaves = nodes[self.feature[nodes] < 0]
+            feature[leaves], cut[leaves], value[2 * leaves + 1] = 0, 255, value[leaves]
+        return feature, cut, value
+
 
 @dataclass
 class Model:
@@ -86,15 +95,22 @@ class Model:
 
     def staged(self, bins: np.ndarray) -> Iterator[np.ndarray]:
         """Predictions after each tree."""
-        out = np.full(len(bins), self.start)
+        out, flat, first = np.full(len(bins), self.start), np.ascontiguousarray(bins).ravel(), np.arange(len(bins)) * bins.shape[1]
         for tree in self.trees:
-            out = out + tree.value[tree.nodes(bins, self.spec.depth)]
+            feature, cut, value = tree.full(self.spec.depth)
+            at = np.zeros(len(bins), np.int64)
+            for _ in range(self.spec.depth):
+                right = flat.take(first + feature.take(at, mode="clip"), mode="clip") > cut.take(at, mode="clip")
+                at += at
+                at += right
+                at += 1
+            out = out + value.take(at, mode="clip")
             yield out
 
     def predict(self, bins: np.ndarray) -> np.ndarray:
         out = np.full(len(bins), self.start)
-        for tree in self.trees:
-            out += tree.value[tree.nodes(bins, self.spec.depth)]
+        for out in self.staged(bins):
+            pass
         return out
 
 
@@ -198,9 +214,30 @@ def _residual(block: Block, i: int, rows: np.ndarray) -> np.ndarray:
     return np.rint((block.labels[i][rows] - block.predicted[i][rows]) * PARTS)
 
 
+def _paired(columns: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """[pairs of features, rows]: both bins of each pair as one number. An odd last feature goes with bin 0."""
+    out = columns[features[::2]].astype(np.uint16) * BINS
+    out[:len(features) // 2] += columns[features[1::2]]
+    return out
+
+
+def _node_histogram(pairs: np.ndarray, n_features: int, rows: np.ndarray, residual: np.ndarray) -> np.ndarray:
+    """[2, features, bins]: the sums of residuals and the counts of one node's ``rows``.
+
+    Rows are counted by pairs of bins, two features at a time; sums of whole numbers, so what is added up over the other bin is exact."""
+    both, size = np.empty((2, len(pairs), BINS * BINS)), BINS * BINS
+    own = residual[rows]
+    for j, codes in enumerate(pairs):
+        cells = codes.take(rows, mode="clip").astype(np.int64)  # clip: no row lies outside, and it is the fastest
+        both[0, j] = np.bincount(cells, own, size)
+        both[1, j] = np.bincount(cells, minlength=size)
+    sums = [np.einsum(f"pij->p{axis}", both.reshape(-1, BINS, BINS)) for axis in "ij"]
+    return np.stack(sums, axis=1).reshape(2, -1, BINS)[:, :n_features].astype(np.int64)
+
+
 def _alone(pairs: Iterator[tuple[int, Block]], specs: list[Spec]) -> Iterator[tuple[int, list[Tree]]]:
-    """All trees of the model whose blocks, of a table of ``ALONE`` at most, are in this task. Of two children only the
-    smaller one is summed: the other is the rest of their parent."""
+    """All trees of the model whose blocks, of a table of ``ALONE`` at most, are in this task. Each node keeps its rows, those that
+    the tree counts and the others. Of two children only the smaller one is summed: the other is the rest of their parent."""
     blocks = sorted((b for _, b in pairs), key=lambda b: b.place)
     if not blocks:
         return
@@ -212,25 +249,31 @@ def _alone(pairs: Iterator[tuple[int, Block]], specs: list[Spec]) -> Iterator[tu
     before = np.cumsum([0, *(len(b.bins) for b in blocks)]).tolist()
     for round_ in range(spec.trees):
         growth = Growth.start(spec, len(columns), round_)
+        tree, n_features = growth.tree, len(growth.features)
         rows = np.concatenate([x + _counted(b, 0, spec, round_) for x, b in zip(before, blocks)])
-        residual, at = _residual(whole, 0, rows), np.zeros(len(whole.bins), np.int32)
-        sums = _histogram(columns, growth, rows, residual, at[rows], growth.open)
-        known = {0: sums[:, 0]}
-        while growth.take(_best(sums, spec.least)):
-            at = growth.tree.step(whole.bins, at)
-            counted = at[rows]
-            parents = sorted({(n - 1) // 2 for n in growth.open.tolist()})
-            n_at = np.bincount(counted, minlength=len(growth.tree.feature))
-            small = np.array([min((2 * p + 1, 2 * p + 2), key=n_at.__getitem__) for p in parents])
-            own = _histogram(columns, growth, rows, residual, counted, small)
+        residual, others = np.zeros(len(whole.bins)), np.ones(len(whole.bins), bool)
+        residual[rows], others[rows] = _residual(whole, 0, rows), False
+        paired = _paired(columns, growth.features)
+        members = {0: (rows, np.flatnonzero(others))}
+        known = {0: _node_histogram(paired, n_features, rows, residual)}
+        while growth.open.size:
+            goes_on = growth.take(_best(np.stack([known[n] for n in growth.open.tolist()], axis=1), spec.least))
+            for node in [n for n in members if tree.feature[n] >= 0]:
+                column, cut = columns[tree.feature[node]], tree.cut[node]
+                sides = [(x, column.take(x, mode="clip") > cut) for x in members.pop(node)]
+                members[2 * node + 1], members[2 * node + 2] = tuple(x[~right] for x, right in sides), tuple(x[right] for x, right in sides)
+            if not goes_on:
+                break
             following = {}
-            for j, (p, node) in enumerate(zip(parents, small.tolist())):
-                other = 4 * p + 3 - node
-                following[node], following[other] = own[:, j], known[p] - own[:, j]
+            for p in sorted({(n - 1) // 2 for n in growth.open.tolist()}):
+                small, other = sorted((2 * p + 1, 2 * p + 2), key=lambda n: len(members[n][0]))
+                following[small] = _node_histogram(paired, n_features, members[small][0], residual)
+                following[other] = known[p] - following[small]
             known = {n: following[n] for n in growth.open.tolist()}
-            sums = np.stack([known[n] for n in growth.open.tolist()], axis=1)
-        trees.append(growth.tree)
-        whole.predicted[0] += growth.tree.value[growth.tree.step(whole.bins, at)]
+        trees.append(tree)
+        for node, sides in members.items():
+            for x in sides:
+                whole.predicted[0, x] += tree.value[node]
     yield m, trees
 
 

@@ -145,3 +145,35 @@ def test_edges_are_exact_beyond_the_sketch(spark):
         own = np.sort(values)
         assert found.tolist() == sorted({own[-(-i * len(own) // 63) - 1] for i in range(1, 63)})
     assert not len(edges[2]) and extra == (60_000,)
+
+
+@pytest.mark.parametrize("n_features", [1, 4, 5])
+def test_a_node_is_counted_by_pairs_of_features(n_features, monkeypatch):
+    rng = np.random.default_rng(8)
+    columns = rng.integers(0, boosting.BINS, (7, 3000)).astype(np.uint8)
+    features, rows = np.sort(rng.permutation(7)[:n_features]), np.flatnonzero(rng.random(3000) < 0.4)
+    residual = np.rint(rng.normal(0, 100, 3000) * boosting.PARTS)
+    counted, plain = [], np.bincount
+    monkeypatch.setattr(boosting.np, "bincount", lambda x, *a, **k: counted.append(len(x)) or plain(x, *a, **k))
+    got = boosting._node_histogram(boosting._paired(columns, features), n_features, rows, residual)
+    assert sum(counted) == 2 * -(-n_features // 2) * len(rows)
+    for j, f in enumerate(features):
+        for b in range(boosting.BINS):
+            own = rows[columns[f][rows] == b]
+            assert got[0, j, b] == residual[own].sum() and got[1, j, b] == len(own)
+
+
+def test_trees_with_leaves_at_any_level_score_as_they_are_walked():
+    rng = np.random.default_rng(2)
+    bins = rng.integers(0, boosting.BINS, (500, 4)).astype(np.uint8)
+    trees = [boosting.Tree.of_depth(3) for _ in range(3)]
+    for tree, split in zip(trees, ([], [0, 2], [0, 1, 4, 2])):
+        tree.value[:] = rng.normal(size=15)
+        for node in split:
+            tree.feature[node], tree.cut[node] = rng.integers(4), rng.integers(10, 50)
+    model = boosting.Model(boosting.Spec("y", depth=3), list("abcd"), [], 1.5, trees)
+    want = 1.5 + np.cumsum([t.value[t.nodes(bins, 3)] for t in trees], axis=0)
+    assert all(np.allclose(a, b, rtol=0, atol=1e-12) for a, b in zip(model.staged(bins), want))
+    assert np.allclose(model.predict(bins), want[-1], rtol=0, atol=1e-12)
+    feature, cut, value = trees[1].full(3)
+    assert (feature[:7] >= 0).all() and cut[1] == cut[3] == 255 and value[7] == trees[1].value[1]

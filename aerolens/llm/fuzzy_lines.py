@@ -28,6 +28,8 @@ _rng = np.random.default_rng(7)
 FACTORS = (_rng.integers(0, 1 << 31, BANDS * ROWS) * 2 + 1).astype(np.uint32)
 TERMS = _rng.integers(0, 1 << 32, BANDS * ROWS).astype(np.uint32)
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: ASCII white space inside a line to blanks.
+BLANKS = bytes.maketrans(b"\t\r\x0b\x0c", b"    ")
 
 
 def normal(line: str) -> str:
@@ -35,8 +37,14 @@ def normal(line: str) -> str:
     return b" ".join(line.lower().encode("utf-8", "surrogatepass").split()).decode("utf-8", "surrogatepass")
 
 
-def line_hash(line: str) -> int:
-    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 11)
+def normal_lines(text: str | None) -> list[bytes]:
+    """The lines of a text as ``normal`` makes them, in UTF-8; one lower-casing of the text, words are only taken apart where blanks meet."""
+    lines = (text or "").lower().encode("utf-8", "surrogatepass").translate(BLANKS).split(b"\n")
+    return [b" ".join(x.split()) if b"  " in x else x for x in [line.strip(b" ") for line in lines]]
+
+
+def line_hash(line: bytes) -> int:
+    return xxhash.xxh64_intdigest(line, 11)
 
 
 def shingles(line: str) -> set[str]:
@@ -91,11 +99,11 @@ def line_rows(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in range(0, batch.num_rows, 2048):
                 some = batch.slice(part, 2048)
-                first: dict[str, int] = {}
+                first: dict[bytes, int] = {}
                 rows, numbers, which = [], [], []
                 for row, text in enumerate(some.column(2).to_pylist()):
-                    for number, line in enumerate((text or "").split("\n")):
-                        if line := normal(line):
+                    for number, line in enumerate(normal_lines(text)):
+                        if line:
                             rows.append(row)
                             numbers.append(number)
                             which.append(first.setdefault(line, len(first)))
@@ -105,7 +113,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
                 h = np.array([line_hash(x) for x in lines], np.uint64).view(np.int64)
                 fresh = np.zeros(len(which), bool)
                 fresh[np.unique(which, return_index=True)[1]] = True
-                flat = band_keys(lines).view(np.int64)[which[fresh]].ravel()
+                flat = band_keys([x.decode("utf-8", "surrogatepass") for x in lines]).view(np.int64)[which[fresh]].ravel()
                 offsets = np.r_[0, np.cumsum(fresh * BANDS)]
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0).take(pa.array(rows)), some.column(1).take(pa.array(rows)), pa.array(numbers, pa.int32()), pa.array(h[which]),
@@ -162,11 +170,11 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            lines = list({x for text in batch.column(0).to_pylist() for line in (text or "").split("\n") if (x := normal(line))})
+            lines = list({x for text in batch.column(0).to_pylist() for x in normal_lines(text) if x})
             if lines:
                 h = np.array([line_hash(x) for x in lines], np.uint64).view(np.int64)
                 ok = np.flatnonzero(bits[h & (FILTER_BITS - 1)])
-                yield pa.RecordBatch.from_arrays([pa.array(h[ok]), pa.array([lines[i] for i in ok], pa.string())], ["h", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[ok]), pa.array([lines[i].decode("utf-8", "surrogatepass") for i in ok], pa.string())], ["h", "line"])
 
     found = docs.select("text").mapInArrow(run, "h long, line string")
     return found.groupBy("h").agg(F.any_value("line").alias("line"))
@@ -272,7 +280,7 @@ def line_links(docs: DataFrame, occurrences: DataFrame, counts: DataFrame) -> Da
 def bucket_links(members: DataFrame, texts: DataFrame, counts: DataFrame, shingles: Callable, label: str) -> DataFrame:
     """Links (a, b) at SIMILARITY or more between the ``members`` (key, h) of buckets, which keep all components.
 
-    ``texts`` has the line of every h, ``counts`` its copies, and ``shingles`` makes a line's set of strings. First each bucket's members are compared with its most copied line. What that joins is one component;
+    ``texts`` has the line of every h, ``counts`` its copies, and ``shingles`` makes a line's set of strings. First each bucket's members are compared with its most copied line. What that joins is one component, given as links to its root;
     only members of one bucket that are still in different components are then compared with each other:
     in pairs in buckets up to PAIRED lines, through shared differences from the centre in larger ones.
     """
@@ -288,7 +296,7 @@ def bucket_links(members: DataFrame, texts: DataFrame, counts: DataFrame, shingl
     apart = written(placed.join(split, "key"), f"{label}-apart")
     a, b = apart.select("key", F.col("h").alias("a"), F.col("root").alias("ra")), apart.select("key", F.col("h").alias("b"), F.col("root").alias("rb"))
     rest = a.join(b, "key").where("ra < rb").select("a", "b").union(far_pairs(comparisons, roots)).distinct()
-    return close.union(verified(rest, texts, shingles))
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(rest, texts, shingles))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:

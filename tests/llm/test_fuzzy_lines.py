@@ -160,5 +160,24 @@ def test_texts_keep_blank_lines_nulls_and_columns(spark, prose):
     assert rows == sorted([(False, 1, f"\n{b}\n"), (False, 2, ""), (False, 2, ""), (False, 3, None), (False, 4, ""), (True, None, a)], key=str)
 
 
+def test_lines_of_a_text_are_the_normal_lines():
+    rng, chars = random.Random(3), list("aAΣσİß\t\r\n\n\x0b\x0c\x1c\u0085  \u00a0.X")
+    texts = ["".join(rng.choices(chars, k=rng.randint(0, 60))) for _ in range(3000)] + ["", "\n", " \n\t\n", "ΑΣ\nΣ", "a\ud800  b"]
+    for text in texts:
+        assert fl.normal_lines(text) == [fl.normal(x).encode("utf-8", "surrogatepass") for x in text.split("\n")]
+    assert fl.normal_lines(None) == [b""]
+
+
+def test_links_of_buckets_are_few_for_many_versions(spark, prose):
+    """A line that meets the others in many buckets is linked once, to the smallest of its component."""
+    line = prose(30, 3)
+    lines = [line] + [line + f" {i}" for i in range(12)]
+    members = spark.createDataFrame([(k, h) for k in range(6) for h in range(13) if (h + k) % 4], "key long, h long")
+    counts = spark.createDataFrame([(h, (h * 7) % 5) for h in range(13)], "h long, copies long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "h long, line string")
+    links = {tuple(sorted((r["a"], r["b"]))) for r in fl.bucket_links(members, texts, counts, fl.shingles, "t").collect() if r["a"] != r["b"]}
+    assert links == {(0, h) for h in range(1, 13)}
+
+
 def test_empty_table(spark):
     assert fl.kept_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+from aerolens.llm import components as components_module
 from aerolens.llm.components import components
 from aerolens.llm.running import running
 
@@ -51,3 +52,11 @@ def test_components_equal_union_find(spark):
 
 def test_no_links(spark):
     assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def test_stars_around_their_smallest_node_take_no_step(spark, monkeypatch):
+    tables, write = [], components_module.written
+    monkeypatch.setattr(components_module, "written", lambda df, label: tables.append(label) or write(df, label))
+    stars = [(1, 5), (7, 1), (1, 9), (3, 4), (3, 3)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 9: 1, 3: 3, 4: 3} and len(tables) == 1

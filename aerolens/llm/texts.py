@@ -16,6 +16,14 @@ from aerolens.session import importable
 ALNUM = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
+#: What a Python worker keeps from task to task, by name (the tokenizer's tables). Workers outlive jobs, so tasks of ``map_texts`` let go of it.
+remembered: dict[str, object] = {}
+
+
+def let_go() -> None:
+    """Empties the worker's ``remembered``; a function sent to the workers would hold a copy of the table itself."""
+    remembered.clear()
+
 
 def words(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+``: bytes.split() cuts at exactly these six bytes."""
@@ -64,6 +72,7 @@ def map_texts(df: DataFrame, text: str, add: str | T.StructType,
     kinds = [to_arrow_type(f.dataType) for f in added.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         of = make()
         for batch in batches:
             if batch.num_rows:

@@ -12,6 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerolens.llm.texts import remembered
+
 #: Entries that a Python worker remembers: whole chunks between white space, and words without their punctuation.
 CHUNKS, WORDS = 400_000, 1_000_000
 #: ASCII punctuation that never joins the letters before it (the apostrophe can).
@@ -22,8 +24,6 @@ PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 #: White space to str.split() but not to the tokenizer.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
-_encoders: dict[str, "Encoder"] = {}
-
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, by the library, each chunk encoded once.
@@ -96,10 +96,10 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file; it outlives the task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker's encoder for a tokenizer file; it outlives the task, until one of ``map_texts`` runs there."""
+    if path not in remembered:
+        remembered[path] = Encoder(path)
+    return remembered[path]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:

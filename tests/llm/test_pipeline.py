@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -94,3 +95,13 @@ def test_empty_documents(spark, folder):
 
 def test_leak_rule_is_the_operators():
     assert dec.SIMILARITY == 0.8 and dec.most_edits(4) == 0 and dec.most_edits(5) == 1
+
+
+def test_stages_get_texts_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    docs = spark.range(40).selectExpr("repeat('word ', 200000) AS text").coalesce(1)
+    got = [r["n"] for r in corpus_pipeline.stage(lambda s, d, _: d.mapInArrow(sizes, "n long"))(spark, docs, "").collect()]
+    assert sum(got) >= 40_000_000 and max(got) < 10_000_000

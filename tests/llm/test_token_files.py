@@ -1,3 +1,4 @@
+import gc
 import os
 import zlib
 
@@ -7,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from aerolens.llm import token_files as tf
+from aerolens.llm.texts import importable, map_texts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", " ", "Don't STOP it's 's 'S '", "á ́ éé É", "x!!…y ?¿¡!! 1234 12.5%", "<|endoftext|> <|startoftext|>a <|endoftext", "tab\tnew\nline\r\n\x0b\x0c",
@@ -98,3 +100,15 @@ def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     tf.write_tokens(df, path, PATH, 2)
     assert tf.digests(tf.read_tokens(spark, path)).count() == 0
+
+
+def test_other_tasks_let_go_of_the_tables(spark, tmp_path):
+    """Workers outlive jobs; the tokenizer's tables grow to some 350 MB."""
+    def make():
+        left = sum(isinstance(x, tf.Encoder) for x in gc.get_objects())
+        return lambda batch: [[left] * len(batch)]
+
+    importable(spark)  # another environment would be other workers
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('text ', id) AS text").repartition(4)
+    tf.write_tokens(docs, str(tmp_path / "tokens"), PATH, 2)
+    assert {r["n"] for r in map_texts(docs, "text", "n int", make).collect()} == {0}

@@ -186,21 +186,60 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_b.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").sortWithinPartitions("a")
 
 
+def similar(a, b, both):
+    """Whether sets of sizes ``a`` and ``b`` with ``both`` common elements are linked."""
+    return both >= SIMILARITY * (a + b - both) - 1e-9
+
+
 def alike(a: set, b: set) -> bool:
-    both = len(a & b)
-    return both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9
+    return similar(len(a), len(b), len(a & b))
+
+
+def overlaps(xs: list[str], ys: list[str], sets: Callable = shingles) -> np.ndarray:
+    """For each pair of lines the sizes of both sets that ``sets`` makes and of their common part.
+
+    A shingle's characters, numbered within a block of pairs, fill nine bits each of one number, so numbers are equal only where shingles
+    are. Rows of numbers are sorted and changes counted. Blocks with more than 512 different characters,
+    and other sets than ``shingles``, are compared as sets of strings.
+    """
+    out = np.empty((3, len(xs)), np.int64)
+    xs, ys = [x.ljust(SHINGLE) for x in xs], [y.ljust(SHINGLE) for y in ys]
+    widths = np.maximum([len(x) for x in xs], [len(y) for y in ys]) - SHINGLE + 1
+    order, at = np.argsort(widths, kind="stable"), 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and (to - at + 1) * widths[order[to]] <= 150_000:
+            to += 1
+        some, width = order[at:to], widths[order[to - 1]]
+        lines = [xs[i] for i in some] + [ys[i] for i in some]
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+        known = np.flatnonzero(np.bincount(codes))
+        if sets is shingles and len(known) <= 512:
+            number = np.zeros(known[-1] + 1, np.uint64)
+            number[known] = np.arange(len(known))
+            codes, h = number[codes], np.zeros(len(codes) - SHINGLE + 1, np.uint64)
+            for i in range(SHINGLE):
+                h = h << np.uint64(9) | codes[i:len(h) + i]
+            lengths = np.array([len(x) for x in lines])
+            starts = np.cumsum(lengths) - lengths
+            grid = np.sort(h[starts[:, None] + np.minimum(np.arange(width), (lengths - SHINGLE)[:, None])], axis=1)
+            every = np.sort(np.concatenate([grid[:len(some)], grid[len(some):]], axis=1), axis=1)
+            sizes, union = (1 + (x[:, 1:] != x[:, :-1]).sum(axis=1) for x in (grid, every))
+            a, b = sizes[:len(some)], sizes[len(some):]
+            out[:, some] = a, b, a + b - union
+        else:
+            for i in some:
+                a, b = sets(xs[i]), sets(ys[i])
+                out[:, i] = len(a), len(b), len(a & b)
+        at = to
+    return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable = shingles) -> DataFrame:
     """The pairs (a, b) whose lines' shingle sets have a Jaccard similarity of SIMILARITY or more."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, last, a = [], None, set()
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if x != last:
-                    last, a = x, shingles(x)
-                if alike(a, shingles(y)):
-                    kept.append(i)
+            kept = np.flatnonzero(similar(*overlaps(batch.column(2).to_pylist(), batch.column(3).to_pylist(), shingles)))
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
     return with_texts(pairs, texts).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -212,18 +251,19 @@ def compared(star: DataFrame, texts: DataFrame, shingles: Callable = shingles) -
     these changes' counts in CHANGE_BITS classes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last, a, linked, sizes, changes, bits = None, set(), [], [], [], []
-            for large, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                if x != last:
-                    last, a = x, shingles(x)
-                b = shingles(y)
-                linked.append(alike(a, b))
-                sizes.append((len(a), len(b)))
-                changes.append([*change_hashes(b - a, 1), *change_hashes(a - b, 2)] if large else None)
-                bits.append(parities(changes[-1]) if large else None)
+            large, xs, ys = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            size_a, size_b, both = overlaps(xs, ys, shingles)
+            last, a, changes, bits = None, set(), [], []
+            for far, x, y in zip(large, xs, ys):
+                if far:
+                    if x != last:
+                        last, a = x, shingles(x)
+                    b = shingles(y)
+                changes.append([*change_hashes(b - a, 1), *change_hashes(a - b, 2)] if far else None)
+                bits.append(parities(changes[-1]) if far else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array([n for n, _ in sizes], pa.int32()),
-                 pa.array([n for _, n in sizes], pa.int32()), pa.array(changes, pa.list_(pa.int64())),
+                [batch.column(0), batch.column(1), pa.array(similar(size_a, size_b, both)), pa.array(size_a, pa.int32()),
+                 pa.array(size_b, pa.int32()), pa.array(changes, pa.list_(pa.int64())),
                  pa.array(bits, pa.list_(pa.int64()))], ["a", "b", "linked", "size_a", "size_b", "changes", "bits"])
 
     return with_texts(star, texts).select("a", "b", "large", "x", "y").mapInArrow(

@@ -179,5 +179,17 @@ def test_links_of_buckets_are_few_for_many_versions(spark, prose):
     assert links == {(0, h) for h in range(1, 13)}
 
 
+def test_sizes_of_sets_equal_those_of_sets_of_strings(prose):
+    """Also of lines under a shingle's length, surrogates, letters that take few bits or many, and more than 512 characters."""
+    rng = random.Random(11)
+    lines = ["", "x", "ab" * 40, "é" * 7, "a\ud800 b c d e", "".join(map(chr, range(0x4E00, 0x5100))), "жук 日本 🙂 " * 9]
+    lines += [variant(prose(n, n), rng, k) for n in (1, 4, 30, 400) for k in (0, 1, 5)]
+    for some in (lines, lines[:5] + lines[6:]):
+        xs, ys = zip(*[(x, y) for x in some for y in some])
+        want = [(len(a), len(b), len(a & b)) for a, b in ((fl.shingles(x), fl.shingles(y)) for x, y in zip(xs, ys))]
+        assert fl.overlaps(list(xs), list(ys)).T.tolist() == [list(w) for w in want]
+    assert fl.overlaps([], []).shape == (3, 0)
+
+
 def test_empty_table(spark):
     assert fl.kept_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0

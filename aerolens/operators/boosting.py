@@ -4,8 +4,8 @@ Columns are cut into at most 63 bins once. A pass handles one level of the curre
 and counts by (model, node, feature, bin), a shuffle by model adds the tasks' sums and finds each node's best split, and only
 those splits come to the driver. So 24 targets with 200 trees of depth 6 are 1,200 passes, whatever the number of targets.
 The passes run on an RDD of blocks of binned rows: each is a short job, and a block keeps what the trees so far predict.
-A pass costs a job, and most of it is not counting while the table is small: up to a million rows (``ALONE`` blocks) each model's
-passes follow each other in a task of its own, with the same sums, splits and trees.
+A pass costs a job, and most of it is not counting while a task can hold the table: up to four million rows (``ALONE`` blocks) each
+model's passes follow each other in a task of its own, with the same sums, splits and trees.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ from .ordered import BEFORE, SKETCH, SLACK, UP_TO
 BINS = 64
 #: Rows of a block at most; residuals are summed as integers of this many parts of a unit, so sums do not depend on order.
 BLOCK, PARTS = 1 << 16, 1 << 20
-#: Blocks of a table whose models are each grown in a task of its own: a million rows, a byte for each bin.
-ALONE = 16
+#: Blocks of a table whose models are each grown in a task of its own: four million rows, a byte for each bin, two for each pair of bins.
+ALONE = 64
+#: Rows that are counted at a time, so that their numbers stay in the cache, and cells of a bundle at most.
+CHUNK, CELLS = 1 << 16, BINS * BINS
 #: Trees between two checkpoints of what the blocks predict.
 CHECKPOINT = 25
 
@@ -216,8 +218,63 @@ def _residual(block: Block, i: int, rows: np.ndarray) -> np.ndarray:
 
 def _paired(columns: np.ndarray, features: np.ndarray) -> np.ndarray:
     """[pairs of features, rows]: both bins of each pair as one number. An odd last feature goes with bin 0."""
-    out = columns[features[::2]].astype(np.uint16) * BINS
-    out[:len(features) // 2] += columns[features[1::2]]
+    out = np.empty((-(-len(features) // 2), columns.shape[1]), np.uint16)
+    for j, codes in enumerate(out):
+        np.multiply(columns[features[2 * j]], np.uint16(BINS), out=codes)
+        if 2 * j + 1 < len(features):
+            np.add(codes, columns[features[2 * j + 1]], out=codes)
+    return out
+
+
+@dataclass
+class Bundle:
+    """Features whose bins occur in few combinations: ``codes`` numbers the combination of each row, ``bins`` [features, combinations]
+    has what it stands for."""
+
+    features: list[int]
+    codes: np.ndarray
+    bins: np.ndarray
+
+    def joined(self, other: Bundle) -> Bundle | None:
+        """Both bundles as one, if that has at most ``CELLS`` combinations."""
+        n, size = other.bins.shape[1], self.bins.shape[1] * other.bins.shape[1]
+        if size > 1 << 16:
+            return None
+        codes = self.codes * np.uint16(n) + other.codes
+        seen = np.bincount(codes[:CHUNK], minlength=size) > 0
+        if np.count_nonzero(seen) <= CELLS:
+            seen = np.bincount(codes, minlength=size) > 0
+        cells = np.flatnonzero(seen)
+        if len(cells) > CELLS:
+            return None
+        number = (np.cumsum(seen) - 1).astype(np.uint16)
+        return Bundle(self.features + other.features, number[codes], np.concatenate([self.bins[:, cells // n], other.bins[:, cells % n]]))
+
+
+def _bundles(columns: np.ndarray) -> list[Bundle]:
+    """Bundles of three features or more, those with the fewest bins first; what is not in them is better counted in pairs."""
+    singles = []
+    for f, column in enumerate(columns):
+        seen = np.bincount(column, minlength=BINS) > 0
+        singles.append(Bundle([f], (np.cumsum(seen) - 1).astype(np.uint16)[column] if seen.sum() < BINS // 2 else column.astype(np.uint16), np.flatnonzero(seen)[None]
+                              if seen.sum() < BINS // 2 else np.arange(BINS)[None]))
+    out: list[Bundle] = []
+    for single in sorted(singles, key=lambda b: b.bins.shape[1]):
+        joined = out[-1].joined(single) if out else None
+        out[-1:] = [joined] if joined else [*out[-1:], single]
+    return [b for b in out if len(b.features) > 2]
+
+
+def _cells(codes: Iterable[np.ndarray], sizes: Iterable[int], rows: np.ndarray, residual: np.ndarray) -> list[np.ndarray]:
+    """For each of ``codes`` [2, size]: the sums of residuals and the counts of ``rows`` by their number."""
+    out = [np.zeros((2, size)) for size in sizes]
+    for at in range(0, len(rows), CHUNK):
+        some = rows[at:at + CHUNK]
+        own = residual.take(some, mode="clip")
+        for x, sums in zip(codes, out):
+            cells = x.take(some, mode="clip").astype(np.int64)  # clip: no row lies outside, and it is the fastest
+            sums[0] += np.bincount(cells, own, sums.shape[1])
+            sums[1] += np.bincount(cells, minlength=sums.shape[1])
     return out
 
 
@@ -225,55 +282,91 @@ def _node_histogram(pairs: np.ndarray, n_features: int, rows: np.ndarray, residu
     """[2, features, bins]: the sums of residuals and the counts of one node's ``rows``.
 
     Rows are counted by pairs of bins, two features at a time; sums of whole numbers, so what is added up over the other bin is exact."""
-    both, size = np.empty((2, len(pairs), BINS * BINS)), BINS * BINS
-    own = residual[rows]
-    for j, codes in enumerate(pairs):
-        cells = codes.take(rows, mode="clip").astype(np.int64)  # clip: no row lies outside, and it is the fastest
-        both[0, j] = np.bincount(cells, own, size)
-        both[1, j] = np.bincount(cells, minlength=size)
-    sums = [np.einsum(f"pij->p{axis}", both.reshape(-1, BINS, BINS)) for axis in "ij"]
-    return np.stack(sums, axis=1).reshape(2, -1, BINS)[:, :n_features].astype(np.int64)
+    both = np.array(_cells(pairs, [BINS * BINS] * len(pairs), rows, residual)).reshape(-1, 2, BINS, BINS)
+    sums = [np.einsum(f"pkij->kp{axis}", both) for axis in "ij"]
+    return np.stack(sums, axis=2).reshape(2, -1, BINS)[:, :n_features].astype(np.int64)
+
+
+@dataclass
+class Coded:
+    """How a tree's features are counted: those in bundles by bundle, the others in pairs. Places are those in the tree's features."""
+
+    n_features: int
+    rest: np.ndarray
+    pairs: np.ndarray
+    bundled: list[tuple[Bundle, list[tuple[int, int]]]]
+
+    @staticmethod
+    def of(columns: np.ndarray, bundles: list[Bundle], features: np.ndarray) -> Coded:
+        place = {f: j for j, f in enumerate(features.tolist())}
+        bundled = [(b, seen) for b in bundles if len(seen := [(i, place[f]) for i, f in enumerate(b.features) if f in place]) > 2]
+        rest = np.setdiff1d(np.arange(len(features)), [j for _, seen in bundled for _, j in seen])
+        return Coded(len(features), rest, _paired(columns, features[rest]), bundled)
+
+    def histogram(self, rows: np.ndarray, residual: np.ndarray) -> np.ndarray:
+        out = np.empty((2, self.n_features, BINS), np.int64)
+        if len(self.rest):
+            out[:, self.rest] = _node_histogram(self.pairs, len(self.rest), rows, residual)
+        sums = _cells([b.codes for b, _ in self.bundled], [b.bins.shape[1] for b, _ in self.bundled], rows, residual)
+        for (bundle, seen), both in zip(self.bundled, sums):
+            for i, j in seen:
+                out[:, j] = [np.bincount(bundle.bins[i], x, BINS) for x in both]
+        return out
+
+
+def _dealt(row, order: list[int], n_features: int, label_of: list[int]) -> Iterator[tuple[int, tuple]]:
+    """For each model the number of a block, the model, the bins of each feature and the model's labels."""
+    columns = np.ascontiguousarray(np.frombuffer(row["bins"], np.uint8).reshape(row["n"], n_features).T)
+    labels = np.frombuffer(row["labels"], np.float64).reshape(row["n"], -1)
+    for g, m in enumerate(order):
+        yield row["block"] * len(order) + g, (row["block"], m, columns, labels[:, label_of[m]].copy())
 
 
-def _alone(pairs: Iterator[tuple[int, Block]], specs: list[Spec]) -> Iterator[tuple[int, list[Tree]]]:
+def _alone(pairs: Iterator[tuple[int, tuple]], specs: list[Spec], starts: list[float]) -> Iterator[tuple[int, list[Tree]]]:
     """All trees of the model whose blocks, of a table of ``ALONE`` at most, are in this task. Each node keeps its rows, those that
     the tree counts and the others. Of two children only the smaller one is summed: the other is the rest of their parent."""
-    blocks = sorted((b for _, b in pairs), key=lambda b: b.place)
-    if not blocks:
+    dealt = sorted((b for _, b in pairs), key=lambda b: b[0])
+    if not dealt:
         return
-    m = blocks[0].models[0]
-    spec, trees = specs[m], []
-    whole = Block(blocks[0].place, np.concatenate([b.bins for b in blocks]), [m], np.concatenate([b.labels for b in blocks], axis=1),
-                  np.concatenate([b.predicted for b in blocks], axis=1))
-    columns = np.ascontiguousarray(whole.bins.T)
-    before = np.cumsum([0, *(len(b.bins) for b in blocks)]).tolist()
+    m = dealt[0][1]
+    spec, trees, numbers = specs[m], [], [b[0] for b in dealt]
+    before = np.cumsum([0, *(len(b[3]) for b in dealt)]).tolist()
+    columns, labels = np.empty((len(dealt[0][2]), before[-1]), np.uint8), np.concatenate([b[3] for b in dealt])
+    for at, to in reversed([*zip(before, before[1:])]):
+        columns[:, at:to] = dealt.pop()[2]
+    predicted = np.full(len(labels), starts[m])
+    whole = Block((0, 0), columns, [m], labels[None], predicted[None])
+    blocks = [Block((number, 0), columns[:, at:to], [m], labels[None, at:to], predicted[None, at:to]) for number, at, to in zip(numbers, before, before[1:])]
+    bundles = _bundles(columns)
     for round_ in range(spec.trees):
         growth = Growth.start(spec, len(columns), round_)
-        tree, n_features = growth.tree, len(growth.features)
+        tree = growth.tree
         rows = np.concatenate([x + _counted(b, 0, spec, round_) for x, b in zip(before, blocks)])
-        residual, others = np.zeros(len(whole.bins)), np.ones(len(whole.bins), bool)
+        residual, others = np.zeros(len(labels)), np.ones(len(labels), bool)
         residual[rows], others[rows] = _residual(whole, 0, rows), False
-        paired = _paired(columns, growth.features)
+        coded = Coded.of(columns, bundles, growth.features)
         members = {0: (rows, np.flatnonzero(others))}
-        known = {0: _node_histogram(paired, n_features, rows, residual)}
+        known = {0: coded.histogram(rows, residual)}
         while growth.open.size:
             goes_on = growth.take(_best(np.stack([known[n] for n in growth.open.tolist()], axis=1), spec.least))
-            for node in [n for n in members if tree.feature[n] >= 0]:
+            opened = {(n - 1) // 2 for n in growth.open.tolist()} if goes_on else set()
+            for node in sorted(opened):
                 column, cut = columns[tree.feature[node]], tree.cut[node]
                 sides = [(x, column.take(x, mode="clip") > cut) for x in members.pop(node)]
-                members[2 * node + 1], members[2 * node + 2] = tuple(x[~right] for x, right in sides), tuple(x[right] for x, right in sides)
+                members[2 * node + 1], members[2 * node + 2] = tuple(x.compress(~right) for x, right in sides), tuple(x.compress(right) for x, right in sides)
             if not goes_on:
                 break
             following = {}
-            for p in sorted({(n - 1) // 2 for n in growth.open.tolist()}):
+            for p in sorted(opened):
                 small, other = sorted((2 * p + 1, 2 * p + 2), key=lambda n: len(members[n][0]))
-                following[small] = _node_histogram(paired, n_features, members[small][0], residual)
+                following[small] = coded.histogram(members[small][0], residual)
                 following[other] = known[p] - following[small]
             known = {n: following[n] for n in growth.open.tolist()}
         trees.append(tree)
         for node, sides in members.items():
-            for x in sides:
-                whole.predicted[0, x] += tree.value[node]
+            feature, cut = tree.feature[node], tree.cut[node]
+            for x in sides:  # a node whose children were not looked at still has the rows of both
+                predicted[x] += tree.value[2 * node + 1 + (columns[feature].take(x, mode="clip") > cut)] if feature >= 0 else tree.value[node]
     yield m, trees
 
 
@@ -401,11 +494,12 @@ def fit(train: DataFrame, features: list[str], specs: list[Spec]) -> list[Model]
 
     packed = _packed(train.coalesce(-(-n_rows // BLOCK)), features, edges, labels)
     n_blocks = packed.count()
-    unpack = partial(_unpack, n_features=len(features), label_of=[labels.index(s.label) for s in specs], starts=[m.start for m in models])
+    label_of = [labels.index(s.label) for s in specs]
+    unpack = partial(_unpack, n_features=len(features), label_of=label_of, starts=[m.start for m in models])
     if n_blocks <= ALONE:
-        groups = [[m] for m in range(len(specs))]
-        alone = packed.rdd.flatMap(partial(unpack, groups=groups)).partitionBy(len(groups), operator.index)
-        for m, trees in alone.mapPartitions(partial(_alone, specs=specs)).collect():
+        order = sorted(range(len(specs)), key=lambda m: -specs[m].trees * specs[m].depth)  # the longest tasks begin first
+        dealt = packed.rdd.flatMap(partial(_dealt, order=order, n_features=len(features), label_of=label_of)).partitionBy(len(order), operator.index)
+        for m, trees in dealt.mapPartitions(partial(_alone, specs=specs, starts=[m.start for m in models])).collect():
             models[m].trees = trees
         return models
     parts = max(1, min(n_blocks, context.defaultParallelism * -(-n_blocks // (16 * context.defaultParallelism))))

@@ -177,3 +177,47 @@ def test_trees_with_leaves_at_any_level_score_as_they_are_walked():
     assert np.allclose(model.predict(bins), want[-1], rtol=0, atol=1e-12)
     feature, cut, value = trees[1].full(3)
     assert (feature[:7] >= 0).all() and cut[1] == cut[3] == 255 and value[7] == trees[1].value[1]
+
+
+def test_a_table_of_some_million_rows_is_still_grown_in_a_task_a_model(table, monkeypatch):
+    _, df = table
+    monkeypatch.setattr(boosting, "BLOCK", 15)
+    monkeypatch.setattr(boosting, "_grow_round", None)
+    made, packed = [], boosting._packed
+    monkeypatch.setattr(boosting, "_packed", lambda *a: made.append(packed(*a)) or made[0])
+    model, = boosting.fit(df.repartition(40), FEATURES, [Spec("y", 3, 0.3, 3, 6, 20)])
+    assert 16 < made[0].count() <= 64 and len(model.trees) == 3
+
+
+def test_features_with_few_combinations_are_counted_together(monkeypatch):
+    rng = np.random.default_rng(4)
+    hour, day, place = rng.integers(0, 24, 5000), rng.integers(0, 7, 5000), rng.integers(1, 6, 5000)
+    columns = np.stack([rng.integers(0, 64, 5000), hour, hour // 2, day, day >= 5, place, np.full(5000, 1), rng.integers(1, 64, 5000)]).astype(np.uint8)
+    bundles = boosting._bundles(columns)
+    assert [sorted(b.features) for b in bundles] == [[1, 2, 3, 4, 5, 6]] and bundles[0].bins.shape[1] <= 24 * 7 * 5
+    features, rows = np.array([0, 1, 3, 4, 5, 7]), np.flatnonzero(rng.random(5000) < 0.6)
+    residual = np.rint(rng.normal(0, 100, 5000) * boosting.PARTS)
+    counted, plain = [], np.bincount
+    coded = boosting.Coded.of(columns, bundles, features)
+    monkeypatch.setattr(boosting, "CHUNK", 700)
+    monkeypatch.setattr(boosting.np, "bincount", lambda x, w=None, *a, **k: (x.dtype == np.int64 and len(x) <= 700 and counted.append(len(x))) or plain(x, w, *a, **k))
+    got = coded.histogram(rows, residual)
+    monkeypatch.undo()
+    for j, f in enumerate(features):
+        for b in range(boosting.BINS):
+            own = rows[columns[f][rows] == b]
+            assert got[0, j, b] == residual[own].sum() and got[1, j, b] == len(own)
+    assert len(coded.pairs) == 1 and got.shape == (2, 6, boosting.BINS)
+
+
+def test_trees_are_the_same_with_and_without_bundles(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(float(h), float(h % 3), float(h // 6), float(v), float(h % 5) * v + rng.normal()) for h, v in zip(rng.integers(0, 24, 800).tolist(), rng.normal(size=800).tolist())]
+    df = spark.createDataFrame(rows, "h double, m double, q double, v double, y double").coalesce(2)
+    specs = [Spec("y", 5, 0.3, 4, 9, 10, 0.8, 1.0), Spec("y", 7, 0.3, 3, 9, 10, 1.0, 0.8)]
+    alone = boosting.fit(df, ["h", "m", "q", "v"], specs)
+    monkeypatch.setattr(boosting, "ALONE", 0)
+    for a, b in zip(alone, boosting.fit(df, ["h", "m", "q", "v"], specs)):
+        assert len(a.trees) == a.spec.trees and any((t.feature == 0).any() for t in a.trees)
+        assert [(t.feature.tolist(), t.cut.tolist()) for t in a.trees] == [(t.feature.tolist(), t.cut.tolist()) for t in b.trees]
+        assert all(s.value == pytest.approx(t.value, abs=1e-9) for s, t in zip(a.trees, b.trees))

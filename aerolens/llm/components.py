@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolens.session import written
+from aerolens.session import drop_written, written
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -14,7 +14,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     ``edges``: columns a and b, longs, in any direction, repeats and loops allowed. Each step is two
     aggregations with map-side combine and two joins (hot nodes are split by the skew join); no
     neighbour list is ever collected. Steps end in a written table, so a lost executor costs one
-    step. The number of steps grows with the logarithm of the largest component; links that are stars around their
+    step; the table of the step before goes then. The number of steps grows with the logarithm of the largest component; links that are stars around their
     smallest node take none.
     """
     far, near = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
@@ -25,8 +25,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         large = both.join(low, F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("n"))
-        now = written(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                      .union(small.select("u", F.col("m").alias("v"))).distinct(), label)
+        before, now = now, written(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                                   .union(small.select("u", F.col("m").alias("v"))).distinct(), label)
+        drop_written(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

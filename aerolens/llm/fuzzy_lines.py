@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolens.llm.components import components
-from aerolens.session import written
+from aerolens.session import drop_written, recorded, remove, written
 
 #: Characters of a shingle, least Jaccard similarity, bands and rows: a pair at 0.8 meets with probability 0.995.
 SHINGLE, SIMILARITY, BANDS, ROWS = 7, 0.8, 10, 4
+#: Shuffles that share the bands: all keys at once take more disk than the texts that they come from.
+PASSES = 2
 #: Buckets up to this many lines are compared in pairs, larger ones through differences from their centre; both are exact.
 PAIRED = 32
 #: Two sets have a similarity of at least SIMILARITY if their symmetric difference is at most this share of their sizes' sum.
@@ -66,7 +69,7 @@ def band_keys(lines: list[str]) -> np.ndarray:
     at = 0
     while at < len(order):
         to = at + 1
-        while to < len(order) and (to - at + 1) * lengths[order[to]] <= 300_000 and to - at < 4096:
+        while to < len(order) and (to - at + 1) * lengths[order[to]] <= 120_000 and to - at < 4096:
             to += 1
         some, m = order[at:to], lengths[order[at:to]]
         codes = np.frombuffer("".join([lines[i] for i in some]).encode("utf-32-le", "surrogatepass"), "<u4")
@@ -208,7 +211,7 @@ def overlaps(xs: list[str], ys: list[str], sets: Callable = shingles) -> np.ndar
     order, at = np.argsort(widths, kind="stable"), 0
     while at < len(order):
         to = at + 1
-        while to < len(order) and (to - at + 1) * widths[order[to]] <= 150_000:
+        while to < len(order) and (to - at + 1) * widths[order[to]] <= 40_000:
             to += 1
         some, width = order[at:to], widths[order[to - 1]]
         lines = [xs[i] for i in some] + [ys[i] for i in some]
@@ -310,9 +313,20 @@ def far_pairs(comparisons: DataFrame, roots: DataFrame) -> DataFrame:
     return met.select(F.col("x_h").alias("a"), F.col("y_h").alias("b"))
 
 
+def key_columns() -> dict[str, Column]:
+    """The columns of a line's keys for each pass, by name: a pass reads only its own."""
+    each = -(-BANDS // PASSES)
+    return {f"keys{i}": F.slice("keys", i * each + 1, each) for i in range(PASSES)}
+
+
 def line_links(docs: DataFrame, occurrences: DataFrame, counts: DataFrame) -> DataFrame:
-    """Links (a, b) between line hashes at SIMILARITY or more that keep all components of the candidates."""
-    members = written(shared_buckets(occurrences.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "h")), "lines-buckets")
+    """Links (a, b) between line hashes at SIMILARITY or more that keep all components of the candidates.
+
+    ``occurrences`` has the ``key_columns`` and is removed: it is the largest table by far, and only the buckets need it."""
+    passes = [written(shared_buckets(occurrences.where(F.size(keys) > 0).select(F.explode(keys).alias("key"), "h")), "lines-buckets")
+              for keys in key_columns()]
+    drop_written(occurrences)
+    members = reduce(DataFrame.union, passes)
     texts = written(line_texts(docs, members.select("h").distinct()), "lines-texts")
     return bucket_links(members, texts, counts, shingles, "lines")
 
@@ -322,11 +336,13 @@ def bucket_links(members: DataFrame, texts: DataFrame, counts: DataFrame, shingl
 
     ``texts`` has the line of every h, ``counts`` its copies, and ``shingles`` makes a line's set of strings. First each bucket's members are compared with its most copied line. What that joins is one component, given as links to its root;
     only members of one bucket that are still in different components are then compared with each other:
-    in pairs in buckets up to PAIRED lines, through shared differences from the centre in larger ones.
+    in pairs in buckets up to PAIRED lines, through shared differences from the centre in larger ones. Tables go as soon as
+    the next ones are written.
     """
     known = written(members.join(counts.select("h", "copies"), "h"), f"{label}-members")
     centre = known.groupBy("key").agg(F.max_by("h", F.struct("copies", "h")).alias("centre"), F.count("*").alias("n"))
     around = written(known.join(centre.where("n > 1"), "key").where("h != centre").select("key", "h", "centre", (F.col("n") > PAIRED).alias("large")), f"{label}-around")
+    drop_written(known)
     star = around.groupBy(F.col("centre").alias("a"), F.col("h").alias("b")).agg(F.max("large").alias("large"))
     comparisons = written(compared(star, texts, shingles), f"{label}-compared")
     close = comparisons.where("linked").select("a", "b")
@@ -336,6 +352,8 @@ def bucket_links(members: DataFrame, texts: DataFrame, counts: DataFrame, shingl
     apart = written(placed.join(split, "key"), f"{label}-apart")
     a, b = apart.select("key", F.col("h").alias("a"), F.col("root").alias("ra")), apart.select("key", F.col("h").alias("b"), F.col("root").alias("rb"))
     rest = a.join(b, "key").where("ra < rb").select("a", "b").union(far_pairs(comparisons, roots)).distinct()
+    rest = written(rest, f"{label}-rest")
+    drop_written(around, comparisons, apart)
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(rest, texts, shingles))
 
 
@@ -346,10 +364,17 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     (doc_id, text hash, line number; null ids first) stays in the whole corpus. Blank lines always stay and are not
     listed. Rows with equal id and text are one document. A null text has no lines.
     """
-    occurrences = written(line_rows(docs), "lines")
+    rows = line_rows(docs)
+    occurrences = written(rows.withColumns(key_columns()).drop("keys"), "lines")
     place = F.struct("doc_id", "doc", "line_no")
     counts = written(occurrences.groupBy("h").agg(F.count("*").alias("copies"), F.min(place).alias("first")), "lines-counts")
-    roots = components(line_links(docs, occurrences, counts), "lines-components")
+    with recorded() as used:
+        links = line_links(docs, occurrences, counts)
+    try:
+        roots = components(links, "lines-components")
+    finally:
+        for path in used:
+            remove(docs.sparkSession, path)
     first = (counts.join(roots, F.col("h") == F.col("node"), "left").groupBy(F.coalesce("root", "h").alias("root"))
              .agg(F.min("first").alias("first")).select("first.*"))
     lists = first.groupBy("doc_id", "doc").agg(F.array_sort(F.collect_list("line_no")).alias("kept"))

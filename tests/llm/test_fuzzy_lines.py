@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from aerolens.llm import fuzzy_lines as fl
+from aerolens.session import shared_dir, subfolders
 
 
 def jaccard(a, b):
@@ -193,3 +194,29 @@ def test_sizes_of_sets_equal_those_of_sets_of_strings(prose):
 
 def test_empty_table(spark):
     assert fl.kept_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_only_tables_that_are_still_read_stay(spark, prose, monkeypatch):
+    before, found = set(subfolders(spark, shared_dir(spark))), []
+
+    def there():
+        return sorted({x.rsplit("-", 1)[0] for x in set(subfolders(spark, shared_dir(spark))) - before})
+    links = fl.bucket_links
+    monkeypatch.setattr(fl, "bucket_links", lambda *a: found.append(there()) or links(*a))
+    docs = corpus(prose, 20)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = fl.kept_lines(df)
+    assert found == [["lines-buckets", "lines-counts", "lines-texts"]]
+    assert there() == ["lines-components", "lines-counts"]
+    assert {(r["doc_id"], n) for r in kept.collect() for n in r["kept"]} == brute_kept(docs)
+
+
+@pytest.mark.parametrize("passes", [1, 3, 10])
+def test_passes_share_the_bands(spark, prose, monkeypatch, passes):
+    monkeypatch.setattr(fl, "PASSES", passes)
+    docs = corpus(prose, 30)
+    seen = []
+    shared = fl.shared_buckets
+    monkeypatch.setattr(fl, "shared_buckets", lambda df: seen.append(df.count()) or shared(df))
+    assert got(spark.createDataFrame(docs, "doc_id long, text string")) == brute_kept(docs)
+    assert len(seen) == passes and sum(seen) % fl.BANDS == 0 and max(seen) <= sum(seen) * -(-fl.BANDS // passes) // fl.BANDS
